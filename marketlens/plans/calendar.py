@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlens.functions.dates import iso_weekday, year_month
 
 
-def calendar(spark: SparkSession, start: str = "2016-01-01", end: str = "2018-12-31") -> DataFrame:
-    days = spark.range(1).select(
-        F.explode(F.sequence(F.to_date(F.lit(start)), F.to_date(F.lit(end)),
-                             F.expr("interval 1 day"))).alias("date_id"))
+def calendar(spark: SparkSession, start: Column | None, end: Column | None,
+             span: DataFrame | None = None) -> DataFrame:
+    """Days from ``start`` to ``end`` inclusive, or over a one-row ``span`` (s, e).
+
+    Year, quarter, month, month name, ISO week, day, ISO weekday (1 = Monday),
+    day name, weekend flag, year-month.
+    """
+    base = span if span is not None else spark.range(1).select(start.alias("s"), end.alias("e"))
+    days = base.select(F.explode(F.sequence("s", "e", F.expr("interval 1 day"))).alias("date_id"))
     d = F.col("date_id")
     wd = iso_weekday(d)
     return days.select(

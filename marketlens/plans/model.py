@@ -203,8 +203,17 @@ class Warehouse:
 
     # ------------------------------------------------------------ D1, D2, D4
     def dim_dates(self, start: str = "2016-01-01", end: str = "2018-12-31") -> DataFrame:
+        """Calendar over a fixed span (the source system uses 2016-2018)."""
         from marketlens.plans.calendar import calendar
-        return calendar(self.spark, start, end)
+        return calendar(self.spark, F.to_date(F.lit(start)), F.to_date(F.lit(end)))
+
+    def dim_dates_for_orders(self) -> DataFrame:
+        """Calendar from Jan 1 of the first to Dec 31 of the last purchase year."""
+        from marketlens.plans.calendar import calendar
+        ts = F.col("order_purchase_timestamp")
+        span = self.t("orders").agg(F.make_date(F.min(F.year(ts)), F.lit(1), F.lit(1)).alias("s"),
+                                    F.make_date(F.max(F.year(ts)), F.lit(12), F.lit(31)).alias("e"))
+        return calendar(self.spark, None, None, span=span)
 
     @cached_property
     def dim_customers(self) -> DataFrame:
