@@ -165,10 +165,31 @@ def cohort_profile(df: DataFrame, cohorts: Mapping[str, Column], metrics: Mappin
     return F.broadcast(order).join(agg, label, "left").orderBy("_ord").drop("_ord")
 
 
-def repeatable_sample(df: DataFrame, key: Sequence[str], n: int, seed: int = 42) -> DataFrame:
-    """n rows chosen by a seeded hash of ``key`` (L5): the same rows every run,
-    planned as a per-task top-n plus a merge (no global sort)."""
-    h = F.xxhash64(F.lit(seed), *[F.col(k) for k in key])
+# Modulus and multipliers of the integer-key sample hash.
+SAMPLE_PRIME = 1000003
+SAMPLE_MULTIPLIERS = (7919, 104729, 1299709)
+
+
+def sample_hash(key: Sequence[str], seed: int = 42) -> Column:
+    """Seeded multiplicative hash of integer keys, reduced modulo a prime at
+    every step (no overflow at any key size); any SQL engine can recompute it."""
+    h = F.lit(seed % SAMPLE_PRIME).cast("bigint")
+    for i, k in enumerate(key):
+        m = SAMPLE_MULTIPLIERS[i % len(SAMPLE_MULTIPLIERS)]
+        h = F.pmod(h * F.lit(31) + F.pmod(F.col(k).cast("bigint"), F.lit(SAMPLE_PRIME)) * F.lit(m),
+                   F.lit(SAMPLE_PRIME))
+    return h
+
+
+def repeatable_sample(df: DataFrame, key: Sequence[str], n: int, seed: int = 42,
+                      integer_keys: bool = True) -> DataFrame:
+    """n rows chosen by a seeded hash of ``key`` (L5): the same rows every run.
+
+    Planned as ``TakeOrderedAndProject``: every task keeps its n best rows and
+    one merge picks the final n — no global sort, no driver loop.  Ties of the
+    hash are broken by the key itself.
+    """
+    h = sample_hash(key, seed) if integer_keys else F.xxhash64(F.lit(seed), *[F.col(k) for k in key])
     return df.withColumn("_h", h).orderBy("_h", *key).limit(n).drop("_h")
 
 
