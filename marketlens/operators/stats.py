@@ -125,8 +125,7 @@ def t_two_sided_p(t: float, dof: float) -> float:
     return betainc_reg(dof / 2.0, 0.5, dof / (dof + t * t))
 
 
-@F.pandas_udf("double")
-def _p_value_udf(r: pd.Series, n: pd.Series) -> pd.Series:
+def _p_values(r: pd.Series, n: pd.Series) -> pd.Series:
     out = []
     for rv, nv in zip(r, n):
         if rv is None or nv is None or np.isnan(rv) or nv <= 2:
@@ -140,8 +139,14 @@ def _p_value_udf(r: pd.Series, n: pd.Series) -> pd.Series:
 
 
 def with_p_value(model: DataFrame) -> DataFrame:
-    """Attach the two-sided p-value of r (t test, n-2 dof) to a one-row model."""
-    return model.withColumn("p_value", _p_value_udf(F.col("r"), F.col("n").cast("double")))
+    """Attach the two-sided p-value of r (t test, n-2 dof) to a one-row model.
+
+    An Arrow-batched pandas UDF over the aggregated model row(s); the data
+    itself never leaves the JVM.
+    """
+    from pyspark.sql.types import DoubleType
+    udf = F.pandas_udf(_p_values, DoubleType())
+    return model.withColumn("p_value", udf(F.col("r"), F.col("n").cast("double")))
 
 
 def heatmap(df: DataFrame, row: str, col: str, measure: Column, name: str = "value") -> DataFrame:

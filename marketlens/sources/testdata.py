@@ -111,7 +111,7 @@ def source_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     geo = n.join(r, n.n_regionkey == r.r_regionkey, "left").select(
         F.col("n_nationkey").alias("_nationkey"),
         F.col("n_name").alias("state"),
-        F.initcap("n_name").alias("state_name"),
+        F.col("n_name").alias("state_name"),
         F.col("r_name").alias("region"),
     )
     c, s = t["customer"], t["supplier"]
