@@ -59,9 +59,17 @@ def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     ``stack`` (no self-join of the data).
     """
     d = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).dropna()
+    idx = {c: i for i, c in enumerate(cols)}
+    upper = [(a, b) for a in cols for b in cols if idx[a] < idx[b]]  # corr is symmetric
+    agg = d.agg(F.count(F.lit(1)).alias("_n"), *[F.corr(a, b).alias(f"{a}__{b}") for a, b in upper])
+
+    def cell(a, b):
+        if a == b:
+            return "1.0D"
+        x, y = (a, b) if idx[a] < idx[b] else (b, a)
+        return f"`{x}__{y}`"
     pairs = [(a, b) for a in cols for b in cols]
-    agg = d.agg(*[(F.lit(1.0) if a == b else F.corr(a, b)).alias(f"{a}__{b}") for a, b in pairs])
-    stack = ", ".join(f"'{a}', '{b}', `{a}__{b}`" for a, b in pairs)
+    stack = ", ".join(f"'{a}', '{b}', {cell(a, b)}" for a, b in pairs)
     return agg.selectExpr(f"stack({len(pairs)}, {stack}) AS (var1, var2, r)")
 
 

@@ -20,7 +20,6 @@ from marketlens.operators.ranking import abc_classify, global_ntile, pareto
 from marketlens.operators.stats import cohort_profile
 from marketlens.plans.model import Warehouse
 
-oid = F.col("order_id")
 
 
 def _n_orders():

@@ -154,4 +154,7 @@ def source_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "sellers": sellers,
         "customers": customers,
         "geo": geo.drop("_nationkey"),
+        # shared parent of order_items and order_payments (not a source table):
+        # a materializing caller may persist it so the item window runs once
+        "_item_lines": items_full,
     }
