@@ -71,3 +71,15 @@ def test_pareto_range_vs_rows_ties(spark):
     rows = {r.k: r.cum_share for r in pareto(df, "k", "v", frame="rows").collect()}
     assert rng == {"a": 50.0, "b": 100.0, "c": 100.0}
     assert rows == {"a": 50.0, "b": 75.0, "c": 100.0}
+
+
+@pytest.mark.parametrize("n,p", [(1, 0.5), (2, 0.5), (101, 0.95), (400, 0.5), (37, 0.25)])
+def test_exact_percentile_matches_numpy(spark, n, p):
+    import numpy as np
+
+    from marketlens.operators.ranking import exact_percentile
+    rnd = random.Random(n)
+    vals = [round(rnd.uniform(0, 1000), 2) for _ in range(n)] + [None]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    got = df.limit(1).select(exact_percentile(df, "x", p).alias("q")).first().q
+    assert got == pytest.approx(float(np.percentile([v for v in vals if v is not None], p * 100)), rel=1e-12)
