@@ -67,9 +67,20 @@ def _exists(path: str) -> bool:
     return os.path.exists(path)
 
 
+def raw_schema(name: str) -> str:
+    """All-text schema of a raw file in its column order (misspelt headers kept)."""
+    fixes = {v: k for k, v in HEADER_FIXES.items()}
+    return ", ".join(f"`{fixes.get(c, c)}` string" for c, _ in SCHEMAS[name])
+
+
 def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
     raw = (spark.read.option("header", True).option("multiLine", name in MULTILINE)
            .option("quote", '"').option("escape", '"').csv(path))
+    return typed(raw, name)
+
+
+def typed(raw: DataFrame, name: str) -> DataFrame:
+    """Rename misspelt headers and convert each column by name (bad values → NULL)."""
     raw = raw.withColumnsRenamed({k: v for k, v in HEADER_FIXES.items() if k in raw.columns})
     cols = []
     for col, typ in SCHEMAS[name]:
