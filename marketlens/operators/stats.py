@@ -157,9 +157,14 @@ def with_p_value(model: DataFrame) -> DataFrame:
     return model.withColumn("p_value", udf(F.col("r"), F.col("n").cast("double")))
 
 
-def heatmap(df: DataFrame, row: str, col: str, measure: Column, name: str = "value") -> DataFrame:
-    """Long-form pivot (row, col, measure) — the oracle-friendly form of ST5."""
-    return df.groupBy(row, col).agg(measure.alias(name))
+def heatmap(df: DataFrame, row: str, col: str, measure: Column, name: str = "value",
+            wide: bool = False, columns: Sequence | None = None) -> DataFrame:
+    """Pivot of ``measure`` by (row, col) (ST5).  Long form (row, col, value) by
+    default; ``wide=True`` gives one column per ``col`` value (``pivot``; pass
+    ``columns`` to skip the extra job that finds the distinct values)."""
+    if not wide:
+        return df.groupBy(row, col).agg(measure.alias(name))
+    return df.groupBy(row).pivot(col, list(columns) if columns is not None else None).agg(measure)
 
 
 def cohort_profile(df: DataFrame, cohorts: Mapping[str, Column], metrics: Mapping[str, Column],

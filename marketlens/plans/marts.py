@@ -46,25 +46,51 @@ def _nonempty(c: str):
 
 # ------------------------------------------------------------------- M1
 def daily_metrics(wh: Warehouse) -> DataFrame:
+    """Per purchase day (M1).
+
+    Orders, customers and the delivered flag are order-level, so the fact is
+    first reduced to (day, order) grain with sums and counts (a partial
+    aggregate before the one shuffle); the day aggregate then needs only one
+    distinct count (customers).  Distinct sellers come from a (day, seller)
+    projection joined back by day (one row per day).  This replaces Spark's
+    row expansion for four distinct aggregates over the item-grain fact.
+    """
     f = wh.fact
-    m = _common(wh)
-    return f.groupBy("purchase_date").agg(
-        F.countDistinct("order_id").cast("bigint").alias("total_orders"),
-        F.count(F.lit(1)).cast("bigint").alias("total_items"),
-        dec(F.sum("payment_value"), 38, 2).alias("total_gmv"),
-        dec(F.sum("price"), 38, 2).alias("total_revenue"),
-        dec(F.sum("freight_value"), 38, 2).alias("total_freight"),
-        decq(F.sum("payment_value"), F.countDistinct("order_id"), 10, 2, num_scale=2).alias("avg_order_value"),
-        F.countDistinct(F.when(F.col("delivered_date").isNotNull(), F.col("order_id"))).cast("bigint")
-        .alias("delivered_orders"),
-        m["avg_delivery_days"].alias("avg_delivery_days"),
-        m["delay_rate"].alias("delay_rate"),
-        _mean(F.when(F.col("is_delayed") == 1, F.col("delay_days")), 6, 2).alias("avg_delay_days"),
-        m["avg_review_score"].alias("avg_review_score"),
-        F.countDistinct("customer_unique_id").cast("bigint").alias("unique_customers"),
-        F.countDistinct("seller_id").cast("bigint").alias("unique_sellers"),
-        _etl(wh).alias("etl_date"),
+    pos = F.when(F.col("delivery_days") > 0, F.col("delivery_days"))
+    late_days = F.when(F.col("is_delayed") == 1, F.col("delay_days"))
+    per_order = f.groupBy("purchase_date", "order_id").agg(
+        F.count(F.lit(1)).alias("n_items"),
+        F.sum("payment_value").alias("gmv"), F.sum("price").alias("rev"), F.sum("freight_value").alias("frt"),
+        F.max(F.col("delivered_date").isNotNull().cast("int")).alias("delivered"),
+        F.sum(pos).alias("pos_sum"), F.count(pos).alias("pos_n"),
+        F.sum("is_delayed").alias("late_sum"), F.count("is_delayed").alias("late_n"),
+        F.sum(late_days).alias("ld_sum"), F.count(late_days).alias("ld_n"),
+        F.sum("review_score").alias("rs_sum"), F.count("review_score").alias("rs_n"),
+        F.max("customer_unique_id").alias("customer_unique_id"),  # constant within an order
+    )
+    day = per_order.groupBy("purchase_date").agg(
+        F.count(F.lit(1)).alias("total_orders"),
+        F.sum("n_items").alias("total_items"),
+        dec(F.sum("gmv"), 38, 2).alias("total_gmv"),
+        dec(F.sum("rev"), 38, 2).alias("total_revenue"),
+        dec(F.sum("frt"), 38, 2).alias("total_freight"),
+        decq(F.sum("gmv"), F.count(F.lit(1)), 10, 2, num_scale=2).alias("avg_order_value"),
+        F.sum("delivered").cast("bigint").alias("delivered_orders"),
+        decq(F.sum("pos_sum"), F.sum("pos_n"), 6, 2).alias("avg_delivery_days"),
+        decq(F.sum("late_sum"), F.sum("late_n"), 6, 4).alias("delay_rate"),
+        decq(F.sum("ld_sum"), F.sum("ld_n"), 6, 2).alias("avg_delay_days"),
+        dec(fdiv(F.sum("rs_sum"), F.sum("rs_n")), 4, 2).alias("avg_review_score"),
+        F.countDistinct("customer_unique_id").alias("unique_customers"),
     )
+    sellers = (f.where(F.col("seller_id").isNotNull()).select("purchase_date", "seller_id").distinct()
+               .groupBy("purchase_date").agg(F.count(F.lit(1)).alias("unique_sellers")))
+    return (day.join(sellers, "purchase_date", "left")
+            .select("purchase_date", F.col("total_orders").cast("bigint").alias("total_orders"),
+                    F.col("total_items").cast("bigint").alias("total_items"), "total_gmv", "total_revenue",
+                    "total_freight", "avg_order_value", "delivered_orders", "avg_delivery_days", "delay_rate",
+                    "avg_delay_days", "avg_review_score", F.col("unique_customers").cast("bigint").alias("unique_customers"),
+                    F.coalesce("unique_sellers", F.lit(0)).cast("bigint").alias("unique_sellers"),
+                    _etl(wh).alias("etl_date")))
 
 
 # ------------------------------------------------------------------- M2
