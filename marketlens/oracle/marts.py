@@ -29,6 +29,7 @@ prelude.MART_CTES[:] = [
     ("m_daily", f"""
         SELECT purchase_date, CAST(count(DISTINCT order_id) AS BIGINT) AS total_orders,
                CAST(count(*) AS BIGINT) AS total_items, {DEC('sum(payment_value)', 38, 2)} AS total_gmv,
+               {DEC('(SELECT sum(pv) FROM (SELECT max(payment_value) AS pv FROM fact f2 WHERE f2.purchase_date = fact.purchase_date GROUP BY f2.order_id) o)', 38, 2)} AS total_gmv_order_level,
                {DEC('sum(price)', 38, 2)} AS total_revenue, {DEC('sum(freight_value)', 38, 2)} AS total_freight,
                {DQ('sum(payment_value)', 'count(DISTINCT order_id)', 10, 2, ns=2)} AS avg_order_value,
                CAST(count(DISTINCT CASE WHEN delivered_date IS NOT NULL THEN order_id END) AS BIGINT) AS delivered_orders,
@@ -138,7 +139,7 @@ SQL = {
         FROM v_order_full""",
     "m1_daily_metrics": """
         SELECT * REPLACE (CAST(total_gmv AS DOUBLE) AS total_gmv, CAST(total_revenue AS DOUBLE) AS total_revenue,
-            CAST(total_freight AS DOUBLE) AS total_freight, CAST(avg_order_value AS DOUBLE) AS avg_order_value,
+            CAST(total_gmv_order_level AS DOUBLE) AS total_gmv_order_level, CAST(total_freight AS DOUBLE) AS total_freight, CAST(avg_order_value AS DOUBLE) AS avg_order_value,
             CAST(avg_delivery_days AS DOUBLE) AS avg_delivery_days, CAST(delay_rate AS DOUBLE) AS delay_rate,
             CAST(avg_delay_days AS DOUBLE) AS avg_delay_days, CAST(avg_review_score AS DOUBLE) AS avg_review_score)
         FROM m_daily""",

@@ -13,6 +13,7 @@ from marketlens.functions import labels as L
 from marketlens.functions.buckets import case_labels
 from marketlens.functions.numeric import decimals_to_double, fdiv
 from marketlens.operators.grouping import semi_top_n
+from marketlens.operators.rfm import rfm
 from marketlens.operators.stats import repeatable_sample
 from marketlens.plans import marts
 from marketlens.plans.model import Warehouse
@@ -162,11 +163,11 @@ def q41_sales_by_state(wh: Warehouse) -> DataFrame:
 
 
 def q42_rfm_data(wh: Warehouse, ref_date: str = L.WAREHOUSE_RFM_DATE) -> DataFrame:
+    """Warehouse RFM inputs: fixed reference date, item-weighted payment value."""
     f = wh.fact.where(F.col("customer_unique_id").isNotNull())
-    return f.groupBy("customer_unique_id").agg(
-        F.datediff(F.to_date(F.lit(ref_date)), F.max("purchase_date")).cast("bigint").alias("recency"),
-        F.countDistinct("order_id").alias("frequency"),
-        F.sum("payment_value").cast("double").alias("monetary"))
+    r = rfm(f, "customer_unique_id", "order_id", "purchase_date", "payment_value", ref=ref_date)
+    return r.select("customer_unique_id", F.col("recency").cast("bigint").alias("recency"), "frequency",
+                    F.col("monetary").cast("double").alias("monetary"))
 
 
 def q43_category_trend(wh: Warehouse) -> DataFrame:

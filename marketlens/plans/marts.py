@@ -51,7 +51,9 @@ def daily_metrics(wh: Warehouse) -> DataFrame:
     Orders, customers and the delivered flag are order-level, so the fact is
     first reduced to (day, order) grain with sums and counts (a partial
     aggregate before the one shuffle); the day aggregate then needs only one
-    distinct count (customers).  Distinct sellers come from a (day, seller)
+    distinct count (customers).  ``total_gmv`` sums the order payment once per
+    item row as the source system does (N17); ``total_gmv_order_level`` counts
+    it once per order.  Distinct sellers come from a (day, seller)
     projection joined back by day (one row per day).  This replaces Spark's
     row expansion for four distinct aggregates over the item-grain fact.
     """
@@ -60,7 +62,8 @@ def daily_metrics(wh: Warehouse) -> DataFrame:
     late_days = F.when(F.col("is_delayed") == 1, F.col("delay_days"))
     per_order = f.groupBy("purchase_date", "order_id").agg(
         F.count(F.lit(1)).alias("n_items"),
-        F.sum("payment_value").alias("gmv"), F.sum("price").alias("rev"), F.sum("freight_value").alias("frt"),
+        F.sum("payment_value").alias("gmv"), F.max("payment_value").alias("gmv_once"),
+        F.sum("price").alias("rev"), F.sum("freight_value").alias("frt"),
         F.max(F.col("delivered_date").isNotNull().cast("int")).alias("delivered"),
         F.sum(pos).alias("pos_sum"), F.count(pos).alias("pos_n"),
         F.sum("is_delayed").alias("late_sum"), F.count("is_delayed").alias("late_n"),
@@ -72,6 +75,7 @@ def daily_metrics(wh: Warehouse) -> DataFrame:
         F.count(F.lit(1)).alias("total_orders"),
         F.sum("n_items").alias("total_items"),
         dec(F.sum("gmv"), 38, 2).alias("total_gmv"),
+        dec(F.sum("gmv_once"), 38, 2).alias("total_gmv_order_level"),
         dec(F.sum("rev"), 38, 2).alias("total_revenue"),
         dec(F.sum("frt"), 38, 2).alias("total_freight"),
         decq(F.sum("gmv"), F.count(F.lit(1)), 10, 2, num_scale=2).alias("avg_order_value"),
@@ -86,7 +90,8 @@ def daily_metrics(wh: Warehouse) -> DataFrame:
                .groupBy("purchase_date").agg(F.count(F.lit(1)).alias("unique_sellers")))
     return (day.join(sellers, "purchase_date", "left")
             .select("purchase_date", F.col("total_orders").cast("bigint").alias("total_orders"),
-                    F.col("total_items").cast("bigint").alias("total_items"), "total_gmv", "total_revenue",
+                    F.col("total_items").cast("bigint").alias("total_items"), "total_gmv",
+                    "total_gmv_order_level", "total_revenue",
                     "total_freight", "avg_order_value", "delivered_orders", "avg_delivery_days", "delay_rate",
                     "avg_delay_days", "avg_review_score", F.col("unique_customers").cast("bigint").alias("unique_customers"),
                     F.coalesce("unique_sellers", F.lit(0)).cast("bigint").alias("unique_sellers"),

@@ -16,7 +16,8 @@ from marketlens.functions import labels as L
 from marketlens.functions.buckets import bucketize
 from marketlens.functions.numeric import fdiv, qround, rnd
 from marketlens.operators.grouping import semi_top_n, with_empty_bins
-from marketlens.operators.ranking import exact_percentile, pareto, rank_qcut, value_qcut
+from marketlens.operators.ranking import exact_percentile, pareto
+from marketlens.operators.rfm import rfm, rfm_score
 from marketlens.operators.stats import box_stats, corr_matrix, growth, histogram, linreg, with_p_value
 from marketlens.plans import marts
 from marketlens.plans.model import Warehouse
@@ -401,22 +402,11 @@ def r30_order_status_funnel(wh: Warehouse) -> DataFrame:
 
 def r31_rfm_segments(wh: Warehouse) -> DataFrame:
     """RFM with pandas qcut scoring (W6, W7): R by value quartiles (labels 4..1),
-    F and M by first-come rank quartiles, customer id as tie order (N10)."""
-    d = wh.csv_delivered
-    ts = F.col("order_purchase_timestamp")
-    ref = d.agg(F.timestamp_add("DAY", F.lit(1), F.max(ts))).scalar()
-    rfm = d.groupBy("customer_unique_id").agg(
-        F.floor(F.timestamp_diff("SECOND", F.max(ts), ref) / 86400).cast("int").alias("recency"),
-        F.countDistinct("order_id").alias("frequency"),
-        F.coalesce(F.sum("price"), F.lit(0)).alias("monetary"))
-    key = F.col("customer_unique_id").asc()
-    s = value_qcut(rfm, "recency", 4, "r_score", labels=[4, 3, 2, 1])
-    s = rank_qcut(s, [F.col("frequency").asc(), key], 4, "f_score")
-    s = rank_qcut(s, [F.col("monetary").asc(), key], 4, "m_score")
-    hi, mid, low = L.RFM_BOUNDS
-    a, b, c, e = L.RFM_LABELS
-    t = F.col("r_score") + F.col("f_score") + F.col("m_score")
-    seg = s.withColumn("segment", F.when(t >= hi, a).when(t >= mid, b).when(t >= low, c).otherwise(e))
+    F and M by first-come rank quartiles, customer id as tie order (N10);
+    reference = latest purchase + 1 day, elapsed days, price as monetary (N25)."""
+    base = rfm(wh.csv_delivered, "customer_unique_id", "order_id", "order_purchase_timestamp", "price",
+               ref_offset_days=1, recency="elapsed", null_amount_as_zero=True)
+    seg = rfm_score(base, "customer_unique_id", "qcut")
     agg = seg.groupBy("segment").agg(F.count(F.lit(1)).alias("customers"),
                                      fdiv(F.sum("monetary"), F.count("monetary")).alias("avg_monetary"))
     total = F.sum("customers").over(Window.partitionBy())  # ≤ 4 rows

@@ -16,7 +16,8 @@ from marketlens.functions import labels as L
 from marketlens.functions.buckets import case_labels
 from marketlens.functions.numeric import fdiv, rnd
 from marketlens.operators.grouping import group_metrics, semi_top_n, share_of_total
-from marketlens.operators.ranking import abc_classify, global_ntile, pareto
+from marketlens.operators.ranking import abc_classify, pareto
+from marketlens.operators.rfm import rfm, rfm_score
 from marketlens.operators.stats import cohort_profile
 from marketlens.plans.model import Warehouse
 
@@ -42,9 +43,19 @@ def _mean_money(c: str):
     return fdiv(F.sum(c), F.count(c))
 
 
-def _reviewed(wh: Warehouse) -> DataFrame:
-    """V ⋈ raw reviews (J5): one row per item × review, as the source reports do."""
-    r = wh.t("order_reviews").select("order_id", "review_score")
+def _reviewed(wh: Warehouse, grain: str = "item") -> DataFrame:
+    """V joined to reviews.
+
+    ``grain='item'`` joins the raw reviews: one row per item × review, as the
+    source reports do (an order with two reviews counts twice, N5).
+    ``grain='order'`` joins the per-order mean review instead (no fan-out).
+    """
+    if grain == "item":
+        r = wh.t("order_reviews").select("order_id", "review_score")
+    elif grain == "order":
+        r = wh.reviews_by_order
+    else:
+        raise ValueError(f"unknown grain {grain!r}")
     return wh.view_delivered.join(r, "order_id", "inner")
 
 
@@ -153,9 +164,9 @@ def _score_rate(cond):
     return rnd(fdiv(F.sum(F.when(cond, 1).otherwise(0)), F.countDistinct("order_id")) * F.lit(100.0), 1)
 
 
-def q11_score_by_delay(wh: Warehouse) -> DataFrame:
+def q11_score_by_delay(wh: Warehouse, grain: str = "item") -> DataFrame:
     label = F.when(F.col("is_delayed") == 1, L.DELAYED_LABEL).otherwise(L.ON_TIME_LABEL)
-    return group_metrics(_reviewed(wh), label.alias("delivery_type"), {
+    return group_metrics(_reviewed(wh, grain), label.alias("delivery_type"), {
         "order_count": _n_orders(),
         "avg_score": rnd(F.avg("review_score"), 2),
         "score_5_rate_pct": _score_rate(F.col("review_score") == 5),
@@ -163,9 +174,9 @@ def q11_score_by_delay(wh: Warehouse) -> DataFrame:
     })
 
 
-def q12_score_by_days_bucket(wh: Warehouse) -> DataFrame:
+def q12_score_by_days_bucket(wh: Warehouse, grain: str = "item") -> DataFrame:
     rng = case_labels("delivery_days", L.Q12_BOUNDS, L.Q12_LABELS, L.Q12_ELSE)
-    out = group_metrics(_reviewed(wh), rng.alias("delivery_range"), {
+    out = group_metrics(_reviewed(wh, grain), rng.alias("delivery_range"), {
         "order_count": _n_orders(),
         "avg_score": rnd(F.avg("review_score"), 2),
         "score_5_rate_pct": _score_rate(F.col("review_score") == 5),
@@ -174,15 +185,15 @@ def q12_score_by_days_bucket(wh: Warehouse) -> DataFrame:
     return out.orderBy(F.col("_min_days").asc_nulls_first(), "delivery_range").drop("_min_days")
 
 
-def q13_state_satisfaction(wh: Warehouse) -> DataFrame:
-    return group_metrics(_reviewed(wh), "customer_state", {
+def q13_state_satisfaction(wh: Warehouse, grain: str = "item") -> DataFrame:
+    return group_metrics(_reviewed(wh, grain), "customer_state", {
         "avg_delivery_days": _avg_days(), "delay_rate_pct": _late_pct(),
         "avg_score": rnd(F.avg("review_score"), 2), "order_count": _n_orders(),
     }, non_null_keys=True, min_support=("order_count", 50), order_by=["avg_score", "customer_state"])
 
 
-def q14_satisfaction_factors(wh: Warehouse) -> DataFrame:
-    return _reviewed(wh).agg(
+def q14_satisfaction_factors(wh: Warehouse, grain: str = "item") -> DataFrame:
+    return _reviewed(wh, grain).agg(
         rnd(F.avg("review_score"), 2).alias("avg_score"),
         _avg_days().alias("avg_delivery_days"),
         _late_pct().alias("delay_rate_pct"),
@@ -192,9 +203,9 @@ def q14_satisfaction_factors(wh: Warehouse) -> DataFrame:
     )
 
 
-def q15_review_cohorts(wh: Warehouse) -> DataFrame:
+def q15_review_cohorts(wh: Warehouse, grain: str = "item") -> DataFrame:
     s = F.col("review_score")
-    return cohort_profile(_reviewed(wh), {L.NEGATIVE_COHORT: s <= 2, L.POSITIVE_COHORT: s == 5}, {
+    return cohort_profile(_reviewed(wh, grain), {L.NEGATIVE_COHORT: s <= 2, L.POSITIVE_COHORT: s == 5}, {
         "order_count": _n_orders(),
         "avg_delivery_days": _avg_days(),
         "avg_delay_days": rnd(F.avg("delay_days"), 1),
@@ -245,31 +256,11 @@ def q20_status_shares(wh: Warehouse) -> DataFrame:
     }, order_by=[F.col("count").desc(), "order_status"])
 
 
-def rfm_base(v: DataFrame, monetary: str = "price", ref=None) -> DataFrame:
-    """Per person: recency (days from ``ref`` or the latest purchase), frequency, monetary."""
-    ref = ref if ref is not None else v.agg(F.max("order_purchase_timestamp")).scalar()
-    return v.groupBy("customer_unique_id").agg(
-        F.datediff(ref, F.max("order_purchase_timestamp")).alias("recency_days"),
-        F.countDistinct("order_id").alias("frequency"),
-        F.sum(monetary).alias("monetary"),
-    )
-
-
-def rfm_segment(total):
-    hi, mid, low = L.RFM_BOUNDS
-    a, b, c, d = L.RFM_LABELS
-    return F.when(total >= hi, a).when(total >= mid, b).when(total >= low, c).otherwise(d)
-
-
 def q21_rfm_segments(wh: Warehouse) -> DataFrame:
-    """NTILE(4) scores with the customer id as tie-break (N10), distributed (§7.4)."""
-    base = rfm_base(wh.view_delivered)
-    key = F.col("customer_unique_id").asc()
-    s = global_ntile(base, [F.col("recency_days").desc(), key], 4, "r_score")
-    s = global_ntile(s, [F.col("frequency").asc(), key], 4, "f_score")
-    s = global_ntile(s, [F.col("monetary").asc_nulls_first(), key], 4, "m_score")
-    total = F.col("r_score") + F.col("f_score") + F.col("m_score")
-    seg = s.withColumn("segment", rfm_segment(total))
+    """NTILE(4) scores with the customer id as tie-break (N10), distributed (§7.4);
+    recency from the latest delivered purchase (N25)."""
+    base = rfm(wh.view_delivered, "customer_unique_id", "order_id", "order_purchase_timestamp", "price")
+    seg = rfm_score(base, "customer_unique_id", "ntile")
     counts = seg.groupBy("segment").agg(
         F.count(F.lit(1)).alias("customer_count"),
         rnd(_mean_money("monetary"), 0).alias("avg_lifetime_value"),

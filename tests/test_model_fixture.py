@@ -79,3 +79,12 @@ def test_single_day_span_is_null_not_error(spark):
     w = Warehouse(spark, src, etl_date="2024-01-01")
     row = marts.category_summary(w).first()
     assert row.daily_avg_items is None                           # zero-day span (A14)
+
+
+def test_review_join_order_grain_option(wh):
+    # Order grain joins the per-order mean review, so o1's two reviews do not double its rows
+    item = {r.delivery_type: r for r in sql_reports.q11_score_by_delay(wh).collect()}
+    order = {r.delivery_type: r for r in sql_reports.q11_score_by_delay(wh, grain="order").collect()}
+    assert sql_reports._reviewed(wh).where("order_id = 'o1'").count() == 4
+    assert sql_reports._reviewed(wh, "order").where("order_id = 'o1'").count() == 2
+    assert {k: v.order_count for k, v in item.items()} == {k: v.order_count for k, v in order.items()}
