@@ -114,16 +114,23 @@ class Warehouse:
 
     # ------------------------------------------------------------- M10 the view
     def _star(self, with_payments: bool) -> DataFrame:
+        """orders ⟕ items ⟕ products ⟕ translation ⟕ sellers ⟕ customers [⟕ payments].
+
+        Written order-grain first: customer and payment lookups run on the
+        (smaller) order rows, then one order-keyed join brings in the items,
+        then the item-keyed lookups.  Left joins on unique dimension keys
+        commute, so the result equals the source's join order while the wide
+        item rows are shuffled only for the order join and the two lookups.
+        """
         o, oi = self.t("orders"), self.t("order_items")
         p = self.t("products").join(self.t("product_category_translation"), "product_category_name", "left")
         s, c = self.t("sellers"), self.t("customers")
-        df = (o.join(oi, "order_id", "left")
-              .join(p, "product_id", "left")
-              .join(s, "seller_id", "left")
-              .join(c, "customer_id", "left"))
+        orders = o.join(c, "customer_id", "left")
         if with_payments:
-            df = df.join(self.payments_by_order, "order_id", "left")
-        return df
+            orders = orders.join(self.payments_by_order, "order_id", "left")
+        return (orders.join(oi, "order_id", "left")
+                .join(p, "product_id", "left")
+                .join(s, "seller_id", "left"))
 
     @cached_property
     def view(self) -> DataFrame:
@@ -193,12 +200,13 @@ class Warehouse:
         dp = self.dim_products.select(
             F.col("product_id").alias("_dp_product_id"), "category_name_english", "product_weight_g")
         s = self.t("sellers").select(F.col("seller_id").alias("_s_seller_id"), "seller_state")
-        df = (o.join(self.t("order_items"), "order_id", "inner")
-              .join(c, "customer_id", "left")
+        # order-grain lookups first, then one order-keyed join to the items
+        orders = (o.join(c, "customer_id", "left")
+                  .join(self.payments_by_order.select("order_id", "payment_value", "payment_type"), "order_id", "left")
+                  .join(self.reviews_by_order, "order_id", "left"))
+        df = (orders.join(self.t("order_items"), "order_id", "inner")
               .join(dp, F.col("product_id") == F.col("_dp_product_id"), "left")
-              .join(s, F.col("seller_id") == F.col("_s_seller_id"), "left")
-              .join(self.payments_by_order.select("order_id", "payment_value", "payment_type"), "order_id", "left")
-              .join(self.reviews_by_order, "order_id", "left"))
+              .join(s, F.col("seller_id") == F.col("_s_seller_id"), "left"))
         deliv, purch = F.col("order_delivered_customer_date"), F.col("order_purchase_timestamp")
         est, carrier = F.col("order_estimated_delivery_date"), F.col("order_delivered_carrier_date")
         dow = weekday_sun1(purch)

@@ -58,13 +58,16 @@ def source_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     )
 
     # ---- order items: one per lineitem; item number over all columns ----
-    item_order = Window.partitionBy("l_orderkey").orderBy(
+    # Rename first so the window is partitioned by ``order_id``: the later
+    # order-keyed joins then reuse this shuffle instead of repeating it.
+    lines = li.withColumnRenamed("l_orderkey", "order_id")
+    item_order = Window.partitionBy("order_id").orderBy(
         "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
         "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
     price = F.col("l_extendedprice").cast("decimal(12,2)")
     freight = (price * F.col("l_tax").cast("decimal(4,2)")).cast("decimal(12,2)")
-    items_full = li.select(
-        F.col("l_orderkey").alias("order_id"),
+    items_full = lines.select(
+        "order_id",
         F.row_number().over(item_order).alias("order_item_id"),
         F.col("l_partkey").alias("product_id"),
         F.col("l_suppkey").alias("seller_id"),
