@@ -26,19 +26,26 @@ from marketlens.session import ensure_checkpoint_dir
 
 
 def global_row_number(df: DataFrame, order_by: Sequence[Column], name: str = "rn",
-                      num_partitions: int | None = None) -> DataFrame:
+                      num_partitions: int | None = None, stable_input: bool = False) -> DataFrame:
     """Exact ``ROW_NUMBER() OVER (ORDER BY order_by)``, distributed.
 
     ``order_by`` must define a total order (end with a unique key).
+    ``stable_input=True`` states that ``df`` yields the same rows in the same
+    partition order on every evaluation (a checkpointed / written table, or
+    the output of another ranking, which is sorted within its partitions);
+    the range bounds are then reproducible and the checkpoint is skipped.
+    Use it for a single ranking over a written table; chained rankings should
+    keep their checkpoints, or every ranking re-plans the ones before it.
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     tagged = (df.repartitionByRange(n, *order_by)
               .sortWithinPartitions(*order_by)
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_mid", F.monotonically_increasing_id()))
-    tagged = tagged.checkpoint(eager=True)
+    if not stable_input:
+        ensure_checkpoint_dir(spark)
+        tagged = tagged.checkpoint(eager=True)
     sizes = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"), F.min("_mid").alias("_base"))
     offsets = sizes.withColumn(
         "_off", F.coalesce(F.sum("_cnt").over(
@@ -62,21 +69,22 @@ def ntile_of(rn: Column, n: Column, k: int) -> Column:
 
 
 def global_ntile(df: DataFrame, order_by: Sequence[Column], k: int, name: str,
-                 num_partitions: int | None = None) -> DataFrame:
+                 num_partitions: int | None = None, stable_input: bool = False) -> DataFrame:
     """Exact ``NTILE(k) OVER (ORDER BY order_by)`` without a single-partition window."""
-    ranked = global_row_number(df, order_by, "_rn", num_partitions)
+    ranked = global_row_number(df, order_by, "_rn", num_partitions, stable_input)
     n = ranked.agg(F.count(F.lit(1))).scalar()  # scalar subquery, evaluated once
     return ranked.withColumn(name, ntile_of(F.col("_rn"), n, k)).drop("_rn")
 
 
 def rank_qcut(df: DataFrame, order_by: Sequence[Column], k: int, name: str,
-              labels: Sequence[int] | None = None, num_partitions: int | None = None) -> DataFrame:
+              labels: Sequence[int] | None = None, num_partitions: int | None = None,
+              stable_input: bool = False) -> DataFrame:
     """``pd.qcut(x.rank(method='first'), k, labels)``.
 
     Bin edges are the linear quantiles of ranks 1..n, right-closed, first bin
     includes the minimum: bin = max(1, ceil(k * (rn - 1) / (n - 1))).
     """
-    ranked = global_row_number(df, order_by, "_rn", num_partitions)
+    ranked = global_row_number(df, order_by, "_rn", num_partitions, stable_input)
     n = ranked.agg(F.count(F.lit(1))).scalar()
     b = F.greatest(F.lit(1), F.ceil(F.lit(k) * (F.col("_rn") - 1) / (n - 1))).cast("int")
     b = F.when(n == 1, F.lit(1)).otherwise(b)

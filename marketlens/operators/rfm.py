@@ -56,6 +56,8 @@ def rfm_score(base: DataFrame, customer: str, scoring: str = "ntile", k: int = 4
     and monetary by first-come rank quartiles.
     """
     key = F.col(customer).asc()
+    # Each ranking checkpoints its range-partitioned tags: the chain stays
+    # short (no re-planning of earlier rankings) and survives task retries.
     if scoring == "ntile":
         s = global_ntile(base, [F.col("recency").desc(), key], k, "r_score")
         s = global_ntile(s, [F.col("frequency").asc(), key], k, "f_score")

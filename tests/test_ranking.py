@@ -83,3 +83,15 @@ def test_exact_percentile_matches_numpy(spark, n, p):
     df = spark.createDataFrame([(v,) for v in vals], "x double")
     got = df.limit(1).select(exact_percentile(df, "x", p).alias("q")).first().q
     assert got == pytest.approx(float(np.percentile([v for v in vals if v is not None], p * 100)), rel=1e-12)
+
+
+def test_stable_input_chain_equals_window(spark):
+    # a checkpointed input, then chained rankings without their own checkpoints
+    df, _ = _data(spark, 300, distinct=4)
+    df = df.withColumn("w", (F.col("id") * 7) % 5).checkpoint(eager=True)
+    s = global_ntile(df, [F.col("v").asc(), F.col("id").asc()], 4, "t1", num_partitions=5, stable_input=True)
+    s = global_ntile(s, [F.col("w").desc(), F.col("id").asc()], 4, "t2", num_partitions=5, stable_input=True)
+    got = {r.id: (r.t1, r.t2) for r in s.collect()}
+    ref = df.select("id", F.ntile(4).over(Window.orderBy("v", "id")).alias("t1"),
+                    F.ntile(4).over(Window.orderBy(F.col("w").desc(), "id")).alias("t2"))
+    assert got == {r.id: (r.t1, r.t2) for r in ref.collect()}
