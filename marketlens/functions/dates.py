@@ -18,7 +18,8 @@ def day_diff(end, start, mode: str = "calendar") -> Column:
     """Whole days from ``start`` to ``end``.
 
     ``calendar`` counts midnights crossed (SQL ``DATEDIFF``); ``elapsed``
-    floors the elapsed time (pandas ``.dt.days``).  47 hours across two
+    floors the elapsed time (pandas ``.dt.days``); ``fractional`` keeps the
+    fraction (Julian-day difference).  47 hours across two
     midnights is 2 calendar days but 1 elapsed day.
     """
     end, start = _c(end), _c(start)
@@ -27,6 +28,8 @@ def day_diff(end, start, mode: str = "calendar") -> Column:
     if mode == "elapsed":
         secs = F.timestamp_diff("SECOND", start, end)
         return F.floor(secs / F.lit(86400)).cast("int")
+    if mode == "fractional":  # julianday(a) - julianday(b)
+        return F.timestamp_diff("SECOND", start, end) / F.lit(86400.0)
     raise ValueError(f"unknown day_diff mode {mode!r}")
 
 

@@ -20,6 +20,11 @@ def test_day_diff_calendar_vs_elapsed(spark):
     assert _one(spark, day_diff("b", "a", "elapsed"), s, row) == 1
 
 
+def test_fractional_day_diff(spark):
+    row = (datetime(2017, 1, 1, 12), datetime(2017, 1, 3, 0))
+    assert _one(spark, day_diff("b", "a", "fractional"), "a timestamp_ntz, b timestamp_ntz", row) == 1.5
+
+
 def test_elapsed_floor_of_negative(spark):
     row = (datetime(2017, 1, 1, 12), datetime(2017, 1, 1, 11))
     assert _one(spark, day_diff("b", "a", "elapsed"), "a timestamp_ntz, b timestamp_ntz", row) == -1

@@ -19,3 +19,24 @@ def test_build_all_layers_and_rerun(spark, tmpdir_path):
 def test_unknown_layer(spark, tmpdir_path):
     with pytest.raises(ValueError):
         build(spark, {}, tmpdir_path, layer="ads")
+
+
+def test_load_warehouse_and_fallback(spark, tmpdir_path):
+    import os
+
+    from marketlens.plans import marts
+    from marketlens.plans.model import Warehouse
+    src = source_tables(spark, SF001)
+    build(spark, src, tmpdir_path, etl_date="2024-01-01")
+    wh = Warehouse.load(spark, "warehouse", tmpdir_path)
+    direct = Warehouse(spark, src, etl_date="2024-01-01")
+    assert wh.fact.count() == direct.fact.count()
+    assert marts.daily_metrics(wh).count() == marts.daily_metrics(direct).count()
+    assert set(wh.warehouse_delivered.columns) >= {"product_length_cm", "order_id"}
+    floor = Warehouse.from_warehouse(spark, tmpdir_path, date_floor="1995-01-01")
+    assert floor.fact.count() == direct.fact.where("purchase_date >= date'1995-01-01'").count()
+    missing = os.path.join(tmpdir_path, "nothing-here")
+    csv_dir = os.path.join(tmpdir_path, "csv")
+    os.makedirs(csv_dir)
+    fb = Warehouse.load(spark, "warehouse", missing, fallback_csv=csv_dir)
+    assert fb.src == {}
