@@ -165,7 +165,7 @@ class Warehouse:
         )
 
     # ------------------------------------------------------------- M10 the view
-    def _star(self, with_payments: bool) -> DataFrame:
+    def _star(self, with_payments: bool, with_reviews: bool = False) -> DataFrame:
         """orders ⟕ items ⟕ products ⟕ translation ⟕ sellers ⟕ customers [⟕ payments].
 
         Written order-grain first: customer and payment lookups run on the
@@ -180,6 +180,8 @@ class Warehouse:
         orders = o.join(c, "customer_id", "left")
         if with_payments:
             orders = orders.join(self.payments_by_order, "order_id", "left")
+        if with_reviews:
+            orders = orders.join(self.reviews_by_order, "order_id", "left")
         return (orders.join(oi, "order_id", "left")
                 .join(p, "product_id", "left")
                 .join(s, "seller_id", "left"))
@@ -213,10 +215,8 @@ class Warehouse:
         return self.view.where(F.col("order_status") == "delivered")
 
     # ----------------------------------------------- CSV population (pandas path)
-    @cached_property
-    def csv_main(self) -> DataFrame:
-        """Left star join with pandas-style features (elapsed days, N1)."""
-        df = self._star(with_payments=False)
+    def _csv_frame(self, with_reviews: bool) -> DataFrame:
+        df = self._star(with_payments=False, with_reviews=with_reviews)
         deliv, purch = F.col("order_delivered_customer_date"), F.col("order_purchase_timestamp")
         est, carrier = F.col("order_estimated_delivery_date"), F.col("order_delivered_carrier_date")
         return df.select(
@@ -234,11 +234,16 @@ class Warehouse:
             year_month(purch).alias("purchase_year_month"),
         )
 
+    @cached_property
+    def csv_main(self) -> DataFrame:
+        """Left star join with pandas-style features (elapsed days, N1)."""
+        return self._csv_frame(with_reviews=False)
+
     @cached_property
     def csv_delivered(self) -> DataFrame:
-        """pandas ``delivered`` frame: delivered status + per-order mean review."""
-        return (self.csv_main.where(F.col("order_status") == "delivered")
-                .join(self.reviews_by_order, "order_id", "left"))
+        """pandas ``delivered`` frame: delivered status + per-order mean review
+        (joined on the order rows, before the items)."""
+        return self._csv_frame(with_reviews=True).where(F.col("order_status") == "delivered")
 
     # ------------------------------------------------------------------ D5 fact
     @cached_property
