@@ -65,22 +65,25 @@ def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     (as ``corr``), NULL on no rows.  The k×k result is unpivoted with
     ``stack`` (no self-join of the data).
     """
-    d = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).dropna()
+    # Per-pair expressions are SQL strings: one parse on the JVM per
+    # projection instead of a driver round trip per column operator.
+    q = {c: f"`{c}`" for c in cols}
+    d = df.selectExpr(*[f"CAST({q[c]} AS DOUBLE) AS {q[c]}" for c in cols]).dropna()
     idx = {c: i for i, c in enumerate(cols)}
-    mean = d.agg(F.struct(*[F.avg(c).alias(c) for c in cols]).alias("m")).scalar()
+    mean = d.selectExpr("struct(" + ", ".join(f"avg({q[c]}) AS {q[c]}" for c in cols) + ") AS m").scalar()
     centred = d.select(*[(F.col(c) - mean[c]).alias(c) for c in cols])
     upper = [(a, b) for a in cols for b in cols if idx[a] <= idx[b]]  # symmetric
-    sums = centred.agg(*[F.sum(F.col(a) * F.col(b)).alias(f"{a}__{b}") for a, b in upper])
+    sums = centred.selectExpr(*[f"sum({q[a]} * {q[b]}) AS `{a}__{b}`" for a, b in upper])
 
     def r(a, b):
+        if a == b:
+            return "1.0D"
         x, y = (a, b) if idx[a] < idx[b] else (b, a)
-        den = F.sqrt(F.col(f"{x}__{x}") * F.col(f"{y}__{y}"))
-        return F.when(den == 0, F.lit(float("nan"))).otherwise(F.try_divide(F.col(f"{x}__{y}"), den))
+        den = f"sqrt(`{x}__{x}` * `{y}__{y}`)"
+        return f"CASE WHEN {den} = 0 THEN CAST('NaN' AS DOUBLE) ELSE try_divide(`{x}__{y}`, {den}) END"
 
-    cells = sums.select(*[(F.lit(1.0) if a == b else r(a, b)).alias(f"_r{i}_{j}")
-                          for i, a in enumerate(cols) for j, b in enumerate(cols)])
-    stack = ", ".join(f"'{a}', '{b}', `_r{i}_{j}`" for i, a in enumerate(cols) for j, b in enumerate(cols))
-    return cells.selectExpr(f"stack({len(cols) ** 2}, {stack}) AS (var1, var2, r)")
+    stack = ", ".join(f"'{a}', '{b}', {r(a, b)}" for a in cols for b in cols)
+    return sums.selectExpr(f"stack({len(cols) ** 2}, {stack}) AS (var1, var2, r)")
 
 
 def linreg(df: DataFrame, y: str, x: str) -> DataFrame:
