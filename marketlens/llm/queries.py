@@ -27,4 +27,43 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.coalesce(F.array_max(F.transform("matches", lambda m: m.n_words)), F.lit(0)).cast("long").alias("longest_match"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_mix_sources, op9_decontaminate)}
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketlens.llm.toxicity import score_toxicity
+    return score_toxicity(spark, read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketlens.llm.language_id import identify
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return identify(spark, docs).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketlens.llm.quality import score_quality
+    return score_quality(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketlens.llm.line_dedup import dedup_lines
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_lines(spark, docs, with_text=False).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketlens.llm.substring_dedup import repeated_spans
+    return repeated_spans(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketlens.llm.minhash import near_duplicates
+    return near_duplicates(spark, read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketlens.llm.embeddings import near_vectors
+    return near_vectors(spark, read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_url_filter, op2_mix_sources, op3_toxicity, op4_language_id, op5_quality, op6_line_dedup, op7_minhash,
+    op8_embedding_dedup, op9_decontaminate, op10_substring_dedup)}
