@@ -16,7 +16,8 @@ def _print(h2):
 
 def _other(bucket, fp, mask):
     """The partner bucket; applying it twice gives the bucket back."""
-    return (bucket ^ ((fp.astype(np.uint64) * np.uint64(0x5BD1E995C6A4A793)) >> np.uint64(20))) & mask
+    with np.errstate(over="ignore"):  # wraps modulo 2**64
+        return (bucket ^ ((fp.astype(np.uint64) * np.uint64(0x5BD1E995C6A4A793)) >> np.uint64(20))) & mask
 
 
 class Cuckoo:

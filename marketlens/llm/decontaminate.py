@@ -65,6 +65,12 @@ class Block:
         self.high = np.array([k.ljust(width, b"\xff") for k in seen], dtype=f"S{width}")
         self.least = min(self.size, default=0)
 
+    @classmethod
+    def of(cls, state: dict) -> Block:
+        b = cls.__new__(cls)
+        b.__dict__ = state
+        return b
+
     def search(self, h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position, window) of every occurrence in a shard of documents."""
         if not len(h) or not self.size:
@@ -127,13 +133,13 @@ def _spans(block: Block, doc_pos: np.ndarray, win: np.ndarray) -> list[dict]:
 
 
 def find_matches(docs: DataFrame, block) -> DataFrame:
-    """``docs`` with n_words, the hit word positions, the item ids and the matches against one block (a broadcast)."""
+    """``docs`` with n_words, the hit word positions, the item ids and the matches against one block (a broadcast of its state)."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + (
         f", n_words bigint, hits array<bigint>, items array<bigint>, matches {MATCH}")
     names = docs.columns
 
     def task(batches):
-        b = block.value
+        b = Block.of(block.value)
         for batch in batches:
             n_words, hits, items, matches = [], [], [], []
             for h, counts in _shards(batch.column("text")):
@@ -166,9 +172,9 @@ def blocks(spark: SparkSession, benchmark: DataFrame, window: int = WINDOW, limi
         part.append((r.item_id, r.text))
         words += len(r.text) // 2 + 1  # a bound: a word takes two characters with its separator
         if words >= limit:
-            yield spark.sparkContext.broadcast(Block(part, window))
+            yield spark.sparkContext.broadcast(vars(Block(part, window)))
             part, words = [], 0
-    yield spark.sparkContext.broadcast(Block(part, window))
+    yield spark.sparkContext.broadcast(vars(Block(part, window)))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20,
@@ -188,7 +194,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, wi
             F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"),
             F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
             F.array_distinct(F.flatten(F.collect_list("matches"))).alias("matches"))
-        counted = find_matches(base, spark.sparkContext.broadcast(Block([], window))).drop("hits", "items", "matches")
+        counted = find_matches(base, spark.sparkContext.broadcast(vars(Block([], window)))).drop("hits", "items", "matches")
         found = counted.join(every, (F.col("doc_id").eqNullSafe(F.col("_id"))) & (F.sha2("text", 256).eqNullSafe(F.col("_sha"))), "left").select(
             *base.columns, "n_words", *[F.coalesce(c, F.array().cast(t)).alias(c) for c, t in (
                 ("hits", "array<bigint>"), ("items", "array<bigint>"), ("matches", MATCH))])

@@ -55,14 +55,22 @@ def slices(off: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
         lo = min(hi, n)
 
 
-_pow = _inv = np.ones(1, U64)
+class _Powers:
+    """Powers of the base and of its inverse, grown on demand; never sent along with a task function."""
 
+    def __init__(self):
+        self.up = self.down = np.ones(1, U64)
 
-def _tables(n: int) -> None:
-    global _pow, _inv
-    if len(_pow) <= n:
-        size = max(n + 1, SLICE_BYTES + 1)
-        _pow, _inv = (np.cumprod(np.concatenate([np.ones(1, U64), np.full(size, b, U64)])) for b in (_BASE, _INV))
+    def __reduce__(self):
+        return (_Powers, ())
+
+    def grow(self, n: int) -> None:
+        if len(self.up) <= n:
+            size = max(n + 1, SLICE_BYTES + 1)
+            self.up, self.down = (np.cumprod(np.concatenate([np.ones(1, U64), np.full(size, b, U64)])) for b in (_BASE, _INV))
+
+
+_powers = _Powers()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -76,7 +84,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _hash(cls: np.ndarray, row_starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash, start) of each word; no word crosses a row start."""
     n = len(cls)
-    _tables(n)
+    _powers.grow(n)
     word = cls != 0
     gap = np.ones(n + 1, bool)
     np.logical_not(word, out=gap[1:])
@@ -89,8 +97,8 @@ def _hash(cls: np.ndarray, row_starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     after[inner - 1] = True
     ends = np.flatnonzero(word & after) + 1
     total = np.zeros(n + 1, U64)
-    np.cumsum(cls.astype(U64) * _pow[:n], out=total[1:])
-    return mix((total[ends] - total[starts]) * _inv[starts] + (ends - starts).astype(U64)), starts
+    np.cumsum(cls.astype(U64) * _powers.up[:n], out=total[1:])
+    return mix((total[ends] - total[starts]) * _powers.down[starts] + (ends - starts).astype(U64)), starts
 
 
 def words(buf: np.ndarray, off: np.ndarray, lo: int, hi: int, lut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
