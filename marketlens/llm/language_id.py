@@ -4,8 +4,9 @@ Texts become vectors of hashed character 2- and 3-grams (letters lower-cased,
 everything else one blank), weighted ``(1 + log tf) idf`` and scaled to length 1.
 Document frequencies come from all training documents.  For each language at most
 about ``FIT_DOCS`` training texts (documented bound) are clustered by spherical
-k-means into ``CENTROIDS`` centroids, one language per task.  A text gets the
-language of the centroid with the largest cosine, which is its score.
+k-means into at most ``CENTROIDS`` centroids, one language per task; clusters of
+less than ``LEAST_SHARE`` of the fit texts (mislabelled or mixed ones) are left out.
+A text gets the language of the centroid with the largest cosine, its score.
 
 Rejection by distance: a text is rejected if its cosine is under ``REJECT`` times
 the lowest 1 % of its language's own fit texts (or it has no letter), so that only
@@ -31,6 +32,7 @@ from marketlens.llm.common import crc_mod, held_out
 DIM = 4096
 FIT_DOCS = 300
 CENTROIDS = 3
+LEAST_SHARE = 0.15
 REJECT = 0.4
 MAX_LANGUAGES = 1000
 ROWS, CHARS = 256, 1 << 20
@@ -146,6 +148,8 @@ def learn_centroids(train: DataFrame, idf: np.ndarray, fit_docs: int = FIT_DOCS)
         if not len(x):
             return pd.DataFrame({"lang": [], "floor": [], "vector": []})
         c = kmeans(x, CENTROIDS)
+        share = np.bincount((x @ c.T).argmax(1), minlength=len(c)) / len(x)
+        c = c[share >= min(LEAST_SHARE, share.max())]
         floor = float(np.quantile((x @ c.T).max(1), 0.01))
         return pd.DataFrame({"lang": [pdf["lang"].iloc[0]] * len(c), "floor": [floor] * len(c), "vector": [v.astype(np.float32).tolist() for v in c]})
 

@@ -2,8 +2,8 @@
 
 1. Lexicon: on at most ``FIT_ROWS`` labelled training rows (documented bound) the
    word openings (4 to 6 letters, or a whole shorter word) whose document
-   frequency among label-1 rows far exceeds that among label-0 rows, at most
-   ``LEXICON`` of them.
+   frequency among label-1 rows far exceeds that among label-0 rows, and more than
+   chance among so many terms explains, at most ``LEXICON`` of them.
 2. Voters: the lexicon is dealt into ``LEXICON_VOTERS`` lexicon voters (any hit)
    beside pattern voters (several distinct hits, dense hits, shouting, runs of
    marks, symbol noise); each votes 0 or 1 on every whole text of the corpus.
@@ -38,6 +38,7 @@ FIT_ROWS = 20_000
 LEXICON, LEXICON_VOTERS = 240, 6
 OPENINGS = (4, 5, 6)
 LIFT, LEAST_SHARE = 8.0, 0.01
+EVIDENCE = 24.0  # least log-likelihood ratio of a term (twice the log of about 100,000 terms tried)
 PATTERNS = ["several", "dense", "shouting", "marks", "symbols"]
 VOTERS = [f"lexicon_{i}" for i in range(LEXICON_VOTERS)] + PATTERNS
 FEATURES = VOTERS + [f"hits_{i}" for i in range(LEXICON_VOTERS)] + ["distinct", "total", "rate"]
@@ -95,7 +96,10 @@ def mine_lexicon(docs: DataFrame, sample: DataFrame, limit: int = LEXICON) -> li
     terms = rows.mapInArrow(task, "term string, n0 long, n1 long").groupBy("term").agg(
         F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     lift = ((F.col("n1") + 0.5) / (pos + 1)) / ((F.col("n0") + 0.5) / (neg + 1))
-    best = (terms.where(F.col("n1") >= max(3, int(LEAST_SHARE * pos))).withColumn("lift", lift).where(F.col("lift") >= LIFT)
+    n, p = F.col("n0") + F.col("n1"), pos / (pos + neg)
+    evidence = 2 * (F.col("n1") * F.log(F.col("n1") / (n * p)) + F.when(F.col("n0") > 0, F.col("n0") * F.log(F.col("n0") / (n * (1 - p)))).otherwise(0.0))
+    best = (terms.where(F.col("n1") >= max(3, int(LEAST_SHARE * pos))).withColumn("lift", lift)
+            .where((F.col("lift") >= LIFT) & (evidence >= EVIDENCE))
             .orderBy((F.col("n1") * F.log("lift")).desc(), "term").limit(limit))
     return [r.term for r in best.collect()]  # at most `limit` terms
 
