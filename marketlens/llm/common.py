@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from marketlens.session import ensure_checkpoint_dir
 
@@ -14,6 +15,20 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def fields(df: DataFrame, ddl: str) -> StructType:
+    """The schema of ``df`` with further fields."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names`` with as many leading underscores as no column of ``df`` needs (for columns that must not clash)."""
+    taken = {c.lower() for c in df.columns}
+    prefix = "_"
+    while any((prefix + n).lower() in taken for n in names):
+        prefix += "_"
+    return [prefix + n for n in names]
+
+
 class Scratch:
     """Tables written once under the cluster's shared checkpoint folder.
 

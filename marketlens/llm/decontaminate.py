@@ -18,7 +18,8 @@ blocks are united per document.
 Defined cases: null or wordless texts have no words, are never hit and never
 contaminated; items without words are ignored; repeated item ids count once; an
 item with a null id can hit words but is not counted or listed; an empty
-benchmark hits nothing; repeated documents each keep their row.
+benchmark hits nothing; repeated documents each keep their row; other columns
+pass through (those named like a result are replaced).
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlens.llm import textkernel as tk
+from marketlens.llm.common import fields, fresh
 
 WINDOW = 13
 SHARD_WORDS = 2_000_000
@@ -49,9 +51,10 @@ class Block:
         self.window = window
         self.vocab = np.unique(np.concatenate([*toks, np.zeros(0, np.uint64)]))
         seen: dict[bytes, int] = {}
-        self.where: list[list[tuple]] = []  # window -> (item id, item word)
+        self.ids = [i for i, _ in items]
+        self.where: list[list[tuple]] = []  # window -> (item number, item word)
         self.size: list[int] = []
-        for (item, _), h in zip(items, toks, strict=True):
+        for item, h in enumerate(toks):
             ids = (np.searchsorted(self.vocab, h) + 1).astype(">u4")
             w = min(window, len(ids))
             for j in range(len(ids) - w + 1 if w else 0):
@@ -128,14 +131,13 @@ def _spans(block: Block, doc_pos: np.ndarray, win: np.ndarray) -> list[dict]:
                 r[-1][1] = max(r[-1][1], p + block.size[k])
             else:
                 r.append([p, p + block.size[k]])
-    return [{"item_id": item, "doc_word": a, "item_word": a - d, "n_words": b - a}
-            for (item, d), spans in sorted(runs.items(), key=lambda x: (str(x[0][0]), x[0][1])) for a, b in spans]
+    found = {(block.ids[item], a, a - d, b - a) for (item, d), spans in runs.items() for a, b in spans}
+    return [dict(zip(("item_id", "doc_word", "item_word", "n_words"), m, strict=True)) for m in sorted(found, key=lambda m: (m[1], m[2], str(m[0]), m[3]))]
 
 
 def find_matches(docs: DataFrame, block) -> DataFrame:
     """``docs`` with n_words, the hit word positions, the item ids and the matches against one block (a broadcast of its state)."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + (
-        f", n_words bigint, hits array<bigint>, items array<bigint>, matches {MATCH}")
+    schema = fields(docs, f"n_words bigint, hits array<bigint>, items array<bigint>, matches {MATCH}")
     names = docs.columns
 
     def task(batches):
@@ -154,7 +156,7 @@ def find_matches(docs: DataFrame, block) -> DataFrame:
                     n_words.append(n)
                     hit = np.unique(np.concatenate([np.arange(x, x + b.size[k]) for x, k in zip(p.tolist(), w.tolist(), strict=True)])) if len(p) else p
                     hits.append(hit.tolist())
-                    items.append(sorted({i for k in set(w.tolist()) for i, _ in b.where[k] if i is not None}))
+                    items.append(sorted({b.ids[i] for k in set(w.tolist()) for i, _ in b.where[k] if b.ids[i] is not None}))
                     matches.append(_spans(b, p, w) if len(p) else [])
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in names], pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(pa.int64())),
@@ -185,18 +187,19 @@ def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, wi
     if len(cut) == 1:
         found = find_matches(base, cut[0])
     else:  # several blocks: unite the hits of equal (id, text)
-        key = [F.col("doc_id").alias("_id"), F.sha2("text", 256).alias("_sha")]
+        i, sha = fresh(base, "id", "sha")
+        key = [F.col("doc_id").alias(i), F.sha2("text", 256).alias(sha)]
         every = None
         for b in cut:
             part = find_matches(base.select("doc_id", "text"), b).where("size(hits) > 0").select(*key, "hits", "items", "matches")
             every = part if every is None else every.unionByName(part)
-        every = every.distinct().groupBy("_id", "_sha").agg(
+        every = every.distinct().groupBy(i, sha).agg(
             F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"),
             F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
             F.array_distinct(F.flatten(F.collect_list("matches"))).alias("matches"))
         counted = find_matches(base, spark.sparkContext.broadcast(vars(Block([], window)))).drop("hits", "items", "matches")
-        found = counted.join(every, (F.col("doc_id").eqNullSafe(F.col("_id"))) & (F.sha2("text", 256).eqNullSafe(F.col("_sha"))), "left").select(
-            *base.columns, "n_words", *[F.coalesce(c, F.array().cast(t)).alias(c) for c, t in (
+        found = counted.join(every, F.col("doc_id").eqNullSafe(F.col(i)) & F.sha2("text", 256).eqNullSafe(F.col(sha)), "left").select(
+            *[F.col(f"`{c}`") for c in base.columns], "n_words", *[F.coalesce(c, F.array().cast(t)).alias(c) for c, t in (
                 ("hits", "array<bigint>"), ("items", "array<bigint>"), ("matches", MATCH))])
     hit = F.size("hits").cast("long")
     return found.withColumn("n_hit", hit).withColumn("contaminated", F.expr(f"n_hit > 0 and {share} * n_hit >= n_words")).drop("hits")

@@ -17,7 +17,7 @@ Long texts are counted in slices; a task holds one batch of vectors at a time.
 Defined cases: null texts and texts without a letter are ``und`` with score 0 and
 rejected; null ids are never held out and never learnt from; null languages are
 not learnt; without training rows every text is ``und``; repeated documents each
-keep their row; other columns pass through.
+keep their row; other columns pass through (those named like a result are replaced).
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import crc_mod, held_out
+from marketlens.llm.common import crc_mod, fields, held_out
 
 DIM = 4096
 FIT_DOCS = 300
@@ -170,7 +170,7 @@ def identify(spark: SparkSession, docs: DataFrame, fit_docs: int = FIT_DOCS) ->
     shared = spark.sparkContext.broadcast((idf, np.array([r.vector for r in model], np.float32).reshape(-1, DIM)))
     base = docs.drop("held_out", "lang_pred", "score", "rejected")
     names = base.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
+    schema = fields(base, "lang_pred string, score double, rejected boolean")
 
     def task(batches):
         idf, c = shared.value
@@ -191,5 +191,5 @@ def identify(spark: SparkSession, docs: DataFrame, fit_docs: int = FIT_DOCS) ->
                 [*[batch.column(x) for x in names], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())],
                 names=[*names, "lang_pred", "score", "rejected"])
 
-    return base.mapInArrow(task, schema + ", lang_pred string, score double, rejected boolean").withColumn(
+    return base.mapInArrow(task, schema).withColumn(
         "held_out", held_out(F.col("doc_id"), 3, 1))

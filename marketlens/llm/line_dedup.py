@@ -25,7 +25,7 @@ A-Z lower-cased; a key of at least ``min_chars`` code points is hashed to 128 bi
 Defined cases: a null or empty text is one empty line; a null doc_id is not
 counted as a document and never the largest holder; rows with the same doc_id
 count as one document and share its decisions; an empty table gives no rows;
-other columns pass through.
+other columns pass through (those named like a result are replaced).
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import Scratch
+from marketlens.llm.common import Scratch, fields, fresh
 from marketlens.llm.cuckoo import Cuckoo, Shards
 
 BLANK = b" \t\n\x0b\x0c\r"
@@ -181,21 +181,21 @@ class LineIndex:
 
     def decide(self, docs: DataFrame, with_text: bool = True) -> DataFrame:
         """``docs`` with n_lines, n_dropped, kept_sha256 and, if wanted, kept_text (else without text)."""
-        lost = self.drops(docs).select(F.col("doc_id").alias("_doc"), F.col("drop").alias("_drop"))
         base = docs.drop("n_lines", "n_dropped", "kept_text", "kept_sha256")
-        both = base.join(lost, base.doc_id.cast("long").eqNullSafe(F.col("_doc")), "left").drop("_doc")
-        return _rewrite(both, base if with_text else base.drop("text"), self.min_chars, with_text)
+        doc, drop = fresh(base, "doc", "drop")
+        lost = self.drops(docs).select(F.col("doc_id").alias(doc), F.col("drop").alias(drop))
+        both = base.join(lost, base.doc_id.cast("long").eqNullSafe(F.col(doc)), "left").drop(doc)
+        return _rewrite(both, drop, base if with_text else base.drop("text"), self.min_chars, with_text)
 
 
-def _rewrite(both: DataFrame, base: DataFrame, min_chars: int, with_text: bool) -> DataFrame:
+def _rewrite(both: DataFrame, drop_name: str, base: DataFrame, min_chars: int, with_text: bool) -> DataFrame:
     names = base.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
-    schema += ", n_lines bigint, n_dropped bigint, kept_sha256 string" + ", kept_text string" * with_text
+    schema = fields(base, "n_lines bigint, n_dropped bigint, kept_sha256 string" + ", kept_text string" * with_text)
 
     def task(batches):
         for batch in batches:
             n_lines, n_dropped, kept, sha = [], [], [], []
-            drops = batch.column("_drop").to_pylist()
+            drops = batch.column(drop_name).to_pylist()
             for text, drop in zip(_texts(batch.column("text")), drops, strict=True):
                 text = text or b""
                 n_lines.append(text.count(b"\n") + 1)

@@ -1,5 +1,135 @@
-"""DuckDB SQL for the corpus queries that SQL can express on whole tables."""
+"""DuckDB SQL for the corpus queries that SQL can express on whole tables.
+
+Language ID (4), toxicity (3) and quality (5) are fitted models and have none;
+their tests measure held-out accuracy.  Substring dedup (10) is tested against
+brute force.
+"""
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+from marketlens.llm.mixing import BLOCK_ROWS, WEIGHTS
+from marketlens.llm.url_filter import RULES
+
+_UP = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def _fold(x: str) -> str:
+    return f"translate({x}, '{_UP}', '{_UP.lower()}')"
+
+
+_URL = r"'^(?s:.*?)://([^/?#]*)([^?#]*)'"
+OP1 = f"""
+WITH p AS (
+  SELECT row_number() OVER () AS rid, page_id,
+         {_fold(f"regexp_extract(coalesce(url, ''), {_URL}, 1)")} AS host,
+         regexp_extract(coalesce(url, ''), {_URL}, 2) AS path
+  FROM pages),
+r(h, p, v) AS (VALUES {", ".join(str(t) for t in RULES)}),
+fit AS (
+  SELECT rid, page_id, host, path, h || p AS rule, v,
+         row_number() OVER (PARTITION BY rid ORDER BY length(h || p) DESC, length(h) DESC, v <> 'block', h || p) AS nth
+  FROM p LEFT JOIN r ON host <> '' AND (host = h OR ends_with(host, '.' || h)) AND starts_with(path, r.p))
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM fit WHERE nth = 1
+"""
+
+_CASE = " ".join(f"WHEN '={k}' THEN {w}" for k, w in WEIGHTS.items())
+OP2 = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, coalesce('=' || source, '') AS src,
+         row_number() OVER (PARTITION BY coalesce('=' || source, '') ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id NULLS FIRST) - 1 AS j
+  FROM documents),
+q AS (SELECT src, count(*) AS n, (CASE src {_CASE} ELSE 1 END)::BIGINT AS q FROM d GROUP BY src),
+one AS (SELECT list(src ORDER BY src) AS names, list(q ORDER BY src) AS qs, sum(q)::BIGINT AS frame FROM q),
+f(t, done, won) AS (
+  SELECT 0::BIGINT, list_transform(qs, lambda x: 0::BIGINT), 0::BIGINT FROM one
+  UNION ALL
+  SELECT t + 1, list_transform(done, lambda x, i: x + CASE WHEN i = w THEN 1 ELSE 0 END), w::BIGINT FROM (
+    SELECT t, done, list_position(dl, list_min(dl)) AS w FROM (
+      SELECT t, done, list_transform(done, lambda x, i: CASE WHEN x * frame <= t * qs[i]
+               THEN ((x + 1) * frame + qs[i] - 1) // qs[i] ELSE 9223372036854775807 END) AS dl
+      FROM f, one WHERE t < frame))),
+turns AS (
+  SELECT names[won] AS src, qs[won] AS q, frame, t - 1 AS slot, row_number() OVER (PARTITION BY won ORDER BY t) - 1 AS turn
+  FROM f, one WHERE t > 0),
+last AS (
+  SELECT min(((n + {BLOCK_ROWS - 1}) // {BLOCK_ROWS} - 1) // t.q * frame + slot) AS until
+  FROM q JOIN turns t USING (src) WHERE turn = ((n + {BLOCK_ROWS - 1}) // {BLOCK_ROWS} - 1) % t.q)
+SELECT doc_id, source, j // {BLOCK_ROWS} AS block, j // {BLOCK_ROWS} // q * frame + slot AS slot, j % {BLOCK_ROWS} AS pos,
+       j // {BLOCK_ROWS} // q * frame + slot <= until AS on_target
+FROM d JOIN turns t ON t.src = d.src AND turn = j // {BLOCK_ROWS} % q, last
+"""
+
+_BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+OP6 = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT rid, doc_id, i, ls[i] AS line, {_fold(f"trim(ls[i], {_BLANK})")} AS k FROM d, unnest(range(1, len(ls) + 1)) AS t(i)),
+hot AS (SELECT k, max(doc_id) AS keeper FROM l WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5),
+m AS (SELECT rid, l.doc_id, i, line, keeper IS NOT NULL AND l.doc_id IS DISTINCT FROM keeper AS gone FROM l LEFT JOIN hot USING (k))
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY rid
+"""
+
+OP7 = rf"""
+WITH RECURSIVE w AS (
+  SELECT DISTINCT doc_id, regexp_extract_all({_fold("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS s
+  FROM w, unnest(range(1, greatest(len(ws) - 3, least(len(ws), 1)) + 1)) AS t(i)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+e AS (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM sh a JOIN sh b USING (s) JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+  WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+r AS (SELECT doc_id, doc_id AS node FROM n UNION SELECT r.doc_id, e.v FROM r JOIN e ON e.u = r.node),
+c AS (SELECT doc_id, min(node) AS c FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, d.doc_id) AS component_id, coalesce(c, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id
+"""
+
+OP8 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS x, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS norm FROM embeddings),
+e AS (
+  SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  WHERE a.norm > 0 AND b.norm > 0 AND list_dot_product(a.x, b.x) / (a.norm * b.norm) >= 0.95),
+r AS (SELECT vec_id, vec_id AS node FROM v UNION SELECT r.vec_id, e.w FROM r JOIN e ON e.u = r.node),
+c AS (SELECT vec_id, min(node) AS c FROM r GROUP BY vec_id),
+k AS (SELECT u, count(DISTINCT w) AS n FROM e GROUP BY u)
+SELECT v.vec_id, coalesce(n, 0) AS n_links, c AS component_id, c = v.vec_id AS kept
+FROM v LEFT JOIN k ON k.u = v.vec_id JOIN c ON c.vec_id = v.vec_id
+"""
+
+_WORDS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+OP9 = f"""
+WITH b AS (SELECT item_id, regexp_extract_all({_fold("text")}, {_WORDS}) AS ws FROM benchmark WHERE text IS NOT NULL),
+bw AS (
+  SELECT DISTINCT item_id, least(len(ws), 13) AS k, array_to_string(ws[i:i + least(len(ws), 13) - 1], ' ') AS s
+  FROM b, unnest(range(1, greatest(len(ws) - 12, least(len(ws), 1)) + 1)) AS t(i)),
+d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_fold("coalesce(text, '')")}, {_WORDS}) AS ws FROM documents),
+ks AS (SELECT DISTINCT k FROM bw),
+h AS (
+  SELECT rid, i, bw.k, item_id
+  FROM (SELECT rid, i, k, array_to_string(ws[i:i + k - 1], ' ') AS s FROM d, ks, unnest(range(1, len(ws) - k + 2)) AS t(i)) p
+  JOIN bw ON bw.k = p.k AND bw.s = p.s),
+hw AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + k)) AS p FROM h) GROUP BY rid),
+best AS (  -- longest run of windows on one diagonal, as covered words
+  SELECT rid, max(n) AS longest FROM (
+    SELECT rid, item_id, diag, run, max(i + k) - min(i) AS n FROM (
+      SELECT rid, item_id, i, k, diag, i - row_number() OVER (PARTITION BY rid, item_id, diag ORDER BY i) AS run FROM (
+        SELECT DISTINCT h.rid, h.item_id, h.i, h.k, h.i - bi.j AS diag FROM h
+        JOIN (SELECT item_id, i AS j, least(len(ws), 13) AS k, array_to_string(ws[i:i + least(len(ws), 13) - 1], ' ') AS s
+              FROM b, unnest(range(1, greatest(len(ws) - 12, least(len(ws), 1)) + 1)) AS t(i)) bi
+          ON bi.item_id = h.item_id AND bi.k = h.k
+        JOIN d ON d.rid = h.rid AND bi.s = array_to_string(d.ws[h.i:h.i + h.k - 1], ' ')))
+    GROUP BY rid, item_id, diag, run)
+  GROUP BY rid),
+it AS (SELECT rid, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids FROM (SELECT DISTINCT rid, item_id::VARCHAR AS x FROM h WHERE item_id IS NOT NULL) GROUP BY rid)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated, coalesce(longest, 0) AS longest_match
+FROM d LEFT JOIN hw USING (rid) LEFT JOIN it USING (rid) LEFT JOIN best USING (rid)
+"""
+
+SQL: dict[str, str] = {
+    "op1_url_filter": OP1, "op2_mix_sources": OP2, "op6_line_dedup": OP6, "op7_minhash": OP7,
+    "op8_embedding_dedup": OP8, "op9_decontaminate": OP9,
+}

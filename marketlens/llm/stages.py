@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,15 +11,30 @@ from marketlens.llm import decontaminate as op9
 from marketlens.llm import mixing as op2
 from marketlens.llm.common import read
 
+DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def plain_names(stage):
+    """Run a stage with other columns under neutral names, so that none clashes with a result's name."""
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        neutral = {c: f"extra_{i}" for i, c in enumerate(docs.columns) if c not in DOCUMENT}
+        out = stage(spark, docs.withColumnsRenamed(neutral), sf_dir)
+        return out.withColumnsRenamed({n: c for c, n in neutral.items() if n in out.columns})
+    return run
+
+
 #: Near-duplicates in the pipeline: shingles of five words, similarity 0.8.
 STAGE_SHINGLE = 5
 
 
+@plain_names
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from marketlens.llm.language_id import identify
     return identify(spark, docs).where("lang_pred <> 'und' and not rejected").select(*docs.columns)
 
 
+@plain_names
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go; n_chars follows the kept text; a document whose every line goes stays as an empty text."""
     from marketlens.llm.line_dedup import dedup_lines
@@ -28,15 +45,18 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         F.col(c) for c in docs.columns])
 
 
+@plain_names
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from marketlens.llm.minhash import near_duplicates
-    gone = near_duplicates(spark, docs, shingle=STAGE_SHINGLE).where("not kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs.doc_id == F.col("_gone"), "left_anti")
+    gone = near_duplicates(spark, docs, shingle=STAGE_SHINGLE).where("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
+@plain_names
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return op9.decontaminate(spark, docs, read(spark, sf_dir, "benchmark")).where("not contaminated").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with their place in the mixture (input columns named block, slot, pos or on_target are replaced)."""
     return op2.mix_sources(spark, docs)

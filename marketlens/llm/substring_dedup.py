@@ -21,8 +21,9 @@ Defined cases: null and empty texts have no units; of equal ranks the smaller
 offset is kept, so a repeat inside one document goes too; rows with a null id are
 ranked first and their spans have a null doc_id; repeated rows (same id and text)
 count as further occurrences at the same rank: the first row's unit is matched by
-(id, unit number), so rows of one id never remove each other; empty tables give
-no spans.
+(id, unit number), so rows of one id, taken as copies of one text, never remove
+each other; empty tables give no spans; other columns are not returned by
+``repeated_spans`` and pass through ``remove``.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketlens.llm.common import fresh
+
 MIN_WORDS = 40
 GLUE_WORDS = 4
 CUT = {
@@ -120,7 +123,9 @@ def repeated_spans(docs: DataFrame, unit: str = "sentence", min_words: int = MIN
 def remove(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """``docs`` with text rewritten without its spans and ``removed`` (the spans, by original offsets)."""
     by = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("removed"))
-    both = docs.drop("removed").join(by.withColumnRenamed("doc_id", "_doc"), F.col("doc_id").eqNullSafe(F.col("_doc")), "left").drop("_doc")
+    base = docs.drop("removed")
+    doc, = fresh(base, "doc")
+    both = base.join(by.withColumnRenamed("doc_id", doc), F.col("doc_id").eqNullSafe(F.col(doc)), "left").drop(doc)
     # keep the gaps between spans: fold (text so far, position)
     gaps = F.expr("""aggregate(coalesce(removed, array()), struct('' as kept, 0 as at),
         (s, r) -> struct(concat(s.kept, substring(text, s.at + 1, r.start - s.at)) as kept, r.end as at),
