@@ -80,3 +80,9 @@ def with_empty_bins(spark, agg: DataFrame, key: str, labels: Sequence[str], fill
     for c, v in fill.items():
         out = out.withColumn(c, F.coalesce(F.col(c), F.lit(v)))
     return out
+
+
+def one_per_key(df: DataFrame, key: str, *carry: str) -> DataFrame:
+    """One row per key with the smallest of each carried column (L6): for columns that are
+    constant within a key, the same as dropping duplicates, and repeatable where they are not."""
+    return df.groupBy(key).agg(*[F.min(c).alias(c) for c in carry])

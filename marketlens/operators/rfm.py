@@ -23,7 +23,8 @@ def rfm(df: DataFrame, customer: str, order_id: str, ts: str, amount: str, *,
 
     ``ref`` — a date / timestamp literal or Column; default the latest ``ts``
     in ``df`` (a scalar subquery) plus ``ref_offset_days``.  ``recency`` —
-    ``'calendar'`` (DATEDIFF) or ``'elapsed'`` (floored elapsed days).
+    ``'calendar'`` (DATEDIFF), ``'elapsed'`` (floored elapsed days) or
+    ``'fractional'`` (elapsed days with their fraction).
     """
     t = F.col(ts)
     if ref is None:
@@ -39,6 +40,8 @@ def rfm(df: DataFrame, customer: str, order_id: str, ts: str, amount: str, *,
         rec = F.datediff(F.to_date(ref_col), F.to_date(last))
     elif recency == "elapsed":
         rec = F.floor(F.timestamp_diff("SECOND", last, ref_col) / 86400).cast("int")
+    elif recency == "fractional":
+        rec = F.timestamp_diff("SECOND", last, ref_col) / F.lit(86400.0)
     else:
         raise ValueError(recency)
     money = F.sum(amount)

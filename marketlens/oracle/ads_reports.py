@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from marketlens.functions import labels as L
-from marketlens.operators.stats import SAMPLE_MULTIPLIERS, SAMPLE_PRIME
 from marketlens.oracle import marts as _marts  # noqa: F401  (registers the mart CTEs)
 from marketlens.oracle.prelude import DIV
 
@@ -12,16 +11,10 @@ def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def _pmod(x: str) -> str:
-    return f"((({x}) % {SAMPLE_PRIME}) + {SAMPLE_PRIME}) % {SAMPLE_PRIME}"
-
-
-def sample_hash(keys, seed: int = 42) -> str:
-    h = str(seed % SAMPLE_PRIME)
-    for i, k in enumerate(keys):
-        m = SAMPLE_MULTIPLIERS[i % len(SAMPLE_MULTIPLIERS)]
-        h = _pmod(f"CAST({h} AS BIGINT) * 31 + {_pmod(f'CAST({k} AS BIGINT)')} * {m}")
-    return h
+def sample_order(keys, n: int = 5000, seed: int = 42) -> str:
+    """Order by the MD5 of the seed and the key's text, and keep the first n."""
+    text = ", ".join(f"coalesce(CAST({k} AS VARCHAR), '')" for k in keys)
+    return f"ORDER BY md5(concat_ws('|', '{seed}', {text})), {', '.join(keys)} LIMIT {n}"
 
 
 def D(c: str) -> str:
@@ -30,7 +23,7 @@ def D(c: str) -> str:
 
 MEAN = lambda c: DIV(f"sum({c})", f"count({c})")
 SCORED = "FROM fact WHERE delivery_days > 0 AND review_score IS NOT NULL AND delivery_days <= 60"
-SAMPLE = f"ORDER BY {sample_hash(['order_id', 'order_item_id'])}, order_id, order_item_id LIMIT 5000"
+SAMPLE = sample_order(["order_id", "order_item_id"])
 Q34 = " ".join(f"WHEN delivery_days <= {b} THEN {_q(lab)}" for b, lab in zip(L.Q34_BOUNDS, L.Q34_LABELS))
 
 LAYERS = {

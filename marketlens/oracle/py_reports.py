@@ -73,6 +73,12 @@ SQL = {
                strftime(min(order_purchase_timestamp), '%Y-%m') AS first_month,
                strftime(max(order_purchase_timestamp), '%Y-%m') AS last_month
         FROM D""",
+    "r01_overview_from_monthly": f"""
+        SELECT CAST(coalesce(sum(total_orders), 0) AS BIGINT) AS total_orders, coalesce(sum(total_revenue), 0.0) AS total_gmv,
+               avg(avg_delivery_days) AS avg_delivery, avg(delay_rate) AS delay_rate,
+               CAST(coalesce(sum(unique_customers), 0) AS BIGINT) AS customers, 0 AS sellers,
+               CAST(NULL AS VARCHAR) AS first_month, CAST(NULL AS VARCHAR) AS last_month
+        FROM {M9} m""",
     "r02_data_summary": f"""
         SELECT count(DISTINCT order_id) AS orders, {PSUM('price')} AS revenue,
                count(DISTINCT category_name) AS categories, count(DISTINCT seller_id) AS sellers,
@@ -174,6 +180,15 @@ SQL = {
                {R(STDERR, P)} AS stderr, CAST(x_min AS DOUBLE) AS x_min, CAST(x_max AS DOUBLE) AS x_max,
                CASE WHEN r < {L.VERDICT_R_BOUND} THEN {_q(L.VERDICT_NEGATIVE)} ELSE {_q(L.VERDICT_WEAK)} END AS verdict
         FROM {MODEL} m""",
+    # Student t, two-sided: midpoint integration of cos(x)^(v-1) over the tail and over the whole
+    "r20_regression_pvalue": f"""
+        WITH m AS (SELECT n, r, CAST(n - 2 AS DOUBLE) AS v, abs(r) * sqrt((n - 2) / (1 - r * r)) AS t FROM {MODEL} q),
+             cut AS (SELECT *, atan(t / sqrt(v)) AS a, least(pi() / 2, atan(t / sqrt(v)) + 40 / sqrt(v)) AS b,
+                            least(pi() / 2, 40 / sqrt(v)) AS c FROM m)
+        SELECT n, {R('r', P)} AS r, {R("""
+                 ((b - a) * list_sum(list_transform(range(0, 20000), lambda i: exp((v - 1) * ln(cos(a + (b - a) * (i + 0.5) / 20000))))))
+               / (c * list_sum(list_transform(range(0, 20000), lambda i: exp((v - 1) * ln(cos(c * (i + 0.5) / 20000))))))""", P)} AS p_value
+        FROM cut""",
     "r20_trend_line": f"""
         SELECT i AS point, {R('x_min + (x_max - x_min) * i / 99', P)} AS x,
                {R('slope * (x_min + (x_max - x_min) * i / 99) + intercept', P)} AS y
@@ -191,7 +206,8 @@ SQL = {
         ORDER BY b.bin_ord""",
     "r23_correlation_matrix": "\nUNION ALL\n".join(
         f"SELECT '{a}' AS var1, '{b}' AS var2, "
-        + (f"CASE WHEN count(*) >= 0 THEN 1.0 END" if a == b else R(f"corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))", P))
+        + (f"CASE WHEN min({a}) = max({a}) THEN CAST('NaN' AS DOUBLE) WHEN count(*) > 0 THEN 1.0 END" if a == b
+           else R(f"corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))", P))
         + " AS r FROM (SELECT * FROM D WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in CORR_COLUMNS) + ") x"
         for a in CORR_COLUMNS for b in CORR_COLUMNS),
     "r24_insights": f"""
@@ -249,6 +265,17 @@ SQL = {
                     ELSE CAST(n AS DOUBLE) / lag(n) OVER (ORDER BY n DESC, order_status) * 100.0 END AS pct_previous
         FROM (SELECT order_status, count(*) AS n FROM s_orders WHERE order_status IS NOT NULL
               GROUP BY order_status) x""",
+    "r31_rfm_fractional": f"""
+        WITH person AS (FROM V SELECT customer_unique_id AS id,
+                          date_diff('second', max(order_purchase_timestamp), (SELECT max(order_purchase_timestamp) FROM V)) / 86400.0 AS days,
+                          count(DISTINCT order_id) AS orders, sum(price) AS spent GROUP BY customer_unique_id),
+             point AS (FROM person SELECT spent, ntile(4) OVER (ORDER BY days DESC NULLS LAST, id NULLS FIRST)
+                          + ntile(4) OVER (ORDER BY orders NULLS FIRST, id NULLS FIRST) + ntile(4) OVER (ORDER BY spent NULLS FIRST, id NULLS FIRST) AS t)
+        SELECT CASE WHEN t >= {L.RFM_BOUNDS[0]} THEN {_q(L.RFM_LABELS[0])} WHEN t >= {L.RFM_BOUNDS[1]} THEN {_q(L.RFM_LABELS[1])}
+                    WHEN t >= {L.RFM_BOUNDS[2]} THEN {_q(L.RFM_LABELS[2])} ELSE {_q(L.RFM_LABELS[3])} END AS segment,
+               count(*) AS customer_count, {R(DIV('sum(spent)', 'count(spent)'), 0)} AS avg_lifetime_value,
+               {QR('count(*)', '(SELECT count(*) FROM person)', 1, mult=100)} AS pct
+        FROM point GROUP BY segment""",
     "r31_rfm_segments": f"""
         WITH base AS (
             SELECT customer_unique_id,
@@ -276,3 +303,24 @@ SQL = {
 }
 
 SQL["r14_abc_counts"] = f"SELECT abc_class, count(*) AS n FROM ({SQL['r14_abc_curve']}) x GROUP BY abc_class"
+
+
+# The dashboard frame in warehouse mode: the fact under the reports' names, with sizes.
+_WAREHOUSE_D = """
+    SELECT f.* EXCLUDE (purchase_dayofweek), delivery_days AS delivery_time_days, purchase_timestamp AS order_purchase_timestamp,
+           isodow(purchase_date) - 1 AS purchase_dayofweek, product_length_cm, product_height_cm, product_width_cm
+    FROM fact f LEFT JOIN (SELECT product_id, product_length_cm, product_height_cm, product_width_cm FROM dim_products) p USING (product_id)"""
+_WAREHOUSE_M8 = f"""(
+    SELECT category_name, total_orders, CAST(total_revenue AS DOUBLE) AS total_revenue, CAST(avg_price AS DOUBLE) AS avg_price,
+           CAST(avg_delivery_days AS DOUBLE) AS avg_delivery_days, {R('CAST(m.delay_rate AS DOUBLE) * 100', 1)} AS delay_rate,
+           (SELECT count(DISTINCT product_id) FROM fact WHERE fact.category_name = m.category_name) AS unique_products, unique_sellers
+    FROM m_category m)"""
+
+
+def in_warehouse_mode(body: str) -> str:
+    """A report's SQL over the stored fact and category mart instead of the CSV population."""
+    from marketlens.oracle.prelude import with_prelude
+    body = body.replace(M8, _WAREHOUSE_M8)
+    if "FROM s_orders" in body and "order_status" in body:  # the funnel
+        body = body.replace("FROM s_orders", "FROM (SELECT DISTINCT order_id, order_status FROM fact) s_orders")
+    return with_prelude(body, {"D": _WAREHOUSE_D})

@@ -61,38 +61,32 @@ SQL = {
                count(DISTINCT product_id) AS unique_products, count(DISTINCT seller_id) AS unique_sellers
         FROM V WHERE category_name IS NOT NULL GROUP BY category_name
         ORDER BY daily_sales DESC, category_name LIMIT 20""",
+    # running share over a tie: everything that earns at least as much
     "q08_abc": f"""
-        WITH cr AS (SELECT category_name, sum(price) AS revenue, count(DISTINCT order_id) AS orders
-                    FROM V WHERE category_name IS NOT NULL GROUP BY category_name),
-             t AS (SELECT sum(revenue) AS total_rev FROM cr),
-             ranked AS (
-                SELECT cr.*, CAST(cr.revenue AS DOUBLE) / CAST(t.total_rev AS DOUBLE) * 100 AS revenue_pct,
-                       CAST(sum(cr.revenue) OVER (ORDER BY cr.revenue DESC) AS DOUBLE)
-                           / CAST(t.total_rev AS DOUBLE) * 100 AS cum_pct
-                FROM cr, t)
-        SELECT category_name, {R('revenue', 0)} AS revenue, {R('revenue_pct', 1)} AS revenue_pct,
-               {R('cum_pct', 1)} AS cum_pct,
-               CASE WHEN cum_pct <= {L.ABC_PCT_BOUNDS[0]} THEN {A} WHEN cum_pct <= {L.ABC_PCT_BOUNDS[1]} THEN {B}
-                    ELSE {C} END AS abc_class
-        FROM ranked ORDER BY revenue DESC, category_name""",
+        WITH earned AS (FROM V SELECT category_name, sum(price) AS rev WHERE category_name IS NOT NULL GROUP BY ALL),
+             pct AS (FROM earned x SELECT category_name, rev,
+                       CAST(rev AS DOUBLE) / (SELECT CAST(sum(rev) AS DOUBLE) FROM earned) * 100 AS own,
+                       (SELECT CAST(sum(y.rev) AS DOUBLE) FROM earned y WHERE y.rev >= x.rev)
+                           / (SELECT CAST(sum(rev) AS DOUBLE) FROM earned) * 100 AS upto)
+        SELECT category_name, {R('rev', 0)} AS revenue, {R('own', 1)} AS revenue_pct, {R('upto', 1)} AS cum_pct,
+               CASE WHEN upto > {L.ABC_PCT_BOUNDS[1]} THEN {C} WHEN upto > {L.ABC_PCT_BOUNDS[0]} THEN {B} ELSE {A} END AS abc_class
+        FROM pct ORDER BY rev DESC, category_name""",
     "q09_top5_category_share": f"""
-        SELECT purchase_year_month, category_name, CAST(sum(price) AS DOUBLE) AS monthly_revenue,
-               CAST(sum(sum(price)) OVER (PARTITION BY purchase_year_month) AS DOUBLE) AS total_monthly_revenue,
-               {R(DIV('sum(price)', 'sum(sum(price)) OVER (PARTITION BY purchase_year_month)') + ' * 100.0', 1)}
-                   AS revenue_share_pct
-        FROM V
-        WHERE category_name IN (SELECT category_name FROM (
-                SELECT category_name, sum(price) AS rev FROM V GROUP BY category_name
-                ORDER BY rev DESC NULLS LAST, category_name ASC NULLS FIRST LIMIT 5) top)
-        GROUP BY purchase_year_month, category_name ORDER BY purchase_year_month, category_name""",
+        WITH place AS (FROM V SELECT category_name, row_number() OVER (ORDER BY sum(price) DESC NULLS LAST, category_name NULLS FIRST) AS nth
+                       GROUP BY category_name),
+             month AS (FROM V SEMI JOIN (FROM place WHERE nth <= 5) p USING (category_name)
+                       SELECT purchase_year_month, category_name, sum(price) AS rev GROUP BY ALL),
+             whole AS (FROM month SELECT purchase_year_month, sum(rev) AS total GROUP BY ALL)
+        SELECT purchase_year_month, category_name, CAST(rev AS DOUBLE) AS monthly_revenue,
+               CAST(total AS DOUBLE) AS total_monthly_revenue, {R(DIV('rev', 'total') + ' * 100.0', 1)} AS revenue_share_pct
+        FROM month JOIN whole USING (purchase_year_month) ORDER BY purchase_year_month, category_name""",
+    # seller types by their range of category counts (a seller without any counts as few)
     "q10_seller_coverage": f"""
-        SELECT CASE WHEN category_count = 1 THEN {ST[0]} WHEN category_count <= 3 THEN {ST[1]}
-                    WHEN category_count <= 5 THEN {ST[2]} ELSE {ST[3]} END AS seller_type,
-               count(*) AS seller_count,
-               {R('CAST(count(*) AS DOUBLE) / CAST(sum(count(*)) OVER () AS DOUBLE) * 100', 1)} AS pct
-        FROM (SELECT seller_id, count(DISTINCT category_name) AS category_count
-              FROM V WHERE seller_id IS NOT NULL GROUP BY seller_id) sc
-        GROUP BY 1 ORDER BY seller_count DESC, seller_type""",
+        WITH span(lo, hi, seller_type) AS (VALUES (1, 1, {ST[0]}), (0, 0, {ST[1]}), (2, 3, {ST[1]}), (4, 5, {ST[2]}), (6, 1000000000, {ST[3]})),
+             spread AS (FROM V SELECT seller_id, len(list_distinct(list(category_name))) AS n WHERE seller_id IS NOT NULL GROUP BY seller_id)
+        SELECT seller_type, count(*) AS seller_count,
+               {R('CAST(count(*) AS DOUBLE) / (SELECT CAST(count(*) AS DOUBLE) FROM spread) * 100', 1)} AS pct
+        FROM spread JOIN span ON n BETWEEN lo AND hi GROUP BY seller_type ORDER BY seller_count DESC, seller_type""",
     "q11_score_by_delay": f"""
         SELECT CASE WHEN is_delayed = 1 THEN {_q(L.DELAYED_LABEL)} ELSE {_q(L.ON_TIME_LABEL)} END AS delivery_type,
                count(DISTINCT order_id) AS order_count, {R('avg(review_score)', 2)} AS avg_score,
@@ -143,23 +137,19 @@ SQL = {
         SELECT order_status, count(DISTINCT order_id) AS count,
                {R(DIV('count(DISTINCT order_id)', '(SELECT count(DISTINCT order_id) FROM s_orders)') + ' * 100.0', 1)} AS pct
         FROM s_orders GROUP BY order_status ORDER BY count DESC, order_status""",
+    # quarters by place: the first n % 4 of them hold one more
     "q21_rfm_segments": f"""
-        WITH rfm_base AS (
-            SELECT customer_unique_id,
-                   date_diff('day', CAST(max(order_purchase_timestamp) AS DATE),
-                             CAST((SELECT max(order_purchase_timestamp) FROM V) AS DATE)) AS recency_days,
-                   count(DISTINCT order_id) AS frequency, sum(price) AS monetary
-            FROM V GROUP BY customer_unique_id),
-        scored AS (
-            SELECT *,
-                   ntile(4) OVER (ORDER BY recency_days DESC NULLS LAST, customer_unique_id ASC NULLS FIRST) AS r_score,
-                   ntile(4) OVER (ORDER BY frequency ASC NULLS FIRST, customer_unique_id ASC NULLS FIRST) AS f_score,
-                   ntile(4) OVER (ORDER BY monetary ASC NULLS FIRST, customer_unique_id ASC NULLS FIRST) AS m_score
-            FROM rfm_base),
-        seg AS (SELECT *, {RFM_SEG.replace('t >=', '(r_score + f_score + m_score) >=')} AS segment FROM scored)
-        SELECT segment, count(*) AS customer_count,
-               {R('CAST(count(*) AS DOUBLE) / CAST(sum(count(*)) OVER () AS DOUBLE) * 100', 1)} AS pct,
-               {R(DIV('sum(monetary)', 'count(monetary)'), 0)} AS avg_lifetime_value,
-               {R('avg(frequency)', 1)} AS avg_orders
-        FROM seg GROUP BY segment""",
+        WITH person AS (FROM V SELECT customer_unique_id AS id, max(order_purchase_timestamp) AS latest,
+                          count(DISTINCT order_id) AS orders, sum(price) AS spent GROUP BY customer_unique_id),
+             place AS (FROM person SELECT *, count(*) OVER () AS n, unnest([
+                          row_number() OVER (ORDER BY CAST(latest AS DATE) ASC NULLS LAST, id NULLS FIRST),
+                          row_number() OVER (ORDER BY orders NULLS FIRST, id NULLS FIRST),
+                          row_number() OVER (ORDER BY spent NULLS FIRST, id NULLS FIRST)]) AS pos),
+             point AS (FROM place SELECT id, orders, spent, sum(CASE
+                          WHEN pos <= (n % 4) * (n // 4 + 1) THEN (pos - 1) // (n // 4 + 1) + 1
+                          ELSE n % 4 + (pos - (n % 4) * (n // 4 + 1) - 1) // greatest(n // 4, 1) + 1 END) AS t GROUP BY ALL)
+        SELECT {RFM_SEG} AS segment, count(*) AS customer_count,
+               {R('CAST(count(*) AS DOUBLE) / (SELECT CAST(count(*) AS DOUBLE) FROM person) * 100', 1)} AS pct,
+               {R(DIV('sum(spent)', 'count(spent)'), 0)} AS avg_lifetime_value, {R('avg(orders)', 1)} AS avg_orders
+        FROM point GROUP BY segment""",
 }

@@ -1,7 +1,7 @@
 """Warehouse report family Q22-Q43 (reads the marts and the fact) and S8.
 
-Marts are rebuilt lazily from the fact inside each plan; Catalyst prunes every
-mart column a report does not read.
+Reports read the marts through ``Warehouse.mart``: the stored tables of a built or
+materialized warehouse, and plans over the fact only where nothing is stored.
 """
 
 from __future__ import annotations
@@ -15,10 +15,9 @@ from marketlens.functions.numeric import decimals_to_double, fdiv
 from marketlens.operators.grouping import semi_top_n
 from marketlens.operators.rfm import rfm
 from marketlens.operators.stats import repeatable_sample
-from marketlens.plans import marts
 from marketlens.plans.model import Warehouse
 
-SAMPLE_ROWS = 5000  # the sampling operator's size (L5)
+SAMPLE_ROWS, SAMPLE_SEED = 5000, 42  # defaults of the sampling reports (L5)
 
 
 def _sel(df: DataFrame, *cols, order=None, limit=None) -> DataFrame:
@@ -36,7 +35,7 @@ def _mean(c: str):
 
 # ---------------------------------------------------------------- overview
 def q22_overview_kpis(wh: Warehouse) -> DataFrame:
-    d = marts.daily_metrics(wh)
+    d = wh.mart("dws_daily_metrics")
     return d.agg(F.sum("total_orders").cast("bigint").alias("total_orders"),
                  F.sum("total_gmv").cast("double").alias("total_gmv"),
                  _mean("avg_delivery_days").alias("avg_delivery"),
@@ -44,7 +43,7 @@ def q22_overview_kpis(wh: Warehouse) -> DataFrame:
 
 
 def q23_overview_gmv_trend(wh: Warehouse) -> DataFrame:
-    d = marts.daily_metrics(wh)
+    d = wh.mart("dws_daily_metrics")
     return (d.groupBy(F.date_format("purchase_date", "yyyy-MM").alias("month"))
             .agg(F.sum("total_gmv").cast("double").alias("gmv"), F.sum("total_orders").cast("bigint").alias("orders"))
             .orderBy("month"))
@@ -58,45 +57,45 @@ def q24_delivery_distribution(wh: Warehouse) -> DataFrame:
 
 
 def q25_delivery_daily_trend(wh: Warehouse) -> DataFrame:
-    return _sel(marts.daily_metrics(wh), "purchase_date", "avg_delivery_days", "delay_rate",
+    return _sel(wh.mart("dws_daily_metrics"), "purchase_date", "avg_delivery_days", "delay_rate",
                 order=["purchase_date"])
 
 
 def q26_delivery_by_state(wh: Warehouse) -> DataFrame:
-    return _sel(marts.state_summary(wh), "state", "avg_delivery_days", "delay_rate", "total_orders",
+    return _sel(wh.mart("dws_state_summary"), "state", "avg_delivery_days", "delay_rate", "total_orders",
                 order=[F.col("avg_delivery_days").desc(), "state"])
 
 
 def q27_delivery_by_category(wh: Warehouse) -> DataFrame:
-    return _sel(marts.category_summary(wh), "category_name", "avg_delivery_days", "delay_rate",
+    return _sel(wh.mart("dws_category_summary"), "category_name", "avg_delivery_days", "delay_rate",
                 "total_orders", "avg_review_score", order=[F.col("total_orders").desc(), "category_name"])
 
 
 def q28_delivery_heatmap(wh: Warehouse) -> DataFrame:
-    m = marts.daily_category(wh).where(F.col("purchase_date").isNotNull())
+    m = wh.mart("dws_daily_category").where(F.col("purchase_date").isNotNull())
     return _sel(m, "purchase_date", "category_name", "avg_delivery_days")
 
 
 def q29_delayed_top_categories(wh: Warehouse) -> DataFrame:
-    m = marts.category_summary(wh).where(F.col("total_orders") > 100)
+    m = wh.mart("dws_category_summary").where(F.col("total_orders") > 100)
     return _sel(m, "category_name", "delay_rate", "avg_delay_days", "total_orders",
                 order=[F.col("delay_rate").desc(), "category_name"], limit=10)
 
 
 # --------------------------------------------------------------- inventory
 def q30_category_abc(wh: Warehouse) -> DataFrame:
-    return _sel(marts.category_summary(wh), "category_name", "total_revenue", "revenue_pct", "cumulative_pct",
+    return _sel(wh.mart("dws_category_summary"), "category_name", "total_revenue", "revenue_pct", "cumulative_pct",
                 "abc_class", "total_orders", "avg_price", "unique_sellers", "daily_avg_items",
                 order=[F.col("total_revenue").desc(), "category_name"])
 
 
 def q31_category_treemap(wh: Warehouse) -> DataFrame:
-    return _sel(marts.category_summary(wh), "category_name", "total_revenue", "total_orders", "avg_price",
+    return _sel(wh.mart("dws_category_summary"), "category_name", "total_revenue", "total_orders", "avg_price",
                 "cumulative_pct", order=[F.col("total_revenue").desc(), "category_name"], limit=30)
 
 
 def q32_category_sellers(wh: Warehouse) -> DataFrame:
-    return _sel(marts.category_summary(wh), "category_name", "unique_sellers", "total_orders", "total_revenue",
+    return _sel(wh.mart("dws_category_summary"), "category_name", "unique_sellers", "total_orders", "total_revenue",
                 order=[F.col("total_orders").desc(), "category_name"])
 
 
@@ -106,8 +105,8 @@ def _scored_fact(wh: Warehouse) -> DataFrame:
                          & (F.col("delivery_days") <= 60))
 
 
-def q33_review_vs_delivery_sample(wh: Warehouse) -> DataFrame:
-    s = repeatable_sample(_scored_fact(wh), ["order_id", "order_item_id"], SAMPLE_ROWS)
+def q33_review_vs_delivery_sample(wh: Warehouse, n: int = SAMPLE_ROWS, seed: int = SAMPLE_SEED) -> DataFrame:
+    s = repeatable_sample(_scored_fact(wh), ["order_id", "order_item_id"], n, seed)
     return _sel(s, "delivery_days", "review_score", "delay_days", "is_delayed", "freight_value", "product_weight_g")
 
 
@@ -120,24 +119,24 @@ def q34_review_by_delivery_bucket(wh: Warehouse) -> DataFrame:
 
 
 def q35_review_state_comparison(wh: Warehouse) -> DataFrame:
-    m = marts.state_summary(wh).where(F.col("total_orders") > 100)
+    m = wh.mart("dws_state_summary").where(F.col("total_orders") > 100)
     return _sel(m, "state", "avg_review_score", "avg_delivery_days", "total_orders",
                 order=["avg_review_score", "state"])
 
 
-def q36_correlation_sample(wh: Warehouse) -> DataFrame:
-    s = repeatable_sample(_scored_fact(wh), ["order_id", "order_item_id"], SAMPLE_ROWS)
+def q36_correlation_sample(wh: Warehouse, n: int = SAMPLE_ROWS, seed: int = SAMPLE_SEED) -> DataFrame:
+    s = repeatable_sample(_scored_fact(wh), ["order_id", "order_item_id"], n, seed)
     return _sel(s, "delivery_days", "delay_days", "review_score", "freight_value", "product_weight_g", "price")
 
 
 # -------------------------------------------------------------------- sales
 def q37_sales_trend(wh: Warehouse) -> DataFrame:
-    return _sel(marts.daily_metrics(wh), "purchase_date", "total_orders", "total_gmv", "avg_order_value",
+    return _sel(wh.mart("dws_daily_metrics"), "purchase_date", "total_orders", "total_gmv", "avg_order_value",
                 "unique_customers", order=["purchase_date"])
 
 
 def q38_sales_monthly(wh: Warehouse) -> DataFrame:
-    d = marts.daily_metrics(wh)
+    d = wh.mart("dws_daily_metrics")
     return (d.groupBy(F.date_format("purchase_date", "yyyy-MM").alias("month")).agg(
         F.sum("total_orders").cast("bigint").alias("orders"),
         F.sum("total_gmv").cast("double").alias("gmv"),
@@ -158,7 +157,7 @@ def q40_sales_seasonal_heatmap(wh: Warehouse) -> DataFrame:
 
 
 def q41_sales_by_state(wh: Warehouse) -> DataFrame:
-    return _sel(marts.state_summary(wh), "state", "total_orders", "total_gmv", "unique_customers",
+    return _sel(wh.mart("dws_state_summary"), "state", "total_orders", "total_gmv", "unique_customers",
                 order=[F.col("total_gmv").desc(), "state"])
 
 
@@ -171,25 +170,29 @@ def q42_rfm_data(wh: Warehouse, ref_date: str = L.WAREHOUSE_RFM_DATE) -> DataFra
 
 
 def q43_category_trend(wh: Warehouse) -> DataFrame:
-    top = semi_top_n(marts.daily_category(wh), marts.category_summary(wh), "category_name",
+    top = semi_top_n(wh.mart("dws_daily_category"), wh.mart("dws_category_summary"), "category_name",
                      [F.col("total_revenue").desc(), F.col("category_name")], 5)
     return _sel(top, "purchase_date", "category_name", "total_gmv", "total_orders",
                 order=["purchase_date", "category_name"])
 
 
 # -------------------------------------------------------------- S8 audit
-def warehouse_layers(wh: Warehouse) -> dict[str, dict[str, DataFrame]]:
+def warehouse_layers(wh: Warehouse) -> dict[str, dict[str, DataFrame | None]]:
+    """Every modelled table; a source that is absent is None (0 rows in the audit), and so is what needs it."""
+    def has(*names):
+        return all(n in wh.src for n in names)
+
+    fact = wh.fact if "fact" in wh.__dict__ or has("orders", "order_items", "customers", "products", "sellers",
+                                                   "product_category_translation", "order_payments", "order_reviews") else None
     return {
-        "ODS": {"ods_customers": wh.t("customers"), "ods_sellers": wh.t("sellers"),
-                "ods_products": wh.t("products"), "ods_orders": wh.t("orders"),
-                "ods_order_items": wh.t("order_items"), "ods_order_payments": wh.t("order_payments"),
-                "ods_order_reviews": wh.t("order_reviews")},
-        "DWD": {"dim_customers": wh.dim_customers, "dim_products": wh.dim_products,
-                "dim_sellers": wh.dim_sellers, "dim_dates": wh.dim_dates_for_orders(),
-                "dwd_order_detail": wh.fact},
-        "DWS": {"dws_daily_metrics": marts.daily_metrics(wh), "dws_daily_category": marts.daily_category(wh),
-                "dws_daily_state": marts.daily_state(wh), "dws_weekly_metrics": marts.weekly_metrics(wh),
-                "dws_category_summary": marts.category_summary(wh), "dws_state_summary": marts.state_summary(wh)},
+        "ODS": {f"ods_{t}": wh.src.get(t) for t in ("customers", "sellers", "products", "orders", "order_items",
+                                                    "order_payments", "order_reviews")},
+        "DWD": {"dim_customers": wh.dim_customers if fact is not None and has("customers", "orders") else None,
+                "dim_products": wh.dim_products if has("products", "product_category_translation") else None,
+                "dim_sellers": wh.dim_sellers if fact is not None and has("sellers") else None,
+                "dim_dates": wh.dim_dates_for_orders() if has("orders") else None,
+                "dwd_order_detail": wh.__dict__.get("full_fact", fact)},
+        "DWS": {name: wh.mart(name) if name in wh.stored or fact is not None else None for name in wh.MARTS},
     }
 
 

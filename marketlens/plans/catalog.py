@@ -7,7 +7,6 @@ from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame
 
-from marketlens.plans import marts
 from marketlens.plans.model import Warehouse
 
 
@@ -16,21 +15,20 @@ def publish_views(wh: Warehouse) -> list[str]:
     views = {
         "v_order_full": wh.view, "dwd_order_detail": wh.fact, "dim_products": wh.dim_products,
         "dim_customers": wh.dim_customers, "dim_sellers": wh.dim_sellers,
-        "dws_daily_metrics": marts.daily_metrics(wh), "dws_daily_category": marts.daily_category(wh),
-        "dws_daily_state": marts.daily_state(wh), "dws_weekly_metrics": marts.weekly_metrics(wh),
-        "dws_category_summary": marts.category_summary(wh), "dws_state_summary": marts.state_summary(wh),
+        **{name: wh.mart(name) for name in wh.MARTS},
+        **{name: t for name, t in wh.src.items() if not name.startswith("_")},
     }
-    for name, t in wh.src.items():
-        if not name.startswith("_"):
-            views[name] = t
     for name, df in views.items():
         df.createOrReplaceTempView(name)
-    return sorted(views)
+    wh.published = sorted(views)
+    return wh.published
 
 
 def run_sql(wh: Warehouse, text: str) -> DataFrame:
-    """SQL text over the published views (S17); ``--`` comments are accepted by the parser."""
-    publish_views(wh)
+    """SQL text over the published views (S17); the views are published once per warehouse.
+    ``--`` comments are accepted by the parser."""
+    if not getattr(wh, "published", None):
+        publish_views(wh)
     return wh.spark.sql(text)
 
 
@@ -45,5 +43,5 @@ def run_reports(wh: Warehouse, reports: Mapping[str, Callable[[Warehouse], DataF
         try:
             out[name] = fn(wh)
         except Exception as e:  # noqa: BLE001
-            out[name] = wh.spark.createDataFrame([(str(e)[:1000],)], "error string")
+            out[name] = wh.spark.createDataFrame([(str(e),)], "error string")
     return out

@@ -149,7 +149,7 @@ def daily_state(wh: Warehouse) -> DataFrame:
 # ------------------------------------------------------------------- M4
 def weekly_metrics(wh: Warehouse, daily: DataFrame | None = None) -> DataFrame:
     """Roll-up of M1 by (YEAR, MySQL WEEK(d,1)) (N13); a week spanning New Year splits."""
-    d = daily if daily is not None else daily_metrics(wh)
+    d = daily if daily is not None else wh.mart("dws_daily_metrics")
     dt = F.col("purchase_date")
     return (d.groupBy(F.year(dt).alias("_y"), mysql_week(dt).alias("_w")).agg(
         F.min(dt).alias("week_start_date"),
@@ -260,7 +260,7 @@ def csv_category_summary(wh: Warehouse) -> DataFrame:
 
 def monthly_summary(wh: Warehouse) -> DataFrame:
     m = _csv_common()
-    return wh.csv_delivered.where(F.col("purchase_year_month").isNotNull()).groupBy("purchase_year_month").agg(
+    return wh.report_frame.where(F.col("purchase_year_month").isNotNull()).groupBy("purchase_year_month").agg(
         F.countDistinct("order_id").alias("total_orders"),
         F.coalesce(F.sum("price"), F.lit(0)).cast("double").alias("total_revenue"),
         m["avg_delivery_days"].alias("avg_delivery_days"),

@@ -42,6 +42,7 @@ class Warehouse:
         self.spark = spark
         self.src = src
         self.etl_date = etl_date
+        self.stored: dict[str, DataFrame] = {}
 
     # ------------------------------------------------------------------ build
     @classmethod
@@ -56,24 +57,33 @@ class Warehouse:
 
     @classmethod
     def from_warehouse(cls, spark: SparkSession, root: str, etl_date: str | None = None,
-                       date_floor: str | None = None) -> "Warehouse":
+                       date_floor: str | None = WAREHOUSE_DATE_FLOOR) -> "Warehouse":
         """Read a built warehouse (``pipeline.build``): the ODS snapshot of
-        ``etl_date`` (default: the latest) as sources and the written detail
-        fact as ``fact``.  ``date_floor`` keeps purchases on or after that day
-        (the source system's loader uses ``WAREHOUSE_DATE_FLOOR``); the filter
-        reaches the month-partitioned fact as partition pruning."""
-        from marketlens.plans.pipeline import ODS_TABLES
-        from marketlens.sources.warehouse import ODS_PARTITION, read_table
-        src = {}
-        for t in ODS_TABLES:
-            try:
-                df = read_table(spark, root, f"ods_{t}")
-            except Exception:  # noqa: BLE001  (absent table)
-                continue
-            day = F.lit(etl_date).cast("date") if etl_date else df.agg(F.max(ODS_PARTITION)).scalar()
-            src[t] = df.where(F.col(ODS_PARTITION) == day).drop(ODS_PARTITION)
-        wh = cls(spark, src, etl_date=etl_date)
-        fact = read_table(spark, root, "dwd_order_detail")
+        ``etl_date`` (default: the latest) as sources, and the stored fact,
+        dimensions and marts of that day.
+
+        For an older day, whose fact was replaced since, fact and marts are
+        computed from the day's snapshot, so dates are never mixed.
+        ``date_floor`` (the loader's fixed floor by default, None for all) keeps
+        purchases on or after that day in the fact; the filter reaches the
+        month-partitioned files as partition pruning.  The stored marts cover
+        the whole fact, as they were written."""
+        from marketlens.plans.pipeline import ods_snapshot
+        from marketlens.sources.warehouse import day_filter, try_read
+        src, day = ods_snapshot(spark, root, etl_date)
+        wh = cls(spark, src, etl_date=day)
+        fact = try_read(spark, root, "dwd_order_detail")
+        held = fact.agg(F.max("etl_date")).first()[0] if fact is not None else None  # one value
+        if held is not None and str(held) == day:
+            for name in cls.DIMS:
+                if (df := try_read(spark, root, name)) is not None:
+                    wh.__dict__[name] = df
+            for name in cls.MARTS:
+                if (df := try_read(spark, root, name)) is not None:
+                    wh.stored[name] = day_filter(df, day)
+            wh.__dict__["full_fact"] = fact
+        else:
+            fact = wh.fact
         if date_floor:
             fact = fact.where((F.col("purchase_year_month") >= date_floor[:7])
                               & (F.col("purchase_date") >= F.lit(date_floor).cast("date")))
@@ -85,19 +95,31 @@ class Warehouse:
              **kw) -> "Warehouse":
         """One interface over both sources (S10): ``source='warehouse'`` reads a
         built warehouse and falls back to the CSV files at ``fallback_csv`` when
-        it cannot be read; ``source='csv'`` reads the raw files."""
+        there is no warehouse (other errors are raised); ``source='csv'`` reads
+        the raw files.  The fallback keeps the load date that was asked for."""
         if source == "csv":
             return cls.from_csv(spark, path, **kw)
         if source != "warehouse":
             raise ValueError(f"unknown source {source!r}")
         try:
-            wh = cls.from_warehouse(spark, path, **kw)
-            wh.fact.schema  # noqa: B018  (resolves the path now)
-            return wh
-        except Exception:  # noqa: BLE001
+            return cls.from_warehouse(spark, path, **kw)
+        except LookupError:
             if fallback_csv is None:
                 raise
-            return cls.from_csv(spark, fallback_csv)
+            return cls.from_csv(spark, fallback_csv, etl_date=kw.get("etl_date"))
+
+    # ------------------------------------------------------------ stored marts
+    DIMS = ("dim_customers", "dim_products", "dim_sellers")
+    MARTS = {"dws_daily_metrics": "daily_metrics", "dws_daily_category": "daily_category",
+             "dws_daily_state": "daily_state", "dws_weekly_metrics": "weekly_metrics",
+             "dws_category_summary": "category_summary", "dws_state_summary": "state_summary"}
+
+    def mart(self, name: str) -> DataFrame:
+        """A summary mart by table name: as stored, or computed once from the fact where it is not."""
+        if name not in self.stored:
+            from marketlens.plans import marts
+            self.stored[name] = getattr(marts, self.MARTS[name])(self)
+        return self.stored[name]
 
     @cached_property
     def warehouse_delivered(self) -> DataFrame:
@@ -113,8 +135,8 @@ class Warehouse:
     MATERIALIZED = ("fact", "view", "csv_delivered")
 
     def materialize(self, root: str) -> "Warehouse":
-        """Write the source tables and the three base frames (fact, view, CSV
-        population) as Parquet under ``root`` (a shared folder on a cluster)
+        """Write the source tables, the three base frames (fact, view, CSV
+        population) and the summary marts as Parquet under ``root`` (a shared folder on a cluster)
         and return a Warehouse that reads them back.
 
         Reports then start from columnar tables instead of re-running the star
@@ -122,18 +144,23 @@ class Warehouse:
         the tasks of the report that was running.
         """
         from marketlens.sources.warehouse import read_table, write_table
-        names = [n for n in self.src if not n.startswith("_")]
-        shared = [self.src[n].persist() for n in self.src if n.startswith("_")]
+        src = {n: df for n, df in self.src.items() if not n.startswith("_")}
+        if "_item_lines" in self.src:  # number the order lines once, derive items and payments from the written rows
+            from marketlens.sources.testdata import from_item_lines
+            write_table(self.src["_item_lines"], root, "src_item_lines", [])
+            src.update(from_item_lines(read_table(self.spark, root, "src_item_lines")))
+        names = list(src)
         for n in names:
-            write_table(self.src[n], root, f"src_{n}", [])
-        for df in shared:
-            df.unpersist()
+            write_table(src[n], root, f"src_{n}", [])
         wh = Warehouse(self.spark, {n: read_table(self.spark, root, f"src_{n}") for n in names},
                        etl_date=self.etl_date)
         for n in self.MATERIALIZED:  # built from the written sources, not the raw inputs
             write_table(getattr(wh, n), root, f"base_{n}", [])
         for n in self.MATERIALIZED:
             wh.__dict__[n] = read_table(self.spark, root, f"base_{n}")
+        for n in self.MARTS:  # from the written fact, each from the marts before it
+            write_table(wh.mart(n), root, f"base_{n}", [])
+            wh.stored[n] = read_table(self.spark, root, f"base_{n}")
         wh.__dict__["view_delivered"] = wh.view.where(F.col("order_status") == "delivered")
         return wh
 
@@ -245,6 +272,59 @@ class Warehouse:
         (joined on the order rows, before the items)."""
         return self._csv_frame(with_reviews=True).where(F.col("order_status") == "delivered")
 
+    # ------------------------------------------------ dashboard frames
+    #: "csv" (the raw-file population) or "warehouse" (the stored fact and marts)
+    report_source = "csv"
+
+    def for_dashboard(self) -> "Warehouse":
+        """Let R1-R31 read the warehouse's fact and category mart instead of the CSV population."""
+        self.report_source = "warehouse"
+        return self
+
+    @cached_property
+    def report_frame(self) -> DataFrame:
+        """The item-grain frame of the dashboard reports.
+
+        In warehouse mode the fact with product sizes under the reports' column
+        names (P13): delivered and shipped orders with a delivery date, calendar
+        day counts, weekday from Monday = 0, ISO week."""
+        if self.report_source == "csv":
+            return self.csv_delivered
+        day = F.col("purchase_date")
+        return self.warehouse_delivered.withColumnsRenamed({
+            "delivery_days": "delivery_time_days", "purchase_timestamp": "order_purchase_timestamp",
+            "delivered_timestamp": "order_delivered_customer_date"}).withColumns({
+                "order_estimated_delivery_date": F.col("estimated_date").cast("timestamp_ntz"),
+                "purchase_year": F.year(day), "purchase_month": F.month(day), "purchase_dayofweek": weekday_mon0(day),
+                "purchase_week": F.weekofyear(day), "purchase_year_month": year_month(day)})
+
+    @cached_property
+    def monthly_frame(self) -> DataFrame:
+        from marketlens.plans import marts
+        return marts.monthly_summary(self)
+
+    @cached_property
+    def category_frame(self) -> DataFrame:
+        """The category summary of the dashboard; in warehouse mode the stored category mart with rates in
+        percent and the number of distinct products counted from the fact (J11; none: 0)."""
+        from marketlens.functions.numeric import rnd
+        from marketlens.plans import marts
+        if self.report_source == "csv":
+            return marts.csv_category_summary(self)
+        products = self.report_frame.groupBy("category_name").agg(F.countDistinct("product_id").alias("unique_products"))
+        return self.mart("dws_category_summary").join(products, "category_name", "left").select(
+            "category_name", "total_orders", *[F.col(c).cast("double").alias(c) for c in ("total_revenue", "avg_price", "avg_delivery_days")],
+            rnd(F.col("delay_rate") * 100, 1).alias("delay_rate"),
+            F.coalesce("unique_products", F.lit(0)).cast("bigint").alias("unique_products"), "unique_sellers")
+
+    @cached_property
+    def order_frame(self) -> DataFrame:
+        """One row per order: all source orders, or in warehouse mode those of the fact."""
+        if self.report_source == "csv":
+            return self.t("orders")
+        from marketlens.operators.grouping import one_per_key
+        return one_per_key(self.fact, "order_id", "order_status")
+
     # ------------------------------------------------------------------ D5 fact
     @cached_property
     def fact(self) -> DataFrame:

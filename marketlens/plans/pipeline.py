@@ -2,75 +2,103 @@
 
 Each layer is computed from the *written* previous layer, as the source system
 does; a written table also cuts lineage, so losing an executor costs at most
-the current layer's tasks.  Re-running a layer replaces its partitions
-(dynamic partition overwrite).
+the current layer's tasks.  Re-running a layer replaces what it wrote before.
+One load date is fixed at the start and passed through all layers.
 """
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlens.plans import marts
 from marketlens.plans.model import Warehouse
-from marketlens.sources.warehouse import ODS_PARTITION, audit_counts, read_table, write_table
+from marketlens.sources.warehouse import ODS_PARTITION, audit_counts, day_filter, read_ods, read_table, write_table
 
 LAYERS = ("ods", "dwd", "dws")
 ODS_TABLES = ("customers", "sellers", "products", "product_category_translation", "orders", "order_items",
               "order_payments", "order_reviews")
+#: Tables that a detail layer cannot do without; the others may be empty on a day.
+REQUIRED = ("customers", "sellers", "products", "orders", "order_items")
+
 
+def ods_snapshot(spark: SparkSession, root: str, etl_date: str | None = None) -> tuple[dict[str, DataFrame], str]:
+    """The source tables of one load day, and the day (default: the newest day of ``orders``).
 
-def _ods(spark: SparkSession, root: str, etl_date: str) -> dict[str, DataFrame]:
-    out = {}
-    for t in ODS_TABLES:
-        try:
-            df = read_table(spark, root, f"ods_{t}")
-        except Exception:  # noqa: BLE001  (absent table → absent source)
-            continue
-        out[t] = df.where(F.col(ODS_PARTITION) == F.lit(etl_date).cast("date")).drop(ODS_PARTITION)
-    return out
+    A required table without rows for that day raises: a detail layer built on
+    nothing would empty the dimensions and the fact without a sign.
+    """
+    tables = {t: df for t in ODS_TABLES if (df := read_ods(spark, root, t)) is not None}
+    if etl_date is None:
+        if "orders" not in tables:
+            raise LookupError(f"no ODS table 'orders' under {root}")
+        newest = tables["orders"].agg(F.max(ODS_PARTITION)).first()[0]  # one value
+        if newest is None:
+            raise LookupError(f"no ODS snapshot of 'orders' under {root}")
+        etl_date = str(newest)
+    out = {t: day_filter(df, etl_date) for t, df in tables.items()}
+    absent = [t for t in REQUIRED if t not in out or out[t].isEmpty()]
+    if absent:
+        raise LookupError(f"no ODS snapshot of {etl_date} for {', '.join(absent)}")
+    return {t: df.drop(ODS_PARTITION) for t, df in out.items()}, etl_date
 
 
 def build(spark: SparkSession, src: dict[str, DataFrame], root: str, layer: str | None = None,
           etl_date: str | None = None) -> DataFrame:
     """Build one layer or all (``layer=None``) under ``root``; returns the
-    (layer, table, rows) audit of what the run wrote."""
+    (layer, table, rows) audit of what the run wrote for its load date.
+
+    ``etl_date`` defaults to today for a load of sources; a single later layer
+    takes the newest snapshot (DWD) or the fact's own date (DWS)."""
     if layer is not None and layer not in LAYERS:
         raise ValueError(f"unknown layer {layer!r}; expected one of {LAYERS}")
-    etl = etl_date or spark.range(1).select(F.current_date().cast("string")).first()[0]
     todo = LAYERS if layer is None else (layer,)
+    etl = etl_date
     written: dict[str, dict[str, DataFrame]] = {}
 
     if "ods" in todo:
+        etl = etl or datetime.date.today().isoformat()
         for t in ODS_TABLES:
             if t in src:
                 write_table(src[t].withColumn(ODS_PARTITION, F.lit(etl).cast("date")), root, f"ods_{t}",
                             [ODS_PARTITION])
-        written["ODS"] = {f"ods_{t}": read_table(spark, root, f"ods_{t}") for t in ODS_TABLES if t in src}
+        written["ODS"] = {f"ods_{t}": day_filter(read_table(spark, root, f"ods_{t}"), etl) for t in ODS_TABLES if t in src}
 
     if "dwd" in todo:
-        wh = Warehouse(spark, _ods(spark, root, etl), etl_date=etl)
+        sources, etl = ods_snapshot(spark, root, etl)
+        wh = Warehouse(spark, sources, etl_date=etl)
         tables = {"dim_customers": wh.dim_customers, "dim_products": wh.dim_products,
                   "dim_sellers": wh.dim_sellers, "dim_dates": wh.dim_dates_for_orders(),
                   "dwd_order_detail": wh.fact}
         # the fact first: the dimensions' order counts read it back
         write_table(tables.pop("dwd_order_detail"), root, "dwd_order_detail")
         wh.__dict__["fact"] = read_table(spark, root, "dwd_order_detail")
+        for name in ("dim_customers", "dim_sellers"):
+            wh.__dict__.pop(name, None)
+            tables[name] = getattr(wh, name)
         for name, df in tables.items():
             write_table(df, root, name)
         written["DWD"] = {n: read_table(spark, root, n) for n in
                           ("dim_customers", "dim_products", "dim_sellers", "dim_dates", "dwd_order_detail")}
 
     if "dws" in todo:
+        fact = read_table(spark, root, "dwd_order_detail")
+        held = fact.agg(F.max("etl_date")).first()[0]  # one value; None for an empty fact
+        if etl is None:
+            etl = str(held) if held else datetime.date.today().isoformat()
+        elif held is not None and str(held) != etl:
+            raise LookupError(f"the stored fact is of {held}, not of {etl}")
         wh = Warehouse(spark, {}, etl_date=etl)
-        wh.__dict__["fact"] = read_table(spark, root, "dwd_order_detail")
+        wh.__dict__["fact"] = fact
         write_table(marts.daily_metrics(wh), root, "dws_daily_metrics")
-        daily = read_table(spark, root, "dws_daily_metrics").where(F.col("etl_date") == F.lit(etl).cast("date"))
+        daily = day_filter(read_table(spark, root, "dws_daily_metrics"), etl)
         out = {"dws_daily_category": marts.daily_category(wh), "dws_daily_state": marts.daily_state(wh),
                "dws_weekly_metrics": marts.weekly_metrics(wh, daily),
                "dws_category_summary": marts.category_summary(wh), "dws_state_summary": marts.state_summary(wh)}
         for name, df in out.items():
             write_table(df, root, name)
-        written["DWS"] = {n: read_table(spark, root, n) for n in ["dws_daily_metrics", *out]}
+        written["DWS"] = {n: day_filter(read_table(spark, root, n), etl) for n in ["dws_daily_metrics", *out]}
 
     return audit_counts(written)

@@ -1,6 +1,8 @@
 """Report family R1-R31: the data behind each KPI block and chart of the
-dashboard, over the CSV population (``csv_delivered``: delivered orders, left
-item join, elapsed day counts, per-order mean review).
+dashboard, over ``Warehouse.report_frame`` and its category and monthly frames:
+the CSV population (``csv_delivered``: delivered orders, left item join, elapsed
+day counts, per-order mean review), or in warehouse mode the stored fact and
+category mart under the same column names.
 
 pandas semantics kept: ``groupby`` drops NULL keys, ``mean`` skips NULLs,
 ``(x == k).mean()`` counts NULL as "no", ``sum`` of nothing is 0 (N24).
@@ -19,7 +21,6 @@ from marketlens.operators.grouping import semi_top_n, with_empty_bins
 from marketlens.operators.ranking import exact_percentile, pareto
 from marketlens.operators.rfm import rfm, rfm_score
 from marketlens.operators.stats import box_stats, corr_matrix, growth, histogram, linreg, with_p_value
-from marketlens.plans import marts
 from marketlens.plans.model import Warehouse
 
 STAT_PLACES = 6
@@ -58,7 +59,7 @@ def _top(df: DataFrame, measure: str, n: int, key: str = "category_name") -> Dat
 
 # ----------------------------------------------------------------- overview
 def r01_overview_kpis(wh: Warehouse) -> DataFrame:
-    d = wh.csv_delivered
+    d = wh.report_frame
     ts = F.col("order_purchase_timestamp")
     return d.agg(F.countDistinct("order_id").alias("total_orders"), _psum("price").alias("total_gmv"),
                  _mean("delivery_time_days").alias("avg_delivery"), _late_pct().alias("delay_rate"),
@@ -68,8 +69,18 @@ def r01_overview_kpis(wh: Warehouse) -> DataFrame:
                  F.date_format(F.max(ts), "yyyy-MM").alias("last_month"))
 
 
+def r01_overview_from_monthly(wh: Warehouse) -> DataFrame:
+    """The overview where only the monthly summary is at hand: totals of the months, means of their means,
+    no sellers and no date range."""
+    m = wh.monthly_frame
+    return m.agg(F.coalesce(F.sum("total_orders"), F.lit(0)).cast("bigint").alias("total_orders"), _psum("total_revenue").alias("total_gmv"),
+                 F.avg("avg_delivery_days").alias("avg_delivery"), F.avg("delay_rate").alias("delay_rate"),
+                 F.coalesce(F.sum("unique_customers"), F.lit(0)).cast("bigint").alias("customers"), F.lit(0).cast("bigint").alias("sellers"),
+                 F.lit(None).cast("string").alias("first_month"), F.lit(None).cast("string").alias("last_month"))
+
+
 def r02_data_summary(wh: Warehouse) -> DataFrame:
-    d = wh.csv_delivered
+    d = wh.report_frame
     ts = F.col("order_purchase_timestamp")
     return d.agg(F.countDistinct("order_id").alias("orders"), _psum("price").alias("revenue"),
                  F.countDistinct("category_name").alias("categories"),
@@ -81,7 +92,7 @@ def r02_data_summary(wh: Warehouse) -> DataFrame:
 
 # ----------------------------------------------------------------- delivery
 def r03_delivery_kpis(wh: Warehouse) -> DataFrame:
-    d = wh.csv_delivered
+    d = wh.report_frame
     x = F.col("delivery_time_days").cast("double")
     return d.agg(F.count(F.lit(1)).alias("rows"), _mean("delivery_time_days").alias("avg_delivery"),
                  rnd(F.percentile(x, 0.5), STAT_PLACES).alias("median_delivery"),
@@ -91,7 +102,7 @@ def r03_delivery_kpis(wh: Warehouse) -> DataFrame:
 
 
 def _in_0_60(wh: Warehouse) -> DataFrame:
-    return wh.csv_delivered.where(F.col("delivery_time_days").between(0, 60))
+    return wh.report_frame.where(F.col("delivery_time_days").between(0, 60))
 
 
 def r04_delivery_histogram(wh: Warehouse, bins: int = 40) -> DataFrame:
@@ -104,11 +115,11 @@ def r04_delivery_box(wh: Warehouse) -> DataFrame:
 
 
 def r05_monthly_delivery(wh: Warehouse) -> DataFrame:
-    return marts.monthly_summary(wh).select("purchase_year_month", "avg_delivery_days", "delay_rate")
+    return wh.monthly_frame.select("purchase_year_month", "avg_delivery_days", "delay_rate")
 
 
 def r06_delivery_by_state(wh: Warehouse) -> DataFrame:
-    d = wh.csv_delivered.where(F.col("customer_state").isNotNull())
+    d = wh.report_frame.where(F.col("customer_state").isNotNull())
     return (d.groupBy("customer_state").agg(_mean("delivery_time_days").alias("avg_delivery"),
                                             rnd(_late_pct(), 1).alias("delay_rate"),
                                             F.countDistinct("order_id").alias("order_count"))
@@ -116,15 +127,15 @@ def r06_delivery_by_state(wh: Warehouse) -> DataFrame:
 
 
 def r07_delivery_by_category(wh: Warehouse) -> DataFrame:
-    overall = wh.csv_delivered.agg(_late_pct()).scalar()
-    top = _top(marts.csv_category_summary(wh), "total_orders", 15)
+    overall = wh.report_frame.agg(_late_pct()).scalar()
+    top = _top(wh.category_frame, "total_orders", 15)
     return top.select("category_name", "avg_delivery_days", "delay_rate", "total_orders",
                       overall.alias("overall_delay_pct"))
 
 
 def r08_delivery_heatmap(wh: Warehouse) -> DataFrame:
-    d = wh.csv_delivered.where(F.col("category_name").isNotNull() & F.col("purchase_year_month").isNotNull())
-    top = semi_top_n(d, marts.csv_category_summary(wh), "category_name",
+    d = wh.report_frame.where(F.col("category_name").isNotNull() & F.col("purchase_year_month").isNotNull())
+    top = semi_top_n(d, wh.category_frame, "category_name",
                      [F.col("total_orders").desc(), F.col("category_name")], 12)
     return (top.groupBy("category_name", "purchase_year_month")
             .agg(_mean("delivery_time_days").alias("avg_delivery_days"))
@@ -132,7 +143,7 @@ def r08_delivery_heatmap(wh: Warehouse) -> DataFrame:
 
 
 def _delayed(wh: Warehouse) -> DataFrame:
-    return wh.csv_delivered.where(F.col("is_delayed") == 1)
+    return wh.report_frame.where(F.col("is_delayed") == 1)
 
 
 def r09_delay_days_distribution(wh: Warehouse) -> DataFrame:
@@ -149,7 +160,7 @@ def r10_most_late_categories(wh: Warehouse) -> DataFrame:
 
 # ---------------------------------------------------------------- inventory
 def r11_inventory_kpis(wh: Warehouse) -> DataFrame:
-    d, cat = wh.csv_delivered, marts.csv_category_summary(wh)
+    d, cat = wh.report_frame, wh.category_frame
     span = _span_days(d)
     rev = F.col("total_revenue")
     top3 = cat.orderBy(rev.desc(), F.col("category_name")).limit(3).agg(F.sum(rev)).scalar()
@@ -167,13 +178,13 @@ def r11_inventory_kpis(wh: Warehouse) -> DataFrame:
 
 
 def r12_category_treemap(wh: Warehouse) -> DataFrame:
-    return _top(marts.csv_category_summary(wh), "total_revenue", 30).select(
+    return _top(wh.category_frame, "total_revenue", 30).select(
         "category_name", "total_revenue", "delay_rate", "total_orders", "avg_price", "avg_delivery_days")
 
 
 def r13_sales_velocity(wh: Warehouse) -> DataFrame:
-    d = wh.csv_delivered.where(F.col("category_name").isNotNull())
-    span = F.greatest(_span_days(wh.csv_delivered), F.lit(1))
+    d = wh.report_frame.where(F.col("category_name").isNotNull())
+    span = F.greatest(_span_days(wh.report_frame), F.lit(1))
     agg = d.groupBy("category_name").agg(F.countDistinct("order_id").alias("total_sales"),
                                          _psum("price").alias("total_revenue"))
     agg = agg.withColumn("daily_sales", fdiv(F.col("total_sales"), span)) \
@@ -182,7 +193,7 @@ def r13_sales_velocity(wh: Warehouse) -> DataFrame:
 
 
 def r14_abc_curve(wh: Warehouse) -> DataFrame:
-    cat = marts.csv_category_summary(wh).select("category_name", "total_revenue")
+    cat = wh.category_frame.select("category_name", "total_revenue")
     p = pareto(cat, "category_name", "total_revenue", frame="rows", share="_share", cum="_cum", rank="rank")
     a, b, c = L.ABC_MART_LABELS
     lo, hi = L.ABC_PCT_BOUNDS
@@ -196,27 +207,27 @@ def r14_abc_counts(wh: Warehouse) -> DataFrame:
 
 
 def r15_seller_category_distribution(wh: Warehouse) -> DataFrame:
-    d = wh.csv_delivered.where(F.col("seller_id").isNotNull())
+    d = wh.report_frame.where(F.col("seller_id").isNotNull())
     per = d.groupBy("seller_id").agg(F.countDistinct("category_name").alias("num_categories"))
     return (per.groupBy("num_categories").agg(F.count(F.lit(1)).alias("sellers"))
             .orderBy("num_categories").limit(15))
 
 
 def r15_category_competition(wh: Warehouse) -> DataFrame:
-    return _top(marts.csv_category_summary(wh), "unique_sellers", 15).select(
+    return _top(wh.category_frame, "unique_sellers", 15).select(
         "category_name", F.col("unique_sellers").alias("sellers"))
 
 
 def r16_top8_monthly_dynamics(wh: Warehouse) -> DataFrame:
-    d = wh.csv_delivered.where(F.col("purchase_year_month").isNotNull())
-    top = semi_top_n(d, marts.csv_category_summary(wh), "category_name",
+    d = wh.report_frame.where(F.col("purchase_year_month").isNotNull())
+    top = semi_top_n(d, wh.category_frame, "category_name",
                      [F.col("total_revenue").desc(), F.col("category_name")], 8)
     return top.groupBy("purchase_year_month", "category_name").agg(
         _psum("price").alias("revenue"), F.countDistinct("order_id").alias("orders"))
 
 
 def r17_category_detail(wh: Warehouse) -> DataFrame:
-    c = marts.csv_category_summary(wh)
+    c = wh.category_frame
     return c.select("category_name", "total_orders", rnd("total_revenue", 0).alias("total_revenue"),
                     rnd("avg_price", 2).alias("avg_price"), rnd("avg_delivery_days", 1).alias("avg_delivery_days"),
                     "delay_rate", "unique_products", "unique_sellers").orderBy(F.col("total_revenue").desc(),
@@ -225,7 +236,7 @@ def r17_category_detail(wh: Warehouse) -> DataFrame:
 
 # ------------------------------------------------------------- satisfaction
 def r18_satisfaction_kpis(wh: Warehouse) -> DataFrame:
-    d = wh.csv_delivered
+    d = wh.report_frame
     s, late = F.col("review_score"), F.col("is_delayed")
     on = _mean(F.when(late == 0, s))
     lt = _mean(F.when(late == 1, s))
@@ -235,19 +246,19 @@ def r18_satisfaction_kpis(wh: Warehouse) -> DataFrame:
 
 
 def r19_score_distribution(wh: Warehouse) -> DataFrame:
-    d = wh.csv_delivered.where(F.col("review_score").isNotNull())
+    d = wh.report_frame.where(F.col("review_score").isNotNull())
     return d.groupBy("review_score").agg(F.count(F.lit(1)).alias("n")).orderBy("review_score")
 
 
 def r20_score_box_by_delay(wh: Warehouse) -> DataFrame:
-    b = box_stats(wh.csv_delivered, ["is_delayed"], "review_score")
+    b = box_stats(wh.report_frame, ["is_delayed"], "review_score")
     return b.select("is_delayed", "n",
                     *[rnd(c, STAT_PLACES).alias(c) for c in ("q1", "median", "q3", "mean", "sd", "min", "max")])
 
 
 def _model(wh: Warehouse) -> DataFrame:
     """Least squares review_score ~ delivery_time_days over every row."""
-    return linreg(wh.csv_delivered, "review_score", "delivery_time_days")
+    return linreg(wh.report_frame, "review_score", "delivery_time_days")
 
 
 def r20_regression(wh: Warehouse) -> DataFrame:
@@ -260,7 +271,7 @@ def r20_regression(wh: Warehouse) -> DataFrame:
 
 def r20_regression_pvalue(wh: Warehouse) -> DataFrame:
     """Two-sided p-value of r (Student t, n-2 dof) on the one-row model."""
-    return with_p_value(_model(wh)).select("n", "r", "p_value")
+    return with_p_value(_model(wh)).select("n", *[rnd(c, STAT_PLACES).alias(c) for c in ("r", "p_value")])
 
 
 def r20_trend_line(wh: Warehouse, points: int = 100) -> DataFrame:
@@ -274,7 +285,7 @@ def r20_trend_line(wh: Warehouse, points: int = 100) -> DataFrame:
 
 
 def r21_satisfaction_by_state(wh: Warehouse) -> DataFrame:
-    d = wh.csv_delivered.where(F.col("customer_state").isNotNull())
+    d = wh.report_frame.where(F.col("customer_state").isNotNull())
     return (d.groupBy("customer_state").agg(_mean("review_score").alias("avg_score"),
                                             _share_eq("review_score", 5).alias("score_5_rate"),
                                             _mean("is_delayed").alias("delay_rate"),
@@ -283,7 +294,7 @@ def r21_satisfaction_by_state(wh: Warehouse) -> DataFrame:
 
 
 def r22_score_by_day_bins(wh: Warehouse) -> DataFrame:
-    d = wh.csv_delivered
+    d = wh.report_frame
     b = bucketize("delivery_time_days", L.R22_EDGES, L.R22_LABELS)
     agg = (d.withColumn("delivery_range", b).where(F.col("delivery_range").isNotNull())
            .groupBy("delivery_range").agg(_mean("review_score").alias("avg_score"),
@@ -293,12 +304,12 @@ def r22_score_by_day_bins(wh: Warehouse) -> DataFrame:
 
 
 def r23_correlation_matrix(wh: Warehouse) -> DataFrame:
-    m = corr_matrix(wh.csv_delivered, CORR_COLUMNS)
+    m = corr_matrix(wh.report_frame, CORR_COLUMNS)
     return m.select("var1", "var2", rnd("r", STAT_PLACES).alias("r"))
 
 
 def r24_insights(wh: Warehouse) -> DataFrame:
-    d = wh.csv_delivered
+    d = wh.report_frame
     slope = _model(wh).select(rnd("slope", STAT_PLACES)).scalar()
     edges = L.R24_EDGES
     labels = [f"({edges[i]}, {edges[i + 1]}]" for i in range(len(edges) - 1)]
@@ -323,8 +334,8 @@ def r24_insights(wh: Warehouse) -> DataFrame:
 
 # -------------------------------------------------------------------- sales
 def r25_sales_kpis(wh: Warehouse) -> DataFrame:
-    d = wh.csv_delivered
-    g = growth(marts.monthly_summary(wh), "purchase_year_month", "total_revenue").select("growth_pct").scalar()
+    d = wh.report_frame
+    g = growth(wh.monthly_frame, "purchase_year_month", "total_revenue").select("growth_pct").scalar()
     # mean basket = mean over orders of the order's item total (0 without items)
     base = d.agg(_psum("price").alias("total_revenue"), F.countDistinct("order_id").alias("total_orders"),
                  fdiv(F.coalesce(F.sum("price"), F.lit(0)), F.countDistinct("order_id")).alias("avg_order_value"),
@@ -336,11 +347,11 @@ def r25_sales_kpis(wh: Warehouse) -> DataFrame:
 
 
 def r26_revenue_trend(wh: Warehouse) -> DataFrame:
-    return marts.monthly_summary(wh).select("purchase_year_month", "total_revenue", "total_orders")
+    return wh.monthly_frame.select("purchase_year_month", "total_revenue", "total_orders")
 
 
 def r27_weekday_pattern(wh: Warehouse) -> DataFrame:
-    d = wh.csv_delivered.where(F.col("purchase_dayofweek").isNotNull())
+    d = wh.report_frame.where(F.col("purchase_dayofweek").isNotNull())
     names = F.array(*[F.lit(x) for x in L.DOW_MON0_NAMES])
     return (d.groupBy("purchase_dayofweek").agg(F.countDistinct("order_id").alias("orders"),
                                                 _psum("price").alias("revenue"))
@@ -349,7 +360,7 @@ def r27_weekday_pattern(wh: Warehouse) -> DataFrame:
 
 
 def r27_month_pattern(wh: Warehouse) -> DataFrame:
-    d = wh.csv_delivered.where(F.col("purchase_month").isNotNull())
+    d = wh.report_frame.where(F.col("purchase_month").isNotNull())
     names = F.array(*[F.lit(x) for x in L.MONTH_NAMES])
     return (d.groupBy("purchase_month").agg(F.countDistinct("order_id").alias("orders"),
                                             _psum("price").alias("revenue"))
@@ -368,7 +379,7 @@ def state_dimension(wh: Warehouse) -> DataFrame:
 
 
 def r28_geo_sales(wh: Warehouse) -> DataFrame:
-    d = wh.csv_delivered.where(F.col("customer_state").isNotNull())
+    d = wh.report_frame.where(F.col("customer_state").isNotNull())
     geo = d.groupBy("customer_state").agg(F.countDistinct("order_id").alias("orders"),
                                           _psum("price").alias("revenue"),
                                           _mean("review_score").alias("avg_score"))
@@ -381,8 +392,8 @@ def r28_geo_sales(wh: Warehouse) -> DataFrame:
 
 def r29_top5_share_of_all(wh: Warehouse) -> DataFrame:
     """Top-5 category share of *all* month revenue (N14: denominator = every category)."""
-    d = wh.csv_delivered.where(F.col("purchase_year_month").isNotNull())
-    top = semi_top_n(d, marts.csv_category_summary(wh), "category_name",
+    d = wh.report_frame.where(F.col("purchase_year_month").isNotNull())
+    top = semi_top_n(d, wh.category_frame, "category_name",
                      [F.col("total_revenue").desc(), F.col("category_name")], 5)
     per = top.groupBy("purchase_year_month", "category_name").agg(_psum("price").alias("revenue"))
     tot = d.groupBy("purchase_year_month").agg(_psum("price").alias("total_revenue"))
@@ -392,7 +403,7 @@ def r29_top5_share_of_all(wh: Warehouse) -> DataFrame:
 
 def r30_order_status_funnel(wh: Warehouse) -> DataFrame:
     """Orders per status (all statuses, N27), largest first, % of the previous stage."""
-    o = wh.t("orders").where(F.col("order_status").isNotNull())
+    o = wh.order_frame.where(F.col("order_status").isNotNull())
     counts = o.groupBy("order_status").agg(F.count(F.lit(1)).alias("n"))
     w = Window.orderBy(F.col("n").desc(), F.col("order_status"))  # one row per status
     prev = F.lag("n").over(w)
@@ -400,11 +411,20 @@ def r30_order_status_funnel(wh: Warehouse) -> DataFrame:
                              .otherwise(F.col("n").cast("double") / prev * F.lit(100.0)))
 
 
+def r31_rfm_fractional(wh: Warehouse) -> DataFrame:
+    """Segments with recency as fractional days (Julian-day difference) and NTILE scores."""
+    base = rfm(wh.view_delivered, "customer_unique_id", "order_id", "order_purchase_timestamp", "price", recency="fractional")
+    seg = rfm_score(base, "customer_unique_id", "ntile").groupBy("segment").agg(
+        F.count(F.lit(1)).alias("customer_count"), rnd(fdiv(F.sum("monetary"), F.count("monetary")), 0).alias("avg_lifetime_value"))
+    total = F.sum("customer_count").over(Window.partitionBy())  # at most 4 rows
+    return seg.withColumn("pct", qround(F.col("customer_count"), total, 1, mult=100))
+
+
 def r31_rfm_segments(wh: Warehouse) -> DataFrame:
     """RFM with pandas qcut scoring (W6, W7): R by value quartiles (labels 4..1),
     F and M by first-come rank quartiles, customer id as tie order (N10);
     reference = latest purchase + 1 day, elapsed days, price as monetary (N25)."""
-    base = rfm(wh.csv_delivered, "customer_unique_id", "order_id", "order_purchase_timestamp", "price",
+    base = rfm(wh.report_frame, "customer_unique_id", "order_id", "order_purchase_timestamp", "price",
                ref_offset_days=1, recency="elapsed", null_amount_as_zero=True)
     seg = rfm_score(base, "customer_unique_id", "qcut")
     agg = seg.groupBy("segment").agg(F.count(F.lit(1)).alias("customers"),
@@ -415,6 +435,7 @@ def r31_rfm_segments(wh: Warehouse) -> DataFrame:
 
 QUERIES = {
     "r01_overview_kpis": r01_overview_kpis,
+    "r01_overview_from_monthly": r01_overview_from_monthly,
     "r02_data_summary": r02_data_summary,
     "r03_delivery_kpis": r03_delivery_kpis,
     "r04_delivery_histogram": r04_delivery_histogram,
@@ -452,4 +473,5 @@ QUERIES = {
     "r29_top5_share_of_all": r29_top5_share_of_all,
     "r30_order_status_funnel": r30_order_status_funnel,
     "r31_rfm_segments": r31_rfm_segments,
+    "r31_rfm_fractional": r31_rfm_fractional,
 }

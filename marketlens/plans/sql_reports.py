@@ -119,7 +119,7 @@ def q07_category_velocity(wh: Warehouse) -> DataFrame:
 
 def q08_abc(wh: Warehouse) -> DataFrame:
     cat = group_metrics(wh.view_delivered, "category_name", {
-        "revenue": F.sum("price"), "orders": _n_orders()}, non_null_keys=True)
+        "revenue": F.sum("price")}, non_null_keys=True)
     ranked = pareto(cat, "category_name", "revenue", frame="range", share="revenue_pct", cum="cum_pct")
     a, b, c = L.ABC_SQL_LABELS
     return ranked.select(

@@ -9,8 +9,7 @@ Only the review file, whose free text may hold quoted newlines, is read with
 
 from __future__ import annotations
 
-import os
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,12 +60,6 @@ SCHEMAS = {
 MULTILINE = {"order_reviews"}
 
 
-def _exists(path: str) -> bool:
-    if "://" in path:  # remote store: let Spark decide
-        return True
-    return os.path.exists(path)
-
-
 def raw_schema(name: str) -> str:
     """All-text schema of a raw file in its column order (misspelt headers kept)."""
     fixes = {v: k for k, v in HEADER_FIXES.items()}
@@ -98,12 +91,13 @@ def load_raw(spark: SparkSession, root: str, report: list | None = None) -> dict
     ``report`` (S2)."""
     out: dict[str, DataFrame] = {}
     for name, fname in CSV_FILES.items():
-        path = f"{root.rstrip('/')}/{fname}"
-        if not _exists(path):
+        try:
+            out[name] = read_table(spark, f"{root.rstrip('/')}/{fname}", name)
+        except AnalysisException as e:  # Spark looks on the path's own file system
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             if report is not None:
                 report.append(name)
-            continue
-        out[name] = read_table(spark, path, name)
     if "product_category_translation" not in out and "products" in out:
         out["product_category_translation"] = spark.createDataFrame(
             [], "product_category_name string, product_category_name_english string")

@@ -21,7 +21,11 @@ STATUS_MAP = {"F": "delivered", "O": "shipped", "P": "processing"}
 
 # The delivery proxy wraps the ship-date offset into 0..59 days.
 DELIVERY_WRAP_DAYS = 60
+# ... and adds this many days where the offset is a multiple of SLOW_EVERY (deliveries of 150 to 209 days).
+SLOW_DAYS, SLOW_EVERY = 150, 13
 ESTIMATE_DAYS = 30
+# Orders under the first total have no review, orders from the second on have two.
+REVIEWED_FROM, REVIEWED_TWICE_FROM = 50_000, 450_000
 
 
 def read_supplied(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -35,6 +39,20 @@ def _status(col):
     return expr.otherwise(F.lit(None).cast("string"))
 
 
+def from_item_lines(lines: DataFrame) -> dict[str, DataFrame]:
+    """The item and payment tables (one payment per item) of numbered order lines."""
+    return {
+        "order_items": lines.drop("_payment_type", "_installments"),
+        "order_payments": lines.select(
+            "order_id",
+            F.col("order_item_id").alias("payment_sequential"),
+            F.col("_payment_type").alias("payment_type"),
+            F.col("_installments").alias("payment_installments"),
+            (F.col("price") + F.col("freight_value")).cast("decimal(12,2)").alias("payment_value"),
+        ),
+    }
+
+
 def source_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The eight source tables plus ``geo`` (state → state name, region)."""
     t = read_supplied(spark, sf_dir)
@@ -43,7 +61,9 @@ def source_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     # ---- orders: timestamps from the order date and the last ship date ----
     last_ship = li.groupBy("l_orderkey").agg(F.max("l_shipdate").alias("_last_ship"))
     od = o.join(last_ship, o.o_orderkey == last_ship.l_orderkey, "left")
-    deliv_days = F.pmod(F.datediff(F.to_date("_last_ship"), F.to_date("o_orderdate")), F.lit(DELIVERY_WRAP_DAYS))
+    offset = F.datediff(F.to_date("_last_ship"), F.to_date("o_orderdate"))
+    deliv_days = F.pmod(offset, F.lit(DELIVERY_WRAP_DAYS)) + F.when(
+        F.pmod(offset, F.lit(SLOW_EVERY)) == 0, SLOW_DAYS).otherwise(0)
     orders = od.select(
         F.col("o_orderkey").alias("order_id"),
         F.col("o_custkey").alias("customer_id"),
@@ -77,16 +97,7 @@ def source_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         F.col("l_returnflag").alias("_payment_type"),
         (F.col("l_quantity").cast("int") % 10 + 1).alias("_installments"),
     )
-    order_items = items_full.drop("_payment_type", "_installments")
-
-    # ---- payments: one per item ----
-    order_payments = items_full.select(
-        "order_id",
-        F.col("order_item_id").alias("payment_sequential"),
-        F.col("_payment_type").alias("payment_type"),
-        F.col("_installments").alias("payment_installments"),
-        (F.col("price") + F.col("freight_value")).cast("decimal(12,2)").alias("payment_value"),
-    )
+    items = from_item_lines(items_full)
 
     # ---- products and category translation ----
     p = t["part"]
@@ -132,25 +143,24 @@ def source_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         F.col("state").alias("seller_state"),
     )
 
-    # ---- reviews: a first review for most orders, a second for some ----
-    first = o.where(F.col("o_orderkey") % 7 != 0).select(
+    # ---- reviews: small orders have none, large ones have two ----
+    first = o.where(F.col("o_totalprice") >= REVIEWED_FROM).select(
         (F.col("o_orderkey") * 10 + 1).alias("review_id"),
         F.col("o_orderkey").alias("order_id"),
         (F.lit(6) - F.substring("o_orderpriority", 1, 1).cast("int")).alias("review_score"),
         F.timestamp_add("DAY", F.lit(31), F.col("o_orderdate")).alias("review_creation_date"),
     )
-    second = o.where(F.col("o_orderkey") % 10 == 0).select(
+    second = o.where(F.col("o_totalprice") >= REVIEWED_TWICE_FROM).select(
         (F.col("o_orderkey") * 10 + 2).alias("review_id"),
         F.col("o_orderkey").alias("order_id"),
-        (F.lit(1) + F.col("o_orderkey") % 5).cast("int").alias("review_score"),
+        (F.lit(1) + F.dayofmonth("o_orderdate") % 5).cast("int").alias("review_score"),
         F.timestamp_add("DAY", F.lit(32), F.col("o_orderdate")).alias("review_creation_date"),
     )
     order_reviews = first.unionByName(second)
 
     return {
         "orders": orders,
-        "order_items": order_items,
-        "order_payments": order_payments,
+        **items,
         "order_reviews": order_reviews,
         "products": products,
         "product_category_translation": translation,
@@ -158,6 +168,6 @@ def source_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "customers": customers,
         "geo": geo.drop("_nationkey"),
         # shared parent of order_items and order_payments (not a source table):
-        # a materializing caller may persist it so the item window runs once
+        # a materializing caller writes it once and derives both from it
         "_item_lines": items_full,
     }

@@ -1,15 +1,21 @@
-"""Layered Parquet warehouse: write / read layers, dynamic partition overwrite, audits.
+"""Layered Parquet warehouse: write / read layers, replacement on rebuild, audits.
 
 ODS tables are day snapshots partitioned by ``etl_date``; the detail fact is
 partitioned by purchase year-month; daily marts by ``etl_date``; the other
-marts are unpartitioned (S3, S9, S11-S14, S20).  Writes use dynamic partition
-overwrite so a re-run replaces only the partitions it produces (S6, S13).
+marts are unpartitioned (S3, S9, S11-S14, S20).  A day snapshot replaces only
+its own day (dynamic partition overwrite, set on the writer); every other
+table, the fact included, is replaced as a whole, so a rebuild leaves no month
+behind that it no longer produces (S6, S13).
+
+Files are read through Spark only; an absent table is recognised by the
+path-not-found condition and nothing else is swallowed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,15 +27,24 @@ PARTITIONS = {
     "dws_daily_state": ["etl_date"],
 }
 ODS_PARTITION = "etl_date"
+#: Micro-batch loads land beside the batch snapshots: a streaming sink's commit
+#: log would hide files that a batch job writes into the same folder.
+STREAM_PREFIX = "ods_stream_"
 
 
 def write_table(df: DataFrame, root: str, name: str, partition_by=None) -> str:
-    """Write ``df`` as snappy Parquet at ``root/name`` with dynamic partition overwrite."""
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    """Write ``df`` as snappy Parquet at ``root/name``.
+
+    Tables partitioned by load day replace the days they hold; others are
+    replaced whole.  Partitioned rows are rebalanced by their partition first,
+    so a partition gets few files and a hot one is split among tasks.
+    """
     path = f"{root.rstrip('/')}/{name}"
     cols = partition_by if partition_by is not None else PARTITIONS.get(name)
-    w = df.write.mode("overwrite").option("compression", "snappy")
+    if cols:
+        df = df.hint("rebalance", *cols)
+    mode = "dynamic" if cols == [ODS_PARTITION] else "static"
+    w = df.write.mode("overwrite").option("compression", "snappy").option("partitionOverwriteMode", mode)
     if cols:
         w = w.partitionBy(*cols)
     w.parquet(path)
@@ -41,21 +56,43 @@ def read_table(spark: SparkSession, root: str, name: str, order_by=None) -> Data
     return df.orderBy(*order_by) if order_by else df
 
 
+def try_read(spark: SparkSession, root: str, name: str) -> DataFrame | None:
+    """The table, or None if its folder does not exist or holds no data file yet."""
+    try:
+        return read_table(spark, root, name)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
+def read_ods(spark: SparkSession, root: str, table: str) -> DataFrame | None:
+    """All snapshots of a source table: the batch days, and the streamed days that no batch load replaced."""
+    batch, stream = (try_read(spark, root, prefix + table) for prefix in ("ods_", STREAM_PREFIX))
+    if batch is None or stream is None:
+        return batch if stream is None else stream
+    days = batch.select(ODS_PARTITION).distinct()
+    return batch.unionByName(stream.join(days, ODS_PARTITION, "left_anti"), allowMissingColumns=True)
+
+
+def day_filter(df: DataFrame, day) -> DataFrame:
+    """The rows of one load day, where the table keeps days."""
+    return df.where(F.col(ODS_PARTITION) == F.lit(day).cast("date")) if ODS_PARTITION in df.columns else df
+
+
 def audit_counts(layers: Mapping[str, Mapping[str, DataFrame | None]]) -> DataFrame:
     """(layer, table, rows) per table; a missing table (None) reports 0 rows."""
-    parts = []
-    spark = None
+    out, spark, missing = None, None, []
     for layer, tables in layers.items():
         for name, df in tables.items():
             if df is None:
+                missing.append((layer, name, 0))
                 continue
             spark = df.sparkSession
-            parts.append(df.agg(F.count(F.lit(1)).alias("rows"))
-                         .select(F.lit(layer).alias("layer"), F.lit(name).alias("table"), "rows"))
-    missing = [(layer, name, 0) for layer, tables in layers.items() for name, df in tables.items() if df is None]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    if missing and spark is not None:
-        out = out.unionByName(spark.createDataFrame(missing, "layer string, table string, rows bigint"))
+            part = df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(layer).alias("layer"), F.lit(name).alias("table"), "rows")
+            out = part if out is None else out.unionByName(part)
+    if missing:
+        spark = spark or SparkSession.active()
+        zero = spark.createDataFrame(missing, "layer string, table string, rows bigint")
+        out = zero if out is None else out.unionByName(zero)
     return out

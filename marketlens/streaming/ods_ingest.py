@@ -4,7 +4,9 @@ partitioned by ``etl_date`` (S3 as a stream).
 Each micro-batch reads only new files (the file source tracks them in the
 checkpoint), converts them with the same typing rules as the batch CSV path,
 stamps the load date and appends a partition.  The checkpoint makes the sink
-exactly-once across restarts and executor loss.  ``available_now`` processes
+exactly-once across restarts and executor loss.  The sink has a folder of its
+own (its commit log would hide files that batch loads write); readers take the
+streamed days beside the batch days (``read_ods``).  ``available_now`` processes
 everything that has landed and stops — the streaming twin of the nightly
 batch load; without it the query keeps running on a processing-time trigger.
 """
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from marketlens.sources.csv import MULTILINE, raw_schema, typed
-from marketlens.sources.warehouse import ODS_PARTITION
+from marketlens.sources.warehouse import ODS_PARTITION, STREAM_PREFIX
 
 
 def start_ods_ingest(spark: SparkSession, landing: str, table: str, out_root: str, checkpoint: str,
@@ -31,4 +33,4 @@ def start_ods_ingest(spark: SparkSession, landing: str, table: str, out_root: st
     writer = (rows.withColumn(ODS_PARTITION, stamp).writeStream.format("parquet")
               .option("checkpointLocation", checkpoint).partitionBy(ODS_PARTITION).outputMode("append"))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)
-    return writer.start(f"{out_root.rstrip('/')}/ods_{table}")
+    return writer.start(f"{out_root.rstrip('/')}/{STREAM_PREFIX}{table}")
