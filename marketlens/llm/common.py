@@ -121,3 +121,30 @@ def connected_components(spark: SparkSession, links: DataFrame, scratch: Scratch
     # stars: each non-root node has exactly one edge, to its root
     return (edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
             .unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct())
+
+
+#: Bits of an ``IdSketch``; its size does not follow the data.
+SKETCH_BITS = 1 << 24
+
+
+class IdSketch:
+    """A one-hash Bloom filter of ids in SQL: a filter in front of a join, so that rows which cannot
+    match are not shuffled.  Fixed at SKETCH_BITS (2 MB) however many ids there are; more ids let more
+    rows through, and the join behind it decides exactly."""
+
+    def __init__(self, ids: DataFrame, column: str):
+        spark, at = ids.sparkSession, self._at(F.col(column))
+        words = ids.select(F.shiftright(at, 6).alias("w"), (at % 64).cast("int").alias("b"))
+        words = words.groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("bits"))
+        full = spark.range(SKETCH_BITS // 64).withColumnRenamed("id", "w").join(words, "w", "left")
+        self.bits = full.agg(F.transform(F.sort_array(F.collect_list(F.struct("w", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")))),
+                                         lambda x: x.bits)).scalar()
+
+    @staticmethod
+    def _at(c: Column) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(SKETCH_BITS).cast("long"))
+
+    def may_hold(self, c: Column) -> Column:
+        at = self._at(c)
+        word = F.get(self.bits, F.shiftright(at, 6).cast("int"))
+        return word.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))) != 0

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlens.llm import textkernel as tk
-from marketlens.llm.common import Scratch, connected_components
+from marketlens.llm.common import IdSketch, Scratch, connected_components
 from marketlens.llm.runs import Forest, grouped
 
 COLLECTION = 10
@@ -157,8 +157,9 @@ def near_links(spark: SparkSession, docs: DataFrame, sig: DataFrame, scratch: Sc
     tiles = (group.join(parts, "leader").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
              .withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
              .select(F.col("rep").alias("id"), F.struct("leader", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own").alias("tile")))
-    places = tiles.groupBy("id").agg(F.collect_list("tile").alias("tiles"))  # a document's tables bound its tiles
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(places, "id")
+    places = scratch.table(tiles.groupBy("id").agg(F.collect_list("tile").alias("tiles")))  # a document's tables bound its tiles
+    asked = IdSketch(places, "id")  # texts without a place are not shuffled
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where(asked.may_hold(F.col("id"))).join(places, "id")
 
     def spread(batches):
         for batch in batches:
