@@ -29,6 +29,25 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return [prefix + n for n in names]
 
 
+#: Arrow batches of whole texts: at most so many rows and bytes (Spark's own defaults are 10,000 and 64 MB).
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def small_batches(docs: DataFrame) -> DataFrame:
+    """``docs``, after bounding the session's Arrow batches for texts of any length.
+
+    Batches live in the task's JVM and in its Python worker at once, beside the
+    heap; smaller limits that the session already has are kept.
+    """
+    conf = docs.sparkSession.conf
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(conf.get(rows)) <= BATCH_ROWS:
+        conf.set(rows, BATCH_ROWS)
+    if (now := conf.get(size)).rstrip("b").lstrip("-").isdigit() and not 0 < int(now.rstrip("b")) <= BATCH_BYTES:
+        conf.set(size, f"{BATCH_BYTES}b")
+    return docs
+
+
 class Scratch:
     """Tables written once under the cluster's shared checkpoint folder.
 

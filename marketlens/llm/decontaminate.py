@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlens.llm import textkernel as tk
-from marketlens.llm.common import fields, fresh
+from marketlens.llm.common import fields, fresh, small_batches
 
 WINDOW = 13
 SHARD_WORDS = 2_000_000
@@ -164,7 +164,7 @@ def find_matches(docs: DataFrame, block) -> DataFrame:
                      ("item_id", pa.int64()), ("doc_word", pa.int64()), ("item_word", pa.int64()), ("n_words", pa.int64())])))],
                 names=[*names, "n_words", "hits", "items", "matches"])
 
-    return docs.mapInArrow(task, schema)
+    return small_batches(docs).mapInArrow(task, schema)
 
 
 def blocks(spark: SparkSession, benchmark: DataFrame, window: int = WINDOW, limit: int = BLOCK_WORDS):

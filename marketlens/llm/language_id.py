@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import crc_mod, fields, held_out
+from marketlens.llm.common import crc_mod, fields, held_out, small_batches
 
 DIM = 4096
 FIT_DOCS = 300
@@ -133,7 +133,10 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 15) -> np.ndarray:
 
 def learn_centroids(train: DataFrame, idf: np.ndarray, fit_docs: int = FIT_DOCS) -> DataFrame:
     """(lang, floor, vector): the centroids of each language and its distance bound."""
-    sizes = train.groupBy("lang").agg(F.count("*").alias("n"))
+    sizes = train.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError("more languages than MAX_LANGUAGES")
+    sizes = F.broadcast(train.sparkSession.createDataFrame([tuple(r) for r in sizes], "lang string, n long"))
     span = 1 << 30
     some = (train.join(sizes, "lang").where(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(span)) < fit_docs * span / F.col("n"))
             .select("lang", "doc_id", "text"))
@@ -158,12 +161,10 @@ def learn_centroids(train: DataFrame, idf: np.ndarray, fit_docs: int = FIT_DOCS)
 
 def identify(spark: SparkSession, docs: DataFrame, fit_docs: int = FIT_DOCS) -> DataFrame:
     """``docs`` with held_out, lang_pred, score, rejected."""
-    train = docs.select("doc_id", "text", "lang").where(
+    train = small_batches(docs).select("doc_id", "text", "lang").where(
         (F.coalesce(crc_mod(F.col("doc_id"), 3), F.lit(1)) != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     idf = learn_idf(train)
-    model = learn_centroids(train, idf, fit_docs).limit(CENTROIDS * MAX_LANGUAGES + 1).collect()
-    if len(model) > CENTROIDS * MAX_LANGUAGES:
-        raise ValueError("more languages than MAX_LANGUAGES")
+    model = learn_centroids(train, idf, fit_docs).collect()  # at most CENTROIDS rows for each of MAX_LANGUAGES
     model.sort(key=lambda r: (r.lang, r.vector))
     langs = np.array([r.lang for r in model], object)
     floors = np.array([r.floor for r in model])

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import Scratch, fields, fresh
+from marketlens.llm.common import Scratch, fields, fresh, small_batches
 from marketlens.llm.cuckoo import Cuckoo, Shards
 
 BLANK = b" \t\n\x0b\x0c\r"
@@ -89,7 +89,7 @@ def line_keys(docs: DataFrame, min_chars: int, filters=None) -> DataFrame:
                 [batch.column("doc_id").take(pa.array(owner)), pa.array(h[:, 0].astype(np.int64)), pa.array(h[:, 1].astype(np.int64))],
                 names=["doc_id", "h1", "h2"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task, "doc_id long, h1 long, h2 long")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task, "doc_id long, h1 long, h2 long")
 
 
 def build_filters(refs: DataFrame, n_shards: int, min_docs: int) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlens.llm import textkernel as tk
-from marketlens.llm.common import IdSketch, Scratch, connected_components
+from marketlens.llm.common import IdSketch, Scratch, connected_components, small_batches
 from marketlens.llm.runs import Forest, grouped
 
 COLLECTION = 10
@@ -77,7 +77,7 @@ def signatures(docs: DataFrame, shingle: int, collection: int = COLLECTION) -> D
                  *[pa.ListArray.from_arrays(off, pa.array(np.ascontiguousarray(x).ravel())) for x in (pair[:, :collection], pair[:, collection:])]],
                 names=["doc_id", "n_shingles", "d1", "d2", "a", "b"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         task, "doc_id long, n_shingles long, d1 long, d2 long, a array<long>, b array<long>")
 
 

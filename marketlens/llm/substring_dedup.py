@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import fresh
+from marketlens.llm.common import fresh, small_batches
 
 MIN_WORDS = 40
 GLUE_WORDS = 4
@@ -100,7 +100,7 @@ def units(docs: DataFrame, unit: str = "sentence") -> DataFrame:
             [batch.column("doc_id").take(pa.array(owner, pa.int64())), *[pa.array(x, pa.int32()) for x in (no, start, end, words)],
              pa.array(h[:, 0]), pa.array(h[:, 1])], names=["doc_id", "no", "start", "end", "words", "h1", "h2"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         task, "doc_id long, no int, start int, end int, words int, h1 long, h2 long")
 
 

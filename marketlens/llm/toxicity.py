@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import Scratch, held_out, labelled_sample
+from marketlens.llm.common import Scratch, held_out, labelled_sample, small_batches
 
 FIT_ROWS = 20_000
 LEXICON, LEXICON_VOTERS = 240, 6
@@ -71,7 +71,7 @@ def _bytes(column) -> list:
 
 def mine_lexicon(docs: DataFrame, sample: DataFrame, limit: int = LEXICON) -> list[str]:
     """Terms ordered by how much of label 1 they explain; ``w$`` is a whole word, others open a word."""
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "y")
+    rows = small_batches(docs).select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "y")
 
     def task(batches):
         count: dict[str, list] = {}
