@@ -116,7 +116,7 @@ def t_two_sided_p(t: Column, dof: Column) -> Column:
     start = root * F.atan(F.abs(t) / root)
 
     def log_cos(x):
-        return F.when(x < 1e-2, -x * x / 2 - F.pow(x, F.lit(4.0)) / 12 - F.pow(x, F.lit(6.0)) / 45).otherwise(F.log(F.cos(x)))
+        return F.when(x < 1e-2, -x * x / 2 - F.pow(x, F.lit(4.0)) / 12 - F.pow(x, F.lit(6.0)) / 45).otherwise(F.log(F.greatest(F.cos(x), F.lit(1e-300))))
 
     def integral(a):
         h = (F.least(end, a + P_REACH) - a) / P_STEPS

@@ -7,11 +7,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from marketlens.plans import registry
 from tests.conftest import SF001
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
-QUERIES = E.queries()
-SQL = E.oracle_sql()
+QUERIES = registry.queries()
+SQL = registry.oracle_sql()
 
 
 def _norm(v):
@@ -36,10 +37,9 @@ def con():
     return c
 
 
-def test_every_query_registered_with_oracle_or_known_exception():
-    no_sql = set(QUERIES) - set(SQL)
-    assert no_sql == {"r20_regression_pvalue"}
-    assert set(SQL) <= set(QUERIES)
+def test_every_query_registered_with_oracle():
+    assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(E.queries()) and set(SQL) <= set(E.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

@@ -1,18 +1,30 @@
+import os
+
 import pytest
+from pyspark.sql import functions as F
 
+from marketlens.plans import ads_reports, marts, py_reports, sql_reports
+from marketlens.plans.model import Warehouse
 from marketlens.plans.pipeline import build
 from marketlens.sources.testdata import source_tables
+from marketlens.sources.warehouse import audit_counts, read_table
 from tests.conftest import SF001
+from tests.fixtures import mini_sources
+
+DAY = "2024-01-01"
+
+
+def counts(audit):
+    return {(r.layer, r.table): r.rows for r in audit.collect()}
 
 
 def test_build_all_layers_and_rerun(spark, tmpdir_path):
     src = source_tables(spark, SF001)
-    a1 = {(r.layer, r.table): r.rows for r in build(spark, src, tmpdir_path, etl_date="2024-01-01").collect()}
+    a1 = counts(build(spark, src, tmpdir_path, etl_date=DAY))
     assert a1[("ODS", "ods_order_items")] == src["order_items"].count()
     assert a1[("DWD", "dwd_order_detail")] > 0 and a1[("DWS", "dws_daily_metrics")] > 0
-    # idempotent: a re-run of one layer replaces its partitions
-    a2 = {(r.layer, r.table): r.rows for r in build(spark, src, tmpdir_path, layer="dws",
-                                                      etl_date="2024-01-01").collect()}
+    # idempotent: a re-run of one layer replaces what it wrote; the day is the fact's own
+    a2 = counts(build(spark, src, tmpdir_path, layer="dws"))
     assert a2[("DWS", "dws_daily_metrics")] == a1[("DWS", "dws_daily_metrics")]
 
 
@@ -21,22 +33,111 @@ def test_unknown_layer(spark, tmpdir_path):
         build(spark, {}, tmpdir_path, layer="ads")
 
 
-def test_load_warehouse_and_fallback(spark, tmpdir_path):
-    import os
+def test_rebuild_leaves_no_stale_month(spark, tmpdir_path):
+    src = mini_sources(spark)
+    ts = "order_purchase_timestamp"
+    moved = src["orders"].withColumn(ts, F.when(F.col("order_id") == "o1", F.timestamp_add("MONTH", F.lit(2), F.col(ts))).otherwise(F.col(ts)))
+    build(spark, src | {"orders": moved}, tmpdir_path, etl_date=DAY)
+    build(spark, src, tmpdir_path, etl_date=DAY)
+    fact = read_table(spark, tmpdir_path, "dwd_order_detail")
+    assert fact.count() == Warehouse(spark, src, etl_date=DAY).fact.count()
+    assert fact.groupBy("order_id", "order_item_id").count().where("count > 1").count() == 0
+
+
+def test_layer_without_snapshot_raises_and_keeps_the_tables(spark, tmpdir_path):
+    build(spark, mini_sources(spark), tmpdir_path, etl_date=DAY)
+    before = read_table(spark, tmpdir_path, "dim_customers").count()
+    for layer in ("dwd", "dws"):
+        with pytest.raises(LookupError):
+            build(spark, {}, tmpdir_path, layer=layer, etl_date="2024-02-02")
+    assert read_table(spark, tmpdir_path, "dim_customers").count() == before > 0
+    assert counts(build(spark, {}, tmpdir_path, layer="dwd"))[("DWD", "dim_customers")] == before  # the newest snapshot
 
-    from marketlens.plans import marts
-    from marketlens.plans.model import Warehouse
+
+def test_audit_counts_the_run_only(spark, tmpdir_path):
+    src = mini_sources(spark)
+    first = counts(build(spark, src, tmpdir_path, etl_date=DAY))
+    assert counts(build(spark, src, tmpdir_path, etl_date="2024-01-02")) == first
+    assert first[("ODS", "ods_orders")] == src["orders"].count()
+
+
+def test_audit_of_missing_tables(spark):
+    assert counts(audit_counts({"ODS": {"ods_orders": None}})) == {("ODS", "ods_orders"): 0}
+    got = counts(ads_reports.s8_warehouse_stats(Warehouse(spark, {"orders": mini_sources(spark)["orders"]}, etl_date=DAY)))
+    assert got[("ODS", "ods_orders")] == 8 and got[("ODS", "ods_sellers")] == 0 and got[("DWS", "dws_daily_metrics")] == 0
+
+
+def test_load_warehouse_and_fallback(spark, tmpdir_path):
     src = source_tables(spark, SF001)
-    build(spark, src, tmpdir_path, etl_date="2024-01-01")
-    wh = Warehouse.load(spark, "warehouse", tmpdir_path)
-    direct = Warehouse(spark, src, etl_date="2024-01-01")
-    assert wh.fact.count() == direct.fact.count()
-    assert marts.daily_metrics(wh).count() == marts.daily_metrics(direct).count()
+    build(spark, src, tmpdir_path, etl_date=DAY)
+    wh = Warehouse.load(spark, "warehouse", tmpdir_path, date_floor=None)
+    direct = Warehouse(spark, src, etl_date=DAY)
+    assert wh.fact.count() == direct.fact.count() and wh.etl_date == DAY
+    assert wh.mart("dws_daily_metrics").count() == marts.daily_metrics(direct).count()
     assert set(wh.warehouse_delivered.columns) >= {"product_length_cm", "order_id"}
     floor = Warehouse.from_warehouse(spark, tmpdir_path, date_floor="1995-01-01")
     assert floor.fact.count() == direct.fact.where("purchase_date >= date'1995-01-01'").count()
+    assert Warehouse.from_warehouse(spark, tmpdir_path).fact.count() == 0  # the loader's floor lies after these data
     missing = os.path.join(tmpdir_path, "nothing-here")
     csv_dir = os.path.join(tmpdir_path, "csv")
     os.makedirs(csv_dir)
-    fb = Warehouse.load(spark, "warehouse", missing, fallback_csv=csv_dir)
-    assert fb.src == {}
+    with pytest.raises(LookupError):
+        Warehouse.load(spark, "warehouse", missing)
+    fb = Warehouse.load(spark, "warehouse", missing, fallback_csv=csv_dir, etl_date=DAY)
+    assert fb.src == {} and fb.etl_date == DAY
+
+
+def test_older_day_is_not_mixed_with_the_newest_fact(spark, tmpdir_path):
+    src = mini_sources(spark)
+    build(spark, src, tmpdir_path, etl_date=DAY)
+    build(spark, src | {"order_items": src["order_items"].where("order_id <> 'o1'")}, tmpdir_path, etl_date="2024-01-02")
+    old = Warehouse.from_warehouse(spark, tmpdir_path, etl_date=DAY, date_floor=None)
+    new = Warehouse.from_warehouse(spark, tmpdir_path, date_floor=None)
+    assert old.fact.where("order_id = 'o1'").count() == 2 and new.fact.where("order_id = 'o1'").count() == 0
+    assert old.mart("dws_daily_metrics").count() == new.mart("dws_daily_metrics").count() + 1
+
+
+STORED_REPORTS = ["q22", "q23", "q25", "q26", "q27", "q28", "q29", "q30", "q31", "q32", "q35", "q37", "q38", "q41", "q43"]
+
+
+def test_reports_scan_the_stored_marts_only(spark, tmpdir_path):
+    build(spark, mini_sources(spark), tmpdir_path, etl_date=DAY)
+    wh = Warehouse.from_warehouse(spark, tmpdir_path, date_floor=None)
+    for name, fn in ads_reports.QUERIES.items():
+        if name[:3] in STORED_REPORTS:
+            files = fn(wh).inputFiles()
+            assert files and all("/dws_" in f for f in files), name
+
+
+@pytest.mark.parametrize("mode", ["csv", "warehouse"])
+def test_every_report_runs_on_source_shaped_keys(spark, tmpdir_path, mode):
+    src = mini_sources(spark)
+    wh = Warehouse(spark, src, etl_date=DAY).materialize(tmpdir_path)
+    if mode == "warehouse":
+        wh = wh.for_dashboard()
+        families = (py_reports.QUERIES,)
+    else:
+        families = (sql_reports.QUERIES, marts.QUERIES, ads_reports.QUERIES, py_reports.QUERIES)
+    for family in families:
+        for name, fn in family.items():
+            fn(wh).collect()
+
+
+def test_warehouse_mode_frames(spark, tmpdir_path):
+    wh = Warehouse(spark, mini_sources(spark), etl_date=DAY).materialize(tmpdir_path).for_dashboard()
+    assert wh.order_frame.count() == wh.fact.select("order_id").distinct().count()  # L6
+    row = wh.report_frame.where("order_id = 'o1'").first()
+    assert row.delivery_time_days == 2 and row.purchase_dayofweek == 6 and row.order_purchase_timestamp is not None  # a Sunday
+    cats = {r.category_name: r for r in wh.category_frame.collect()}
+    assert cats["bed_table"].unique_products == 1  # J11
+    assert 0 <= cats["bed_table"].delay_rate <= 100
+    assert wh.report_frame.columns.count("product_weight_g") == 1
+
+
+def test_slow_deliveries_and_reviews_of_the_adapter(spark):
+    src = source_tables(spark, SF001)
+    days = src["orders"].where("order_delivered_customer_date is not null").select(
+        F.datediff("order_delivered_customer_date", "order_purchase_timestamp").alias("d"))
+    assert days.where("d > 60 and d > 50 and d <= 200").count() > 0 and days.where("d > 200").count() > 0
+    n = {r.order_id: r["count"] for r in src["order_reviews"].groupBy("order_id").count().collect()}
+    assert {1, 2} == set(n.values()) and len(n) < src["orders"].count()

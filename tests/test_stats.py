@@ -11,10 +11,15 @@ from marketlens.operators.stats import (
 )
 
 
-def test_t_p_values_known():
-    assert t_two_sided_p(2.0, 10) == pytest.approx(0.0734, abs=5e-4)
-    assert t_two_sided_p(2.228, 10) == pytest.approx(0.0500, abs=5e-4)
-    assert t_two_sided_p(0.0, 5) == pytest.approx(1.0)
+def _p(spark, t, dof):
+    return spark.range(1).select(t_two_sided_p(F.lit(float(t)), F.lit(float(dof))).alias("p")).first().p
+
+
+@pytest.mark.parametrize("t, dof, p", [
+    (2.228139, 10, 0.05), (0.0, 5, 1.0), (1.0, 1, 0.5), (12.706205, 1, 0.05), (4.302653, 2, 0.05), (1.959964, 1e7, 0.05),
+    (0.5, 1e12, 0.617075), (-2.0, 10, 0.073388), (5.0, 100, 2.4502e-6)])
+def test_t_p_values_known(spark, t, dof, p):
+    assert _p(spark, t, dof) == pytest.approx(p, rel=2e-4)
 
 
 def _xy(spark, n=300, slope=-0.05, seed=1):
@@ -37,13 +42,24 @@ def test_linreg_matches_numpy(spark):
     assert m.stderr == pytest.approx(se, rel=1e-9)
 
 
-def test_p_value_udf(spark):
+def test_p_value_of_a_model(spark):
     df, a = _xy(spark)
     p = with_p_value(linreg(df, "y", "x")).first().p_value
     r = np.corrcoef(a[:, 0], a[:, 1])[0, 1]
     dof = len(a) - 2
-    assert p == pytest.approx(t_two_sided_p(r * math.sqrt(dof / (1 - r * r)), dof), rel=1e-9)
+    assert p == pytest.approx(_p(spark, r * math.sqrt(dof / (1 - r * r)), dof), rel=1e-6)
     assert p < 1e-6  # the fixture has a real slope
+    two = with_p_value(linreg(df.limit(2), "y", "x")).first().p_value
+    assert math.isnan(two)
+    line = spark.createDataFrame([(float(i), 2.0 * i) for i in range(9)], "x double, y double")
+    assert with_p_value(linreg(line, "y", "x")).first().p_value == pytest.approx(0.0, abs=1e-12)
+
+
+def test_corr_matrix_of_a_constant_column(spark):
+    rows = [(1.0, float(i), float(i * i)) for i in range(9)]
+    ref = pd.DataFrame(rows, columns=["a", "b", "c"]).corr()
+    for r in corr_matrix(spark.createDataFrame(rows, "a double, b double, c double"), ["a", "b", "c"]).collect():
+        assert r.r == pytest.approx(ref.loc[r.var1, r.var2], rel=1e-9, nan_ok=True)
 
 
 def test_corr_matrix_matches_pandas(spark):
@@ -84,3 +100,18 @@ def test_cohort_profile_keeps_empty_cohort(spark):
     out = cohort_profile(df, {"neg": F.col("s") <= 2, "pos": F.col("s") == 5, "none": F.col("s") > 9},
                          {"n": F.count(F.lit(1))}).collect()
     assert [(r.group_type, r.n) for r in out] == [("neg", 1), ("pos", 2), ("none", None)]
+
+
+def test_sample_spreads_over_a_large_range(spark):
+    n = 5_000_000
+    ids = sorted(r.id for r in repeatable_sample(spark.range(n), ["id"], 200).collect())
+    assert len(ids) == 200
+    quarters = np.bincount(np.array(ids) * 4 // n, minlength=4)
+    assert quarters.min() > 25  # 50 expected in each
+    assert len(set(np.diff(ids).tolist())) > 150  # no fixed step
+
+
+def test_sample_of_text_and_null_keys(spark):
+    df = spark.createDataFrame([(f"o{i}" if i else None, i % 3) for i in range(100)], "k string, j int")
+    assert len(repeatable_sample(df, ["k", "j"], 10).collect()) == 10
+    assert repeatable_sample(df, ["k", "j"], 10, seed=1).collect() != repeatable_sample(df, ["k", "j"], 10, seed=2).collect()
