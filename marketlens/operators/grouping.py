@@ -86,3 +86,19 @@ def one_per_key(df: DataFrame, key: str, *carry: str) -> DataFrame:
     """One row per key with the smallest of each carried column (L6): for columns that are
     constant within a key, the same as dropping duplicates, and repeatable where they are not."""
     return df.groupBy(key).agg(*[F.min(c).alias(c) for c in carry])
+
+
+def n_orders(flag: str = "first_of_order") -> Column:
+    """Orders of a group, counted by their flagged first items: a plain partial sum.  For groups that
+    split an order by category the flag is ``first_in_category``."""
+    return F.count(F.when(F.col(flag), 1))
+
+
+def distinct_per_group(df: DataFrame, key: str, col: str, name: str) -> DataFrame:
+    """(key, name): distinct non-NULL values of ``col`` per key, reduced to pairs before they are counted."""
+    return df.where(F.col(col).isNotNull()).select(key, col).distinct().groupBy(key).agg(F.count(F.lit(1)).alias(name))
+
+
+def distinct_total(df: DataFrame, col: str) -> Column:
+    """Distinct non-NULL values of one column of the whole frame, as a scalar subquery over that column only."""
+    return df.agg(F.countDistinct(col)).scalar()

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from marketlens.functions import labels as L
 from marketlens.functions.dates import mysql_week, year_week
 from marketlens.functions.numeric import dec, decimals_to_double, decq, fdiv, rnd
-from marketlens.plans.model import Warehouse
+from marketlens.operators.grouping import distinct_per_group, n_orders
+from marketlens.plans.model import FLAGS, Warehouse
 
 
 def _etl(wh: Warehouse):
@@ -44,85 +45,50 @@ def _nonempty(c: str):
     return F.col(c).isNotNull() & (F.col(c) != "")
 
 
-def _order_grain(f: DataFrame, keys: list) -> DataFrame:
-    """Reduce the item-grain fact to (keys, order) grain with sums and counts.
-
-    Order-level attributes (customer, delivered flag, purchase day) are
-    constant within an order, so later per-key aggregates need at most one
-    distinct count; Spark plans this as a per-task partial aggregate before
-    the shuffle.
-    """
-    pos = F.when(F.col("delivery_days") > 0, F.col("delivery_days"))
-    late_days = F.when(F.col("is_delayed") == 1, F.col("delay_days"))
-    return f.groupBy(*keys, "order_id").agg(
-        F.count(F.lit(1)).alias("n_items"),
-        F.sum("payment_value").alias("gmv"), F.max("payment_value").alias("gmv_once"),
-        F.sum("price").alias("rev"), F.count("price").alias("price_n"), F.sum("freight_value").alias("frt"),
-        F.max(F.col("delivered_date").isNotNull().cast("int")).alias("delivered"),
-        F.sum(pos).alias("pos_sum"), F.count(pos).alias("pos_n"),
-        F.sum("is_delayed").alias("late_sum"), F.count("is_delayed").alias("late_n"),
-        F.sum(late_days).alias("ld_sum"), F.count(late_days).alias("ld_n"),
-        F.sum("review_score").alias("rs_sum"), F.count("review_score").alias("rs_n"),
-        F.max("customer_unique_id").alias("customer_unique_id"),
-        F.min("purchase_date").alias("first_day"), F.max("purchase_date").alias("last_day"),
-    )
-
-
-def _order_grain_common() -> dict:
-    return {
-        "avg_delivery_days": decq(F.sum("pos_sum"), F.sum("pos_n"), 6, 2),
-        "delay_rate": decq(F.sum("late_sum"), F.sum("late_n"), 6, 4),
-        "avg_review_score": dec(fdiv(F.sum("rs_sum"), F.sum("rs_n")), 4, 2),
-    }
+def _late_days():
+    return F.when(F.col("is_delayed") == 1, F.col("delay_days"))
 
 
 # ------------------------------------------------------------------- M1
 def daily_metrics(wh: Warehouse) -> DataFrame:
     """Per purchase day (M1).
 
-    Orders, customers and the delivered flag are order-level, so the fact is
-    first reduced to (day, order) grain with sums and counts (a partial
-    aggregate before the one shuffle); the day aggregate then needs only one
-    distinct count (customers).  ``total_gmv`` sums the order payment once per
-    item row as the source system does (N17); ``total_gmv_order_level`` counts
-    it once per order.  Distinct sellers come from a (day, seller)
-    projection joined back by day (one row per day).  This replaces Spark's
-    row expansion for four distinct aggregates over the item-grain fact.
+    Orders and what belongs to an order are counted on its flagged first item,
+    so the day aggregate is partial sums only; distinct customers and sellers
+    come from (day, customer) and (day, seller) pairs joined back by day (one
+    row per day).  ``total_gmv`` sums the order payment once per item row as the
+    source system does (N17); ``total_gmv_order_level`` counts it once per order.
     """
     f = wh.fact
-    per_order = _order_grain(f, ["purchase_date"])
-    day = per_order.groupBy("purchase_date").agg(
-        F.count(F.lit(1)).alias("total_orders"),
-        F.sum("n_items").alias("total_items"),
-        dec(F.sum("gmv"), 38, 2).alias("total_gmv"),
-        dec(F.sum("gmv_once"), 38, 2).alias("total_gmv_order_level"),
-        dec(F.sum("rev"), 38, 2).alias("total_revenue"),
-        dec(F.sum("frt"), 38, 2).alias("total_freight"),
-        decq(F.sum("gmv"), F.count(F.lit(1)), 10, 2, num_scale=2).alias("avg_order_value"),
-        F.sum("delivered").cast("bigint").alias("delivered_orders"),
-        decq(F.sum("pos_sum"), F.sum("pos_n"), 6, 2).alias("avg_delivery_days"),
-        decq(F.sum("late_sum"), F.sum("late_n"), 6, 4).alias("delay_rate"),
-        decq(F.sum("ld_sum"), F.sum("ld_n"), 6, 2).alias("avg_delay_days"),
-        dec(fdiv(F.sum("rs_sum"), F.sum("rs_n")), 4, 2).alias("avg_review_score"),
-        F.countDistinct("customer_unique_id").alias("unique_customers"),
+    first = F.col("first_of_order")
+    m = _common(wh)
+    day = f.groupBy("purchase_date").agg(
+        n_orders().alias("total_orders"),
+        F.count(F.lit(1)).alias("total_items"),
+        dec(F.sum("payment_value"), 38, 2).alias("total_gmv"),
+        dec(F.sum(F.when(first, F.col("payment_value"))), 38, 2).alias("total_gmv_order_level"),
+        dec(F.sum("price"), 38, 2).alias("total_revenue"),
+        dec(F.sum("freight_value"), 38, 2).alias("total_freight"),
+        decq(F.sum("payment_value"), n_orders(), 10, 2, num_scale=2).alias("avg_order_value"),
+        F.count(F.when(first & F.col("delivered_date").isNotNull(), 1)).alias("delivered_orders"),
+        *[c.alias(n) for n, c in m.items()],
+        _mean(_late_days(), 6, 2).alias("avg_delay_days"),
     )
-    sellers = (f.where(F.col("seller_id").isNotNull()).select("purchase_date", "seller_id").distinct()
-               .groupBy("purchase_date").agg(F.count(F.lit(1)).alias("unique_sellers")))
-    return (day.join(sellers, "purchase_date", "left")
-            .select("purchase_date", F.col("total_orders").cast("bigint").alias("total_orders"),
-                    F.col("total_items").cast("bigint").alias("total_items"), "total_gmv",
-                    "total_gmv_order_level", "total_revenue",
-                    "total_freight", "avg_order_value", "delivered_orders", "avg_delivery_days", "delay_rate",
-                    "avg_delay_days", "avg_review_score", F.col("unique_customers").cast("bigint").alias("unique_customers"),
-                    F.coalesce("unique_sellers", F.lit(0)).cast("bigint").alias("unique_sellers"),
-                    _etl(wh).alias("etl_date")))
+    out = day
+    for col, name, rows in (("customer_unique_id", "unique_customers", f.where(first)), ("seller_id", "unique_sellers", f)):
+        out = out.join(distinct_per_group(rows, "purchase_date", col, name), "purchase_date", "left")
+    counts = ("unique_customers", "unique_sellers")
+    return out.select("purchase_date", "total_orders", "total_items", "total_gmv", "total_gmv_order_level", "total_revenue",
+                      "total_freight", "avg_order_value", "delivered_orders", "avg_delivery_days", "delay_rate",
+                      "avg_delay_days", "avg_review_score", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in counts],
+                      _etl(wh).alias("etl_date"))
 
 
 # ------------------------------------------------------------------- M2
 def daily_category(wh: Warehouse) -> DataFrame:
     m = _common(wh)
     return wh.fact.where(_nonempty("category_name")).groupBy("purchase_date", "category_name").agg(
-        F.countDistinct("order_id").cast("bigint").alias("total_orders"),
+        n_orders("first_in_category").alias("total_orders"),
         dec(F.sum("payment_value"), 38, 2).alias("total_gmv"),
         dec(F.sum("price"), 38, 2).alias("total_revenue"),
         _mean("price", 10, 2, num_scale=2).alias("avg_price"),
@@ -138,7 +104,7 @@ def daily_state(wh: Warehouse) -> DataFrame:
     m = _common(wh)
     return (wh.fact.where(F.col("customer_state").isNotNull())
             .groupBy("purchase_date", F.col("customer_state").alias("state")).agg(
-                F.countDistinct("order_id").cast("bigint").alias("total_orders"),
+                n_orders().alias("total_orders"),
                 dec(F.sum("payment_value"), 38, 2).alias("total_gmv"),
                 m["avg_delivery_days"].alias("avg_delivery_days"),
                 m["delay_rate"].alias("delay_rate"),
@@ -174,22 +140,17 @@ def category_summary(wh: Warehouse) -> DataFrame:
     window runs over one row per category — a small aggregate.
     """
     f = wh.fact.where(_nonempty("category_name"))
-    m = _order_grain_common()
-    per = _order_grain(f, ["category_name"])
-    agg = per.groupBy("category_name").agg(
-        F.count(F.lit(1)).cast("bigint").alias("total_orders"),
-        dec(F.sum("gmv"), 38, 2).alias("total_gmv"),
-        F.sum("rev").alias("_rev"),
-        decq(F.sum("rev"), F.sum("price_n"), 10, 2, num_scale=2).alias("avg_price"),
-        m["avg_delivery_days"].alias("avg_delivery_days"),
-        m["delay_rate"].alias("delay_rate"),
-        m["avg_review_score"].alias("avg_review_score"),
-        decq(F.sum("ld_sum"), F.sum("ld_n"), 6, 2).alias("avg_delay_days"),
-        decq(F.sum("n_items"), F.datediff(F.max("last_day"), F.min("first_day")), 20, 1).alias("daily_avg_items"),
+    m = _common(wh)
+    agg = f.groupBy("category_name").agg(
+        n_orders("first_in_category").alias("total_orders"),
+        dec(F.sum("payment_value"), 38, 2).alias("total_gmv"),
+        F.sum("price").alias("_rev"),
+        _mean("price", 10, 2, num_scale=2).alias("avg_price"),
+        *[c.alias(n) for n, c in m.items()],
+        _mean(_late_days(), 6, 2).alias("avg_delay_days"),
+        decq(F.count(F.lit(1)), F.datediff(F.max("purchase_date"), F.min("purchase_date")), 20, 1).alias("daily_avg_items"),
     )
-    sellers = (f.where(F.col("seller_id").isNotNull()).select("category_name", "seller_id").distinct()
-               .groupBy("category_name").agg(F.count(F.lit(1)).alias("_sellers")))
-    agg = (agg.join(sellers, "category_name", "left")
+    agg = (agg.join(distinct_per_group(f, "category_name", "seller_id", "_sellers"), "category_name", "left")
            .withColumn("unique_sellers", F.coalesce("_sellers", F.lit(0)).cast("bigint")).drop("_sellers"))
     total = F.sum("_rev").over(Window.partitionBy())
     run = F.sum("_rev").over(Window.orderBy(F.col("_rev").desc(), F.col("category_name"))
@@ -209,18 +170,18 @@ def category_summary(wh: Warehouse) -> DataFrame:
 
 # ------------------------------------------------------------------- M6
 def state_summary(wh: Warehouse) -> DataFrame:
-    """Per customer state (M6); state and customer are order-level, so the
-    fact is reduced to (state, order) grain first (one distinct count left)."""
-    m = _order_grain_common()
-    per = _order_grain(wh.fact.where(F.col("customer_state").isNotNull()), ["customer_state"])
-    return per.groupBy(F.col("customer_state").alias("state")).agg(
-        F.count(F.lit(1)).cast("bigint").alias("total_orders"),
-        dec(F.sum("gmv"), 38, 2).alias("total_gmv"),
-        m["avg_delivery_days"].alias("avg_delivery_days"),
-        m["delay_rate"].alias("delay_rate"),
-        m["avg_review_score"].alias("avg_review_score"),
-        F.countDistinct("customer_unique_id").cast("bigint").alias("unique_customers"),
-        _etl(wh).alias("etl_date"))
+    """Per customer state (M6): partial sums, and one distinct count (customers) on the first items."""
+    m = _common(wh)
+    f = wh.fact.where(F.col("customer_state").isNotNull())
+    agg = f.groupBy(F.col("customer_state").alias("state")).agg(
+        n_orders().alias("total_orders"),
+        dec(F.sum("payment_value"), 38, 2).alias("total_gmv"),
+        *[c.alias(n) for n, c in m.items()])
+    people = distinct_per_group(f.where("first_of_order").withColumnRenamed("customer_state", "state"), "state",
+                                "customer_unique_id", "unique_customers")
+    return agg.join(people, "state", "left").select(
+        "state", "total_orders", "total_gmv", "avg_delivery_days", "delay_rate", "avg_review_score",
+        F.coalesce("unique_customers", F.lit(0)).cast("bigint").alias("unique_customers"), _etl(wh).alias("etl_date"))
 
 
 # ------------------------------------------------------- M7-M9 (CSV path)
@@ -247,21 +208,23 @@ def seller_summary(wh: Warehouse) -> DataFrame:
 
 def csv_category_summary(wh: Warehouse) -> DataFrame:
     m = _csv_common()
-    return wh.csv_delivered.where(F.col("category_name").isNotNull()).groupBy("category_name").agg(
-        F.countDistinct("order_id").alias("total_orders"),
+    d = wh.csv_delivered.where(F.col("category_name").isNotNull())
+    out = d.groupBy("category_name").agg(
+        n_orders("first_in_category").alias("total_orders"),
         F.coalesce(F.sum("price"), F.lit(0)).cast("double").alias("total_revenue"),
         fdiv(F.sum("price"), F.count("price")).alias("avg_price"),
         m["avg_delivery_days"].alias("avg_delivery_days"),
-        m["delay_rate"].alias("delay_rate"),
-        F.countDistinct("product_id").alias("unique_products"),
-        F.countDistinct("seller_id").alias("unique_sellers"),
-    )
+        m["delay_rate"].alias("delay_rate"))
+    for col, name in (("product_id", "unique_products"), ("seller_id", "unique_sellers")):
+        out = out.join(distinct_per_group(d, "category_name", col, name), "category_name", "left").withColumn(
+            name, F.coalesce(name, F.lit(0)).cast("bigint"))
+    return out
 
 
 def monthly_summary(wh: Warehouse) -> DataFrame:
     m = _csv_common()
     return wh.report_frame.where(F.col("purchase_year_month").isNotNull()).groupBy("purchase_year_month").agg(
-        F.countDistinct("order_id").alias("total_orders"),
+        n_orders().alias("total_orders"),
         F.coalesce(F.sum("price"), F.lit(0)).cast("double").alias("total_revenue"),
         m["avg_delivery_days"].alias("avg_delivery_days"),
         m["delay_rate"].alias("delay_rate"),
@@ -270,7 +233,7 @@ def monthly_summary(wh: Warehouse) -> DataFrame:
 
 
 def _out(df: DataFrame) -> DataFrame:
-    return decimals_to_double(df.drop("etl_date"))
+    return decimals_to_double(df.drop("etl_date", *FLAGS))
 
 
 QUERIES = {

@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketlens.functions.dates import (
@@ -35,6 +35,21 @@ FACT_STATUSES = ("delivered", "shipped")
 WAREHOUSE_DATE_FLOOR = "2016-09-01"
 
 
+def flag_first_items(df: DataFrame) -> DataFrame:
+    """``first_of_order`` and ``first_in_category``: one row of each order, and of each order and category.
+
+    Rows come clustered by order from the order join, so the flags cost no
+    shuffle; order counts of any order-level or category grouping become plain
+    partial sums instead of distinct counts."""
+    item = F.col("order_item_id").asc_nulls_first()
+    return df.withColumns({
+        "first_of_order": F.row_number().over(Window.partitionBy("order_id").orderBy(item)) == 1,
+        "first_in_category": F.row_number().over(Window.partitionBy("order_id", "category_name").orderBy(item)) == 1})
+
+
+FLAGS = ("first_of_order", "first_in_category")
+
+
 class Warehouse:
     """Lazily built modelled tables over one set of source tables."""
 
@@ -195,11 +210,11 @@ class Warehouse:
     def _star(self, with_payments: bool, with_reviews: bool = False) -> DataFrame:
         """orders ⟕ items ⟕ products ⟕ translation ⟕ sellers ⟕ customers [⟕ payments].
 
-        Written order-grain first: customer and payment lookups run on the
-        (smaller) order rows, then one order-keyed join brings in the items,
-        then the item-keyed lookups.  Left joins on unique dimension keys
-        commute, so the result equals the source's join order while the wide
-        item rows are shuffled only for the order join and the two lookups.
+        Customer, payment and review lookups run on the (smaller) order rows,
+        product and seller lookups on the item rows, then one order-keyed join
+        brings both together.  Left joins on unique dimension keys commute, so
+        the result equals the source's join order, and the rows end up clustered
+        by order for the first-item flags.
         """
         o, oi = self.t("orders"), self.t("order_items")
         p = self.t("products").join(self.t("product_category_translation"), "product_category_name", "left")
@@ -209,14 +224,14 @@ class Warehouse:
             orders = orders.join(self.payments_by_order, "order_id", "left")
         if with_reviews:
             orders = orders.join(self.reviews_by_order, "order_id", "left")
-        return (orders.join(oi, "order_id", "left")
-                .join(p, "product_id", "left")
-                .join(s, "seller_id", "left"))
+        items = oi.join(p, "product_id", "left").join(s, "seller_id", "left")
+        return orders.join(items, "order_id", "left")
 
     @cached_property
     def view(self) -> DataFrame:
         """``v_order_full`` (M10): one row per order item (or per item-less order)."""
-        df = self._star(with_payments=True)
+        df = flag_first_items(self._star(with_payments=True).withColumn(
+            "category_name", F.coalesce("product_category_name_english", "product_category_name")))
         deliv, purch = F.col("order_delivered_customer_date"), F.col("order_purchase_timestamp")
         est, carrier = F.col("order_estimated_delivery_date"), F.col("order_delivered_carrier_date")
         return df.select(
@@ -231,9 +246,9 @@ class Warehouse:
             year_month(purch).alias("purchase_year_month"),
             "customer_unique_id", "customer_state", "customer_city",
             "product_id", "product_category_name",
-            F.coalesce("product_category_name_english", "product_category_name").alias("category_name"),
+            "category_name",
             "product_weight_g", "seller_id", "seller_state", "seller_city",
-            "price", "freight_value", "payment_type", "payment_installments", "payment_value",
+            "price", "freight_value", "payment_type", "payment_installments", "payment_value", *FLAGS,
         )
 
     @cached_property
@@ -243,12 +258,12 @@ class Warehouse:
 
     # ----------------------------------------------- CSV population (pandas path)
     def _csv_frame(self, with_reviews: bool) -> DataFrame:
-        df = self._star(with_payments=False, with_reviews=with_reviews)
+        df = flag_first_items(self._star(with_payments=False, with_reviews=with_reviews).withColumn(
+            "category_name", F.coalesce("product_category_name_english", "product_category_name")))
         deliv, purch = F.col("order_delivered_customer_date"), F.col("order_purchase_timestamp")
         est, carrier = F.col("order_estimated_delivery_date"), F.col("order_delivered_carrier_date")
         return df.select(
             "*",
-            F.coalesce("product_category_name_english", "product_category_name").alias("category_name"),
             day_diff(deliv, purch, "elapsed").alias("delivery_time_days"),
             day_diff(est, purch, "elapsed").alias("estimated_delivery_days"),
             day_diff(deliv, carrier, "elapsed").alias("carrier_time_days"),
@@ -328,7 +343,7 @@ class Warehouse:
     # ------------------------------------------------------------------ D5 fact
     @cached_property
     def fact(self) -> DataFrame:
-        """``dwd_order_detail``: grain = order item, 30 columns (etl_date last)."""
+        """``dwd_order_detail``: grain = order item, 30 columns (etl_date last) and the first-item flags."""
         o = self.t("orders").where(
             F.col("order_status").isin(*FACT_STATUSES)
             & F.col("order_purchase_timestamp").isNotNull()
@@ -337,13 +352,13 @@ class Warehouse:
         dp = self.dim_products.select(
             F.col("product_id").alias("_dp_product_id"), "category_name_english", "product_weight_g")
         s = self.t("sellers").select(F.col("seller_id").alias("_s_seller_id"), "seller_state")
-        # order-grain lookups first, then one order-keyed join to the items
+        # order-grain and item-grain lookups first, then one order-keyed join
         orders = (o.join(c, "customer_id", "left")
                   .join(self.payments_by_order.select("order_id", "payment_value", "payment_type"), "order_id", "left")
                   .join(self.reviews_by_order, "order_id", "left"))
-        df = (orders.join(self.t("order_items"), "order_id", "inner")
-              .join(dp, F.col("product_id") == F.col("_dp_product_id"), "left")
-              .join(s, F.col("seller_id") == F.col("_s_seller_id"), "left"))
+        items = (self.t("order_items").join(dp, F.col("product_id") == F.col("_dp_product_id"), "left")
+                 .join(s, F.col("seller_id") == F.col("_s_seller_id"), "left"))
+        df = flag_first_items(orders.join(items, "order_id", "inner").withColumnRenamed("category_name_english", "category_name"))
         deliv, purch = F.col("order_delivered_customer_date"), F.col("order_purchase_timestamp")
         est, carrier = F.col("order_estimated_delivery_date"), F.col("order_delivered_carrier_date")
         dow = weekday_sun1(purch)
@@ -366,11 +381,11 @@ class Warehouse:
             F.when(dow.isin(1, 7), 1).otherwise(0).alias("is_weekend"),
             "customer_unique_id", "customer_state",
             F.col("_dp_product_id").alias("product_id"),
-            F.col("category_name_english").alias("category_name"),
+            "category_name",
             "product_weight_g",
             F.col("_s_seller_id").alias("seller_id"),
             "seller_state", "price", "freight_value", "payment_value", "payment_type",
-            "review_score",
+            "review_score", *FLAGS,
             etl.alias("etl_date"),
         )
 
@@ -398,7 +413,7 @@ class Warehouse:
             F.max("customer_zip_code_prefix").alias("customer_zip_prefix"),
             F.min(F.to_date("order_purchase_timestamp")).alias("first_purchase_date"),
         )
-        orders = self.fact.groupBy("customer_unique_id").agg(F.countDistinct("order_id").alias("_n"))
+        orders = self.fact.groupBy("customer_unique_id").agg(F.count(F.when(F.col("first_of_order"), 1)).alias("_n"))
         return (base.join(orders, "customer_unique_id", "left")
                 .withColumn("total_orders", F.coalesce("_n", F.lit(0)).cast("bigint")).drop("_n"))
 

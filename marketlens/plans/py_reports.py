@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from marketlens.functions import labels as L
 from marketlens.functions.buckets import bucketize
 from marketlens.functions.numeric import fdiv, qround, rnd
-from marketlens.operators.grouping import semi_top_n, with_empty_bins
+from marketlens.operators.grouping import distinct_total, n_orders, semi_top_n, with_empty_bins
 from marketlens.operators.ranking import exact_percentile, pareto
 from marketlens.operators.rfm import rfm, rfm_score
 from marketlens.operators.stats import box_stats, corr_matrix, growth, histogram, linreg, with_p_value
@@ -61,10 +61,10 @@ def _top(df: DataFrame, measure: str, n: int, key: str = "category_name") -> Dat
 def r01_overview_kpis(wh: Warehouse) -> DataFrame:
     d = wh.report_frame
     ts = F.col("order_purchase_timestamp")
-    return d.agg(F.countDistinct("order_id").alias("total_orders"), _psum("price").alias("total_gmv"),
+    return d.agg(n_orders().alias("total_orders"), _psum("price").alias("total_gmv"),
                  _mean("delivery_time_days").alias("avg_delivery"), _late_pct().alias("delay_rate"),
-                 F.countDistinct("customer_unique_id").alias("customers"),
-                 F.countDistinct("seller_id").alias("sellers"),
+                 distinct_total(d, "customer_unique_id").alias("customers"),
+                 distinct_total(d, "seller_id").alias("sellers"),
                  F.date_format(F.min(ts), "yyyy-MM").alias("first_month"),
                  F.date_format(F.max(ts), "yyyy-MM").alias("last_month"))
 
@@ -82,10 +82,10 @@ def r01_overview_from_monthly(wh: Warehouse) -> DataFrame:
 def r02_data_summary(wh: Warehouse) -> DataFrame:
     d = wh.report_frame
     ts = F.col("order_purchase_timestamp")
-    return d.agg(F.countDistinct("order_id").alias("orders"), _psum("price").alias("revenue"),
-                 F.countDistinct("category_name").alias("categories"),
-                 F.countDistinct("seller_id").alias("sellers"),
-                 F.countDistinct("customer_unique_id").alias("customers"),
+    return d.agg(n_orders().alias("orders"), _psum("price").alias("revenue"),
+                 distinct_total(d, "category_name").alias("categories"),
+                 distinct_total(d, "seller_id").alias("sellers"),
+                 distinct_total(d, "customer_unique_id").alias("customers"),
                  _mean("delivery_time_days").alias("avg_delivery_days"), _late_pct().alias("delay_rate_pct"),
                  F.to_date(F.min(ts)).alias("min_date"), F.to_date(F.max(ts)).alias("max_date"))
 
@@ -122,7 +122,7 @@ def r06_delivery_by_state(wh: Warehouse) -> DataFrame:
     d = wh.report_frame.where(F.col("customer_state").isNotNull())
     return (d.groupBy("customer_state").agg(_mean("delivery_time_days").alias("avg_delivery"),
                                             rnd(_late_pct(), 1).alias("delay_rate"),
-                                            F.countDistinct("order_id").alias("order_count"))
+                                            n_orders().alias("order_count"))
             .where(F.col("order_count") >= 50).orderBy("avg_delivery", "customer_state"))
 
 
@@ -153,7 +153,7 @@ def r09_delay_days_distribution(wh: Warehouse) -> DataFrame:
 
 def r10_most_late_categories(wh: Warehouse) -> DataFrame:
     d = _delayed(wh).where(F.col("category_name").isNotNull())
-    agg = d.groupBy("category_name").agg(F.countDistinct("order_id").alias("delay_count"),
+    agg = d.groupBy("category_name").agg(n_orders("first_in_category").alias("delay_count"),
                                          _mean("delay_days").alias("avg_delay"))
     return _top(agg, "delay_count", 10)
 
@@ -185,7 +185,7 @@ def r12_category_treemap(wh: Warehouse) -> DataFrame:
 def r13_sales_velocity(wh: Warehouse) -> DataFrame:
     d = wh.report_frame.where(F.col("category_name").isNotNull())
     span = F.greatest(_span_days(wh.report_frame), F.lit(1))
-    agg = d.groupBy("category_name").agg(F.countDistinct("order_id").alias("total_sales"),
+    agg = d.groupBy("category_name").agg(n_orders("first_in_category").alias("total_sales"),
                                          _psum("price").alias("total_revenue"))
     agg = agg.withColumn("daily_sales", fdiv(F.col("total_sales"), span)) \
              .withColumn("daily_revenue", fdiv(F.col("total_revenue"), span))
@@ -223,7 +223,7 @@ def r16_top8_monthly_dynamics(wh: Warehouse) -> DataFrame:
     top = semi_top_n(d, wh.category_frame, "category_name",
                      [F.col("total_revenue").desc(), F.col("category_name")], 8)
     return top.groupBy("purchase_year_month", "category_name").agg(
-        _psum("price").alias("revenue"), F.countDistinct("order_id").alias("orders"))
+        _psum("price").alias("revenue"), n_orders("first_in_category").alias("orders"))
 
 
 def r17_category_detail(wh: Warehouse) -> DataFrame:
@@ -289,7 +289,7 @@ def r21_satisfaction_by_state(wh: Warehouse) -> DataFrame:
     return (d.groupBy("customer_state").agg(_mean("review_score").alias("avg_score"),
                                             _share_eq("review_score", 5).alias("score_5_rate"),
                                             _mean("is_delayed").alias("delay_rate"),
-                                            F.countDistinct("order_id").alias("order_count"))
+                                            n_orders().alias("order_count"))
             .where(F.col("order_count") >= 50))
 
 
@@ -298,7 +298,7 @@ def r22_score_by_day_bins(wh: Warehouse) -> DataFrame:
     b = bucketize("delivery_time_days", L.R22_EDGES, L.R22_LABELS)
     agg = (d.withColumn("delivery_range", b).where(F.col("delivery_range").isNotNull())
            .groupBy("delivery_range").agg(_mean("review_score").alias("avg_score"),
-                                          F.countDistinct("order_id").alias("order_count")))
+                                          n_orders().alias("order_count")))
     out = with_empty_bins(wh.spark, agg, "delivery_range", L.R22_LABELS, {"order_count": 0})
     return out.orderBy("bin_ord").select("delivery_range", "avg_score", "order_count")
 
@@ -337,8 +337,8 @@ def r25_sales_kpis(wh: Warehouse) -> DataFrame:
     d = wh.report_frame
     g = growth(wh.monthly_frame, "purchase_year_month", "total_revenue").select("growth_pct").scalar()
     # mean basket = mean over orders of the order's item total (0 without items)
-    base = d.agg(_psum("price").alias("total_revenue"), F.countDistinct("order_id").alias("total_orders"),
-                 fdiv(F.coalesce(F.sum("price"), F.lit(0)), F.countDistinct("order_id")).alias("avg_order_value"),
+    base = d.agg(_psum("price").alias("total_revenue"), n_orders().alias("total_orders"),
+                 fdiv(F.coalesce(F.sum("price"), F.lit(0)), n_orders()).alias("avg_order_value"),
                  F.countDistinct("customer_unique_id").alias("customers"))
     median_price = exact_percentile(d, "price", 0.5)  # prices: high cardinality
     return base.select("total_revenue", "total_orders", "avg_order_value", "customers",
@@ -353,7 +353,7 @@ def r26_revenue_trend(wh: Warehouse) -> DataFrame:
 def r27_weekday_pattern(wh: Warehouse) -> DataFrame:
     d = wh.report_frame.where(F.col("purchase_dayofweek").isNotNull())
     names = F.array(*[F.lit(x) for x in L.DOW_MON0_NAMES])
-    return (d.groupBy("purchase_dayofweek").agg(F.countDistinct("order_id").alias("orders"),
+    return (d.groupBy("purchase_dayofweek").agg(n_orders().alias("orders"),
                                                 _psum("price").alias("revenue"))
             .withColumn("day_name", F.element_at(names, F.col("purchase_dayofweek") + 1))
             .orderBy("purchase_dayofweek"))
@@ -362,7 +362,7 @@ def r27_weekday_pattern(wh: Warehouse) -> DataFrame:
 def r27_month_pattern(wh: Warehouse) -> DataFrame:
     d = wh.report_frame.where(F.col("purchase_month").isNotNull())
     names = F.array(*[F.lit(x) for x in L.MONTH_NAMES])
-    return (d.groupBy("purchase_month").agg(F.countDistinct("order_id").alias("orders"),
+    return (d.groupBy("purchase_month").agg(n_orders().alias("orders"),
                                             _psum("price").alias("revenue"))
             .withColumn("month_name", F.element_at(names, F.col("purchase_month")))
             .orderBy("purchase_month"))
@@ -380,7 +380,7 @@ def state_dimension(wh: Warehouse) -> DataFrame:
 
 def r28_geo_sales(wh: Warehouse) -> DataFrame:
     d = wh.report_frame.where(F.col("customer_state").isNotNull())
-    geo = d.groupBy("customer_state").agg(F.countDistinct("order_id").alias("orders"),
+    geo = d.groupBy("customer_state").agg(n_orders().alias("orders"),
                                           _psum("price").alias("revenue"),
                                           _mean("review_score").alias("avg_score"))
     dim = state_dimension(wh)  # one row per state: a fixed, small table

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from marketlens.functions import labels as L
 from marketlens.functions.buckets import case_labels
 from marketlens.functions.numeric import fdiv, rnd
-from marketlens.operators.grouping import group_metrics, semi_top_n, share_of_total
+from marketlens.operators.grouping import distinct_per_group, group_metrics, n_orders, semi_top_n, share_of_total
 from marketlens.operators.ranking import abc_classify, pareto
 from marketlens.operators.rfm import rfm, rfm_score
 from marketlens.operators.stats import cohort_profile
@@ -63,7 +63,7 @@ def _reviewed(wh: Warehouse, grain: str = "item") -> DataFrame:
 def q01_delivery_kpi(wh: Warehouse) -> DataFrame:
     return wh.view_delivered.agg(
         F.lit(L.SCOPE_ALL).alias("scope"),
-        _n_orders().alias("total_delivered"),
+        n_orders().alias("total_delivered"),
         _avg_days().alias("avg_delivery_days"),
         rnd(F.avg("delivery_days"), 0).alias("median_delivery_days"),
         _late_pct().alias("delay_rate_pct"),
@@ -75,26 +75,26 @@ def q02_monthly_delivery(wh: Warehouse) -> DataFrame:
     return group_metrics(wh.view_delivered, "purchase_year_month", {
         "avg_delivery_days": _avg_days(),
         "delay_rate_pct": _late_pct(),
-        "order_count": _n_orders(),
+        "order_count": n_orders(),
     }, order_by=["purchase_year_month"])
 
 
 def q03_state_delivery(wh: Warehouse) -> DataFrame:
     return group_metrics(wh.view_delivered, "customer_state", {
-        "avg_delivery_days": _avg_days(), "delay_rate_pct": _late_pct(), "order_count": _n_orders(),
+        "avg_delivery_days": _avg_days(), "delay_rate_pct": _late_pct(), "order_count": n_orders(),
     }, non_null_keys=True, min_support=("order_count", 50),
         order_by=[F.col("avg_delivery_days").desc(), "customer_state"])
 
 
 def q04_category_delay_top15(wh: Warehouse) -> DataFrame:
     return group_metrics(wh.view_delivered, "category_name", {
-        "avg_delivery_days": _avg_days(), "delay_rate_pct": _late_pct(), "order_count": _n_orders(),
+        "avg_delivery_days": _avg_days(), "delay_rate_pct": _late_pct(), "order_count": n_orders("first_in_category"),
     }, non_null_keys=True, order_by=[F.col("delay_rate_pct").desc(), "category_name"], limit=15)
 
 
 def q05_delay_days_distribution(wh: Warehouse) -> DataFrame:
     v = wh.view_delivered.where((F.col("is_delayed") == 1) & (F.col("delay_days") <= 30))
-    return group_metrics(v, "delay_days", {"delay_count": _n_orders()}, order_by=["delay_days"])
+    return group_metrics(v, "delay_days", {"delay_count": n_orders()}, order_by=["delay_days"])
 
 
 def q06_worst_sellers(wh: Warehouse) -> DataFrame:
@@ -108,13 +108,16 @@ def q06_worst_sellers(wh: Warehouse) -> DataFrame:
 def q07_category_velocity(wh: Warehouse) -> DataFrame:
     v = wh.view_delivered
     span = v.agg(F.datediff(F.max("order_purchase_timestamp"), F.min("order_purchase_timestamp"))).scalar()
-    return group_metrics(v, "category_name", {
-        "total_sales": _n_orders(),
+    orders = n_orders("first_in_category")
+    out = group_metrics(v, "category_name", {
+        "total_sales": orders,
         "total_revenue": _money(),
-        "daily_sales": rnd(fdiv(F.countDistinct("order_id"), span), 2),
-        "unique_products": F.countDistinct("product_id"),
-        "unique_sellers": F.countDistinct("seller_id"),
+        "daily_sales": rnd(fdiv(orders, span), 2),
     }, non_null_keys=True, order_by=[F.col("daily_sales").desc(), "category_name"], limit=20)
+    for col, name in (("product_id", "unique_products"), ("seller_id", "unique_sellers")):  # of the 20 only
+        pairs = distinct_per_group(v.join(F.broadcast(out.select("category_name")), "category_name", "left_semi"), "category_name", col, name)
+        out = out.join(pairs, "category_name", "left").withColumn(name, F.coalesce(name, F.lit(0)).cast("bigint"))
+    return out.orderBy(F.col("daily_sales").desc(), "category_name")
 
 
 def q08_abc(wh: Warehouse) -> DataFrame:
@@ -217,17 +220,17 @@ def q15_review_cohorts(wh: Warehouse, grain: str = "item") -> DataFrame:
 # -------------------------------------------------------------------- sales
 def q16_monthly_sales(wh: Warehouse) -> DataFrame:
     return group_metrics(wh.view_delivered, "purchase_year_month", {
-        "monthly_orders": _n_orders(),
+        "monthly_orders": n_orders(),
         "monthly_revenue": _money(),
         "unique_customers": F.countDistinct("customer_unique_id"),
-        "avg_order_value": rnd(fdiv(F.sum("price"), F.countDistinct("order_id")), 0),
+        "avg_order_value": rnd(fdiv(F.sum("price"), n_orders()), 0),
     }, order_by=["purchase_year_month"])
 
 
 def q17_weekday_sales(wh: Warehouse) -> DataFrame:
     dow = F.dayofweek("order_purchase_timestamp")
     out = group_metrics(wh.view_delivered, dow.alias("_dow"), {
-        "order_count": _n_orders(), "total_revenue": _money()})
+        "order_count": n_orders(), "total_revenue": _money()})
     names = F.array(*[F.lit(x) for x in L.DOW_SUN1_NAMES])
     return (out.select(F.element_at(names, F.col("_dow")).alias("day_of_week"), "order_count",
                        "total_revenue", "_dow").orderBy("_dow").drop("_dow"))
@@ -235,15 +238,15 @@ def q17_weekday_sales(wh: Warehouse) -> DataFrame:
 
 def q18_month_of_year_sales(wh: Warehouse) -> DataFrame:
     return group_metrics(wh.view_delivered, F.col("purchase_month").cast("bigint").alias("purchase_month"), {
-        "order_count": _n_orders(), "total_revenue": _money()}, order_by=["purchase_month"])
+        "order_count": n_orders(), "total_revenue": _money()}, order_by=["purchase_month"])
 
 
 def q19_state_sales(wh: Warehouse) -> DataFrame:
     return group_metrics(wh.view_delivered, "customer_state", {
-        "total_orders": _n_orders(),
+        "total_orders": n_orders(),
         "total_revenue": _money(),
         "customer_count": F.countDistinct("customer_unique_id"),
-        "avg_order_value": rnd(fdiv(F.sum("price"), F.countDistinct("order_id")), 0),
+        "avg_order_value": rnd(fdiv(F.sum("price"), n_orders()), 0),
     }, non_null_keys=True, order_by=[F.col("total_revenue").desc(), "customer_state"])
 
 
