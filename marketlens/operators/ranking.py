@@ -145,23 +145,20 @@ def abc_classify(cum: Column | str, bounds=(0.7, 0.9), labels=("A", "B", "C")) -
             .when(c <= F.lit(bounds[1]), labels[1]).otherwise(labels[2]))
 
 
-def exact_percentile(df: DataFrame, col: str, p: float, num_partitions: int | None = None) -> Column:
-    """Exact linear-interpolation percentile of a high-cardinality column as a
-    scalar subquery, without one task holding every distinct value.
-
-    Rows are numbered in value order by ``global_row_number`` (range
-    partitioned); only the two rows around position p·(n-1) are read back.
-    For low-cardinality columns (day counts) the built-in ``percentile``
-    aggregate is cheaper and is used instead.
+def exact_percentile(df: DataFrame, col: str, p: float) -> Column:
+    """Exact linear-interpolation percentile of a column as a scalar subquery.
+
+    Rows are counted by value (map-side combined), and the running count over
+    the distinct values finds the two around position p (n - 1).  The one window
+    holds a row per distinct value: for amounts in cents and day counts a bounded
+    list that does not follow the number of rows.
     """
-    x = df.select(F.col(col).cast("double").alias("_x")).where(F.col("_x").isNotNull())
-    x = x.withColumn("_id", F.monotonically_increasing_id())
-    ranked = global_row_number(x, [F.col("_x").asc(), F.col("_id").asc()], "_rn", num_partitions)
-    n = ranked.agg(F.count(F.lit(1))).scalar()
-    pos = (n - 1) * F.lit(float(p))
-    lo = F.floor(pos) + 1
-    pick = ranked.where((F.col("_rn") == lo) | (F.col("_rn") == lo + 1))
-    v_lo = pick.where(F.col("_rn") == lo).agg(F.max("_x")).scalar()
-    v_hi = pick.where(F.col("_rn") == lo + 1).agg(F.max("_x")).scalar()
-    frac = pos - F.floor(pos)
-    return F.when(v_hi.isNull(), v_lo).otherwise(v_lo + (v_hi - v_lo) * frac)
+    x = F.col(col).cast("double")
+    values = df.where(x.isNotNull()).groupBy(x.alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    run = values.select("x", F.sum("n").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("upto"),
+                        F.sum("n").over(Window.partitionBy()).alias("all"))
+    pos = (F.col("all") - 1) * F.lit(float(p))
+    low = F.min(F.when(F.col("upto") >= F.floor(pos) + 1, F.col("x")))
+    high = F.min(F.when(F.col("upto") >= F.floor(pos) + 2, F.col("x")))
+    part = F.max(pos - F.floor(pos))
+    return run.agg(F.when(high.isNull(), low).otherwise(low + (high - low) * part)).scalar()

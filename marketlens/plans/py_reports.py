@@ -340,7 +340,7 @@ def r25_sales_kpis(wh: Warehouse) -> DataFrame:
     base = d.agg(_psum("price").alias("total_revenue"), n_orders().alias("total_orders"),
                  fdiv(F.coalesce(F.sum("price"), F.lit(0)), n_orders()).alias("avg_order_value"),
                  F.countDistinct("customer_unique_id").alias("customers"))
-    median_price = exact_percentile(d, "price", 0.5)  # prices: high cardinality
+    median_price = exact_percentile(d, "price", 0.5)
     return base.select("total_revenue", "total_orders", "avg_order_value", "customers",
                        rnd(F.coalesce(g, F.lit(0.0)), STAT_PLACES).alias("mom_growth_pct"),
                        rnd(median_price, STAT_PLACES).alias("median_price"))
