@@ -167,3 +167,10 @@ class IdSketch:
         at = self._at(c)
         word = F.get(self.bits, F.shiftright(at, 6).cast("int"))
         return word.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))) != 0
+
+    def left_join(self, rows: DataFrame, few: DataFrame, on: Column, key: Column) -> DataFrame:
+        """``rows`` left join ``few`` (the sketch's own table): only rows that may match are shuffled, the others
+        get nulls as they are read."""
+        hit = rows.where(self.may_hold(key)).join(few, on, "left")
+        rest = rows.where(~self.may_hold(key)).select("*", *[F.lit(None).cast(t).alias(c) for c, t in few.dtypes])
+        return hit.unionByName(rest)

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import Scratch, fields, fresh, small_batches
+from marketlens.llm.common import IdSketch, Scratch, fields, fresh, small_batches
 from marketlens.llm.cuckoo import Cuckoo, Shards
 
 BLANK = b" \t\n\x0b\x0c\r"
@@ -183,8 +183,10 @@ class LineIndex:
         """``docs`` with n_lines, n_dropped, kept_sha256 and, if wanted, kept_text (else without text)."""
         base = docs.drop("n_lines", "n_dropped", "kept_text", "kept_sha256")
         doc, drop = fresh(base, "doc", "drop")
-        lost = self.drops(docs).select(F.col("doc_id").alias(doc), F.col("drop").alias(drop))
-        both = base.join(lost, base.doc_id.cast("long").eqNullSafe(F.col(doc)), "left").drop(doc)
+        lost = self.scratch.table(self.drops(docs).select(F.col("doc_id").alias(doc), F.col("drop").alias(drop)))
+        key = F.col("doc_id").cast("long")
+        # texts that lose nothing are not shuffled
+        both = IdSketch(lost, doc).left_join(small_batches(base), lost, key.eqNullSafe(F.col(doc)), key).drop(doc)
         return _rewrite(both, drop, base if with_text else base.drop("text"), self.min_chars, with_text)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marketlens.llm import decontaminate as op9
 from marketlens.llm import mixing as op2
-from marketlens.llm.common import read
+from marketlens.llm.common import IdSketch, Scratch, read
 
 DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -48,8 +48,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @plain_names
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from marketlens.llm.minhash import near_duplicates
-    gone = near_duplicates(spark, docs, shingle=STAGE_SHINGLE).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = Scratch(spark, "near-dedup").table(
+        near_duplicates(spark, docs, shingle=STAGE_SHINGLE).where("not kept").select(F.col("doc_id").alias("extra_gone")).distinct())
+    key = F.col("doc_id").cast("long")
+    both = IdSketch(gone, "extra_gone").left_join(docs, gone, key == F.col("extra_gone"), key)
+    return both.where("extra_gone is null").select(*docs.columns)
 
 
 @plain_names
