@@ -78,11 +78,15 @@ def mix_sources(spark: SparkSession, docs: DataFrame, weights: dict = WEIGHTS, d
     ranges = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     made = {"block", "slot", "pos", "on_target"}
     keep = [c for c in docs.columns if c not in made]
-    others = [f"r.`{c}`" for c, t in docs.dtypes if c in keep and c not in {"doc_id", "source"} and not t.startswith("map")]
-    md5 = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    # columns travel under neutral names, so that none clashes with a column made here
+    plain = [f"c{i}" for i in range(len(keep))]
+    docs = docs.select(*[f"`{c}`" for c in keep]).toDF(*plain)
+    doc_id, source = (F.col(plain[keep.index(c)]) for c in ("doc_id", "source"))
+    others = [c for c, t in docs.dtypes if "map<" not in t]
+    md5 = F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
     at = F.floor(F.conv(F.substring(md5, 1, 8), 16, 10).cast("long") * ranges / F.lit(1 << 32))
-    name = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))  # "" is the null source
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("r"), name.alias("src"), md5.alias("md5"), at.alias("part"))
+    name = F.coalesce(F.concat(F.lit("="), source), F.lit(""))  # "" is the null source
+    rows = docs.select(*plain, name.alias("src"), md5.alias("md5"), at.alias("part"))
 
     # counts of (source, range): at most sources x ranges rows, then prefix sums inside a source
     counts = docs.select(name.alias("src"), at.alias("part")).groupBy("src", "part").agg(F.count("*").alias("n"))
@@ -90,23 +94,23 @@ def mix_sources(spark: SparkSession, docs: DataFrame, weights: dict = WEIGHTS, d
     before = counts.select("src", "part", (F.sum("n").over(by) - F.col("n")).alias("before"))
 
     w = F.lit(default_weight).cast("long")
-    for source, x in weights.items():
-        w = F.when(F.col("src") == ("" if source is None else "=" + source), F.lit(int(x)).cast("long")).otherwise(w)
+    for key, x in weights.items():
+        w = F.when(F.col("src") == ("" if key is None else "=" + key), F.lit(int(x)).cast("long")).otherwise(w)
     totals = counts.groupBy("src").agg(F.sum("n").alias("n")).withColumn("q", w)
     turns = frame_slots(totals)
     # the slot of the first last block of any source
     until = (totals.select("src", F.expr(f"(n + {block_rows} - 1) div {block_rows}").alias("blocks")).join(turns, "src")
              .where("turn = (blocks - 1) % q").agg(F.min(F.expr("((blocks - 1) div q) * frame + frame_slot"))).scalar())
 
-    order = Window.partitionBy("src", "part").orderBy(F.col("md5"), F.col("r.doc_id").asc_nulls_first(), *others)
+    order = Window.partitionBy("src", "part").orderBy(F.col("md5"), doc_id.asc_nulls_first(), *others)
     numbered = (rows.withColumn("at", F.row_number().over(order).cast("long") - 1)
                 .join(before, ["src", "part"]).withColumn("j", F.col("at") + F.col("before"))
-                .withColumn("block", F.expr(f"j div {block_rows}")).withColumn("pos", F.expr(f"j % {block_rows}"))
-                )
+                .withColumn("block", F.expr(f"j div {block_rows}")).withColumn("pos", F.expr(f"j % {block_rows}")))
     t = F.broadcast(turns)  # at most MAX_FRAME rows
     placed = numbered.join(t, (numbered.src == t.src) & (F.col("turn") == F.expr("block % q"))).withColumn(
         "slot", F.expr("(block div q) * frame + frame_slot"))
-    return placed.select("r.*", "block", "slot", "pos", (F.col("slot") <= until).alias("on_target"))
+    return placed.select(*plain, "block", "slot", "pos", (F.col("slot") <= until).alias("on_target")).toDF(
+        *keep, "block", "slot", "pos", "on_target")
 
 
 def write_mixture(mixed: DataFrame, path: str, partitions: int | None = None) -> None:

@@ -7,6 +7,7 @@ import pytest
 
 import corpus_pipeline
 from marketlens.llm import oracle, queries
+from marketlens.llm.common import Scratch
 from marketlens.llm.language_id import identify
 from marketlens.llm.line_dedup import line_key
 from tests.conftest import SF001
@@ -71,11 +72,9 @@ def test_pipeline_matches_brute_force(spark):
 
 def test_pipeline_takes_odd_rows(spark, make_docs):
     from tests.llm.conftest import odd_rows
-    docs = make_docs(odd_rows(), clash=True)
+    scratch = Scratch(spark, "t")  # as run() does: each stage is written and read again
+    docs, empty = make_docs(odd_rows(), clash=True), make_docs([])
     for name, stage in corpus_pipeline.STAGES:
-        docs = stage(spark, docs, SF001)
+        docs, empty = scratch.table(stage(spark, docs, SF001)), scratch.table(stage(spark, empty, SF001))
         assert docs.count() > 0, name
-    empty = make_docs([])
-    for _, stage in corpus_pipeline.STAGES:
-        empty = stage(spark, empty, SF001)
     assert empty.count() == 0
