@@ -171,6 +171,6 @@ class IdSketch:
     def left_join(self, rows: DataFrame, few: DataFrame, on: Column, key: Column) -> DataFrame:
         """``rows`` left join ``few`` (the sketch's own table): only rows that may match are shuffled, the others
         get nulls as they are read."""
-        hit = rows.where(self.may_hold(key)).join(few, on, "left")
+        hit = rows.where(self.may_hold(key)).join(few.hint("merge"), on, "left")  # `few` grows with the data: never broadcast
         rest = rows.where(~self.may_hold(key)).select("*", *[F.lit(None).cast(t).alias(c) for c, t in few.dtypes])
         return hit.unionByName(rest)

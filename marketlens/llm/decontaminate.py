@@ -35,7 +35,7 @@ from marketlens.llm import textkernel as tk
 from marketlens.llm.common import fields, fresh, small_batches
 
 WINDOW = 13
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 400_000
 BLOCK_WORDS = 4_000_000
 MATCH = "array<struct<item_id:bigint,doc_word:bigint,item_word:bigint,n_words:bigint>>"
 

@@ -35,7 +35,7 @@ CENTROIDS = 3
 LEAST_SHARE = 0.15
 REJECT = 0.4
 MAX_LANGUAGES = 1000
-ROWS, CHARS = 256, 1 << 20
+ROWS, CHARS = 64, 1 << 18
 _KEEP = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 

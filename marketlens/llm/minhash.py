@@ -159,7 +159,7 @@ def near_links(spark: SparkSession, docs: DataFrame, sig: DataFrame, scratch: Sc
              .select(F.col("rep").alias("id"), F.struct("leader", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own").alias("tile")))
     places = scratch.table(tiles.groupBy("id").agg(F.collect_list("tile").alias("tiles")))  # a document's tables bound its tiles
     asked = IdSketch(places, "id")  # texts without a place are not shuffled
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where(asked.may_hold(F.col("id"))).join(places, "id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where(asked.may_hold(F.col("id"))).join(places.hint("merge"), "id")
 
     def spread(batches):
         for batch in batches:

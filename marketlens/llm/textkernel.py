@@ -1,7 +1,7 @@
 """Vectorised word kernels over Arrow string buffers.
 
 Helpers that run inside ``mapInArrow`` tasks: rows arrive as Arrow batches and
-are cut into slices of about one megabyte (a longer row is one slice, cut again
+are cut into slices of a quarter of a megabyte (a longer row is one slice, cut again
 at word boundaries), so a task's memory does not follow the length of a text.
 Words are 64-bit hashes of their bytes; no Python string is made per word.
 """
@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 U64 = np.uint64
 _BASE = U64(0x9E3779B97F4A7C55)  # odd, so that its powers can be inverted modulo 2**64
 _INV = U64(pow(int(_BASE), -1, 1 << 64))
