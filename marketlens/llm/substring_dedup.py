@@ -1,17 +1,24 @@
-"""Operator 10: substring dedup by hashed units (sentences of lines, lines or paragraphs).
+"""Operator 10: substring dedup by hashed units (sentences of lines, lines or paragraphs) and word windows.
 
 Every text is cut into units with their original offsets (code points); a unit is
 normalised (lower case, white space as one blank) and hashed to 128 bits.  The
 digests are grouped globally, the earliest ranked occurrence (smallest rank, then
-offset) is kept, and the others are repeats.  Repeats that follow each other in a
+offset) is kept, and the others are repeats.  Repeats that touch or overlap in a
 document form a run; runs of at least ``min_words`` words are removed, so common
-short lines stay while long repeated passages go, wherever their lines or
-sentences are cut.  The removal is a table of spans; ``remove`` applies it.
+short lines stay while long repeated passages go.  The removal is a table of spans;
+``remove`` applies it.
 
-Units default to the sentences of each line (a sentence of fewer than
-``GLUE_WORDS`` words is read together with the next one of its line), which also
-finds a passage inside a longer line; ``unit="line"`` and ``"paragraph"`` hash whole
-lines or blank-line paragraphs.
+Units default to ``"passage"``: the sentences of each line (a sentence of fewer than
+``GLUE_WORDS`` words is read together with the next one of its line) and every window
+of ``min_words`` words that may occur twice, so a repeated passage of ``min_words``
+words is found wherever it starts and ends.  Which windows may is known from
+seeds: every window names the smallest hash of the half-windows in it (winnowing), so
+equal windows name equal seeds, and only windows whose seed occurs twice are grouped.
+The repeated seeds reach the tasks as a Bloom filter of at most ``SEED_BITS`` bits;
+beyond it more windows are grouped, never fewer.  A window that overlaps its own kept
+occurrence is no repeat.  In scripts written without blanks every character counts as
+a word of a window.  ``unit="sentence"``, ``"line"`` and ``"paragraph"`` hash only whole
+sentences, lines or blank-line paragraphs.
 
 A digest held by a third of all units is combined before the shuffle; when the
 decision goes back to the units it is a join key that adaptive execution splits.
@@ -21,7 +28,7 @@ Defined cases: null and empty texts have no units; of equal ranks the smaller
 offset is kept, so a repeat inside one document goes too; rows with a null id are
 ranked first and their spans have a null doc_id; repeated rows (same id and text)
 count as further occurrences at the same rank: the first row's unit is matched by
-(id, unit number), so rows of one id, taken as copies of one text, never remove
+(id, word number), so rows of one id, taken as copies of one text, never remove
 each other; empty tables give no spans; other columns are not returned by
 ``repeated_spans`` and pass through ``remove``.
 """
@@ -36,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import fresh, small_batches
+from marketlens.llm.common import Scratch, fresh, small_batches
 
 MIN_WORDS = 40
 GLUE_WORDS = 4
@@ -45,12 +52,19 @@ CUT = {
     "line": re.compile(r"\n+"),
     "paragraph": re.compile(r"\n[^\S\n]*\n+"),
 }
+CUT["passage"] = CUT["sentence"]
+#: Thai to Tibetan, Burmese, Khmer, kana, Han: written without blanks.
+SOLID = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+WORD = re.compile(rf"[{SOLID}]|[^\s{SOLID}]+")
+#: Words of a text that are hashed at a time, and bits of the largest filter of repeated seeds (64 MB).
+PIECE, SEED_BITS = 1 << 15, 1 << 29
+FILTER_BLOCK = 1 << 19
 
 
 def cut_units(text: str, unit: str):
     """(start, end, words, digest) of each unit of a text; offsets count code points."""
     at, head, size, held = 0, 0, 0, []
-    glue = GLUE_WORDS if unit == "sentence" else 0
+    glue = GLUE_WORDS if unit in ("sentence", "passage") else 0
     cuts = CUT[unit].finditer(text)
     while True:
         m = next(cuts, None)
@@ -73,50 +87,184 @@ def cut_units(text: str, unit: str):
         at = after
 
 
-def units(docs: DataFrame, unit: str = "sentence") -> DataFrame:
-    """(doc_id, no, start, end, words, h1, h2) of every unit."""
+class _Digests(dict):
+    """128-bit digests of words, lower-cased; bounded."""
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) > 200_000:
+            self.clear()
+        d = self[word] = xxhash.xxh3_128_digest(word.lower().encode("utf-8", "surrogatepass"))
+        return d
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
+
+
+class Windows:
+    """Hashes of all windows of ``size`` words of a text, and the seed of each."""
+
+    def __init__(self, size: int):
+        self.size, self.half = size, (size + 1) // 2
+        self.words = _Digests()
+        n = PIECE + size
+        self.power = []  # powers of two odd bases and of their inverses, modulo 2^64
+        for base in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F):
+            self.power.append([np.cumprod(np.append(np.uint64(1), np.full(n, x, np.uint64))) for x in (base, pow(base, -1, 1 << 64))])
+
+    def _rolled(self, h: np.ndarray, k: int, which: int) -> np.ndarray:
+        up, down = self.power[which]
+        total = np.append(np.uint64(0), np.cumsum(h * up[:len(h)], dtype=np.uint64))
+        return _mix((total[k:] - total[:-k]) * down[:len(h) - k + 1])
+
+    def of(self, text: str):
+        """(first, starts, ends, seed_at, seeds, hashes) of each piece of a text: offsets of its words from word
+        number ``first`` on; window i starts at word first + i, and its seed is ``seeds[seed_at[i]]``;
+        ``hashes(i)`` are 128-bit hashes of the windows i.  Every window is in one piece."""
+        first, words, at = 0, [], []
+        for m in WORD.finditer(text):
+            words.append(m[0])
+            at.append(m.span())
+            if len(words) == PIECE + self.size - 1:
+                yield self._piece(first, words, at)
+                first, words, at = first + PIECE, words[PIECE:], at[PIECE:]
+        yield self._piece(first, words, at)
+
+    def _piece(self, first: int, words: list, at: list):
+        at = np.array(at, np.int32).reshape(-1, 2)
+        if len(words) < self.size:
+            return first, at[:, 0], at[:, 1], np.zeros(0, np.int64), np.zeros(0, np.uint64), None
+        h = np.frombuffer(b"".join([self.words[w] for w in words]), np.uint64).reshape(-1, 2)
+        seeds = self._rolled(h[:, 0], self.half, 0)
+        few = self.size - self.half + 1
+        seed_at = np.lib.stride_tricks.sliding_window_view(seeds, few).argmin(1) + np.arange(len(seeds) - few + 1)
+
+        def hashes(i):
+            return self._rolled(h[:, 0], self.size, 0)[i].view(np.int64), self._rolled(h[:, 1], self.size, 1)[i].view(np.int64)
+
+        return first, at[:, 0], at[:, 1], seed_at, seeds, hashes
+
+
+def _probes(seeds, bits: int):
+    """Two places of each seed in a filter of ``bits`` bits (a power of two)."""
+    s = np.asarray(seeds).view(np.uint64)
+    return [(_mix(s ^ np.uint64(salt)) & np.uint64(bits - 1)).astype(np.int64) for salt in (0, 0x5851F42D4C957F2D)]
+
+
+def repeated_seeds(docs: DataFrame, size: int) -> np.ndarray:
+    """A Bloom filter (bits, packed) of the seeds that occur more than once among the windows of all texts.
+
+    Seeds are counted in Spark and the filter is put together there in blocks; the driver joins the blocks.
+    """
+    spark = docs.sparkSession
+
+    def task(batches):
+        windows = Windows(size)
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                for *_, seed_at, seeds, _ in windows.of(text or ""):
+                    if len(seed_at):
+                        yield pa.RecordBatch.from_arrays([pa.array(seeds[np.unique(seed_at)].view(np.int64))], names=["seed"])
+
+    found = small_batches(docs).select("text").mapInArrow(task, "seed long")
+    found = Scratch(spark, "seeds").table(found.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed"))
+    bits = min(SEED_BITS, max(FILTER_BLOCK, 1 << (16 * found.count()).bit_length()))
+
+    def places(batches):
+        for batch in batches:
+            at = np.unique(np.concatenate(_probes(batch.column("seed").to_numpy(), bits)))
+            yield pa.RecordBatch.from_arrays([pa.array(at // FILTER_BLOCK), pa.array((at % FILTER_BLOCK).astype(np.int32))], names=["block", "at"])
+
+    def fill(pdf):
+        import pandas as pd
+        block = np.zeros(FILTER_BLOCK, bool)
+        block[pdf["at"].to_numpy()] = True
+        return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "bits": [np.packbits(block).tobytes()]})
+
+    out = np.zeros(bits // 8, np.uint8)
+    for r in found.mapInArrow(places, "block long, at int").groupBy("block").applyInPandas(fill, "block long, bits binary").toLocalIterator():
+        part = np.frombuffer(r.bits, np.uint8)  # at most SEED_BITS / FILTER_BLOCK rows of 64 KB
+        out[r.block * len(part):(r.block + 1) * len(part)] = part
+    return out
+
+
+UNITS = "doc_id long, lo int, hi int, start int, end int, whole boolean, h1 long, h2 long"
+
+
+def units(docs: DataFrame, unit: str = "passage", size: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, lo, hi, start, end, whole, h1, h2): the words and offsets of every unit (``whole``) and, for passages,
+    of every window of ``size`` words whose seed may occur twice."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(repeated_seeds(docs, size)) if unit == "passage" else None
 
     def task(batches):
+        windows = Windows(size) if shared else None
+        names = [x.split()[0] for x in UNITS.split(", ")]
+        types = [pa.int64(), *[pa.int32()] * 4, pa.bool_(), pa.int64(), pa.int64()]
+
+        def out(batch, owner, *columns):
+            ids = batch.column("doc_id").take(pa.array(owner, pa.int64()))
+            return pa.RecordBatch.from_arrays([ids, *[pa.array(c, t) for c, t in zip(columns, types[1:], strict=True)]], names=names)
+
+        def of_units(batch, owner, lo, hi, start, end, keys):
+            h = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
+            return out(batch, owner, lo, hi, start, end, np.ones(len(owner), bool), h[:, 0], h[:, 1])
+
         for batch in batches:
-            owner, no, start, end, words, keys = [], [], [], [], [], []
+            held = [[] for _ in range(6)]
             for i, text in enumerate(batch.column("text").to_pylist()):
                 if not text:
                     continue
-                for k, (a, b, w, d) in enumerate(cut_units(text, unit)):
-                    owner.append(i)
-                    no.append(k)
-                    start.append(a)
-                    end.append(b)
-                    words.append(w)
-                    keys.append(d)
-                if len(owner) > 200_000:  # bounded output batches
-                    yield out(batch, owner, no, start, end, words, keys)
-                    owner, no, start, end, words, keys = [], [], [], [], [], []
-            yield out(batch, owner, no, start, end, words, keys)
-
-    def out(batch, owner, no, start, end, words, keys):
-        h = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").take(pa.array(owner, pa.int64())), *[pa.array(x, pa.int32()) for x in (no, start, end, words)],
-             pa.array(h[:, 0]), pa.array(h[:, 1])], names=["doc_id", "no", "start", "end", "words", "h1", "h2"])
-
-    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        task, "doc_id long, no int, start int, end int, words int, h1 long, h2 long")
-
-
-def repeated_spans(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, start, end, n_units, n_words, kept_doc_ids): the spans to remove, with where their units are kept."""
-    u = units(docs, unit)
-    first = (u.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "no")).alias("first"), F.count("*").alias("n"))
-             .where("n > 1").select("h1", "h2", F.col("first.doc_id").alias("kept"), F.col("first.no").alias("kept_no")))
-    again = u.join(first, ["h1", "h2"]).where(
-        ~(F.col("doc_id").eqNullSafe(F.col("kept")) & (F.col("no") == F.col("kept_no"))))
-    again = again.select("doc_id", "no", "start", "end", "words", "kept").distinct()
-    by = Window.partitionBy("doc_id").orderBy("no")
-    runs = again.withColumn("run", F.col("no") - F.row_number().over(by))
+                begins = []
+                if shared:
+                    seen, bits = shared.value, 8 * len(shared.value)
+                    for first, starts, ends, seed_at, seeds, hashes in windows.of(text):
+                        begins.append(starts[size - 1:] if first else starts)  # pieces overlap
+                        if not len(seed_at):
+                            continue
+                        named = np.unique(seed_at)
+                        a, b = _probes(seeds[named], bits)
+                        hit = ((seen[a >> 3] >> (7 - (a & 7)).astype(np.uint8)) & (seen[b >> 3] >> (7 - (b & 7)).astype(np.uint8)) & 1).astype(bool)
+                        may = np.zeros(len(seeds), bool)
+                        may[named[hit]] = True
+                        w = np.flatnonzero(may[seed_at])
+                        if len(w):
+                            h1, h2 = hashes(w)
+                            yield out(batch, np.full(len(w), i), first + w, first + w + size, starts[w], ends[w + size - 1], np.zeros(len(w), bool), h1, h2)
+                    begins = np.concatenate(begins)
+                words = 0
+                for a, b, w, d in cut_units(text, unit):
+                    lo, hi = (words, words + w) if not shared else np.searchsorted(begins, (a, b)).tolist()
+                    words += w
+                    for column, x in zip(held, (i, lo, hi, a, b, d), strict=True):
+                        column.append(x)
+                    if len(held[0]) > 200_000:  # bounded output batches
+                        yield of_units(batch, *held)
+                        held = [[] for _ in range(6)]
+            yield of_units(batch, *held)
+
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task, UNITS)
+
+
+def repeated_spans(docs: DataFrame, unit: str = "passage", min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, start, end, n_units, n_words, kept_doc_ids): the spans to remove, with where their units are kept;
+    ``n_units`` counts whole units."""
+    u = units(docs, unit, min_words)
+    first = (u.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "lo", "hi")).alias("first"), F.count("*").alias("n"))
+             .where("n > 1").select("h1", "h2", F.col("first.doc_id").alias("kept"), F.col("first.lo").alias("kept_lo"), F.col("first.hi").alias("kept_hi")))
+    own = F.col("doc_id").eqNullSafe(F.col("kept"))
+    again = u.join(first, ["h1", "h2"]).where(~(own & (F.col("lo") < F.col("kept_hi"))))
+    by = Window.partitionBy("doc_id").orderBy("lo", "hi", "whole")
+    before = by.rowsBetween(Window.unboundedPreceding, -1)
+    same = F.coalesce(F.lag(F.struct("lo", "hi", "whole")).over(by) == F.struct("lo", "hi", "whole"), F.lit(False))  # repeated rows
+    runs = again.select("doc_id", "lo", "hi", "start", "end", "whole", "kept").select(
+        "*", F.coalesce(F.col("lo") > F.max("hi").over(before), F.lit(True)).cast("int").alias("new"),
+        (F.col("whole") & ~same).cast("int").alias("counted"))
+    runs = runs.withColumn("run", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
     return (runs.groupBy("doc_id", "run")
-            .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_units"),
-                 F.sum("words").alias("n_words"), F.array_sort(F.collect_set("kept")).alias("kept_doc_ids"))
+            .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("counted").alias("n_units"),
+                 (F.max("hi") - F.min("lo")).cast("long").alias("n_words"), F.array_sort(F.collect_set("kept")).alias("kept_doc_ids"))
             .where(F.col("n_words") >= min_words).drop("run"))
 
 

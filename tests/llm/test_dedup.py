@@ -2,16 +2,18 @@
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marketlens.llm import embeddings, minhash
+from marketlens.llm import embeddings, minhash, substring_dedup
 from marketlens.llm.common import Scratch, connected_components
 from marketlens.llm.cuckoo import Cuckoo
 from marketlens.llm.line_dedup import LineIndex, dedup_lines, line_key
 from marketlens.llm.substring_dedup import cut_units, remove, repeated_spans
+from tests.conftest import SF001
 from tests.llm.conftest import odd_rows
 
 
@@ -224,3 +226,45 @@ def test_repeated_spans(spark, make_docs, unit):
         assert {3, 6, 9, 12, 15, 18} <= caught
         assert "word30" not in text[15]
     assert repeated_spans(make_docs([]), unit).count() == 0
+
+
+def uncovered_windows(rows, spans, size):
+    """Windows of ``size`` words (characters of Han) that have an earlier occurrence and a word outside the spans."""
+    seen, missed = {}, []
+    gone = {}
+    for r in spans:
+        gone.setdefault(r.doc_id, []).append((r.start, r.end))
+    for i, t in sorted(rows):
+        at = [m.span() for m in re.finditer(r"[一-鿿]|[^\s一-鿿]+", t or "")]
+        words = [t[a:b].lower() for a, b in at]
+        for k in range(len(words) - size + 1):
+            d, q = seen.setdefault(tuple(words[k:k + size]), (i, k))
+            if (d, q) != (i, k) and (d != i or k >= q + size) and not any(a <= at[k][0] and at[k + size - 1][1] <= b for a, b in gone.get(i, [])):
+                missed.append((i, k))
+    return missed
+
+
+@pytest.mark.parametrize("piece", [1 << 15, 7])  # 7: texts cut into many pieces
+def test_passages_wherever_they_start(spark, make_docs, monkeypatch, piece):
+    monkeypatch.setattr(substring_dedup, "PIECE", piece)
+    rng = random.Random(12)
+
+    def own(n):
+        return " ".join(f"u{rng.randrange(10**9)}" for _ in range(n))
+    inside, han = own(60), "".join(chr(0x4e00 + rng.randrange(5000)) for _ in range(90))
+    two = own(25) + ". " + own(25) + "."
+    rows = [(i, own(20) + " " + p + " " + own(15) + ".") for i, p in enumerate([inside, inside.upper(), "Oh no. " + two, "So. " + two, han, han + "。", own(60), own(39)])]
+    rows += [(20, own(39) + " " + (part := own(39))), (21, part + " " + own(39)), (22, "again " * 100), (23, own(5) + " " + inside + "\n" + inside)]
+    spans = repeated_spans(make_docs(rows, clash=True)).collect()
+    assert uncovered_windows(rows, spans, 40) == []
+    assert {r.doc_id for r in spans} == {1, 3, 5, 22, 23}
+    text = dict(rows)
+    assert {r.doc_id: text[r.doc_id][r.start:r.end] for r in spans if r.doc_id in (1, 5, 22)} == {1: inside.upper(), 5: han, 22: " ".join(["again"] * 60)}
+    left = {r.doc_id: r.text for r in remove(make_docs(rows), repeated_spans(make_docs(rows))).collect()}
+    assert left[0] == text[0] and left[22].split() == ["again"] * 40 and left[20] == text[20] and left[21] == text[21]
+
+
+def test_no_repeated_window_of_the_tables_is_missed(spark):
+    docs = spark.read.parquet(f"{SF001}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    assert uncovered_windows(rows, repeated_spans(docs).collect(), 50) == []
