@@ -4,8 +4,11 @@ Texts become vectors of hashed character 2- and 3-grams (letters lower-cased,
 everything else one blank), weighted ``(1 + log tf) idf`` and scaled to length 1.
 Document frequencies come from all training documents.  For each language at most
 about ``FIT_DOCS`` training texts (documented bound) are clustered by spherical
-k-means into at most ``CENTROIDS`` centroids, one language per task; clusters of
-less than ``LEAST_SHARE`` of the fit texts (mislabelled or mixed ones) are left out.
+k-means (seeded by spread) into at most ``CENTROIDS`` centroids, one language per task.
+Clusters of less than ``LEAST_SHARE`` of the fit texts are kept as well (a second script,
+short or code-like texts), unless their texts are on average nearer to a main centroid of
+another language than to those of their own, and as near as its own texts are
+(mislabelled ones).
 A text gets the language of the centroid with the largest cosine, its score.
 
 Rejection by distance: a text is rejected if its cosine is under ``REJECT`` times
@@ -114,25 +117,50 @@ def learn_idf(train: DataFrame) -> np.ndarray:
     return np.log((1 + df[-1]) / (1 + df[:-1])) + 1
 
 
-def kmeans(x: np.ndarray, k: int, rounds: int = 15) -> np.ndarray:
-    """Spherical k-means; starts from the mean's farthest points, so it is the same on every run."""
-    centre = x.mean(0)
-    c = [centre / max(np.linalg.norm(centre), 1e-12)]
-    while len(c) < min(k, len(x)):
-        c.append(x[np.argmin((x @ np.stack(c).T).max(1))])
-    c = np.stack(c)
-    for _ in range(rounds):
-        near = (x @ c.T).argmax(1)
-        new = np.stack([x[near == i].mean(0) if (near == i).any() else c[i] for i in range(len(c))])
-        new /= np.maximum(np.linalg.norm(new, axis=1, keepdims=True), 1e-12)
-        if np.allclose(new, c, atol=1e-6):
-            break
-        c = new
-    return c
+def kmeans(x: np.ndarray, k: int, rounds: int = 15, tries: int = 4) -> np.ndarray:
+    """Spherical k-means, the best of a few greedy k-means++ starts; seeded, so it is the same on every run."""
+    best, found = -np.inf, x[:0]
+    for seed in range(tries):
+        rng = np.random.default_rng(seed)
+        c = x[[rng.integers(len(x))]]
+        while len(c) < min(k, len(x)):
+            top = (x @ c.T).max(1).astype(float)
+            far = np.maximum(1 - top, 0)
+            far[far < 1e-6] = 0  # copies of a seed
+            if not far.any():
+                break
+            some = rng.choice(len(x), min(8, len(x)), p=far / far.sum())
+            c = np.concatenate([c, x[[max(some, key=lambda j: np.maximum(top, x @ x[j]).sum())]]])
+        for _ in range(rounds):
+            near = (x @ c.T).argmax(1)
+            new = np.stack([x[near == i].mean(0) if (near == i).any() else c[i] for i in range(len(c))])
+            new /= np.maximum(np.linalg.norm(new, axis=1, keepdims=True), 1e-12)
+            if np.allclose(new, c, atol=1e-6):
+                break
+            c = new
+        if (fit := float((x @ c.T).max(1).sum())) > best:
+            best, found = fit, c
+    return found
+
+
+def keep_minorities(model: list) -> list:
+    """``model`` rows without the small clusters that another language's main centroids explain better.
+
+    ``tight * cosine(cluster, centroid)`` is the mean cosine of the cluster's texts with a centroid.
+    """
+    main = [r for r in model if r.main]
+    c = np.array([r.vector for r in main], np.float32).reshape(-1, DIM)
+    langs, floors = np.array([r.lang for r in main], object), np.array([r.floor for r in main])
+
+    def stray(r):
+        cos, own = r.tight * (c @ np.array(r.vector, np.float32)), langs == r.lang
+        return bool(((cos > cos[own].max()) & (cos >= floors) & ~own).any())
+    return [r for r in model if r.main or not stray(r)]
 
 
 def learn_centroids(train: DataFrame, idf: np.ndarray, fit_docs: int = FIT_DOCS) -> DataFrame:
-    """(lang, floor, vector): the centroids of each language and its distance bound."""
+    """(lang, floor, main, tight, vector): the centroids of each language, the distance bound of its main ones, whether a
+    centroid is one, and the mean cosine of its texts with it."""
     sizes = train.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError("more languages than MAX_LANGUAGES")
@@ -149,14 +177,18 @@ def learn_centroids(train: DataFrame, idf: np.ndarray, fit_docs: int = FIT_DOCS)
         x = np.concatenate(x) if x else np.zeros((0, DIM), np.float32)
         x = x[np.linalg.norm(x, axis=1) > 0.5]
         if not len(x):
-            return pd.DataFrame({"lang": [], "floor": [], "vector": []})
+            return pd.DataFrame({"lang": [], "floor": [], "main": [], "tight": [], "vector": []})
         c = kmeans(x, CENTROIDS)
-        share = np.bincount((x @ c.T).argmax(1), minlength=len(c)) / len(x)
-        c = c[share >= min(LEAST_SHARE, share.max())]
-        floor = float(np.quantile((x @ c.T).max(1), 0.01))
-        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]] * len(c), "floor": [floor] * len(c), "vector": [v.astype(np.float32).tolist() for v in c]})
+        near = (x @ c.T).argmax(1)
+        share = np.bincount(near, minlength=len(c)) / len(x)
+        c, share, near = c[share > 0], share[share > 0], (np.cumsum(share > 0) - 1)[near]
+        main = share >= min(LEAST_SHARE, share.max())
+        tight = [float(np.linalg.norm(x[near == i].mean(0))) for i in range(len(c))]
+        floor = float(np.quantile((x @ c[main].T).max(1), 0.01))
+        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]] * len(c), "floor": [floor] * len(c), "main": main, "tight": tight,
+                             "vector": [v.astype(np.float32).tolist() for v in c]})
 
-    return some.groupBy("lang").applyInPandas(fit, "lang string, floor double, vector array<float>")
+    return some.groupBy("lang").applyInPandas(fit, "lang string, floor double, main boolean, tight double, vector array<float>")
 
 
 def identify(spark: SparkSession, docs: DataFrame, fit_docs: int = FIT_DOCS) -> DataFrame:
@@ -164,7 +196,7 @@ def identify(spark: SparkSession, docs: DataFrame, fit_docs: int = FIT_DOCS) ->
     train = small_batches(docs).select("doc_id", "text", "lang").where(
         (F.coalesce(crc_mod(F.col("doc_id"), 3), F.lit(1)) != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     idf = learn_idf(train)
-    model = learn_centroids(train, idf, fit_docs).collect()  # at most CENTROIDS rows for each of MAX_LANGUAGES
+    model = keep_minorities(learn_centroids(train, idf, fit_docs).collect())  # at most CENTROIDS rows for each of MAX_LANGUAGES
     model.sort(key=lambda r: (r.lang, r.vector))
     langs = np.array([r.lang for r in model], object)
     floors = np.array([r.floor for r in model])

@@ -98,6 +98,22 @@ def test_language_odd_rows(spark, make_docs):
     assert {r.lang_pred for r in identify(spark, make_docs([(1, "text", None)])).collect()} == {"und"}
 
 
+def made_up(seed, letters, n, words=60):
+    """Texts of a made-up language: 80 own words, some much more frequent."""
+    rng = random.Random(seed)
+    vocab = ["".join(rng.choice(letters) for _ in range(rng.randint(2, 7))) for _ in range(80)]
+    return [" ".join(vocab[int(80 * rng.random() ** 2)] for _ in range(words)) for _ in range(n)]
+
+
+def test_language_in_two_scripts(spark, make_docs):
+    latin, cyrillic, other = made_up(1, "abcdeklmnorst", 360), made_up(2, "абвгдежзиклмно", 40), made_up(3, "eiouvwxyzhgfq", 400)
+    texts = [(t, "sr") for t in latin + cyrillic] + [(t, "xx") for t in other] + [(t, "sr") for t in made_up(3, "eiouvwxyzhgfq", 430)[400:]]  # the last: mislabelled
+    got = {r.doc_id: r for r in identify(spark, make_docs([(i, *x) for i, x in enumerate(texts)])).collect()}
+    assert all(got[i].lang_pred == "sr" for i in range(400))
+    assert sum(not got[i].rejected for i in range(360, 400)) >= 38
+    assert all(got[i].lang_pred == "xx" for i in range(400, len(texts)))
+
+
 def test_grams_do_not_depend_on_the_batch():
     texts = [f"some text number {i} é".encode() * (i % 9) for i in range(600)]
     together = np.concatenate([c for _, c in count_grams(texts)])
