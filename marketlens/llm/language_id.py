@@ -11,9 +11,11 @@ another language than to those of their own, and as near as its own texts are
 (mislabelled ones).
 A text gets the language of the centroid with the largest cosine, its score.
 
-Rejection by distance: a text is rejected if its cosine is under ``REJECT`` times
-the lowest 1 % of its language's own fit texts (or it has no letter), so that only
-texts far from every learnt language go.
+Rejection by distance: a text is rejected if its cosine is under a share of the
+lowest 1 % of its language's own fit texts (or it has no letter).  The share is what
+``OUTSIDE`` of the texts stay under that no centroid was learnt from: each language's
+fit texts against the centroids of the others, and noise of the same lengths and
+letters; it is never over 1, so that about 1 % of a language's own texts go at most.
 
 Long texts are counted in slices; a task holds one batch of vectors at a time.
 
@@ -30,13 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import crc_mod, fields, held_out, small_batches
+from marketlens.llm.common import Scratch, crc_mod, fields, held_out, small_batches
 
 DIM = 4096
 FIT_DOCS = 300
 CENTROIDS = 3
 LEAST_SHARE = 0.15
-REJECT = 0.4
+OUTSIDE = 0.95
+NOISE_CHARS = 2000
 MAX_LANGUAGES = 1000
 ROWS, CHARS = 64, 1 << 18
 _KEEP = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -158,9 +161,8 @@ def keep_minorities(model: list) -> list:
     return [r for r in model if r.main or not stray(r)]
 
 
-def learn_centroids(train: DataFrame, idf: np.ndarray, fit_docs: int = FIT_DOCS) -> DataFrame:
-    """(lang, floor, main, tight, vector): the centroids of each language, the distance bound of its main ones, whether a
-    centroid is one, and the mean cosine of its texts with it."""
+def fit_sample(train: DataFrame, fit_docs: int = FIT_DOCS) -> DataFrame:
+    """(lang, doc_id, text): the texts that are learnt from, written once."""
     sizes = train.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError("more languages than MAX_LANGUAGES")
@@ -168,14 +170,23 @@ def learn_centroids(train: DataFrame, idf: np.ndarray, fit_docs: int = FIT_DOCS)
     span = 1 << 30
     some = (train.join(sizes, "lang").where(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(span)) < fit_docs * span / F.col("n"))
             .select("lang", "doc_id", "text"))
+    return Scratch(train.sparkSession, "language-fit").table(some)
+
+
+def fit_vectors(texts: list, idf: np.ndarray) -> np.ndarray:
+    x = [vectors(c, idf) for _, c in count_grams(texts)]
+    x = np.concatenate(x) if x else np.zeros((0, DIM), np.float32)
+    return x[np.linalg.norm(x, axis=1) > 0.5]
+
+
+def learn_centroids(some: DataFrame, idf: np.ndarray) -> DataFrame:
+    """(lang, floor, main, tight, vector): the centroids of each language, the distance bound of its main ones, whether a
+    centroid is one, and the mean cosine of its texts with it."""
 
     def fit(pdf):
         import pandas as pd
         pdf = pdf.sort_values("doc_id")
-        texts = [t.encode("utf-8", "surrogatepass") for t in pdf["text"] if t]
-        x = [vectors(c, idf) for _, c in count_grams(texts)]
-        x = np.concatenate(x) if x else np.zeros((0, DIM), np.float32)
-        x = x[np.linalg.norm(x, axis=1) > 0.5]
+        x = fit_vectors([t.encode("utf-8", "surrogatepass") for t in pdf["text"] if t], idf)
         if not len(x):
             return pd.DataFrame({"lang": [], "floor": [], "main": [], "tight": [], "vector": []})
         c = kmeans(x, CENTROIDS)
@@ -191,16 +202,45 @@ def learn_centroids(train: DataFrame, idf: np.ndarray, fit_docs: int = FIT_DOCS)
     return some.groupBy("lang").applyInPandas(fit, "lang string, floor double, main boolean, tight double, vector array<float>")
 
 
+def outside_share(some: DataFrame, shared, langs: np.ndarray, floors: np.ndarray) -> float:
+    """The share of its language's floor that ``OUTSIDE`` of the texts of unlearnt languages and of noise stay under.
+
+    The largest over all languages and their noise counts; one task per language, two numbers from each.
+    """
+
+    def task(pdf):
+        import pandas as pd
+        pdf = pdf.sort_values("doc_id")
+        idf, c = shared.value
+        texts = [t.encode("utf-8", "surrogatepass") for t in pdf["text"] if t]
+        rng, heads = np.random.default_rng(0), [plain(t)[:NOISE_CHARS] for t in texts]
+        letters = sorted(set("".join(heads)) - {" "})
+        letters += [" "] * (1 + len(letters) // 5)
+        noise = ["".join(rng.choice(letters, len(t))).encode("utf-8", "surrogatepass") for t in heads]
+        others, found = langs != pdf["lang"].iloc[0], []
+        for x, which in ((fit_vectors(texts, idf), others), (fit_vectors(noise, idf), np.ones(len(c), bool))):
+            if len(x) and which.any():
+                cos = x @ c[which].T
+                best = cos.argmax(1)
+                ratio = cos[np.arange(len(x)), best] / np.maximum(floors[which][best], 1e-9)
+                found.append(float(np.quantile(ratio, OUTSIDE)))
+        return pd.DataFrame({"share": found})
+
+    shares = [r.share for r in some.groupBy("lang").applyInPandas(task, "share double").collect()]
+    return min(1.0, max(shares, default=0.0))
+
+
 def identify(spark: SparkSession, docs: DataFrame, fit_docs: int = FIT_DOCS) -> DataFrame:
     """``docs`` with held_out, lang_pred, score, rejected."""
     train = small_batches(docs).select("doc_id", "text", "lang").where(
         (F.coalesce(crc_mod(F.col("doc_id"), 3), F.lit(1)) != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     idf = learn_idf(train)
-    model = keep_minorities(learn_centroids(train, idf, fit_docs).collect())  # at most CENTROIDS rows for each of MAX_LANGUAGES
+    model = keep_minorities(learn_centroids(some := fit_sample(train, fit_docs), idf).collect())  # at most CENTROIDS rows for each of MAX_LANGUAGES
     model.sort(key=lambda r: (r.lang, r.vector))
     langs = np.array([r.lang for r in model], object)
     floors = np.array([r.floor for r in model])
     shared = spark.sparkContext.broadcast((idf, np.array([r.vector for r in model], np.float32).reshape(-1, DIM)))
+    bounds = floors * (outside_share(some, shared, langs, floors) if len(model) else 0)
     base = docs.drop("held_out", "lang_pred", "score", "rejected")
     names = base.columns
     schema = fields(base, "lang_pred string, score double, rejected boolean")
@@ -219,7 +259,7 @@ def identify(spark: SparkSession, docs: DataFrame, fit_docs: int = FIT_DOCS) ->
                 for ok, i, s in zip(seen, best, top, strict=True):
                     pred.append(langs[i] if ok else "und")
                     score.append(s if ok else 0.0)
-                    rejected.append(not ok or bool(s < REJECT * floors[i]))
+                    rejected.append(not ok or bool(s < bounds[i]))
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(x) for x in names], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())],
                 names=[*names, "lang_pred", "score", "rejected"])

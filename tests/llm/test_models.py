@@ -98,6 +98,19 @@ def test_language_odd_rows(spark, make_docs):
     assert {r.lang_pred for r in identify(spark, make_docs([(1, "text", None)])).collect()} == {"und"}
 
 
+def test_unlearnt_languages_and_noise_are_rejected(spark):
+    docs = read(spark, "documents").select("doc_id", "text", "lang")
+    noise = spark.range(200).selectExpr("id + 10000000 as doc_id", "cast(null as string) as text", "cast(null as string) as lang")
+    rng = random.Random(4)
+    noise = spark.createDataFrame([(r.doc_id, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(600)), None) for r in noise.collect()], docs.schema)
+    for left_out in ("fr", "de"):
+        unlabelled = docs.withColumn("was", F.col("lang")).withColumn("lang", F.when(F.col("lang") != left_out, F.col("lang")))
+        got = identify(spark, unlabelled.unionByName(noise.withColumn("was", F.lit("noise")))).toPandas()
+        assert got[got.was == left_out].rejected.mean() > 0.8
+        assert got[got.was == "noise"].rejected.mean() > 0.9
+        assert got[~got.was.isin([left_out, "noise"])].rejected.mean() < 0.02
+
+
 def made_up(seed, letters, n, words=60):
     """Texts of a made-up language: 80 own words, some much more frequent."""
     rng = random.Random(seed)
