@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -103,6 +103,27 @@ def labelled_sample(labels: DataFrame, label: str, limit: int, seed: int = 11) -
     return rows.where(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(span)) < cut)
 
 
+def numbered(rows: DataFrame, group: list[str], order: list[str], scratch: Scratch) -> DataFrame:
+    """``rows`` with ``pos`` (0, 1, ... inside each group, ascending by ``order``, nulls first) and ``n`` (the group's size).
+
+    Rows are dealt into sorted ranges and written with their range and place; a row's
+    place in its group is its place in the range plus the group's rows in earlier
+    ranges.  What is counted over all ranges has one row per range and group in it, so a
+    group that holds most rows takes many tasks.  ``rows`` is read twice (ranges are
+    sampled): pass a written table.
+    """
+    part, at, first = fresh(rows, "part", "at", "first")
+    line = [F.col(c).asc_nulls_first() for c in (*group, *order)]
+    dealt = scratch.table(rows.repartitionByRange(*line).sortWithinPartitions(*line)
+                          .withColumns({part: F.spark_partition_id(), at: F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}))
+    sizes = dealt.groupBy(part, *group).agg(F.count("*").alias("n"), F.min(at).alias(first))
+    before = Window.partitionBy(*group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    shift = F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col(first)
+    sizes = scratch.table(sizes.select(part, *group, shift.alias(first), F.sum("n").over(Window.partitionBy(*group)).alias("n")))
+    same = [dealt[part] == sizes[part], *[dealt[c].eqNullSafe(sizes[c]) for c in group]]
+    return dealt.join(sizes, same).select(*[dealt[c] for c in rows.columns], (dealt[at] + sizes[first]).alias("pos"), sizes["n"])
+
+
 def connected_components(spark: SparkSession, links: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``links(u, v)``; component = smallest node reachable.
 

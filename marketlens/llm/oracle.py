@@ -129,7 +129,53 @@ SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items
 FROM d LEFT JOIN hw USING (rid) LEFT JOIN it USING (rid) LEFT JOIN best USING (rid)
 """
 
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE octet_length(encode({0}::VARCHAR)) || ':' || {0} END"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+_CRC = """xor(list_reduce([4294967295]::BIGINT[] || list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT),
+          lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295)"""
+OP13 = f"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda b: list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0],
+           lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+l AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce('=' || lang, '') AS g, {_leaf('text')} AS leaf,
+         CASE WHEN {_CRC} % 3 = 0 THEN {_leaf(_fold('text'))} END AS claim
+  FROM documents, crc),
+p AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM l),
+t(level, g, pos, n, d) AS (
+  SELECT 0, g, pos, n, leaf FROM p
+  UNION ALL
+  SELECT level + 1, g, pos // 8, (n + 7) // 8, sha256(string_agg(d, '' ORDER BY pos)) FROM t WHERE n > 1 GROUP BY level, g, pos // 8, (n + 7) // 8),
+sub AS (SELECT g, d, level AS height, row_number() OVER (ORDER BY g) - 1 AS gpos, count(*) OVER () AS gn FROM t WHERE n = 1),
+u(level, pos, n, d) AS (
+  SELECT 0, gpos, gn, d FROM sub
+  UNION ALL
+  SELECT level + 1, pos // 8, (n + 7) // 8, sha256(string_agg(d, '' ORDER BY pos)) FROM u WHERE n > 1 GROUP BY level, pos // 8, (n + 7) // 8),
+top AS (SELECT d AS root, level AS rises FROM u WHERE n = 1),
+sib AS (  -- a document's siblings, step by step
+  SELECT p.rid, t.level AS step, t.pos < p.pos >> (3 * t.level) AS before, t.pos, t.d
+  FROM p JOIN t ON t.g = p.g AND t.n > 1 AND t.pos >> 3 = p.pos >> (3 * (t.level + 1)) AND t.pos <> p.pos >> (3 * t.level)
+  UNION ALL
+  SELECT p.rid, height + u.level, u.pos < gpos >> (3 * u.level), u.pos, u.d
+  FROM p JOIN sub USING (g) JOIN u ON u.n > 1 AND u.pos >> 3 = gpos >> (3 * (u.level + 1)) AND u.pos <> gpos >> (3 * u.level)),
+side AS (SELECT rid, step, coalesce(string_agg(d, '' ORDER BY pos) FILTER (before), '') AS lo,
+                coalesce(string_agg(d, '' ORDER BY pos) FILTER (NOT before), '') AS hi FROM sib GROUP BY rid, step),
+proof AS (SELECT rid, string_agg(lo || hi, '' ORDER BY step) AS bytes FROM side GROUP BY rid),
+f(rid, step, steps, d) AS (
+  SELECT rid, 0, height + rises, coalesce(claim, leaf) FROM p JOIN sub USING (g), top
+  UNION ALL
+  SELECT f.rid, f.step + 1, f.steps, sha256(coalesce(lo, '') || f.d || coalesce(hi, ''))
+  FROM f LEFT JOIN side ON side.rid = f.rid AND side.step = f.step WHERE f.step < f.steps)
+SELECT p.doc_id, leaf, sub.d AS subroot, root, sha256(coalesce(bytes, '')) AS proof_sha256, f.d AS folded_root, f.d = root AS verified
+FROM p JOIN sub USING (g) LEFT JOIN proof USING (rid) JOIN f ON f.rid = p.rid AND f.step = f.steps, top
+"""
+
 SQL: dict[str, str] = {
     "op1_url_filter": OP1, "op2_mix_sources": OP2, "op6_line_dedup": OP6, "op7_minhash": OP7,
-    "op8_embedding_dedup": OP8, "op9_decontaminate": OP9,
+    "op8_embedding_dedup": OP8, "op9_decontaminate": OP9, "op13_merkle_manifest": OP13,
 }

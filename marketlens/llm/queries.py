@@ -64,6 +64,16 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(spark, read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketlens.llm.merkle import changed_copy, fold, hex_text, merkle_manifest, proof_bytes
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    found = merkle_manifest(spark, docs, claim=changed_copy)
+    found = found.withColumn("folded", fold(F.col("claimed"), F.col("path")))
+    return found.select("doc_id", hex_text(F.col("leaf")).alias("leaf"), hex_text(F.col("subroot")).alias("subroot"),
+                        hex_text(F.col("root")).alias("root"), F.sha2(hex_text(proof_bytes(F.col("path"))), 256).alias("proof_sha256"),
+                        hex_text(F.col("folded")).alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_url_filter, op2_mix_sources, op3_toxicity, op4_language_id, op5_quality, op6_line_dedup, op7_minhash,
-    op8_embedding_dedup, op9_decontaminate, op10_substring_dedup)}
+    op8_embedding_dedup, op9_decontaminate, op10_substring_dedup, op13_merkle_manifest)}
