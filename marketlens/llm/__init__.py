@@ -1,4 +1,4 @@
-"""Training-data operators: ten corpus operators, each a Spark job over whole tables.
+"""Training-data operators: the corpus operators, each a Spark job over whole tables.
 
 Nothing outside this package imports it; ``queries`` holds the registered
 queries, ``oracle`` their DuckDB SQL.  The task functions of this package travel

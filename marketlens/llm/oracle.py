@@ -129,6 +129,22 @@ SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items
 FROM d LEFT JOIN hw USING (rid) LEFT JOIN it USING (rid) LEFT JOIN best USING (rid)
 """
 
+_TERMS = r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'"
+OP12 = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_fold("text")}, {_TERMS}) AS ws FROM documents WHERE text IS NOT NULL),
+s AS (SELECT count(*) AS N, sum(len(ws))::BIGINT AS L FROM d WHERE len(ws) > 0),
+b AS (SELECT row_number() OVER () AS q, item_id, regexp_extract_all({_fold("text")}, {_TERMS}) AS ws FROM benchmark WHERE text IS NOT NULL),
+qt AS (SELECT q, t, count(*) AS times FROM (SELECT q, unnest(ws) AS t FROM b) GROUP BY q, t),
+p AS (SELECT rid, t, count(*) AS tf FROM (SELECT rid, unnest(ws) AS t FROM d) WHERE t IN (SELECT t FROM qt) GROUP BY rid, t),
+w AS (SELECT t, floor(1000 * ln((2.0::DOUBLE * any_value(N) + 2) / (2.0::DOUBLE * count(*) + 1)))::BIGINT AS w FROM p, s GROUP BY t),
+m AS (SELECT rid, doc_id, 75 + (25 * len(ws) * N) // L AS m FROM d, s WHERE len(ws) > 0),
+r AS (
+  SELECT q, rid, any_value(doc_id) AS doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+  FROM qt JOIN p USING (t) JOIN w USING (t) JOIN m USING (rid) GROUP BY q, rid),
+k AS (SELECT q, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank FROM r WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k JOIN b USING (q) WHERE rank <= 20
+"""
+
 _FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE octet_length(encode({0}::VARCHAR)) || ':' || {0} END"
 
 
@@ -177,5 +193,5 @@ FROM p JOIN sub USING (g) LEFT JOIN proof USING (rid) JOIN f ON f.rid = p.rid AN
 
 SQL: dict[str, str] = {
     "op1_url_filter": OP1, "op2_mix_sources": OP2, "op6_line_dedup": OP6, "op7_minhash": OP7,
-    "op8_embedding_dedup": OP8, "op9_decontaminate": OP9, "op13_merkle_manifest": OP13,
+    "op8_embedding_dedup": OP8, "op9_decontaminate": OP9, "op12_ranked_search": OP12, "op13_merkle_manifest": OP13,
 }

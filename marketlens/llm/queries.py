@@ -64,6 +64,20 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(spark, read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketlens.llm.common import Scratch
+    from marketlens.llm.simhash import near_counts, neighbour_fingerprints
+    rows = Scratch(spark, "fingerprints").table(neighbour_fingerprints(spark, read(spark, sf_dir, "documents").select("doc_id", "text")))
+    return near_counts(rows, F.col("doc_id") % 100 == 0)
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketlens.llm.common import Scratch
+    from marketlens.llm.ranked_search import build_index, search
+    index = Scratch(spark, "search-index").table(build_index(read(spark, sf_dir, "documents").select("doc_id", "text")))
+    return search(spark, index, read(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marketlens.llm.merkle import changed_copy, fold, hex_text, merkle_manifest, proof_bytes
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
@@ -76,4 +90,5 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_url_filter, op2_mix_sources, op3_toxicity, op4_language_id, op5_quality, op6_line_dedup, op7_minhash,
-    op8_embedding_dedup, op9_decontaminate, op10_substring_dedup, op13_merkle_manifest)}
+    op8_embedding_dedup, op9_decontaminate, op10_substring_dedup, op11_fingerprints,
+    op12_ranked_search, op13_merkle_manifest)}
