@@ -56,23 +56,46 @@ def _terms(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([row, row[:n][inside]]), np.concatenate([h, tk.mix(sh[inside])])
 
 
+#: For each byte its eight bits as the bytes of one 64-bit word, so that one addition counts eight bits.
+_LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(U64)[:, 0]
+
+
+def _bits(term: np.ndarray) -> np.ndarray:
+    """(terms, BITS // 8) bytes: the bits that each term votes for."""
+    return np.stack([tk.mix(term + seed) for seed in tk.mix(np.arange(1, BITS // 64 + 1, dtype=U64))], axis=1).view(np.uint8).reshape(len(term), -1)
+
+
+def _starts(row: np.ndarray, most: int) -> np.ndarray:
+    """First places of runs of equal rows, of at most ``most`` places each."""
+    new = np.append(True, row[1:] != row[:-1])[:len(row)]
+    since = np.arange(len(row)) - np.maximum.accumulate(np.where(new, np.arange(len(row)), 0))
+    return np.flatnonzero(since % most == 0)
+
+
 def votes(row: np.ndarray, term: np.ndarray, rows: int) -> np.ndarray:
     """(rows, BITS // 8) bytes: the signs of the weighted votes of each row's terms."""
-    order = np.lexsort((term, row))
+    order = np.argsort(term)
+    line = row[order].astype(np.uint16) if rows <= 1 << 16 else row[order]
+    order = order[np.argsort(line, kind="stable")]
     row, term = row[order], term[order]
     first = np.ones(len(row), bool)
     first[1:] = (row[1:] != row[:-1]) | (term[1:] != term[:-1])
     at = np.flatnonzero(first)
     tf = np.diff(np.append(at, len(row)))
-    row, term, weight = row[at], term[at], np.rint(16 + 16 * np.log2(np.maximum(tf, 1))).astype(np.int32)
+    row, term = row[at], term[at]
     total = np.zeros((rows, BITS), np.int64)
     for lo in range(0, len(row), VOTES):
-        r, t, w = row[lo:lo + VOTES], term[lo:lo + VOTES], weight[lo:lo + VOTES]
-        words = np.stack([tk.mix(t + seed) for seed in tk.mix(np.arange(1, BITS // 64 + 1, dtype=U64))], axis=1)
-        bits = np.unpackbits(words.view(np.uint8).reshape(len(t), -1), axis=1)
-        starts = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
-        signed = np.where(bits, w[:, None], -w[:, None])
-        total[r[starts]] += np.add.reduceat(signed, starts, axis=0)
+        r, t, n = row[lo:lo + VOTES], term[lo:lo + VOTES], tf[lo:lo + VOTES]
+        once = n == 1  # nearly all terms: their votes are counted in bytes, at most 255 at a time
+        if once.any():
+            ro = r[once]
+            starts = _starts(ro, 255)
+            ones = np.add.reduceat(_LANES[_bits(t[once])], starts, axis=0).view(np.uint8).astype(np.int64)
+            np.add.at(total, ro[starts], 16 * (2 * ones - np.diff(np.append(starts, len(ro)))[:, None]))
+        if not once.all():
+            ro, w = r[~once], np.rint(16 + 16 * np.log2(n[~once])).astype(np.int64)
+            starts = _starts(ro, len(ro))
+            total[ro[starts]] += np.add.reduceat(np.where(np.unpackbits(_bits(t[~once]), axis=1), w[:, None], -w[:, None]), starts, axis=0)
     return np.packbits(total > 0, axis=1)
 
 
