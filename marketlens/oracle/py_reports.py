@@ -324,3 +324,8 @@ def in_warehouse_mode(body: str) -> str:
     if "FROM s_orders" in body and "order_status" in body:  # the funnel
         body = body.replace("FROM s_orders", "FROM (SELECT DISTINCT order_id, order_status FROM fact) s_orders")
     return with_prelude(body, {"D": _WAREHOUSE_D})
+
+
+def above_floor(body: str, day: str) -> str:
+    """A report's SQL over the part of the fact that was purchased on or after ``day``."""
+    return body.replace("FROM fact", f"FROM (SELECT * FROM fact WHERE purchase_date >= DATE '{day}') fact")

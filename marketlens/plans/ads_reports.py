@@ -197,9 +197,16 @@ def warehouse_layers(wh: Warehouse) -> dict[str, dict[str, DataFrame | None]]:
 
 
 def s8_warehouse_stats(wh: Warehouse) -> DataFrame:
-    """(layer, table, rows) for every modelled table, as one Spark job (a union of counts)."""
+    """(layer, table, rows) for every modelled table: counts of a stored warehouse's writing jobs where there are any,
+    the others as one Spark job (a union of counts)."""
     from marketlens.sources.warehouse import audit_counts
-    return audit_counts(warehouse_layers(wh))
+    layers = warehouse_layers(wh)
+    known = [(layer, t, wh.known_rows[t]) for layer, tables in layers.items() for t in tables if t in wh.known_rows]
+    if not known:
+        return audit_counts(layers)
+    stored = wh.spark.createDataFrame(known, "layer string, table string, rows bigint")
+    rest = {layer: {t: df for t, df in tables.items() if t not in wh.known_rows} for layer, tables in layers.items()}
+    return stored.unionByName(audit_counts(rest)) if any(rest.values()) else stored
 
 
 QUERIES = {

@@ -58,6 +58,8 @@ class Warehouse:
         self.src = src
         self.etl_date = etl_date
         self.stored: dict[str, DataFrame] = {}
+        #: Row counts that a stored warehouse knows from its writing jobs.
+        self.known_rows: dict[str, int] = {}
 
     # ------------------------------------------------------------------ build
     @classmethod
@@ -77,25 +79,39 @@ class Warehouse:
         ``etl_date`` (default: the latest) as sources, and the stored fact,
         dimensions and marts of that day.
 
-        For an older day, whose fact was replaced since, fact and marts are
-        computed from the day's snapshot, so dates are never mixed.
+        A dimension or mart counts as stored only if it was computed from that fact; one of
+        another load, or of none, is computed from the stored fact instead, so neither an older day nor
+        a rebuild of one layer is ever mixed with other tables.
         ``date_floor`` (the loader's fixed floor by default, None for all) keeps
         purchases on or after that day in the fact; the filter reaches the
         month-partitioned files as partition pruning.  The stored marts cover
         the whole fact, as they were written."""
-        from marketlens.plans.pipeline import ods_snapshot
-        from marketlens.sources.warehouse import day_filter, try_read
-        src, day = ods_snapshot(spark, root, etl_date)
+        from marketlens.plans.pipeline import FACT, fact_basis, fact_day, ods_snapshot, stored_fact
+        from marketlens.sources.releases import Release
+        release = Release.open(spark, root)
+        src, day = ods_snapshot(spark, root, etl_date, release)
         wh = cls(spark, src, etl_date=day)
-        fact = try_read(spark, root, "dwd_order_detail")
-        held = fact.agg(F.max("etl_date")).first()[0] if fact is not None else None  # one value
-        if held is not None and str(held) == day:
+        wh.known_rows = {f"ods_{t}": n for t in src if (n := release.rows(f"ods_{t}", [day]))}
+        if fact_day(release) == day:
+            fact, basis = stored_fact(release), fact_basis(release)
+            wh.known_rows[FACT] = release.rows(FACT)
+            for name in (*cls.DIMS, "dim_dates", *cls.MARTS):
+                entry = release.entry(name, day)
+                if entry is not None and entry.basis == basis:
+                    df = release.table(name, [day] if entry.column else None)
+                    if name in cls.MARTS:
+                        wh.stored[name] = df
+                    elif name in cls.DIMS:
+                        wh.__dict__[name] = df
+                    wh.known_rows[name] = entry.rows
+            whole = cls(spark, src, etl_date=day)  # what is not stored comes from the whole fact, not from the part above the floor
+            whole.__dict__.update({n: wh.__dict__[n] for n in cls.DIMS if n in wh.__dict__}, fact=fact)
+            whole.stored = wh.stored
             for name in cls.DIMS:
-                if (df := try_read(spark, root, name)) is not None:
-                    wh.__dict__[name] = df
+                if name not in wh.__dict__:
+                    wh.__dict__[name] = getattr(whole, name)
             for name in cls.MARTS:
-                if (df := try_read(spark, root, name)) is not None:
-                    wh.stored[name] = day_filter(df, day)
+                whole.mart(name)
             wh.__dict__["full_fact"] = fact
         else:
             fact = wh.fact

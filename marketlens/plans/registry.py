@@ -21,24 +21,63 @@ def _families():
 STORED = ("d5_order_detail", "m1_daily_metrics", "m5_category_summary", "s8_warehouse_stats", "q22_overview_kpis", "q30_category_abc",
           "q37_sales_trend", "q43_category_trend", "r01_overview_kpis", "r05_monthly_delivery", "r07_delivery_by_category",
           "r17_category_detail", "r23_correlation_matrix", "r27_weekday_pattern", "r30_order_status_funnel", "r31_rfm_segments")
-_built: dict[tuple[str, str], str] = {}
+#: Reports on a warehouse whose last run rebuilt the detail layer only, after a load in which one purchase month was wrong:
+#: one month of the fact is rewritten, and marts of the earlier fact must not be seen.
+DETAIL_ONLY = ("d5_order_detail", "q22_overview_kpis", "q37_sales_trend", "s8_warehouse_stats")
+#: Reports on the stored warehouse above a date floor that lies inside the data.
+DATE_FLOOR = "1995-07-15"
+ABOVE_FLOOR = ("d5_order_detail", "q42_rfm_data")
+_built: dict[tuple[str, ...], str] = {}
 
 
-def built_warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
-    """The supplied data as a stored warehouse, written once per session: a first load has every order 45 days
-    later, the second replaces it, so nothing of the first may be seen."""
-    from marketlens.plans.pipeline import build
+def _once(spark: SparkSession, kind: str, sf_dir: str, make: Callable[[str], None]) -> str:
+    """The folder of a warehouse that is built once per session."""
     from marketlens.session import ensure_checkpoint_dir
-    from marketlens.sources.testdata import source_tables
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, kind, sf_dir)
     if key not in _built:
         root = f"{ensure_checkpoint_dir(spark)}/warehouse-{uuid.uuid4().hex[:12]}"
+        make(root)
+        _built[key] = root
+    return _built[key]
+
+
+def built_root(spark: SparkSession, sf_dir: str) -> str:
+    """The supplied data as a stored warehouse: a first load has every order 45 days
+    later, the second replaces it, so nothing of the first may be seen."""
+    from marketlens.plans.pipeline import build
+    from marketlens.sources.testdata import source_tables
+
+    def make(root: str) -> None:
         src = source_tables(spark, sf_dir)
         when = "order_purchase_timestamp"
         build(spark, src | {"orders": src["orders"].withColumn(when, F.timestamp_add("DAY", F.lit(45), F.col(when)))}, root, etl_date="2024-01-01")
         build(spark, src, root, etl_date="2024-01-02")
-        _built[key] = root
-    return Warehouse.from_warehouse(spark, _built[key], date_floor=None).for_dashboard()
+    return _once(spark, "two loads", sf_dir, make)
+
+
+def built_warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
+    return Warehouse.from_warehouse(spark, built_root(spark, sf_dir), date_floor=None).for_dashboard()
+
+
+def detail_only_warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
+    """A whole load in which the freight of one purchase month is wrong, then the right sources and the detail layer alone."""
+    from marketlens.functions.dates import year_month
+    from marketlens.plans.pipeline import build
+    from marketlens.sources.testdata import source_tables
+
+    def make(root: str) -> None:
+        src = source_tables(spark, sf_dir)
+        wrong = src["orders"].where(year_month(F.col("order_purchase_timestamp")) == "1996-03").select("order_id", F.lit(1).alias("wrong"))
+        freight = F.when(F.col("wrong").isNull(), F.col("freight_value")).otherwise((F.col("freight_value") + 1).cast(src["order_items"].schema["freight_value"].dataType))
+        items = src["order_items"].join(wrong, "order_id", "left").withColumn("freight_value", freight).select(*src["order_items"].columns)
+        build(spark, src | {"order_items": items}, root, etl_date="2024-01-01")
+        build(spark, src, root, layer="ods", etl_date="2024-01-02")
+        build(spark, src, root, layer="dwd", etl_date="2024-01-02")
+    return Warehouse.from_warehouse(spark, _once(spark, "detail only", sf_dir, make), date_floor=None)
+
+
+def above_floor(spark: SparkSession, sf_dir: str) -> Warehouse:
+    return Warehouse.from_warehouse(spark, built_root(spark, sf_dir), date_floor=DATE_FLOOR)
 
 
 def _stored(name: str, fn):
@@ -56,6 +95,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             out[name] = (lambda f: lambda spark, sf_dir: f(Warehouse.from_testdata(spark, sf_dir)))(fn)
             if name in STORED:
                 out[f"w_{name}"] = (lambda f: lambda spark, sf_dir: f(built_warehouse(spark, sf_dir)))(_stored(name, fn))
+            if name in DETAIL_ONLY:
+                out[f"w_detail_{name}"] = (lambda f: lambda spark, sf_dir: f(detail_only_warehouse(spark, sf_dir)))(fn)
+            if name in ABOVE_FLOOR:
+                out[f"w_floor_{name}"] = (lambda f: lambda spark, sf_dir: f(above_floor(spark, sf_dir)))(fn)
     return out
 
 
@@ -64,4 +107,6 @@ def oracle_sql() -> dict[str, str]:
     from marketlens.oracle import ads_reports, marts, py_reports, sql_reports
     bodies = {name: body for m in (sql_reports, marts, ads_reports, py_reports) for name, body in m.SQL.items()}
     return {name: with_prelude(body) for name, body in bodies.items()} | {
-        f"w_{name}": py_reports.in_warehouse_mode(bodies[name]) for name in STORED}
+        f"w_{name}": py_reports.in_warehouse_mode(bodies[name]) for name in STORED} | {
+        f"w_detail_{name}": with_prelude(bodies[name]) for name in DETAIL_ONLY} | {
+        f"w_floor_{name}": with_prelude(py_reports.above_floor(bodies[name], DATE_FLOOR)) for name in ABOVE_FLOOR}

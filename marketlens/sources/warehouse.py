@@ -1,11 +1,9 @@
-"""Layered Parquet warehouse: write / read layers, replacement on rebuild, audits.
+"""Layered Parquet warehouse: partition columns, source snapshots, plain table IO, audits.
 
 ODS tables are day snapshots partitioned by ``etl_date``; the detail fact is
 partitioned by purchase year-month; daily marts by ``etl_date``; the other
-marts are unpartitioned (S3, S9, S11-S14, S20).  A day snapshot replaces only
-its own day (dynamic partition overwrite, set on the writer); every other
-table, the fact included, is replaced as a whole, so a rebuild leaves no month
-behind that it no longer produces (S6, S13).
+marts are unpartitioned (S3, S9, S11-S14, S20).  A build publishes them as releases
+(``sources/releases.py``); ``write_table`` and ``read_table`` serve scratch copies.
 
 Files are read through Spark only; an absent table is recognised by the
 path-not-found condition and nothing else is swallowed.
@@ -19,6 +17,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketlens.sources.releases import Release
+
 # Partition column per written table.
 PARTITIONS = {
     "dwd_order_detail": ["purchase_year_month"],
@@ -35,16 +35,14 @@ STREAM_PREFIX = "ods_stream_"
 def write_table(df: DataFrame, root: str, name: str, partition_by=None) -> str:
     """Write ``df`` as snappy Parquet at ``root/name``.
 
-    Tables partitioned by load day replace the days they hold; others are
-    replaced whole.  Partitioned rows are rebalanced by their partition first,
-    so a partition gets few files and a hot one is split among tasks.
+    The table is replaced whole.  Partitioned rows are rebalanced by their
+    partition first, so a partition gets few files and a hot one is split among tasks.
     """
     path = f"{root.rstrip('/')}/{name}"
     cols = partition_by if partition_by is not None else PARTITIONS.get(name)
     if cols:
         df = df.hint("rebalance", *cols)
-    mode = "dynamic" if cols == [ODS_PARTITION] else "static"
-    w = df.write.mode("overwrite").option("compression", "snappy").option("partitionOverwriteMode", mode)
+    w = df.write.mode("overwrite").option("compression", "snappy").option("partitionOverwriteMode", "static")
     if cols:
         w = w.partitionBy(*cols)
     w.parquet(path)
@@ -66,18 +64,19 @@ def try_read(spark: SparkSession, root: str, name: str) -> DataFrame | None:
         raise
 
 
-def read_ods(spark: SparkSession, root: str, table: str) -> DataFrame | None:
-    """All snapshots of a source table: the batch days, and the streamed days that no batch load replaced."""
-    batch, stream = (try_read(spark, root, prefix + table) for prefix in ("ods_", STREAM_PREFIX))
+def read_ods(spark: SparkSession, root: str, table: str, release: Release | None = None, day: str | None = None) -> DataFrame | None:
+    """The snapshots of a source table (of one load day, or all): the published days, and the streamed days that no
+    batch load replaced."""
+    release = release or Release.open(spark, root)
+    days = release.days("ods_" + table)
+    batch = release.table("ods_" + table, None if day is None else [day])
+    stream = try_read(spark, root, STREAM_PREFIX + table)
+    if stream is not None:
+        stream = stream.where(~F.col(ODS_PARTITION).cast("string").isin(days)) if days else stream
+        stream = stream if day is None else stream.where(F.col(ODS_PARTITION) == F.lit(day).cast("date"))
     if batch is None or stream is None:
         return batch if stream is None else stream
-    days = batch.select(ODS_PARTITION).distinct()
-    return batch.unionByName(stream.join(days, ODS_PARTITION, "left_anti"), allowMissingColumns=True)
-
-
-def day_filter(df: DataFrame, day) -> DataFrame:
-    """The rows of one load day, where the table keeps days."""
-    return df.where(F.col(ODS_PARTITION) == F.lit(day).cast("date")) if ODS_PARTITION in df.columns else df
+    return batch.unionByName(stream, allowMissingColumns=True)
 
 
 def audit_counts(layers: Mapping[str, Mapping[str, DataFrame | None]]) -> DataFrame:

@@ -7,7 +7,8 @@ from marketlens.plans import ads_reports, marts, py_reports, sql_reports
 from marketlens.plans.model import Warehouse
 from marketlens.plans.pipeline import build
 from marketlens.sources.testdata import source_tables
-from marketlens.sources.warehouse import audit_counts, read_table
+from marketlens.sources.releases import Load, Release
+from marketlens.sources.warehouse import audit_counts
 from tests.conftest import SF001
 from tests.fixtures import mini_sources
 
@@ -39,18 +40,18 @@ def test_rebuild_leaves_no_stale_month(spark, tmpdir_path):
     moved = src["orders"].withColumn(ts, F.when(F.col("order_id") == "o1", F.timestamp_add("MONTH", F.lit(2), F.col(ts))).otherwise(F.col(ts)))
     build(spark, src | {"orders": moved}, tmpdir_path, etl_date=DAY)
     build(spark, src, tmpdir_path, etl_date=DAY)
-    fact = read_table(spark, tmpdir_path, "dwd_order_detail")
+    fact = Release.open(spark, tmpdir_path).table("dwd_order_detail")
     assert fact.count() == Warehouse(spark, src, etl_date=DAY).fact.count()
     assert fact.groupBy("order_id", "order_item_id").count().where("count > 1").count() == 0
 
 
 def test_layer_without_snapshot_raises_and_keeps_the_tables(spark, tmpdir_path):
     build(spark, mini_sources(spark), tmpdir_path, etl_date=DAY)
-    before = read_table(spark, tmpdir_path, "dim_customers").count()
+    before = Release.open(spark, tmpdir_path).table("dim_customers").count()
     for layer in ("dwd", "dws"):
         with pytest.raises(LookupError):
             build(spark, {}, tmpdir_path, layer=layer, etl_date="2024-02-02")
-    assert read_table(spark, tmpdir_path, "dim_customers").count() == before > 0
+    assert Release.open(spark, tmpdir_path).table("dim_customers").count() == before > 0
     assert counts(build(spark, {}, tmpdir_path, layer="dwd"))[("DWD", "dim_customers")] == before  # the newest snapshot
 
 
@@ -141,3 +142,105 @@ def test_slow_deliveries_and_reviews_of_the_adapter(spark):
     assert days.where("d > 60 and d > 50 and d <= 200").count() > 0 and days.where("d > 200").count() > 0
     n = {r.order_id: r["count"] for r in src["order_reviews"].groupBy("order_id").count().collect()}
     assert {1, 2} == set(n.values()) and len(n) < src["orders"].count()
+
+
+# ------------------------------------------------------------- published releases
+
+
+def rows_of(df):
+    return sorted(map(str, df.collect()))
+
+
+def test_a_detail_rebuild_alone_does_not_empty_the_reports(spark, tmpdir_path):
+    src = source_tables(spark, SF001)
+    build(spark, src, tmpdir_path, etl_date=DAY)
+    build(spark, src, tmpdir_path, layer="ods", etl_date="2024-01-02")
+    build(spark, src, tmpdir_path, layer="dwd", etl_date="2024-01-02")
+    wh, direct = Warehouse.from_warehouse(spark, tmpdir_path, date_floor=None), Warehouse(spark, src, etl_date="2024-01-02")
+    for name in ("q22_overview_kpis", "q37_sales_trend", "s8_warehouse_stats"):
+        assert rows_of(ads_reports.QUERIES[name](wh)) == rows_of(ads_reports.QUERIES[name](direct)) != [], name
+    build(spark, {}, tmpdir_path, layer="dws")
+    again = Warehouse.from_warehouse(spark, tmpdir_path, date_floor=None)
+    assert all("/dws_" in f for f in ads_reports.q37_sales_trend(again).inputFiles())
+    assert rows_of(ads_reports.q37_sales_trend(again)) == rows_of(ads_reports.q37_sales_trend(wh))
+
+
+@pytest.mark.parametrize("dies_at", ["daily_metrics", "weekly_metrics", "state_summary"])
+def test_a_build_that_dies_leaves_the_old_release(spark, tmpdir_path, monkeypatch, dies_at):
+    src = mini_sources(spark)
+    build(spark, src, tmpdir_path, etl_date=DAY)
+    old = Release.open(spark, tmpdir_path)
+    before = {n: rows_of(old.table(n)) for n in old.by_name}
+
+    def dies(*_, **__):
+        raise RuntimeError("executor lost")
+    monkeypatch.setattr(marts, dies_at, dies)
+    fewer = src | {"order_items": src["order_items"].where("order_id <> 'o1'")}
+    with pytest.raises(RuntimeError):
+        build(spark, fewer, tmpdir_path, etl_date="2024-01-02")
+    now = Release.open(spark, tmpdir_path)
+    assert now.number == old.number == 1 and {n: rows_of(now.table(n)) for n in now.by_name} == before
+    monkeypatch.undo()
+    build(spark, fewer, tmpdir_path, etl_date="2024-01-02")
+    assert Release.open(spark, tmpdir_path).number == 2
+    assert {n: rows_of(Release.open(spark, tmpdir_path, 1).table(n)) for n in before} == before  # older releases stay readable
+
+
+def months_of(release):
+    return {p: e.load for p, e in release.parts("dwd_order_detail").items()}
+
+
+def test_a_change_of_one_day_rewrites_one_month(spark, tmpdir_path):
+    src = source_tables(spark, SF001)
+    build(spark, src, tmpdir_path, etl_date=DAY)
+    first = months_of(Release.open(spark, tmpdir_path))
+    day = Release.open(spark, tmpdir_path).table("dwd_order_detail").agg(F.max("purchase_date")).first()[0]
+    ids = src["orders"].where(F.to_date("order_purchase_timestamp") == F.lit(day)).select("order_id", F.lit(1).alias("hit"))
+    price = F.when(F.col("hit").isNull(), F.col("price")).otherwise((F.col("price") + 1).cast(src["order_items"].schema["price"].dataType))
+    changed = src | {"order_items": src["order_items"].join(ids, "order_id", "left").withColumn("price", price).select(*src["order_items"].columns)}
+    build(spark, changed, tmpdir_path, etl_date="2024-01-02")
+    release = Release.open(spark, tmpdir_path)
+    now = months_of(release)
+    assert [m for m in now if now[m] != first[m]] == [f"{day:%Y-%m}"] and len(now) > 10
+    stored = Warehouse.from_warehouse(spark, tmpdir_path, date_floor=None)
+    whole = Warehouse(spark, changed, etl_date="2024-01-02")
+    assert rows_of(stored.fact.select(*whole.fact.columns)) == rows_of(whole.fact)
+    for name in ("dim_sellers", "dim_customers"):
+        assert rows_of(getattr(stored, name)) == rows_of(getattr(whole, name))
+
+
+def test_vanished_months_and_an_empty_fact(spark, tmpdir_path):
+    src = mini_sources(spark)
+    build(spark, src, tmpdir_path, etl_date=DAY)
+    full = rows_of(Release.open(spark, tmpdir_path).table("dwd_order_detail"))
+    build(spark, src | {"orders": src["orders"].where("order_id = 'o1'")}, tmpdir_path, etl_date=DAY)
+    assert len(months_of(Release.open(spark, tmpdir_path))) == 1
+    with pytest.raises(LookupError):  # no orders at all: the layer does not empty the warehouse
+        build(spark, src | {"orders": src["orders"].limit(0)}, tmpdir_path, etl_date=DAY)
+    build(spark, src | {"orders": src["orders"].withColumn("order_status", F.lit("canceled"))}, tmpdir_path, etl_date=DAY)
+    assert Warehouse.from_warehouse(spark, tmpdir_path, date_floor=None).fact.count() == 0
+    build(spark, src, tmpdir_path, etl_date=DAY)
+    assert rows_of(Release.open(spark, tmpdir_path).table("dwd_order_detail")) == full
+
+
+def test_audit_reads_no_data_file(spark, tmpdir_path):
+    src = source_tables(spark, SF001)
+    audit = build(spark, src, tmpdir_path, etl_date=DAY)
+    assert audit.inputFiles() == []
+    release = Release.open(spark, tmpdir_path)
+    assert counts(audit) == {(layer, t): release.table(t).count() for layer, t in counts(audit)}
+    wh = Warehouse.from_warehouse(spark, tmpdir_path, date_floor=None)
+    stats = ads_reports.s8_warehouse_stats(wh)
+    assert stats.inputFiles() == [] and rows_of(stats) == rows_of(ads_reports.s8_warehouse_stats(Warehouse(spark, src, etl_date=DAY)))
+
+
+def test_two_builds_at_once_are_noticed(spark, tmpdir_path):
+    one, two = Load(spark, tmpdir_path), Load(spark, tmpdir_path)
+    for load in (one, two):
+        load.replace("dim_x", spark.range(3), DAY)
+    assert one.publish().number == 1
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        two.publish()
+    assert Release.open(spark, tmpdir_path).unused_folders([("dim_x", one.id), ("dim_x", two.id)]) == [("dim_x", two.id)]
+    with pytest.raises(LookupError):
+        Release.open(spark, tmpdir_path, 7)
