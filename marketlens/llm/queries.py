@@ -51,7 +51,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marketlens.llm.substring_dedup import repeated_spans
-    return repeated_spans(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return repeated_spans(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("t")
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,13 +24,13 @@ A digest held by a third of all units is combined before the shuffle; when the
 decision goes back to the units it is a join key that adaptive execution splits.
 A document's runs are found among its own repeats only.
 
-Defined cases: null and empty texts have no units; of equal ranks the smaller
-offset is kept, so a repeat inside one document goes too; rows with a null id are
-ranked first and their spans have a null doc_id; repeated rows (same id and text)
-count as further occurrences at the same rank: the first row's unit is matched by
-(id, word number), so rows of one id, taken as copies of one text, never remove
-each other; empty tables give no spans; other columns are not returned by
-``repeated_spans`` and pass through ``remove``.
+Defined cases: null and empty texts have no units; a document is a row's id and text, told
+apart by a hash of the text, so rows without an id, or of one id with other texts, are documents of
+their own and are never cut by each other's offsets; of equal ids the smaller hash ranks first, null
+ids rank before all (and are no member of ``kept_doc_ids``); of equal ranks the smaller offset is kept,
+so a repeat inside one document goes too; repeated rows (equal id and text) are one document and
+never remove each other; empty tables give no spans; a long text is read in pieces of ``PIECE``
+words; other columns are not returned by ``repeated_spans`` and pass through ``remove``.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlens.llm.common import Scratch, fresh, small_batches
@@ -189,11 +189,15 @@ def repeated_seeds(docs: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-UNITS = "doc_id long, lo int, hi int, start int, end int, whole boolean, h1 long, h2 long"
+def text_hash() -> Column:
+    return F.hash(F.coalesce("text", F.lit("")))
+
+
+UNITS = "doc_id long, t int, lo int, hi int, start int, end int, whole boolean, h1 long, h2 long"
 
 
 def units(docs: DataFrame, unit: str = "passage", size: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, lo, hi, start, end, whole, h1, h2): the words and offsets of every unit (``whole``) and, for passages,
+    """(doc_id, t, lo, hi, start, end, whole, h1, h2): t is a hash of the text, which tells rows of one id apart; the words and offsets of every unit (``whole``) and, for passages,
     of every window of ``size`` words whose seed may occur twice."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(repeated_seeds(docs, size)) if unit == "passage" else None
@@ -201,11 +205,11 @@ def units(docs: DataFrame, unit: str = "passage", size: int = MIN_WORDS) -> Data
     def task(batches):
         windows = Windows(size) if shared else None
         names = [x.split()[0] for x in UNITS.split(", ")]
-        types = [pa.int64(), *[pa.int32()] * 4, pa.bool_(), pa.int64(), pa.int64()]
+        types = [pa.int64(), *[pa.int32()] * 5, pa.bool_(), pa.int64(), pa.int64()]
 
         def out(batch, owner, *columns):
-            ids = batch.column("doc_id").take(pa.array(owner, pa.int64()))
-            return pa.RecordBatch.from_arrays([ids, *[pa.array(c, t) for c, t in zip(columns, types[1:], strict=True)]], names=names)
+            row = [batch.column(c).take(pa.array(owner, pa.int64())) for c in ("doc_id", "t")]
+            return pa.RecordBatch.from_arrays([*row, *[pa.array(c, t) for c, t in zip(columns, types[2:], strict=True)]], names=names)
 
         def of_units(batch, owner, lo, hi, start, end, keys):
             h = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
@@ -244,25 +248,25 @@ def units(docs: DataFrame, unit: str = "passage", size: int = MIN_WORDS) -> Data
                         held = [[] for _ in range(6)]
             yield of_units(batch, *held)
 
-    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task, UNITS)
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("t"), "text").mapInArrow(task, UNITS)
 
 
 def repeated_spans(docs: DataFrame, unit: str = "passage", min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, start, end, n_units, n_words, kept_doc_ids): the spans to remove, with where their units are kept;
+    """(doc_id, t, start, end, n_units, n_words, kept_doc_ids): the spans to remove, with where their units are kept;
     ``n_units`` counts whole units."""
     u = units(docs, unit, min_words)
-    first = (u.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "lo", "hi")).alias("first"), F.count("*").alias("n"))
-             .where("n > 1").select("h1", "h2", F.col("first.doc_id").alias("kept"), F.col("first.lo").alias("kept_lo"), F.col("first.hi").alias("kept_hi")))
-    own = F.col("doc_id").eqNullSafe(F.col("kept"))
+    first = (u.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "t", "lo", "hi")).alias("first"), F.count("*").alias("n"))
+             .where("n > 1").select("h1", "h2", F.col("first.doc_id").alias("kept"), F.col("first.t").alias("kept_t"), F.col("first.lo").alias("kept_lo"), F.col("first.hi").alias("kept_hi")))
+    own = F.col("doc_id").eqNullSafe(F.col("kept")) & (F.col("t") == F.col("kept_t"))
     again = u.join(first, ["h1", "h2"]).where(~(own & (F.col("lo") < F.col("kept_hi"))))
-    by = Window.partitionBy("doc_id").orderBy("lo", "hi", "whole")
+    by = Window.partitionBy("doc_id", "t").orderBy("lo", "hi", "whole")
     before = by.rowsBetween(Window.unboundedPreceding, -1)
     same = F.coalesce(F.lag(F.struct("lo", "hi", "whole")).over(by) == F.struct("lo", "hi", "whole"), F.lit(False))  # repeated rows
-    runs = again.select("doc_id", "lo", "hi", "start", "end", "whole", "kept").select(
+    runs = again.select("doc_id", "t", "lo", "hi", "start", "end", "whole", "kept").select(
         "*", F.coalesce(F.col("lo") > F.max("hi").over(before), F.lit(True)).cast("int").alias("new"),
         (F.col("whole") & ~same).cast("int").alias("counted"))
     runs = runs.withColumn("run", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    return (runs.groupBy("doc_id", "run")
+    return (runs.groupBy("doc_id", "t", "run")
             .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("counted").alias("n_units"),
                  (F.max("hi") - F.min("lo")).cast("long").alias("n_words"), F.array_sort(F.collect_set("kept")).alias("kept_doc_ids"))
             .where(F.col("n_words") >= min_words).drop("run"))
@@ -270,10 +274,11 @@ def repeated_spans(docs: DataFrame, unit: str = "passage", min_words: int = MIN_
 
 def remove(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """``docs`` with text rewritten without its spans and ``removed`` (the spans, by original offsets)."""
-    by = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("removed"))
+    by = spans.groupBy("doc_id", "t").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("removed"))
     base = docs.drop("removed")
-    doc, = fresh(base, "doc")
-    both = base.join(by.withColumnRenamed("doc_id", doc), F.col("doc_id").eqNullSafe(F.col(doc)), "left").drop(doc)
+    doc, t = fresh(base, "doc", "t")
+    same = F.col("doc_id").eqNullSafe(F.col(doc)) & (text_hash() == F.col(t))
+    both = base.join(by.withColumnsRenamed({"doc_id": doc, "t": t}), same, "left").drop(doc, t)
     # keep the gaps between spans: fold (text so far, position)
     gaps = F.expr("""aggregate(coalesce(removed, array()), struct('' as kept, 0 as at),
         (s, r) -> struct(concat(s.kept, substring(text, s.at + 1, r.start - s.at)) as kept, r.end as at),

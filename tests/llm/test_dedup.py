@@ -244,6 +244,41 @@ def uncovered_windows(rows, spans, size):
     return missed
 
 
+def test_rows_of_one_id_are_cut_by_their_own_spans_only(spark, make_docs):
+    rng = random.Random(3)
+
+    def own(n):
+        return " ".join(f"u{rng.randrange(10**9)}" for _ in range(n))
+    passage = own(60)
+    for same_id in (None, 3):
+        rows = [(same_id, passage + " " + own(150)), (same_id, own(100) + " " + passage), (9, own(10) + " " + passage)]
+        docs = make_docs(rows, clash=True)
+        left = [r.text for r in remove(docs, repeated_spans(docs)).collect()]
+        assert sorted(len(t.split()) for t in left) in ([10, 100, 210], [10, 150, 160])  # one copy of the passage stays, and every other word
+        assert sum(passage in t for t in left) == 1
+
+
+def test_every_removed_word_has_an_earlier_copy(spark):
+    """Each word of a span lies in a window of 40 words, or a unit, that occurs at an earlier place."""
+    docs = spark.read.parquet(f"{SF001}/documents.parquet")
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    spans = repeated_spans(docs).collect()
+    first, pieces = {}, {}
+    for i, t in rows:
+        at = [m.span() for m in substring_dedup.WORD.finditer(t)]
+        words = [t[a:b].lower() for a, b in at]
+        cut = [(a, b, d) for a, b, _, d in cut_units(t, "passage")]
+        cut += [(at[k][0], at[k + 39][1], tuple(words[k:k + 40])) for k in range(len(words) - 39)]
+        for a, b, d in sorted(cut, key=lambda x: x[:2]):
+            first.setdefault(d, (i, a))
+        pieces[i] = at, cut
+    assert spans
+    for r in spans:
+        at, cut = pieces[r.doc_id]
+        again = [(a, b) for a, b, d in cut if first[d] < (r.doc_id, a) and r.start <= a and b <= r.end]
+        assert all(any(a <= x and y <= b for a, b in again) for x, y in at if r.start <= x and y <= r.end)
+
+
 @pytest.mark.parametrize("piece", [1 << 15, 7])  # 7: texts cut into many pieces
 def test_passages_wherever_they_start(spark, make_docs, monkeypatch, piece):
     monkeypatch.setattr(substring_dedup, "PIECE", piece)
