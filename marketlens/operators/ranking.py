@@ -22,6 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketlens.operators.selection import values_at
 from marketlens.session import ensure_checkpoint_dir
 
 
@@ -95,12 +96,12 @@ def rank_qcut(df: DataFrame, order_by: Sequence[Column], k: int, name: str,
 
 def value_qcut(df: DataFrame, col: str, k: int, name: str, labels: Sequence[int] | None = None) -> DataFrame:
     """``pd.qcut(x, k, labels)`` on values (W6): edges are exact linear
-    percentiles (one aggregate row, broadcast), bins right-closed, the first
+    percentiles selected by counting, bins right-closed, the first
     includes the minimum.  Duplicate edges make pandas raise; here the value
     falls in the first bin whose upper edge it does not exceed.
     """
-    probs = [i / k for i in range(1, k)]
-    edges = df.agg(F.percentile(F.col(col).cast("double"), F.array(*[F.lit(p) for p in probs]))).scalar()
+    found = values_at(df, col, [i / k for i in range(1, k)])
+    edges = [F.lit((1 - part) * low + part * high) for low, high, part in found] if found else [F.lit(None).cast("double")] * (k - 1)
     x = F.col(col).cast("double")
     expr = None
     for i in range(k - 1):
@@ -146,19 +147,12 @@ def abc_classify(cum: Column | str, bounds=(0.7, 0.9), labels=("A", "B", "C")) -
 
 
 def exact_percentile(df: DataFrame, col: str, p: float) -> Column:
-    """Exact linear-interpolation percentile of a column as a scalar subquery.
-
-    Rows are counted by value (map-side combined), and the running count over
-    the distinct values finds the two around position p (n - 1).  The one window
-    holds a row per distinct value: for amounts in cents and day counts a bounded
-    list that does not follow the number of rows.
-    """
-    x = F.col(col).cast("double")
-    values = df.where(x.isNotNull()).groupBy(x.alias("x")).agg(F.count(F.lit(1)).alias("n"))
-    run = values.select("x", F.sum("n").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("upto"),
-                        F.sum("n").over(Window.partitionBy()).alias("all"))
-    pos = (F.col("all") - 1) * F.lit(float(p))
-    low = F.min(F.when(F.col("upto") >= F.floor(pos) + 1, F.col("x")))
-    high = F.min(F.when(F.col("upto") >= F.floor(pos) + 2, F.col("x")))
-    part = F.max(pos - F.floor(pos))
-    return run.agg(F.when(high.isNull(), low).otherwise(low + (high - low) * part)).scalar()
+    """Exact linear-interpolation percentile of a numeric column, as a literal column (null without values).
+
+    Selected by counting passes over the value counts (``selection``): no task holds or
+    sorts the distinct values, whatever the column."""
+    found = values_at(df, col, [p])
+    if found is None:
+        return F.lit(None).cast("double")
+    low, high, part = found[0]
+    return F.lit(low + (high - low) * part)

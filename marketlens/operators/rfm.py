@@ -3,8 +3,8 @@
 ``rfm`` reduces a detail frame to one row per customer: recency (days from a
 reference date), frequency (distinct orders) and monetary (sum of an amount).
 ``rfm_score`` adds quartile-style scores either with SQL ``NTILE`` semantics
-or with pandas ``qcut`` semantics — both distributed (no single-partition
-window over customers) and both with the customer id as tie order.
+or with pandas ``qcut`` semantics — both by selected cuts (no sort and no window
+over customers) and both with the customer id as tie order.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.functions import labels as L
-from marketlens.operators.ranking import global_ntile, rank_qcut, value_qcut
+from marketlens.operators.ranking import value_qcut
+from marketlens.operators.selection import Order, rank_bin_ends, tile_ends, tiles, written
 
 
 def rfm(df: DataFrame, customer: str, order_id: str, ts: str, amount: str, *,
@@ -58,17 +59,17 @@ def rfm_score(base: DataFrame, customer: str, scoring: str = "ntile", k: int = 4
     ascending.  ``qcut``: recency by value quartiles (labels k..1), frequency
     and monetary by first-come rank quartiles.
     """
-    key = F.col(customer).asc()
-    # Each ranking checkpoints its range-partitioned tags: the chain stays
-    # short (no re-planning of earlier rankings) and survives task retries.
+    table = written(base, "rfm")  # a row per customer, read by each counting pass
+    n = table.count()
+    recency, frequency, monetary = (Order("recency", customer, desc=True, nulls_first=False), Order("frequency", customer),
+                                    Order("monetary", customer))
     if scoring == "ntile":
-        s = global_ntile(base, [F.col("recency").desc(), key], k, "r_score")
-        s = global_ntile(s, [F.col("frequency").asc(), key], k, "f_score")
-        s = global_ntile(s, [F.col("monetary").asc_nulls_first(), key], k, "m_score")
+        ends = tile_ends(n, k)
+        s = tiles(table, {"r_score": (recency, ends), "f_score": (frequency, ends), "m_score": (monetary, ends)})
     elif scoring == "qcut":
-        s = value_qcut(base, "recency", k, "r_score", labels=list(range(k, 0, -1)))
-        s = rank_qcut(s, [F.col("frequency").asc(), key], k, "f_score")
-        s = rank_qcut(s, [F.col("monetary").asc_nulls_first(), key], k, "m_score")
+        ends = rank_bin_ends(n, k)
+        s = tiles(table, {"f_score": (frequency, ends), "m_score": (monetary, ends)})
+        s = value_qcut(s, "recency", k, "r_score", labels=list(range(k, 0, -1)))
     else:
         raise ValueError(scoring)
     total = F.col("r_score") + F.col("f_score") + F.col("m_score")
