@@ -1,7 +1,7 @@
 """Operator 1 [native]: URL allow / block rules by hashed host-suffix and path-prefix expressions.
 
-Every distinct (host, path) is expanded into expressions: each host suffix that
-starts at a label, with each path prefix whose length some rule path has.  The
+Every distinct (host, path) is expanded into expressions: each host suffix of as many
+labels as some rule host has, with each path prefix whose length some rule path has.  The
 expressions meet the rules in an equi-join on a short hash prefix (the first 32
 bits of SHA-256); equal full digests confirm a match, and the longest rule wins.
 
@@ -14,6 +14,7 @@ Defined cases: a null URL, or one without ``://``, has empty host and path and
 fits no rule; a URL that no rule fits takes ``default``; rules with a null or
 empty host or a null path are ignored; of equally long rules the one with the
 longer host, then block before allow, then the smaller rule string wins.
+A host of any number of labels and a path of any length have no more expressions than that.
 Repeated rows and ids stay; other columns of the input are not returned.
 """
 
@@ -59,12 +60,15 @@ def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
         "short", F.substring("digest", 1, 8))
     # one row: the path lengths that occur in rules (at most the longest rule path)
     lengths = good.select(F.sort_array(F.collect_set(F.char_length("rule_path"))).alias("x")).scalar()
+    # and the label counts of rule hosts: a host of a million labels has no more suffixes than these
+    labels = "char_length({0}) - char_length(replace({0}, '.', '')) + 1".format
+    counts = good.select(F.sort_array(F.collect_set(F.expr(labels("rule_host")))).alias("x")).scalar()
 
     keys = rows.where("host <> ''").select("host", "path").distinct()
-    labels = F.split("host", r"\.")
-    parts = (keys.withColumn("labels", labels)
-             .withColumn("at", F.explode(F.sequence(F.lit(1), F.size("labels"))))
-             .withColumn("suffix", F.array_join(F.expr("slice(labels, at, size(labels))"), "."))
+    parts = (keys.withColumn("labels", F.expr(labels("host")))
+             .withColumn("some", F.explode(counts))
+             .where("some <= labels")
+             .withColumn("suffix", F.expr("substring_index(host, '.', -some)"))
              .withColumn("len", F.explode(lengths))
              .where("len <= char_length(path)")
              .withColumn("prefix", F.expr("substring(path, 1, len)")))

@@ -44,6 +44,15 @@ def test_url_filter_other_rules_and_empty_tables(spark):
     assert (none.rule, none.verdict) == (None, "block")
 
 
+def test_a_hostile_host_costs_no_more_suffixes_than_rules_have(spark):
+    """Hosts of a megabyte and half a million labels, and a path as long."""
+    host = "a." * 500_000 + "example.com"
+    urls = ["http://" + host + "/en/x", "http://" + host + "." * 500_000 + "/en/", "http://example.com/en/" + "p/" * 500_000, "http://" + "x" * 1_000_000]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter(pages, rule_table(spark)).collect()}
+    assert got == {0: ("example.com/en/", "block"), 1: (None, "allow"), 2: ("example.com/en/", "block"), 3: (None, "allow")}
+
+
 def edf(quota):
     total, done, out = sum(quota.values()), dict.fromkeys(quota, 0), []
     for t in range(total):
