@@ -9,7 +9,8 @@ every source within less than one block of its share ``t q/Q`` at every slot t.
 Weights are whole numbers, so the schedule repeats after Q slots: one frame of Q
 rows is scheduled, and block j of a source falls at ``Q * ((j-1) div q)`` plus the
 slot of its ``(j-1) mod q``-th turn in the frame.  Rows never pass through one
-task: only the frame (Q slots, bounded by ``MAX_FRAME``) is made in one place.
+task: only the frame (Q slots, the sum of the sources' weights) is made in one place, by a fold that looks at
+each distinct weight once a slot; sources of equal weight take their group's turns round-robin.
 
 Row numbers inside a source come from hash ranges: the MD5 order is cut into as
 many ranges as eight per shuffle partition, rows are numbered inside (source,
@@ -35,7 +36,8 @@ from pyspark.sql import functions as F
 #: Target weights of the registered query and the pipeline stage; others have weight 1.
 WEIGHTS = {"src0": 4, "src1": 3, "src2": 3, "src3": 2, "src4": 2}
 BLOCK_ROWS = 16
-MAX_FRAME = 20_000
+#: A frame of at most so many slots (some MB) is broadcast; a longer one is joined like any table.
+BROADCAST_SLOTS = 100_000
 
 
 def quantise(weights: dict, frame: int = 1000) -> dict:
@@ -50,21 +52,28 @@ def quantise(weights: dict, frame: int = 1000) -> dict:
 
 
 def frame_slots(quota: DataFrame) -> DataFrame:
-    """(src, q, frame, turn, frame_slot): one frame for ``quota(src, q)``, the EDF rule as a fold over its slots."""
+    """(src, q, frame, turn, frame_slot): one frame for ``quota(src, q)``, the EDF rule as a fold over its slots.
+
+    Sources of equal weight are one group: the rule takes them in turn, so a group's next source
+    follows from its number of turns, and a slot costs a look at each distinct weight."""
     one = quota.agg(F.sort_array(F.collect_list(F.struct("src", "q"))).alias("s"), F.sum("q").alias("frame")).where("frame > 0")
-    one = one.select("frame", F.col("s.src").alias("names"), F.col("s.q").alias("q"), F.assert_true(
-        F.col("frame") <= MAX_FRAME, F.lit("the weights make a frame of too many slots")).alias("ok"))
-    # state: blocks done per source and the winners so far; a source is released at slot t when
-    # done * Q <= t * q, its next deadline is ceil((done + 1) Q / q)
-    pick = """array_min(transform(st.done, (e, k) -> if(e * frame <= t * q[k],
-                struct(((e + 1) * frame + q[k] - 1) div q[k] as deadline, k as k),
-                struct(9223372036854775807L as deadline, k as k)))).k"""
-    fold = f"""aggregate(sequence(0L, frame - 1),
-        struct(transform(q, x -> 0L) as done, cast(array() as array<int>) as won),
-        (st, t) -> struct(transform(st.done, (d, i) -> d + if(i = {pick}, 1L, 0L)) as done,
-                          concat(st.won, array({pick})) as won),
-        st -> st.won)"""
-    slots = (one.where("ok is null").select("names", "q", "frame", F.posexplode(F.expr(fold)).alias("at", "k"))
+    one = (one.select("frame", F.col("s.src").alias("names"), F.col("s.q").alias("q"), F.expr("array_sort(array_distinct(s.q))").alias("w"))
+           .withColumn("ks", F.expr("transform(w, x -> filter(sequence(0, size(q) - 1), i -> q[i] = x))"))  # by weight, the places of its sources
+           .withColumn("stride", F.ceil(F.sqrt("frame")).cast("long")))
+    # state: turns taken per group; a group's next source has turns div size blocks done, is released at slot t when
+    # done * frame <= t * w, and its next deadline is ceil((done + 1) frame / w); ties go to the first source by name
+    pick = """array_min(transform(st.taken, (n, g) -> struct(
+        if((n div size(ks[g])) * frame <= t * w[g], ((n div size(ks[g]) + 1) * frame + w[g] - 1) div w[g], 9223372036854775807L) as deadline,
+        ks[g][cast(n % size(ks[g]) as int)] as k, g as g)))"""
+    slot = f"""transform(array({pick}), x -> struct(
+        transform(st.taken, (n, g) -> if(g = x.g, n + 1L, n)) as taken, concat(st.won, array(x.k)) as won))[0]"""
+    # strides of sqrt(frame) slots keep the lists that a slot is appended to short
+    stride = f"""aggregate(sequence(a, least(a + stride, frame) - 1), struct(whole.taken as taken, cast(array() as array<int>) as won),
+        (st, t) -> {slot})"""
+    fold = f"""aggregate(sequence(0L, frame - 1, stride), struct(transform(w, x -> 0L) as taken, cast(array() as array<array<int>>) as won),
+        (whole, a) -> transform(array({stride}), r -> struct(r.taken as taken, concat(whole.won, array(r.won)) as won))[0],
+        whole -> flatten(whole.won))"""
+    slots = (one.select("names", "q", "frame", F.posexplode(F.expr(fold)).alias("at", "k"))
              .select(F.expr("names[k]").alias("src"), F.expr("q[k]").alias("q"), "frame", F.col("at").cast("long").alias("frame_slot")))
     turn = Window.partitionBy("src").orderBy("frame_slot")  # over one frame only
     return slots.withColumn("turn", F.row_number().over(turn).cast("long") - 1)
@@ -106,7 +115,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, weights: dict = WEIGHTS, d
     numbered = (rows.withColumn("at", F.row_number().over(order).cast("long") - 1)
                 .join(before, ["src", "part"]).withColumn("j", F.col("at") + F.col("before"))
                 .withColumn("block", F.expr(f"j div {block_rows}")).withColumn("pos", F.expr(f"j % {block_rows}")))
-    t = F.broadcast(turns)  # at most MAX_FRAME rows
+    slots = totals.agg(F.sum("q")).first()[0] or 0  # one value
+    t = F.broadcast(turns) if slots <= BROADCAST_SLOTS else turns
     placed = numbered.join(t, (numbered.src == t.src) & (F.col("turn") == F.expr("block % q"))).withColumn(
         "slot", F.expr("(block div q) * frame + frame_slot"))
     return placed.select(*plain, "block", "slot", "pos", (F.col("slot") <= until).alias("on_target")).toDF(

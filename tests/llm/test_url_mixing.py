@@ -98,3 +98,29 @@ def test_mixture_edge_cases(spark, make_docs):
         mix_sources(spark, make_docs([]), {"a": 0})
     assert sum(quantise({"a": 0.5, "b": 0.3, "c": 0.2}, 10).values()) == 10
     assert quantise({"a": 1.0, "b": 1.0}) == {"a": 1, "b": 1}
+
+
+def test_groups_of_equal_weight_are_dealt_like_single_sources(spark):
+    for quota in ({f"={i:03d}": 1 + i % 3 for i in range(60)}, {f"={i}": 1 + i * i % 11 for i in range(17)}, {"=x": 7}):
+        rows = sorted(frame_slots(spark.createDataFrame(list(quota.items()), "src string, q long")).collect(), key=lambda r: r.frame_slot)
+        assert [r.src for r in rows] == edf(quota)
+
+
+def test_many_sources_are_scheduled(spark):
+    n = 50_000
+    quota = spark.range(n).select(F.format_string("=%06d", "id").alias("src"), F.when(F.col("id") < 5, 4).otherwise(1).cast("long").alias("q"))
+    slots = frame_slots(quota)
+    got = slots.agg(F.count("*").alias("n"), F.countDistinct("src").alias("sources"), F.countDistinct("frame_slot").alias("places")).first()
+    assert (got.n, got.sources, got.places) == (n + 15, n, n + 15)
+    # less than one block off the target: the i-th turn of a source lies within its release and deadline
+    bad = slots.where("turn * frame > frame_slot * q or (frame_slot + 1) * q > (turn + 1) * frame + q - 1")
+    assert bad.count() == 0
+
+
+@pytest.mark.parametrize("limit", [0, 100_000])
+def test_a_long_frame_is_joined_without_broadcast(spark, make_docs, monkeypatch, limit):
+    monkeypatch.setattr("marketlens.llm.mixing.BROADCAST_SLOTS", limit)
+    rows = [(i, "t", "en", f"s{i % 40}") for i in range(2000)]
+    got = mix_sources(spark, make_docs(rows))
+    assert got.count() == 2000 and got.select("slot", "pos").distinct().count() == 2000
+    assert {r.n for r in got.groupBy("slot").agg(F.countDistinct("source").alias("n")).collect()} == {1}
