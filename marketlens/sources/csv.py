@@ -3,8 +3,8 @@
 Every column is read as text, misspelt headers are renamed, then each column
 is converted by name with ``try_cast`` (unparseable → NULL), so column order
 in the file does not matter and zip prefixes keep their leading zeros (N26).
-Only the review file, whose free text may hold quoted newlines, is read with
-``multiLine`` (that option stops Spark from splitting a file).
+Only the review file's free text may hold quoted newlines; it is split all the same
+(``quoted_csv``; ``multiLine`` would give a file to one task).
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketlens.sources.quoted_csv import read_quoted_csv
+
 # Raw file per source table.
 CSV_FILES = {
     "customers": "olist_customers_dataset.csv",
@@ -67,9 +69,9 @@ def raw_schema(name: str) -> str:
 
 
 def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
-    raw = (spark.read.option("header", True).option("multiLine", name in MULTILINE)
-           .option("quote", '"').option("escape", '"').csv(path))
-    return typed(raw, name)
+    if name in MULTILINE:
+        return typed(read_quoted_csv(spark, path), name)
+    return typed(spark.read.option("header", True).option("quote", '"').option("escape", '"').csv(path), name)
 
 
 def typed(raw: DataFrame, name: str) -> DataFrame:

@@ -2,7 +2,10 @@
 
 import os
 
+import pytest
+
 from marketlens.plans.model import Warehouse
+from marketlens.sources import quoted_csv
 from marketlens.sources.csv import CSV_FILES, load_raw
 
 
@@ -59,3 +62,37 @@ def test_csv_warehouse_end_to_end(spark, tmpdir_path):
     wh = Warehouse(spark, src, etl_date="2024-01-01")
     f = wh.fact.collect()
     assert len(f) == 1 and f[0].delivery_days == 8 and f[0].category_name == "cama_mesa"
+
+
+QUOTED = ['a,b,c', '1,plain,x', '2,"two\nlines",y', '3,"say ""hi""\n\n""again""",z', '4,"\n\n\n",', '5,bare "quote" inside,6"', '', '6,"comma, and\nmore","x\ny"',
+          '7,"' + "long " * 40 + '\n' + 'tail"' + ',"é\nü"', '8,,', '9,"",q', '10,"""",r', '11,"ends with quote""",s', '12,last,row']
+
+
+def canon(df):
+    return sorted(str(tuple(r)) for r in df.collect())
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+@pytest.mark.parametrize("cut", [7, 16, 33, 64, 10_000])
+def test_split_reader_equals_the_multiline_reader(spark, tmpdir_path, cut, end):
+    for i, tail in enumerate(("", end)):  # two files, one without a last line end
+        with open(os.path.join(tmpdir_path, f"f{i}.csv"), "w", encoding="utf-8", newline="") as fh:
+            fh.write(end.join(QUOTED) + tail)
+    want = canon(spark.read.options(header=True, multiLine=True, quote='"', escape='"').csv(tmpdir_path))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", cut)
+        spark.conf.set("spark.sql.files.openCostInBytes", 0)
+        got = quoted_csv.read_quoted_csv(spark, tmpdir_path)
+        assert canon(got) == want and len(want) == 24
+        blocks = quoted_csv.records(spark, tmpdir_path).select("block").distinct().count()
+        assert blocks > 3 or cut > 200
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_quote_states():
+    f = quoted_csv.ends_inside
+    assert [f('a,"b', False), f('a,"b"', False), f('b",c', True), f('b"",c', True), f('x', True), f('a"b', False), f('","', True), f('""', False), f('"""', False)] == [
+        True, False, False, True, True, False, True, False, True]
