@@ -27,6 +27,8 @@ DETAIL_ONLY = ("d5_order_detail", "q22_overview_kpis", "q37_sales_trend", "s8_wa
 #: Reports on the stored warehouse above a date floor that lies inside the data.
 DATE_FLOOR = "1995-07-15"
 ABOVE_FLOOR = ("d5_order_detail", "q42_rfm_data")
+#: Reports on the raw-file path: the source tables written as CSV (misspelt headers, multi-line comments) and read back.
+FROM_CSV = ("q02_monthly_delivery", "q12_score_by_days_bucket", "r01_overview_kpis")
 _built: dict[tuple[str, ...], str] = {}
 
 
@@ -80,6 +82,22 @@ def above_floor(spark: SparkSession, sf_dir: str) -> Warehouse:
     return Warehouse.from_warehouse(spark, built_root(spark, sf_dir), date_floor=DATE_FLOOR)
 
 
+def csv_warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
+    """The source tables as raw CSV files; each review has a comment with quotes, commas and line ends."""
+    from marketlens.sources.csv import CSV_FILES, HEADER_FIXES, SCHEMAS
+    from marketlens.sources.testdata import source_tables
+
+    def make(root: str) -> None:
+        src = source_tables(spark, sf_dir)
+        comment = F.concat(F.lit('said "fine",\nthen '), F.col("review_id"), F.lit('\n\n"end"'))
+        src["order_reviews"] = src["order_reviews"].withColumn("review_comment_message", comment)
+        for name, file in CSV_FILES.items():
+            df = src[name].select(*[c for c, _ in SCHEMAS[name] if c in src[name].columns])
+            df = df.withColumnsRenamed({right: raw for raw, right in HEADER_FIXES.items()})
+            df.write.options(header=True, quote='"', escape='"').csv(f"{root}/{file}")
+    return Warehouse.from_csv(spark, _once(spark, "csv", sf_dir, make))
+
+
 def _stored(name: str, fn):
     from marketlens.plans.marts import _out
     marts = {"m1_daily_metrics": "dws_daily_metrics", "m5_category_summary": "dws_category_summary"}
@@ -97,6 +115,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
                 out[f"w_{name}"] = (lambda f: lambda spark, sf_dir: f(built_warehouse(spark, sf_dir)))(_stored(name, fn))
             if name in DETAIL_ONLY:
                 out[f"w_detail_{name}"] = (lambda f: lambda spark, sf_dir: f(detail_only_warehouse(spark, sf_dir)))(fn)
+            if name in FROM_CSV:
+                out[f"c_{name}"] = (lambda f: lambda spark, sf_dir: f(csv_warehouse(spark, sf_dir)))(fn)
             if name in ABOVE_FLOOR:
                 out[f"w_floor_{name}"] = (lambda f: lambda spark, sf_dir: f(above_floor(spark, sf_dir)))(fn)
     return out
@@ -109,4 +129,5 @@ def oracle_sql() -> dict[str, str]:
     return {name: with_prelude(body) for name, body in bodies.items()} | {
         f"w_{name}": py_reports.in_warehouse_mode(bodies[name]) for name in STORED} | {
         f"w_detail_{name}": with_prelude(bodies[name]) for name in DETAIL_ONLY} | {
+        f"c_{name}": with_prelude(bodies[name]) for name in FROM_CSV} | {
         f"w_floor_{name}": with_prelude(py_reports.above_floor(bodies[name], DATE_FLOOR)) for name in ABOVE_FLOOR}
