@@ -38,7 +38,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Order:
-    """A total order of rows: a numeric column, descending or not, then a key ascending."""
+    """A total order of rows: a numeric column, descending or not, then a key ascending (a null key first)."""
 
     column: str
     key: str | None = None
@@ -61,6 +61,7 @@ class Cut:
     bracket: tuple[str, str] | None = None
     rows: int = 0               # rows in the bracket
     prefix: str = ""
+    key_null: bool = False      # the cut's row has no key (it comes first in its tie)
     stage: str = field(default="value")
 
 
@@ -137,11 +138,11 @@ class Selection:
 
     def _key_bins(self, c: Cut) -> DataFrame:
         key = F.col(c.order.key)
-        tie = self.table.where(self._tie(c) & key.isNotNull())
+        tie = self.table.where(self._tie(c))
         if not isinstance(self.table.schema[c.order.key].dataType, StringType):
             key = key.cast("decimal(38,0)")
             if c.bracket is None:
-                return tie.groupBy(F.lit("0").alias("bin")).agg(self.n.alias("n"), F.min(key).cast("string").alias("lo"), F.max(key).cast("string").alias("hi"))
+                return tie.groupBy(key.isNull().cast("string").alias("bin")).agg(self.n.alias("n"), F.min(key).cast("string").alias("lo"), F.max(key).cast("string").alias("hi"))
             lo, hi = (F.lit(v).cast("decimal(38,0)") for v in c.bracket)
             span = max(int(c.bracket[1]) - int(c.bracket[0]), 1)
             bin_ = F.floor((key - lo).cast("double") / F.lit(float(span)) * (BINS - 2)).cast("string")
@@ -155,7 +156,7 @@ class Selection:
 
     def _advance(self, c: Cut, bins: list) -> None:
         text = c.stage == "tie" and isinstance(self.table.schema[c.order.key].dataType, StringType)
-        for r in sorted(bins, key=lambda r: r.lo if text else float(r.lo)):
+        for r in sorted(bins, key=lambda r: (r.lo is not None, (r.lo or "") if text else float(r.lo or 0))):
             if c.position <= r.n:
                 break
             c.position -= r.n
@@ -163,6 +164,8 @@ class Selection:
         if c.stage == "value":
             c.bracket = (r.lo, r.hi)
             self._settle(c)
+        elif r.lo is None:
+            c.key_null, c.stage = True, "done"
         elif r.lo == r.hi:
             c.key, c.stage = r.lo, "done"
         elif text:
@@ -174,7 +177,12 @@ class Selection:
     def behind(self, c: Cut) -> Column:
         """Whether a row comes after the cut."""
         x = c.order.value()
-        tied = F.lit(False) if c.key is None else F.col(c.order.key) > F.lit(c.key).cast(self.table.schema[c.order.key].dataType)
+        if c.key_null:
+            tied = F.col(c.order.key).isNotNull()
+        elif c.key is None:
+            tied = F.lit(False)
+        else:
+            tied = F.coalesce(F.col(c.order.key) > F.lit(c.key).cast(self.table.schema[c.order.key].dataType), F.lit(False))
         if c.null:
             return F.coalesce(x.isNotNull() | tied if c.order.nulls_first else x.isNull() & tied, F.lit(False))
         at = F.lit(c.value).cast(self._type(c))

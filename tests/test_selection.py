@@ -76,3 +76,15 @@ def test_rfm_scores_have_no_sort(spark):
         plan = rfm_score(df, "c", how)._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan and "Sort" not in plan and "ExistingRDD" not in plan
     assert rfm_score(df.limit(0), "c", "ntile").count() == 0
+
+
+@pytest.mark.parametrize("typ,few", [("string", 1000), ("string", 1), ("long", 1000), ("long", 1)])
+def test_a_null_key_comes_first_in_its_tie(spark, monkeypatch, typ, few):
+    monkeypatch.setattr(selection, "FEW", few)
+    for n in (2, 5, 8):
+        data = [(None, 1, 1)] + [(str(i) if typ == "string" else i, 1, i % 2) for i in range(n - 1)]
+        df = written(spark.createDataFrame(data, f"id {typ}, a long, b int"), "t")
+        for ends in ([1], tile_ends(n, 4)):
+            got = tiles(df, {"x": (Order("a", "id", desc=True, nulls_first=False), ends), "y": (Order("b", "id"), ends)})
+            line = {c: [r.id for r in df.orderBy(*o).collect()] for c, o in (("x", [F.desc("a"), F.asc("id")]), ("y", [F.asc("b"), F.asc("id")]))}
+            assert {r.id: (r.x, r.y) for r in got.collect()} == {i: tuple(1 + sum(line[c].index(i) >= e for e in ends) for c in "xy") for i, *_ in data}
