@@ -10,15 +10,20 @@ short lines stay while long repeated passages go.  The removal is a table of spa
 
 Units default to ``"passage"``: the sentences of each line (a sentence of fewer than
 ``GLUE_WORDS`` words is read together with the next one of its line) and every window
-of ``min_words`` words that may occur twice, so a repeated passage of ``min_words``
-words is found wherever it starts and ends.  Which windows may is known from
-seeds: every window names the smallest hash of the half-windows in it (winnowing), so
-equal windows name equal seeds, and only windows whose seed occurs twice are grouped.
-The repeated seeds reach the tasks as a Bloom filter of at most ``SEED_BITS`` bits;
-beyond it more windows are grouped, never fewer.  A window that overlaps its own kept
-occurrence is no repeat.  In scripts written without blanks every character counts as
-a word of a window.  ``unit="sentence"``, ``"line"`` and ``"paragraph"`` hash only whole
-sentences, lines or blank-line paragraphs.
+of ``min_words`` words, so a repeated passage of ``min_words`` words is found wherever it
+starts and ends.  Windows are not shuffled one by one: every window names the smallest hash
+of the half-windows in it (its seed, winnowing), and neighbouring windows that name the same
+one are a chunk, one row.  Inside a repeated passage the chunks repeat too, so
+
+* chunks are grouped by seed; a seed whose chunks are all equal is decided as a whole;
+* of a seed with unequal chunks (the ends of passages, shared half-windows) equal chunks are
+  grouped by content, all but the first of them are repeats, and only of these first ones
+  every window is hashed, from the texts that hold one, and grouped.
+
+A window that overlaps its own kept occurrence is no repeat.  In scripts written without
+blanks every character counts as a word of a window, and so does a run of ``CHUNK`` characters
+without a blank.  ``unit="sentence"``, ``"line"`` and ``"paragraph"`` hash only whole sentences,
+lines or blank-line paragraphs.
 
 A digest held by a third of all units is combined before the shuffle; when the
 decision goes back to the units it is a join key that adaptive execution splits.
@@ -29,13 +34,15 @@ apart by a hash of the text, so rows without an id, or of one id with other text
 their own and are never cut by each other's offsets; of equal ids the smaller hash ranks first, null
 ids rank before all (and are no member of ``kept_doc_ids``); of equal ranks the smaller offset is kept,
 so a repeat inside one document goes too; repeated rows (equal id and text) are one document and
-never remove each other; empty tables give no spans; a long text is read in pieces of ``PIECE``
-words; other columns are not returned by ``repeated_spans`` and pass through ``remove``.
+never remove each other; empty tables give no spans; a long text is read in pieces of ``CHUNK``
+characters; other columns are not returned by ``repeated_spans`` and pass through ``remove``.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -56,9 +63,8 @@ CUT["passage"] = CUT["sentence"]
 #: Thai to Tibetan, Burmese, Khmer, kana, Han: written without blanks.
 SOLID = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
 WORD = re.compile(rf"[{SOLID}]|[^\s{SOLID}]+")
-#: Words of a text that are hashed at a time, and bits of the largest filter of repeated seeds (64 MB).
-PIECE, SEED_BITS = 1 << 15, 1 << 29
-FILTER_BLOCK = 1 << 19
+#: Characters that are cut into words at a time, and windows that are looked at together.
+CHUNK, PIECE = 1 << 16, 1 << 15
 
 
 def cut_units(text: str, unit: str):
@@ -87,106 +93,126 @@ def cut_units(text: str, unit: str):
         at = after
 
 
-class _Digests(dict):
-    """128-bit digests of words, lower-cased; bounded."""
+@cache
+def _letters() -> tuple[np.ndarray, np.ndarray]:
+    """By code point: 0 white space, 1 letter of a word, 2 a word of its own; and its lower case."""
+    kind, lower = np.ones(0x110000, np.uint8), np.arange(0x110000, dtype=np.uint32)
+    for a, b in re.findall("(.)-(.)", SOLID):
+        kind[ord(a):ord(b) + 1] = 2
+    for c in range(0x1F000):  # no code point above has white space or case
+        x = chr(c)
+        if x.isspace():
+            kind[c] = 0
+        elif len(low := x.lower()) == 1:
+            lower[c] = ord(low)
+    return kind, lower
+
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) > 200_000:
-            self.clear()
-        d = self[word] = xxhash.xxh3_128_digest(word.lower().encode("utf-8", "surrogatepass"))
-        return d
+_BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+
+
+@cache
+def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse, modulo 2^64."""
+    return tuple(np.cumprod(np.append(np.uint64(1), np.full(n, x, np.uint64))) for x in (_BASES[which], pow(_BASES[which], -1, 1 << 64)))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return x ^ (x >> np.uint64(29))
-
-
-class Windows:
-    """Hashes of all windows of ``size`` words of a text, and the seed of each."""
-
-    def __init__(self, size: int):
-        self.size, self.half = size, (size + 1) // 2
-        self.words = _Digests()
-        n = PIECE + size
-        self.power = []  # powers of two odd bases and of their inverses, modulo 2^64
-        for base in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F):
-            self.power.append([np.cumprod(np.append(np.uint64(1), np.full(n, x, np.uint64))) for x in (base, pow(base, -1, 1 << 64))])
-
-    def _rolled(self, h: np.ndarray, k: int, which: int) -> np.ndarray:
-        up, down = self.power[which]
-        total = np.append(np.uint64(0), np.cumsum(h * up[:len(h)], dtype=np.uint64))
-        return _mix((total[k:] - total[:-k]) * down[:len(h) - k + 1])
-
-    def of(self, text: str):
-        """(first, starts, ends, seed_at, seeds, hashes) of each piece of a text: offsets of its words from word
-        number ``first`` on; window i starts at word first + i, and its seed is ``seeds[seed_at[i]]``;
-        ``hashes(i)`` are 128-bit hashes of the windows i.  Every window is in one piece."""
-        first, words, at = 0, [], []
-        for m in WORD.finditer(text):
-            words.append(m[0])
-            at.append(m.span())
-            if len(words) == PIECE + self.size - 1:
-                yield self._piece(first, words, at)
-                first, words, at = first + PIECE, words[PIECE:], at[PIECE:]
-        yield self._piece(first, words, at)
-
-    def _piece(self, first: int, words: list, at: list):
-        at = np.array(at, np.int32).reshape(-1, 2)
-        if len(words) < self.size:
-            return first, at[:, 0], at[:, 1], np.zeros(0, np.int64), np.zeros(0, np.uint64), None
-        h = np.frombuffer(b"".join([self.words[w] for w in words]), np.uint64).reshape(-1, 2)
-        seeds = self._rolled(h[:, 0], self.half, 0)
-        few = self.size - self.half + 1
-        seed_at = np.lib.stride_tricks.sliding_window_view(seeds, few).argmin(1) + np.arange(len(seeds) - few + 1)
-
-        def hashes(i):
-            return self._rolled(h[:, 0], self.size, 0)[i].view(np.int64), self._rolled(h[:, 1], self.size, 1)[i].view(np.int64)
-
-        return first, at[:, 0], at[:, 1], seed_at, seeds, hashes
-
-
-def _probes(seeds, bits: int):
-    """Two places of each seed in a filter of ``bits`` bits (a power of two)."""
-    s = np.asarray(seeds).view(np.uint64)
-    return [(_mix(s ^ np.uint64(salt)) & np.uint64(bits - 1)).astype(np.int64) for salt in (0, 0x5851F42D4C957F2D)]
-
-
-def repeated_seeds(docs: DataFrame, size: int) -> np.ndarray:
-    """A Bloom filter (bits, packed) of the seeds that occur more than once among the windows of all texts.
-
-    Seeds are counted in Spark and the filter is put together there in blocks; the driver joins the blocks.
-    """
-    spark = docs.sparkSession
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
 
-    def task(batches):
-        windows = Windows(size)
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                for *_, seed_at, seeds, _ in windows.of(text or ""):
-                    if len(seed_at):
-                        yield pa.RecordBatch.from_arrays([pa.array(seeds[np.unique(seed_at)].view(np.int64))], names=["seed"])
 
-    found = small_batches(docs).select("text").mapInArrow(task, "seed long")
-    found = Scratch(spark, "seeds").table(found.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed"))
-    bits = min(SEED_BITS, max(FILTER_BLOCK, 1 << (16 * found.count()).bit_length()))
+class _Sums:
+    """Hashes of ranges of a sequence of numbers, from running sums."""
 
-    def places(batches):
-        for batch in batches:
-            at = np.unique(np.concatenate(_probes(batch.column("seed").to_numpy(), bits)))
-            yield pa.RecordBatch.from_arrays([pa.array(at // FILTER_BLOCK), pa.array((at % FILTER_BLOCK).astype(np.int32))], names=["block", "at"])
+    def __init__(self, values: np.ndarray, which: int):
+        n = 1 << max(17, len(values).bit_length())
+        self.up, self.down = _powers(which, n)
+        self.total = np.append(np.uint64(0), np.cumsum(values * self.up[:len(values)], dtype=np.uint64))
 
-    def fill(pdf):
-        import pandas as pd
-        block = np.zeros(FILTER_BLOCK, bool)
-        block[pdf["at"].to_numpy()] = True
-        return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "bits": [np.packbits(block).tobytes()]})
+    def of(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        return _mix((self.total[hi] - self.total[lo]) * self.down[lo] + (hi - lo).astype(np.uint64))
 
-    out = np.zeros(bits // 8, np.uint8)
-    for r in found.mapInArrow(places, "block long, at int").groupBy("block").applyInPandas(fill, "block long, bits binary").toLocalIterator():
-        part = np.frombuffer(r.bits, np.uint8)  # at most SEED_BITS / FILTER_BLOCK rows of 64 KB
-        out[r.block * len(part):(r.block + 1) * len(part)] = part
-    return out
+
+def _words(text: str) -> tuple[np.ndarray, ...]:
+    """(start, end, hash, other hash) of the words of a text, lower-cased; offsets count code points."""
+    kind_of, lower = _letters()
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = np.concatenate([[0], kind_of[points], [0]]).astype(np.uint8)
+    here, one = kind[1:-1], kind == 1
+    start = np.flatnonzero((here == 2) | (one[1:-1] & ~one[:-2]))
+    end = np.flatnonzero((here == 2) | (one[1:-1] & ~one[2:])) + 1
+    values = lower[points].astype(np.uint64) + np.uint64(1)
+    return start, end, _Sums(values, 0).of(start, end), _Sums(values, 1).of(start, end)
+
+
+def read_words(texts: list[str], keep: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(row, number in the row, start, end, hash, other hash) of the words of all texts, in turn.
+
+    Texts are read ``CHUNK`` characters at a time, short ones together; when a text goes on, its last ``keep``
+    words come again at the beginning of the next arrays, so every window of keep + 1 words is in exactly one.
+    """
+    parts, size, carry = [], 0, None  # parts: (row, number of its first word, offset of its first character, text)
+
+    def flush(goes_on: bool):
+        nonlocal parts, size, carry
+        begins = np.cumsum([0] + [len(p[3]) + 1 for p in parts])
+        start, end, h, g = _words("\n".join(p[3] for p in parts))
+        part = np.searchsorted(begins, start, side="right") - 1
+        before = np.searchsorted(start, begins[:-1])
+        row, number, offset = (np.array([p[k] for p in parts], np.int64)[part] for k in range(3))
+        shift = offset - begins[part]
+        out = [row, number + np.arange(len(start)) - before[part], start + shift, end + shift, h, g]
+        last = len(start) - before[-1]  # words of the last part
+        if carry is not None:
+            out = [np.concatenate([c, o]) for c, o in zip(carry, out, strict=True)]
+        carry = [o[max(0, len(o) - keep):][out[0][max(0, len(o) - keep):] == parts[-1][0]] for o in out] if goes_on else None
+        parts, size = [], 0
+        return out, last
+
+    for i, text in enumerate(texts):
+        at = number = 0
+        text = text or ""
+        while len(text) - at > CHUNK:  # a long text: cut before its last word that may go on
+            stop = at + CHUNK
+            while stop > at and not text[stop - 1].isspace():
+                stop -= 1
+            stop = stop if stop > at else at + CHUNK
+            if parts:
+                yield flush(False)[0]
+            parts = [(i, number, at, text[at:stop])]
+            out, n = flush(True)
+            yield out
+            at, number = stop, number + n
+        parts.append((i, number, at, text[at:]))
+        size += len(text) - at
+        if size > CHUNK or carry is not None:
+            yield flush(False)[0]
+    if parts:
+        yield flush(False)[0]
+
+
+def _windows(words: tuple[np.ndarray, ...], size: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(lo, hi, seed, content) of each chunk: the words that it covers, by index into ``words``."""
+    row, half = words[0], (size + 1) // 2
+    n, few = len(row) - size + 1, size - half + 1
+    if n <= 0:
+        return
+    first, second = _Sums(words[4], 0), _Sums(words[5], 1)
+    at = np.arange(n + few - 1)
+    seeds = first.of(at, at + half)
+    inside = row[:n] == row[size - 1:]
+    for a in range(0, n, PIECE):
+        b = min(n, a + PIECE)
+        seed_at = np.lib.stride_tricks.sliding_window_view(seeds[a:b + few - 1], few).argmin(1) + np.arange(a, b)
+        w = np.flatnonzero(inside[a:b]) + a
+        if not len(w):
+            continue
+        named = seed_at[w - a]
+        new = np.flatnonzero(np.concatenate([[True], (np.diff(named) != 0) | (np.diff(w) != 1)]))
+        lo, hi = w[new], np.append(w[new[1:] - 1], w[-1]) + size
+        yield lo, hi, seeds[named[new]], second.of(lo, hi)
 
 
 def text_hash() -> Column:
@@ -196,73 +222,139 @@ def text_hash() -> Column:
 UNITS = "doc_id long, t int, lo int, hi int, start int, end int, whole boolean, h1 long, h2 long"
 
 
-def units(docs: DataFrame, unit: str = "passage", size: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, t, lo, hi, start, end, whole, h1, h2): t is a hash of the text, which tells rows of one id apart; the words and offsets of every unit (``whole``) and, for passages,
-    of every window of ``size`` words whose seed may occur twice."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(repeated_seeds(docs, size)) if unit == "passage" else None
+def _rows(batch, owner, *columns) -> pa.RecordBatch:
+    """Rows of ``UNITS``: id and text hash of the owners' rows in the batch, then columns."""
+    names = [x.split()[0] for x in UNITS.split(", ")]
+    types = [*[pa.int32()] * 4, pa.bool_(), pa.int64(), pa.int64()]
+    row = [batch.column(c).take(pa.array(owner, pa.int64())) for c in ("doc_id", "t")]
+    return pa.RecordBatch.from_arrays([*row, *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names=names)
 
-    def task(batches):
-        windows = Windows(size) if shared else None
-        names = [x.split()[0] for x in UNITS.split(", ")]
-        types = [pa.int64(), *[pa.int32()] * 5, pa.bool_(), pa.int64(), pa.int64()]
 
-        def out(batch, owner, *columns):
-            row = [batch.column(c).take(pa.array(owner, pa.int64())) for c in ("doc_id", "t")]
-            return pa.RecordBatch.from_arrays([*row, *[pa.array(c, t) for c, t in zip(columns, types[2:], strict=True)]], names=names)
+def _keyed(docs: DataFrame) -> DataFrame:
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("t"), "text")
+
 
-        def of_units(batch, owner, lo, hi, start, end, keys):
-            h = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
-            return out(batch, owner, lo, hi, start, end, np.ones(len(owner), bool), h[:, 0], h[:, 1])
+def units(docs: DataFrame, unit: str = "passage", size: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, t, lo, hi, start, end, whole, h1, h2): t is a hash of the text, which tells rows of one id apart;
+    the words and offsets of every unit (``whole``) and, for passages, of every chunk of windows, h1 being its seed."""
 
+    def task(batches):
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            begins, held = {}, [[] for _ in range(6)]
+            if unit == "passage":
+                last = (-1, -1)
+                for words in read_words(texts, size - 1):
+                    row, number, start, end = words[:4]
+                    fresh_words = (row != last[0]) | (number > last[1])  # pieces of a text overlap
+                    if len(row):
+                        last = (int(row[-1]), int(number[-1]))
+                    of, cut = np.unique(row[fresh_words], return_index=True)
+                    for i, part in zip(of.tolist(), np.split(start[fresh_words].astype(np.int32), cut[1:]), strict=True) if len(of) else ():
+                        begins.setdefault(i, []).append(part)
+                    for lo, hi, seed, content in _windows(words, size):
+                        yield _rows(batch, row[lo], number[lo], number[hi - 1] + 1, start[lo], end[hi - 1], np.zeros(len(lo), bool),
+                                    seed.view(np.int64), content.view(np.int64))
+
+            def of_units():
+                owner, lo, hi, start, end, keys = held
+                h = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
+                return _rows(batch, owner, lo, hi, start, end, np.ones(len(owner), bool), h[:, 0], h[:, 1])
+
+            for i, text in enumerate(texts):
+                cut = list(cut_units(text, unit)) if text else []
+                if not cut:
+                    continue
+                start, end, n, keys = zip(*cut, strict=True)
+                if unit == "passage":
+                    at = np.concatenate(begins.pop(i))
+                    lo, hi = np.searchsorted(at, start).tolist(), np.searchsorted(at, end).tolist()
+                else:
+                    hi = np.cumsum(n).tolist()
+                    lo = [0, *hi[:-1]]
+                for column, x in zip(held, ([i] * len(cut), lo, hi, start, end, keys), strict=True):
+                    column.extend(x)
+                if len(held[0]) > 50_000:  # bounded output batches
+                    yield of_units()
+                    held = [[] for _ in range(6)]
+            yield of_units()
+
+    return _keyed(docs).mapInArrow(task, UNITS)
+
+
+def windows_of(docs: DataFrame, ranges: DataFrame, size: int) -> DataFrame:
+    """Every window inside ``ranges`` (doc_id, t, lo, hi) as rows of ``UNITS``; only texts that hold one are read out."""
+    wanted = ranges.groupBy("doc_id", "t").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("ranges"))
+    wanted = wanted.select(F.col("doc_id").alias("d"), F.col("t").alias("dt"), "ranges").hint("merge")  # grows with the data: never broadcast
+    few = _keyed(docs).alias("k").join(wanted, F.col("k.doc_id").eqNullSafe(F.col("d")) & (F.col("k.t") == F.col("dt"))).select("doc_id", "t", "text", "ranges")
+
+    def task(batches):
         for batch in batches:
-            held = [[] for _ in range(6)]
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                if not text:
+            ranges = batch.column("ranges")
+            edges = ranges.flatten()
+            lo, hi = edges.field("lo").to_numpy(), edges.field("hi").to_numpy()
+            cut = np.append(0, np.cumsum(ranges.value_lengths().to_numpy(zero_copy_only=False)))
+            for words in read_words(batch.column("text").to_pylist(), size - 1):
+                row, number, start, end = words[:4]
+                n = len(row) - size + 1
+                if n <= 0:
                     continue
-                begins = []
-                if shared:
-                    seen, bits = shared.value, 8 * len(shared.value)
-                    for first, starts, ends, seed_at, seeds, hashes in windows.of(text):
-                        begins.append(starts[size - 1:] if first else starts)  # pieces overlap
-                        if not len(seed_at):
-                            continue
-                        named = np.unique(seed_at)
-                        a, b = _probes(seeds[named], bits)
-                        hit = ((seen[a >> 3] >> (7 - (a & 7)).astype(np.uint8)) & (seen[b >> 3] >> (7 - (b & 7)).astype(np.uint8)) & 1).astype(bool)
-                        may = np.zeros(len(seeds), bool)
-                        may[named[hit]] = True
-                        w = np.flatnonzero(may[seed_at])
-                        if len(w):
-                            h1, h2 = hashes(w)
-                            yield out(batch, np.full(len(w), i), first + w, first + w + size, starts[w], ends[w + size - 1], np.zeros(len(w), bool), h1, h2)
-                    begins = np.concatenate(begins)
-                words = 0
-                for a, b, w, d in cut_units(text, unit):
-                    lo, hi = (words, words + w) if not shared else np.searchsorted(begins, (a, b)).tolist()
-                    words += w
-                    for column, x in zip(held, (i, lo, hi, a, b, d), strict=True):
-                        column.append(x)
-                    if len(held[0]) > 200_000:  # bounded output batches
-                        yield of_units(batch, *held)
-                        held = [[] for _ in range(6)]
-            yield of_units(batch, *held)
-
-    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("t"), "text").mapInArrow(task, UNITS)
+                keep = np.zeros(n + 1, np.int32)
+                for i in np.unique(row).tolist():
+                    a, b = np.searchsorted(row, [i, i + 1])
+                    first = number[a]
+                    # windows lo .. hi - size of each range, as far as these words go
+                    x = np.clip(lo[cut[i]:cut[i + 1]] - first, 0, max(0, b - a - size + 1)) + a
+                    y = np.clip(hi[cut[i]:cut[i + 1]] - size + 1 - first, 0, max(0, b - a - size + 1)) + a
+                    if b - a >= size:
+                        np.add.at(keep, x, 1)
+                        np.add.at(keep, y, -1)
+                w = np.flatnonzero(np.cumsum(keep[:-1]) > 0)
+                one, two = _Sums(words[4], 0).of(w, w + size), _Sums(words[5], 1).of(w, w + size)
+                for a in range(0, len(w), PIECE):
+                    v = w[a:a + PIECE]
+                    yield _rows(batch, row[v], number[v], number[v] + size, start[v], end[v + size - 1], np.zeros(len(v), bool),
+                                one[a:a + PIECE].view(np.int64), two[a:a + PIECE].view(np.int64))
+
+    return few.mapInArrow(task, UNITS)
+
+
+def _first() -> Column:
+    return F.min(F.struct("doc_id", "t", "lo", "hi")).alias("first")
+
+
+def _own_overlap(size: int) -> Column:
+    """The occurrence is the kept one itself, or overlaps it."""
+    stop = F.when(F.col("whole"), F.col("first.hi")).otherwise(F.col("first.lo") + size)
+    return F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("t") == F.col("first.t")) & (F.col("lo") < stop)
+
+
+def repeats(docs: DataFrame, unit: str, size: int, scratch: Scratch) -> DataFrame:
+    """(doc_id, t, lo, hi, start, end, whole, kept): every unit, chunk and window that has an earlier occurrence."""
+    u = units(docs, unit, size)
+    seeds = u.groupBy("h1").agg(_first(), F.count("*").alias("n"), (F.min("h2") != F.max("h2")).alias("mixed")).where("n > 1").drop("n")
+    found = scratch.table(u.join(seeds.hint("merge"), "h1"))  # both sides grow with the data
+    out = ["doc_id", "t", "lo", "hi", "start", "end", "whole", F.col("first.doc_id").alias("kept")]
+    decided = found.where(~F.col("mixed") & ~_own_overlap(size)).select(out)
+    mixed = found.where("mixed").drop("first", "mixed")
+    equal = mixed.groupBy("h1", "h2").agg(_first())
+    mixed = scratch.table(mixed.join(equal.hint("merge"), ["h1", "h2"]).withColumn("own", _own_overlap(size)))
+    decided = decided.unionByName(mixed.where("not own").select(out))
+    if unit != "passage":
+        return decided
+    w = scratch.table(windows_of(docs, mixed.where("own and not whole"), size))
+    again = w.groupBy("h1", "h2").agg(_first(), F.count("*").alias("n")).where("n > 1").drop("n")
+    return decided.unionByName(w.join(again.hint("merge"), ["h1", "h2"]).where(~_own_overlap(size)).select(out))
 
 
 def repeated_spans(docs: DataFrame, unit: str = "passage", min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, t, start, end, n_units, n_words, kept_doc_ids): the spans to remove, with where their units are kept;
-    ``n_units`` counts whole units."""
-    u = units(docs, unit, min_words)
-    first = (u.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "t", "lo", "hi")).alias("first"), F.count("*").alias("n"))
-             .where("n > 1").select("h1", "h2", F.col("first.doc_id").alias("kept"), F.col("first.t").alias("kept_t"), F.col("first.lo").alias("kept_lo"), F.col("first.hi").alias("kept_hi")))
-    own = F.col("doc_id").eqNullSafe(F.col("kept")) & (F.col("t") == F.col("kept_t"))
-    again = u.join(first, ["h1", "h2"]).where(~(own & (F.col("lo") < F.col("kept_hi"))))
+    """(doc_id, t, start, end, n_units, n_words, kept_doc_ids): the spans to remove, with the documents that hold the
+    first occurrence of their units, chunks and windows; ``n_units`` counts whole units."""
+    again = repeats(docs, unit, min_words, Scratch(docs.sparkSession, "passages"))
     by = Window.partitionBy("doc_id", "t").orderBy("lo", "hi", "whole")
     before = by.rowsBetween(Window.unboundedPreceding, -1)
     same = F.coalesce(F.lag(F.struct("lo", "hi", "whole")).over(by) == F.struct("lo", "hi", "whole"), F.lit(False))  # repeated rows
-    runs = again.select("doc_id", "t", "lo", "hi", "start", "end", "whole", "kept").select(
+    runs = again.select(
         "*", F.coalesce(F.col("lo") > F.max("hi").over(before), F.lit(True)).cast("int").alias("new"),
         (F.col("whole") & ~same).cast("int").alias("counted"))
     runs = runs.withColumn("run", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
