@@ -15,10 +15,12 @@ starts and ends.  Windows are not shuffled one by one: every window names the sm
 of the half-windows in it (its seed, winnowing), and neighbouring windows that name the same
 one are a chunk, one row.  Inside a repeated passage the chunks repeat too, so
 
-* chunks are grouped by seed; a seed whose chunks are all equal is decided as a whole;
-* of a seed with unequal chunks (the ends of passages, shared half-windows) equal chunks are
-  grouped by content, all but the first of them are repeats, and only of these first ones
-  every window is hashed, from the texts that hold one, and grouped.
+* keys (of units, seeds of chunks) that occur twice are counted first; a filter of them keeps most other rows
+  from being shuffled again;
+* chunks are grouped by seed; a chunk equal to the first one of its seed is a repeat as a whole;
+* the unequal ones (the ends of passages, shared half-windows) are grouped by content; all but the first of
+  equal ones are repeats, and only of these first ones every window is hashed, from the texts that hold one,
+  and grouped.
 
 A window that overlaps its own kept occurrence is no repeat.  In scripts written without
 blanks every character counts as a word of a window, and so does a run of ``CHUNK`` characters
@@ -65,6 +67,8 @@ SOLID = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00
 WORD = re.compile(rf"[{SOLID}]|[^\s{SOLID}]+")
 #: Characters that are cut into words at a time, and windows that are looked at together.
 CHUNK, PIECE = 1 << 16, 1 << 15
+#: Bits of the largest filter of repeated keys (64 MB) and of the blocks it is made of.
+FILTER_BITS, FILTER_BLOCK = 1 << 29, 1 << 19
 
 
 def cut_units(text: str, unit: str):
@@ -234,9 +238,10 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("t"), "text")
 
 
-def units(docs: DataFrame, unit: str = "passage", size: int = MIN_WORDS) -> DataFrame:
+def units(docs: DataFrame, unit: str = "passage", size: int = MIN_WORDS, seen=None) -> DataFrame:
     """(doc_id, t, lo, hi, start, end, whole, h1, h2): t is a hash of the text, which tells rows of one id apart;
-    the words and offsets of every unit (``whole``) and, for passages, of every chunk of windows, h1 being its seed."""
+    the words and offsets of every unit (``whole``) and, for passages, of every chunk of windows, h1 being its seed.
+    ``seen``: only rows whose h1 a (broadcast) filter may hold."""
 
     def task(batches):
         for batch in batches:
@@ -253,13 +258,17 @@ def units(docs: DataFrame, unit: str = "passage", size: int = MIN_WORDS) -> Data
                     for i, part in zip(of.tolist(), np.split(start[fresh_words].astype(np.int32), cut[1:]), strict=True) if len(of) else ():
                         begins.setdefault(i, []).append(part)
                     for lo, hi, seed, content in _windows(words, size):
+                        if seen:
+                            lo, hi, seed, content = (x[may] for may in [_may_hold(seen.value, seed)] for x in (lo, hi, seed, content))
                         yield _rows(batch, row[lo], number[lo], number[hi - 1] + 1, start[lo], end[hi - 1], np.zeros(len(lo), bool),
                                     seed.view(np.int64), content.view(np.int64))
 
             def of_units():
                 owner, lo, hi, start, end, keys = held
                 h = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
-                return _rows(batch, owner, lo, hi, start, end, np.ones(len(owner), bool), h[:, 0], h[:, 1])
+                columns = [np.array(x, np.int64) for x in (owner, lo, hi, start, end)] + [np.ones(len(owner), bool), h[:, 0].copy(), h[:, 1].copy()]
+                may = _may_hold(seen.value, columns[6]) if seen else slice(None)
+                return _rows(batch, *[x[may] for x in columns])
 
             for i, text in enumerate(texts):
                 cut = list(cut_units(text, unit)) if text else []
@@ -319,32 +328,81 @@ def windows_of(docs: DataFrame, ranges: DataFrame, size: int) -> DataFrame:
     return few.mapInArrow(task, UNITS)
 
 
-def _first() -> Column:
-    return F.min(F.struct("doc_id", "t", "lo", "hi")).alias("first")
+def _probes(keys, bits: int):
+    """Two places of each key in a filter of ``bits`` bits (a power of two)."""
+    k = np.asarray(keys).view(np.uint64)
+    return [(_mix(k ^ np.uint64(salt)) & np.uint64(bits - 1)).astype(np.int64) for salt in (0, 0x5851F42D4C957F2D)]
 
 
-def _own_overlap(size: int) -> Column:
+def _may_hold(seen: np.ndarray, keys) -> np.ndarray:
+    a, b = _probes(keys, 8 * len(seen))
+    return ((seen[a >> 3] >> (7 - (a & 7)).astype(np.uint8)) & (seen[b >> 3] >> (7 - (b & 7)).astype(np.uint8)) & 1).astype(bool)
+
+
+def key_filter(keys: DataFrame) -> np.ndarray:
+    """A Bloom filter (bits, packed) of a written table's column ``h1``, sized from its count up to ``FILTER_BITS``.
+
+    It is put together in Spark in blocks; the driver joins the blocks.  It only saves shuffling rows that occur
+    once: what passes is counted exactly, so beyond its largest size more rows are shuffled and results are the same.
+    """
+    bits = min(FILTER_BITS, max(FILTER_BLOCK, 1 << (8 * keys.count()).bit_length()))
+
+    def places(batches):
+        for batch in batches:
+            at = np.unique(np.concatenate(_probes(batch.column("h1").to_numpy(), bits)))
+            yield pa.RecordBatch.from_arrays([pa.array(at // FILTER_BLOCK), pa.array((at % FILTER_BLOCK).astype(np.int32))], names=["block", "at"])
+
+    def fill(pdf):
+        import pandas as pd
+        block = np.zeros(FILTER_BLOCK, bool)
+        block[pdf["at"].to_numpy()] = True
+        return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "bits": [np.packbits(block).tobytes()]})
+
+    out = np.zeros(bits // 8, np.uint8)
+    for r in keys.mapInArrow(places, "block long, at int").groupBy("block").applyInPandas(fill, "block long, bits binary").toLocalIterator():
+        part = np.frombuffer(r.bits, np.uint8)  # at most FILTER_BITS / FILTER_BLOCK rows of 64 KB
+        out[r.block * len(part):(r.block + 1) * len(part)] = part
+    return out
+
+
+def _own(first: str, size: int) -> Column:
     """The occurrence is the kept one itself, or overlaps it."""
-    stop = F.when(F.col("whole"), F.col("first.hi")).otherwise(F.col("first.lo") + size)
-    return F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("t") == F.col("first.t")) & (F.col("lo") < stop)
+    stop = F.when(F.col("whole"), F.col(f"{first}.hi")).otherwise(F.col(f"{first}.lo") + size)
+    return F.col("doc_id").eqNullSafe(F.col(f"{first}.doc_id")) & (F.col("t") == F.col(f"{first}.t")) & (F.col("lo") < stop)
 
 
 def repeats(docs: DataFrame, unit: str, size: int, scratch: Scratch) -> DataFrame:
-    """(doc_id, t, lo, hi, start, end, whole, kept): every unit, chunk and window that has an earlier occurrence."""
-    u = units(docs, unit, size)
-    seeds = u.groupBy("h1").agg(_first(), F.count("*").alias("n"), (F.min("h2") != F.max("h2")).alias("mixed")).where("n > 1").drop("n")
-    found = scratch.table(u.join(seeds.hint("merge"), "h1"))  # both sides grow with the data
-    out = ["doc_id", "t", "lo", "hi", "start", "end", "whole", F.col("first.doc_id").alias("kept")]
-    decided = found.where(~F.col("mixed") & ~_own_overlap(size)).select(out)
-    mixed = found.where("mixed").drop("first", "mixed")
-    equal = mixed.groupBy("h1", "h2").agg(_first())
-    mixed = scratch.table(mixed.join(equal.hint("merge"), ["h1", "h2"]).withColumn("own", _own_overlap(size)))
-    decided = decided.unionByName(mixed.where("not own").select(out))
+    """(doc_id, t, lo, hi, start, end, whole, kept): every unit, chunk and window that has an earlier occurrence.
+
+    Joins are merge joins, as both of their sides grow with the data."""
+    spark = docs.sparkSession
+
+    def first(*more):
+        return F.min(F.struct("doc_id", "t", "lo", "hi", *more))
+
+    keys = scratch.table(units(docs, unit, size).groupBy("h1").agg(F.count("*").alias("n")).where("n > 1").select("h1"))
+    rows = scratch.table(units(docs, unit, size, spark.sparkContext.broadcast(key_filter(keys))))
+    leaders = rows.groupBy("h1").agg(first("h2").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    equal, own = F.col("h2") == F.col("first.h2"), _own("first", size)
+    state = F.when(equal & ~own, 0).when(equal & (F.col("lo") == F.col("first.lo")), 1).otherwise(2)  # a repeat, the kept one, open
+    open_only = [F.when(F.col("state") == 2, F.col(c)).alias(c) for c in ("h1", "h2", "first")]
+    out = ["doc_id", "t", "lo", "hi", "start", "end", "whole"]
+    marked = rows.join(leaders.hint("merge"), "h1").withColumn("state", state).where("state <> 1")
+    marked = scratch.table(marked.select(*out, "state", F.when(F.col("state") == 0, F.col("first.doc_id")).alias("kept"), *open_only))
+    decided = marked.where("state = 0").select(*out, "kept")
+    undecided = marked.where("state = 2").drop("state", "kept")
+    differ = undecided.where(~equal)
+    second = differ.groupBy("h1", "h2").agg(first().alias("second"))
+    differ = scratch.table(differ.join(second.hint("merge"), ["h1", "h2"]).withColumn("own", _own("second", size)))
+    decided = decided.unionByName(differ.where("not own").select(*out, F.col("second.doc_id").alias("kept")))
     if unit != "passage":
         return decided
-    w = scratch.table(windows_of(docs, mixed.where("own and not whole"), size))
-    again = w.groupBy("h1", "h2").agg(_first(), F.count("*").alias("n")).where("n > 1").drop("n")
-    return decided.unionByName(w.join(again.hint("merge"), ["h1", "h2"]).where(~_own_overlap(size)).select(out))
+    at, chunks = ["doc_id", "t", "lo", "hi"], undecided.where("not whole")
+    ranges = differ.where("own and not whole").select(at).unionByName(chunks.where(equal).select(at)).unionByName(
+        chunks.select([F.col(f"first.{c}").alias(c) for c in at]))
+    w = scratch.table(windows_of(docs, ranges.distinct(), size))
+    again = w.groupBy("h1", "h2").agg(first().alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return decided.unionByName(w.join(again.hint("merge"), ["h1", "h2"]).where(~own).select(*out, F.col("first.doc_id").alias("kept")))
 
 
 def repeated_spans(docs: DataFrame, unit: str = "passage", min_words: int = MIN_WORDS) -> DataFrame:
