@@ -27,8 +27,8 @@ blanks every character counts as a word of a window, and so does a run of ``CHUN
 without a blank.  ``unit="sentence"``, ``"line"`` and ``"paragraph"`` hash only whole sentences,
 lines or blank-line paragraphs.
 
-A digest held by a third of all units is combined before the shuffle; when the
-decision goes back to the units it is a join key that adaptive execution splits.
+A digest held by a third of all units is combined before the shuffle; the decision goes
+back to the units of frequent digests by a broadcast, of the others by a merge join.
 A document's runs are found among its own repeats only.
 
 Defined cases: null and empty texts have no units; a document is a row's id and text, told
@@ -69,6 +69,8 @@ WORD = re.compile(rf"[{SOLID}]|[^\s{SOLID}]+")
 CHUNK, PIECE = 1 << 16, 1 << 15
 #: Bits of the largest filter of repeated keys (64 MB) and of the blocks it is made of.
 FILTER_BITS, FILTER_BLOCK = 1 << 29, 1 << 19
+#: A key with more than one in HOT_SHARE of all rows is joined by broadcast; there are fewer than HOT_SHARE such keys.
+HOT_SHARE = 10_000
 
 
 def cut_units(text: str, unit: str):
@@ -371,29 +373,34 @@ def _own(first: str, size: int) -> Column:
     return F.col("doc_id").eqNullSafe(F.col(f"{first}.doc_id")) & (F.col("t") == F.col(f"{first}.t")) & (F.col("lo") < stop)
 
 
-def repeats(docs: DataFrame, unit: str, size: int, scratch: Scratch) -> DataFrame:
-    """(doc_id, t, lo, hi, start, end, whole, kept): every unit, chunk and window that has an earlier occurrence.
+def _with_first(rows: DataFrame, keys: list[str], name: str, scratch: Scratch, *more: str, at_least: int = 2) -> DataFrame:
+    """Rows of a written table whose keys occur ``at_least`` times, with their first occurrence as struct ``name``.
 
-    Joins are merge joins, as both of their sides grow with the data."""
-    spark = docs.sparkSession
+    Frequent keys (fewer than ``HOT_SHARE``, whatever the data) meet their rows by broadcast, so no task gets all rows
+    of one; the others by a merge join, as both of its sides grow with the data."""
+    least = F.min(F.struct("doc_id", "t", "lo", "hi", *more)).alias(name)
+    groups = scratch.table(rows.groupBy(*keys).agg(least, F.count("*").alias("n")).where(F.col("n") >= at_least))
+    limit = rows.count() // HOT_SHARE
+    hot = F.broadcast(groups.where(F.col("n") > limit).drop("n"))
+    few = groups.where(F.col("n") <= limit).drop("n")
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(keys), keys, "left_anti").join(few.hint("merge"), keys))
 
-    def first(*more):
-        return F.min(F.struct("doc_id", "t", "lo", "hi", *more))
 
+def repeats(docs: DataFrame, unit: str, size: int, scratch: Scratch) -> DataFrame:
+    """(doc_id, t, lo, hi, start, end, whole, kept): every unit, chunk and window that has an earlier occurrence."""
+    spark = docs.sparkSession
     keys = scratch.table(units(docs, unit, size).groupBy("h1").agg(F.count("*").alias("n")).where("n > 1").select("h1"))
     rows = scratch.table(units(docs, unit, size, spark.sparkContext.broadcast(key_filter(keys))))
-    leaders = rows.groupBy("h1").agg(first("h2").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     equal, own = F.col("h2") == F.col("first.h2"), _own("first", size)
     state = F.when(equal & ~own, 0).when(equal & (F.col("lo") == F.col("first.lo")), 1).otherwise(2)  # a repeat, the kept one, open
     open_only = [F.when(F.col("state") == 2, F.col(c)).alias(c) for c in ("h1", "h2", "first")]
     out = ["doc_id", "t", "lo", "hi", "start", "end", "whole"]
-    marked = rows.join(leaders.hint("merge"), "h1").withColumn("state", state).where("state <> 1")
+    marked = _with_first(rows, ["h1"], "first", scratch, "h2").withColumn("state", state).where("state <> 1")
     marked = scratch.table(marked.select(*out, "state", F.when(F.col("state") == 0, F.col("first.doc_id")).alias("kept"), *open_only))
     decided = marked.where("state = 0").select(*out, "kept")
     undecided = marked.where("state = 2").drop("state", "kept")
     differ = undecided.where(~equal)
-    second = differ.groupBy("h1", "h2").agg(first().alias("second"))
-    differ = scratch.table(differ.join(second.hint("merge"), ["h1", "h2"]).withColumn("own", _own("second", size)))
+    differ = scratch.table(_with_first(differ, ["h1", "h2"], "second", scratch, at_least=1).withColumn("own", _own("second", size)))
     decided = decided.unionByName(differ.where("not own").select(*out, F.col("second.doc_id").alias("kept")))
     if unit != "passage":
         return decided
@@ -401,8 +408,8 @@ def repeats(docs: DataFrame, unit: str, size: int, scratch: Scratch) -> DataFram
     ranges = differ.where("own and not whole").select(at).unionByName(chunks.where(equal).select(at)).unionByName(
         chunks.select([F.col(f"first.{c}").alias(c) for c in at]))
     w = scratch.table(windows_of(docs, ranges.distinct(), size))
-    again = w.groupBy("h1", "h2").agg(first().alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return decided.unionByName(w.join(again.hint("merge"), ["h1", "h2"]).where(~own).select(*out, F.col("first.doc_id").alias("kept")))
+    again = _with_first(w, ["h1", "h2"], "first", scratch).where(~own)
+    return decided.unionByName(again.select(*out, F.col("first.doc_id").alias("kept")))
 
 
 def repeated_spans(docs: DataFrame, unit: str = "passage", min_words: int = MIN_WORDS) -> DataFrame:
