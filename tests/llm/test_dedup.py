@@ -279,9 +279,11 @@ def test_every_removed_word_has_an_earlier_copy(spark):
         assert all(any(a <= x and y <= b for a, b in again) for x, y in at if r.start <= x and y <= r.end)
 
 
-@pytest.mark.parametrize("piece", [1 << 15, 7])  # 7: texts cut into many pieces
-def test_passages_wherever_they_start(spark, make_docs, monkeypatch, piece):
-    monkeypatch.setattr(substring_dedup, "PIECE", piece)
+@pytest.mark.parametrize("limits", [{}, {"PIECE": 7}, {"CHUNK": 64}, {"HOT_SHARE": 1, "FILTER_BITS": 1 << 10, "FILTER_BLOCK": 1 << 10}])
+def test_passages_wherever_they_start(spark, make_docs, monkeypatch, limits):
+    """Also with chunks cut by pieces, texts read in many parts, and no frequent keys under a filter that passes much."""
+    for name, value in limits.items():
+        monkeypatch.setattr(substring_dedup, name, value)
     rng = random.Random(12)
 
     def own(n):
@@ -303,3 +305,46 @@ def test_no_repeated_window_of_the_tables_is_missed(spark):
     docs = spark.read.parquet(f"{SF001}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     assert uncovered_windows(rows, repeated_spans(docs).collect(), 50) == []
+
+
+def test_periodic_texts_and_shared_half_windows(spark, make_docs):
+    """Windows that overlap their own earlier copy, and passages that share words but not 40, against brute force."""
+    rng = random.Random(21)
+
+    def own(n):
+        return " ".join(f"u{rng.randrange(10**9)}" for _ in range(n))
+    beat, stock = own(7), own(24)
+    rows = [(i, own(rng.randrange(30)) + " " + stock + " " + own(rng.randrange(30))) for i in range(12)]
+    rows += [(20, " ".join([beat] * 30)), (21, own(3) + " " + " ".join([beat] * 20)), (22, " ".join([beat] * 4))]
+    edge = (stock + " " + own(80)).split()
+    rows += [(30 + i, own(4) + " " + " ".join(edge[3 * i:60 + 5 * i]) + " " + own(9)) for i in range(5)]
+    spans = repeated_spans(make_docs(rows)).collect()
+    assert uncovered_windows(rows, spans, 40) == []
+    assert not {r.doc_id for r in spans} & set(range(12)) | {20} - {r.doc_id for r in spans}
+    text, seen = dict(rows), set()
+    for i, t in sorted(rows):  # every word that goes lies in a window seen before
+        words = t.split()
+        at = [m.span() for m in re.finditer(r"\S+", t)]
+        covered = set()
+        for k in range(len(words) - 39):
+            if tuple(words[k:k + 40]) in seen:
+                covered |= set(range(k, k + 40))
+            seen.add(tuple(words[k:k + 40]))
+        gone = {k for k, (a, b) in enumerate(at) if any(r.doc_id == i and r.start <= a and b <= r.end for r in spans)}
+        assert gone <= covered, (i, text[i])
+
+
+def test_words_of_long_texts_are_read_once_and_in_order(monkeypatch):
+    monkeypatch.setattr(substring_dedup, "CHUNK", 50)
+    rng = random.Random(4)
+    texts = [" ".join("w" * rng.randrange(1, 20) + str(k) for k in range(n)) for n in (0, 1, 200, 3, 500)] + [None, "", "x" * 130 + " y", "字" * 120]
+    for keep in (1, 4, 39):
+        got = {}
+        for row, number, start, end, _, _ in substring_dedup.read_words(texts, keep):
+            for i, k, a, b in zip(row.tolist(), number.tolist(), start.tolist(), end.tolist(), strict=True):
+                assert got.setdefault((i, k), (a, b)) == (a, b)
+        for i in range(5):
+            assert [got[i, k] for k in range(len(texts[i].split()))] == [m.span() for m in re.finditer(r"\S+", texts[i])]
+        assert [got[7, k] for k in range(4)] == [(0, 50), (50, 100), (100, 130), (131, 132)]
+        assert [got[8, k] for k in range(120)] == [(k, k + 1) for k in range(120)]
+        assert len(got) == 0 + 1 + 200 + 3 + 500 + 4 + 120
