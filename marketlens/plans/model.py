@@ -192,6 +192,9 @@ class Warehouse:
         for n in self.MARTS:  # from the written fact, each from the marts before it
             write_table(wh.mart(n), root, f"base_{n}", [])
             wh.stored[n] = read_table(self.spark, root, f"base_{n}")
+        for n in self.MOMENTS:
+            write_table(wh.month_moments(n), root, f"base_{n}", [])
+            wh.stored[n] = read_table(self.spark, root, f"base_{n}")
         wh.__dict__["view_delivered"] = wh.view.where(F.col("order_status") == "delivered")
         return wh
 
@@ -329,6 +332,20 @@ class Warehouse:
                 "purchase_year": F.year(day), "purchase_month": F.month(day), "purchase_dayofweek": weekday_mon0(day),
                 "purchase_week": F.weekofyear(day), "purchase_year_month": year_month(day)})
 
+    #: Column sets whose moments are kept a month: review score by delivery days, and the correlation matrix.
+    MOMENTS = {
+        "moments_score_by_days": ("delivery_time_days", "review_score"),
+        "moments_matrix": ("review_score", "delivery_time_days", "delay_days", "price", "freight_value", "product_weight_g",
+                           "product_length_cm", "product_height_cm", "product_width_cm"),
+    }
+
+    def month_moments(self, name: str) -> DataFrame:
+        """Moments per purchase month of the report frame: as stored for the CSV population, else computed (ST1-ST3)."""
+        if self.report_source == "csv" and name in self.stored:
+            return self.stored[name]
+        from marketlens.operators.moments import moments
+        return moments(self.report_frame, ["purchase_year_month"], self.MOMENTS[name])
+
     @cached_property
     def monthly_frame(self) -> DataFrame:
         from marketlens.plans import marts

@@ -18,14 +18,14 @@ from marketlens.functions import labels as L
 from marketlens.functions.buckets import bucketize
 from marketlens.functions.numeric import fdiv, qround, rnd
 from marketlens.operators.grouping import distinct_total, n_orders, semi_top_n, with_empty_bins
+from marketlens.operators.moments import corr_from_moments, linreg_from_moments, merge_moments
 from marketlens.operators.ranking import exact_percentile, pareto
 from marketlens.operators.rfm import rfm, rfm_score
-from marketlens.operators.stats import box_stats, corr_matrix, growth, histogram, linreg, with_p_value
+from marketlens.operators.stats import box_stats, growth, histogram, with_p_value
 from marketlens.plans.model import Warehouse
 
 STAT_PLACES = 6
-CORR_COLUMNS = ("review_score", "delivery_time_days", "delay_days", "price", "freight_value",
-                "product_weight_g", "product_length_cm", "product_height_cm", "product_width_cm")
+CORR_COLUMNS = Warehouse.MOMENTS["moments_matrix"]
 
 
 def _mean(c):
@@ -257,8 +257,10 @@ def r20_score_box_by_delay(wh: Warehouse) -> DataFrame:
 
 
 def _model(wh: Warehouse) -> DataFrame:
-    """Least squares review_score ~ delivery_time_days over every row."""
-    return linreg(wh.report_frame, "review_score", "delivery_time_days")
+    """Least squares review_score ~ delivery_time_days over every row (N11), from the months' moments."""
+    name = "moments_score_by_days"
+    total = merge_moments(wh.month_moments(name), wh.MOMENTS[name])
+    return linreg_from_moments(total, "review_score", "delivery_time_days")
 
 
 def r20_regression(wh: Warehouse) -> DataFrame:
@@ -275,13 +277,10 @@ def r20_regression_pvalue(wh: Warehouse) -> DataFrame:
 
 
 def r20_trend_line(wh: Warehouse, points: int = 100) -> DataFrame:
-    m = _model(wh)
-    lo, hi = m.select("x_min").scalar(), m.select("x_max").scalar()
-    slope, icpt = m.select("slope").scalar(), m.select("intercept").scalar()
-    i = F.col("id")
-    x = lo + (hi - lo) * i / F.lit(points - 1)
-    return wh.spark.range(points).select(i.alias("point"), rnd(x, STAT_PLACES).alias("x"),
-                                         rnd(slope * x + icpt, STAT_PLACES).alias("y"))
+    m = _model(wh).select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
+    x = F.col("x_min") + (F.col("x_max") - F.col("x_min")) * F.col("point") / F.lit(points - 1)
+    return m.select(F.col("point").cast("long").alias("point"), rnd(x, STAT_PLACES).alias("x"),
+                    rnd(F.col("slope") * x + F.col("intercept"), STAT_PLACES).alias("y"))
 
 
 def r21_satisfaction_by_state(wh: Warehouse) -> DataFrame:
@@ -304,7 +303,7 @@ def r22_score_by_day_bins(wh: Warehouse) -> DataFrame:
 
 
 def r23_correlation_matrix(wh: Warehouse) -> DataFrame:
-    m = corr_matrix(wh.report_frame, CORR_COLUMNS)
+    m = corr_from_moments(merge_moments(wh.month_moments("moments_matrix"), CORR_COLUMNS), CORR_COLUMNS)
     return m.select("var1", "var2", rnd("r", STAT_PLACES).alias("r"))
 
 
