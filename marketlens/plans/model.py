@@ -313,6 +313,8 @@ class Warehouse:
     def for_dashboard(self) -> "Warehouse":
         """Let R1-R31 read the warehouse's fact and category mart instead of the CSV population."""
         self.report_source = "warehouse"
+        for frame in ("report_frame", "order_frame", "monthly_frame", "category_frame"):
+            self.__dict__.pop(frame, None)  # of the CSV population, where a report has asked for it before
         return self
 
     @cached_property

@@ -58,3 +58,11 @@ def test_reports_read_one_row_a_month(spark, tmpdir_path):
         assert sorted(map(str, df.collect())) == sorted(map(str, report(raw).collect()))
     months = stored.stored["moments_matrix"]
     assert months.count() == stored.report_frame.select("purchase_year_month").distinct().count()
+
+
+def test_dashboard_mode_takes_no_frame_of_the_csv_population(spark, tmpdir_path):
+    wh = Warehouse.from_testdata(spark, SF001).materialize(tmpdir_path)
+    assert wh.report_frame is wh.csv_delivered
+    wh.for_dashboard()
+    assert "review_score" in wh.report_frame.columns and not any("base_csv_delivered" in f for f in wh.report_frame.inputFiles())
+    assert not any("/base_moments_" in f for f in wh.month_moments("moments_matrix").inputFiles())
