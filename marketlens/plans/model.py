@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketlens.functions.dates import (
@@ -163,39 +163,37 @@ class Warehouse:
         return self.src[name]
 
     # ------------------------------------------------------------- materialize
-    MATERIALIZED = ("fact", "view", "csv_delivered")
-
     def materialize(self, root: str) -> "Warehouse":
-        """Write the source tables, the three base frames (fact, view, CSV
-        population) and the summary marts as Parquet under ``root`` (a shared folder on a cluster)
-        and return a Warehouse that reads them back.
+        """Write the source tables, the order star and the summary marts as Parquet under ``root``
+        (a shared folder on a cluster) and return a Warehouse that reads them back.
 
-        Reports then start from columnar tables instead of re-running the star
-        join, and the written files cut lineage: a lost executor costs only
-        the tasks of the report that was running.
+        The star is joined and flagged once, and written clustered by order; fact, view and
+        CSV population are projections of it, so a report reads only the star's columns that it
+        needs.  The written files cut lineage: a lost executor costs only the tasks of the report that was running.
         """
-        from marketlens.sources.warehouse import read_table, write_table
+        from marketlens.sources.warehouse import read_table, write_table, write_tables
         src = {n: df for n, df in self.src.items() if not n.startswith("_")}
         if "_item_lines" in self.src:  # number the order lines once, derive items and payments from the written rows
             from marketlens.sources.testdata import from_item_lines
             write_table(self.src["_item_lines"], root, "src_item_lines", [])
             src.update(from_item_lines(read_table(self.spark, root, "src_item_lines")))
         names = list(src)
-        for n in names:
-            write_table(src[n], root, f"src_{n}", [])
+        write_tables({f"src_{n}": src[n] for n in names}, root)
         wh = Warehouse(self.spark, {n: read_table(self.spark, root, f"src_{n}") for n in names},
                        etl_date=self.etl_date)
-        for n in self.MATERIALIZED:  # built from the written sources, not the raw inputs
-            write_table(getattr(wh, n), root, f"base_{n}", [])
-        for n in self.MATERIALIZED:
-            wh.__dict__[n] = read_table(self.spark, root, f"base_{n}")
-        for n in self.MARTS:  # from the written fact, each from the marts before it
-            write_table(wh.mart(n), root, f"base_{n}", [])
-            wh.stored[n] = read_table(self.spark, root, f"base_{n}")
-        for n in self.MOMENTS:
-            write_table(wh.month_moments(n), root, f"base_{n}", [])
+        write_table(wh._star(with_payments=True, with_reviews=True), root, "base_star", [])  # from the written sources
+        star = read_table(self.spark, root, "base_star")
+        wh.__dict__.update(fact=wh._as_fact(star.where(self._fact_rows())), view=wh._as_view(star),
+                           csv_main=wh._as_csv(star.drop("review_score")),
+                           csv_delivered=wh._as_csv(star).where(F.col("order_status") == "delivered"))
+        weekly = "dws_weekly_metrics"  # rolled up from the daily mart, so after it
+        first = [n for n in self.MARTS if n != weekly]
+        write_tables({f"base_{n}": wh.mart(n) for n in first}
+                     | {f"base_{n}": wh.month_moments(n) for n in self.MOMENTS}, root)
+        for n in (*first, *self.MOMENTS):
             wh.stored[n] = read_table(self.spark, root, f"base_{n}")
-        wh.__dict__["view_delivered"] = wh.view.where(F.col("order_status") == "delivered")
+        write_table(wh.mart(weekly), root, f"base_{weekly}", [])
+        wh.stored[weekly] = read_table(self.spark, root, f"base_{weekly}")
         return wh
 
     # ------------------------------------------------------- pre-aggregates
@@ -225,35 +223,47 @@ class Warehouse:
             "product_photos_qty",
         )
 
-    # ------------------------------------------------------------- M10 the view
-    def _star(self, with_payments: bool, with_reviews: bool = False) -> DataFrame:
-        """orders ⟕ items ⟕ products ⟕ translation ⟕ sellers ⟕ customers [⟕ payments].
+    # ----------------------------------------------------------- the order star
+    #: Columns of the star that only some frames have: the ids as the dimensions know them, and the payments.
+    STAR_MARKERS = ("has_item", "known_product_id", "known_seller_id")
+    PAYMENTS = ("payment_type", "payment_installments", "payment_value")
+
+    def _star(self, with_payments: bool, with_reviews: bool = False, rows: Column | None = None) -> DataFrame:
+        """orders ⟕ items ⟕ products ⟕ translation ⟕ sellers ⟕ customers [⟕ payments] [⟕ reviews], with the
+        category and the first-item flags.
 
         Customer, payment and review lookups run on the (smaller) order rows,
         product and seller lookups on the item rows, then one order-keyed join
         brings both together.  Left joins on unique dimension keys commute, so
         the result equals the source's join order, and the rows end up clustered
-        by order for the first-item flags.
+        by order for the first-item flags.  ``rows`` keeps some rows before they are flagged.
         """
-        o, oi = self.t("orders"), self.t("order_items")
-        p = self.t("products").join(self.t("product_category_translation"), "product_category_name", "left")
-        s, c = self.t("sellers"), self.t("customers")
+        o, oi = self.t("orders"), self.t("order_items").withColumn("has_item", F.lit(True))
+        p = (self.t("products").join(self.t("product_category_translation"), "product_category_name", "left")
+             .withColumn("known_product_id", F.col("product_id")))
+        s, c = self.t("sellers").withColumn("known_seller_id", F.col("seller_id")), self.t("customers")
         orders = o.join(c, "customer_id", "left")
         if with_payments:
             orders = orders.join(self.payments_by_order, "order_id", "left")
         if with_reviews:
             orders = orders.join(self.reviews_by_order, "order_id", "left")
         items = oi.join(p, "product_id", "left").join(s, "seller_id", "left")
-        return orders.join(items, "order_id", "left")
+        star = orders.join(items, "order_id", "left")
+        if rows is not None:
+            star = star.where(rows)
+        return flag_first_items(star.withColumn(
+            "category_name", F.coalesce("product_category_name_english", "product_category_name")))
 
+    # ------------------------------------------------------------- M10 the view
     @cached_property
     def view(self) -> DataFrame:
         """``v_order_full`` (M10): one row per order item (or per item-less order)."""
-        df = flag_first_items(self._star(with_payments=True).withColumn(
-            "category_name", F.coalesce("product_category_name_english", "product_category_name")))
+        return self._as_view(self._star(with_payments=True))
+
+    def _as_view(self, star: DataFrame) -> DataFrame:
         deliv, purch = F.col("order_delivered_customer_date"), F.col("order_purchase_timestamp")
         est, carrier = F.col("order_estimated_delivery_date"), F.col("order_delivered_carrier_date")
-        return df.select(
+        return star.select(
             "order_id", "order_status", "order_purchase_timestamp",
             "order_delivered_customer_date", "order_estimated_delivery_date",
             day_diff(deliv, purch).alias("delivery_days"),
@@ -267,7 +277,7 @@ class Warehouse:
             "product_id", "product_category_name",
             "category_name",
             "product_weight_g", "seller_id", "seller_state", "seller_city",
-            "price", "freight_value", "payment_type", "payment_installments", "payment_value", *FLAGS,
+            "price", "freight_value", *self.PAYMENTS, *FLAGS,
         )
 
     @cached_property
@@ -276,9 +286,8 @@ class Warehouse:
         return self.view.where(F.col("order_status") == "delivered")
 
     # ----------------------------------------------- CSV population (pandas path)
-    def _csv_frame(self, with_reviews: bool) -> DataFrame:
-        df = flag_first_items(self._star(with_payments=False, with_reviews=with_reviews).withColumn(
-            "category_name", F.coalesce("product_category_name_english", "product_category_name")))
+    def _as_csv(self, star: DataFrame) -> DataFrame:
+        df = star.drop(*self.STAR_MARKERS, *self.PAYMENTS)
         deliv, purch = F.col("order_delivered_customer_date"), F.col("order_purchase_timestamp")
         est, carrier = F.col("order_estimated_delivery_date"), F.col("order_delivered_carrier_date")
         return df.select(
@@ -298,13 +307,13 @@ class Warehouse:
     @cached_property
     def csv_main(self) -> DataFrame:
         """Left star join with pandas-style features (elapsed days, N1)."""
-        return self._csv_frame(with_reviews=False)
+        return self._as_csv(self._star(with_payments=False))
 
     @cached_property
     def csv_delivered(self) -> DataFrame:
         """pandas ``delivered`` frame: delivered status + per-order mean review
         (joined on the order rows, before the items)."""
-        return self._csv_frame(with_reviews=True).where(F.col("order_status") == "delivered")
+        return self._as_csv(self._star(with_payments=False, with_reviews=True)).where(F.col("order_status") == "delivered")
 
     # ------------------------------------------------ dashboard frames
     #: "csv" (the raw-file population) or "warehouse" (the stored fact and marts)
@@ -379,26 +388,20 @@ class Warehouse:
     @cached_property
     def fact(self) -> DataFrame:
         """``dwd_order_detail``: grain = order item, 30 columns (etl_date last) and the first-item flags."""
-        o = self.t("orders").where(
-            F.col("order_status").isin(*FACT_STATUSES)
-            & F.col("order_purchase_timestamp").isNotNull()
-            & F.col("order_delivered_customer_date").isNotNull())
-        c = self.t("customers").select("customer_id", "customer_unique_id", "customer_state")
-        dp = self.dim_products.select(
-            F.col("product_id").alias("_dp_product_id"), "category_name_english", "product_weight_g")
-        s = self.t("sellers").select(F.col("seller_id").alias("_s_seller_id"), "seller_state")
-        # order-grain and item-grain lookups first, then one order-keyed join
-        orders = (o.join(c, "customer_id", "left")
-                  .join(self.payments_by_order.select("order_id", "payment_value", "payment_type"), "order_id", "left")
-                  .join(self.reviews_by_order, "order_id", "left"))
-        items = (self.t("order_items").join(dp, F.col("product_id") == F.col("_dp_product_id"), "left")
-                 .join(s, F.col("seller_id") == F.col("_s_seller_id"), "left"))
-        df = flag_first_items(orders.join(items, "order_id", "inner").withColumnRenamed("category_name_english", "category_name"))
+        return self._as_fact(self._star(with_payments=True, with_reviews=True, rows=self._fact_rows()))
+
+    @staticmethod
+    def _fact_rows() -> Column:
+        """Rows of the star that the fact holds; whole orders but for those without items, so flags stay true."""
+        return (F.col("order_status").isin(*FACT_STATUSES) & F.col("order_purchase_timestamp").isNotNull()
+                & F.col("order_delivered_customer_date").isNotNull() & F.col("has_item"))
+
+    def _as_fact(self, star: DataFrame) -> DataFrame:
         deliv, purch = F.col("order_delivered_customer_date"), F.col("order_purchase_timestamp")
         est, carrier = F.col("order_estimated_delivery_date"), F.col("order_delivered_carrier_date")
         dow = weekday_sun1(purch)
         etl = F.lit(self.etl_date).cast("date") if self.etl_date else F.current_date()
-        return df.select(
+        return star.select(
             "order_id", "order_item_id", "order_status",
             F.to_date(purch).alias("purchase_date"),
             purch.alias("purchase_timestamp"),
@@ -415,10 +418,10 @@ class Warehouse:
             dow.alias("purchase_dayofweek"),
             F.when(dow.isin(1, 7), 1).otherwise(0).alias("is_weekend"),
             "customer_unique_id", "customer_state",
-            F.col("_dp_product_id").alias("product_id"),
+            F.col("known_product_id").alias("product_id"),
             "category_name",
             "product_weight_g",
-            F.col("_s_seller_id").alias("seller_id"),
+            F.col("known_seller_id").alias("seller_id"),
             "seller_state", "price", "freight_value", "payment_value", "payment_type",
             "review_score", *FLAGS,
             etl.alias("etl_date"),

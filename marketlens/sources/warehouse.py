@@ -12,7 +12,10 @@ path-not-found condition and nothing else is swallowed.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import partial
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +52,17 @@ def write_table(df: DataFrame, root: str, name: str, partition_by=None) -> str:
     return path
 
 
+#: Tables that are written at the same time: small ones fill the cores that another's last tasks leave idle.
+WRITERS = 4
+
+
+def write_tables(tables: Mapping[str, DataFrame], root: str) -> None:
+    """Write tables that do not depend on each other as unpartitioned Parquet, some at a time; the first failure is raised."""
+    jobs = [inheritable_thread_target(df.sparkSession)(partial(write_table, df, root, name, [])) for name, df in tables.items()]
+    with ThreadPool(WRITERS) as pool:
+        pool.map(lambda job: job(), jobs, chunksize=1)
+
+
 def read_table(spark: SparkSession, root: str, name: str, order_by=None) -> DataFrame:
     df = spark.read.parquet(f"{root.rstrip('/')}/{name}")
     return df.orderBy(*order_by) if order_by else df

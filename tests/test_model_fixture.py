@@ -88,3 +88,14 @@ def test_review_join_order_grain_option(wh):
     assert sql_reports._reviewed(wh).where("order_id = 'o1'").count() == 4
     assert sql_reports._reviewed(wh, "order").where("order_id = 'o1'").count() == 2
     assert {k: v.order_count for k, v in item.items()} == {k: v.order_count for k, v in order.items()}
+
+
+def test_frames_of_the_written_star_equal_the_joined_ones(spark, tmpdir_path):
+    raw = Warehouse(spark, mini_sources(spark), etl_date="2024-01-01")
+    stored = raw.materialize(tmpdir_path)
+    for name in ("fact", "view", "csv_delivered", "csv_main"):
+        a, b = getattr(stored, name), getattr(raw, name)
+        assert a.columns == b.columns and all("/base_star/" in f for f in a.inputFiles())
+        assert a.count() and sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    plan = stored.view._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan and "Window" not in plan

@@ -64,5 +64,5 @@ def test_dashboard_mode_takes_no_frame_of_the_csv_population(spark, tmpdir_path)
     wh = Warehouse.from_testdata(spark, SF001).materialize(tmpdir_path)
     assert wh.report_frame is wh.csv_delivered
     wh.for_dashboard()
-    assert "review_score" in wh.report_frame.columns and not any("base_csv_delivered" in f for f in wh.report_frame.inputFiles())
+    assert "review_score" in wh.report_frame.columns and "product_category_name" not in wh.report_frame.columns
     assert not any("/base_moments_" in f for f in wh.month_moments("moments_matrix").inputFiles())
