@@ -189,4 +189,15 @@ SQL = {
                CAST(COALESCE(sum(price), 0) AS DOUBLE) AS total_revenue, {CSV_COMMON},
                count(DISTINCT customer_unique_id) AS unique_customers
         FROM D WHERE purchase_year_month IS NOT NULL GROUP BY purchase_year_month""",
+    "m_distinct_by_month": """
+        SELECT strftime(purchase_date, '%Y-%m') AS purchase_year_month, count(DISTINCT customer_unique_id) AS unique_customers,
+               count(DISTINCT seller_id) AS unique_sellers
+        FROM fact GROUP BY 1""",
+    "m_distinct_by_week": f"""
+        SELECT CAST(year(purchase_date) AS INTEGER) AS purchase_year, CAST({MWEEK} AS INTEGER) AS purchase_week,
+               count(DISTINCT customer_unique_id) AS unique_customers, count(DISTINCT seller_id) AS unique_sellers
+        FROM fact GROUP BY 1, 2""",
+    "m_distinct_by_state": """
+        SELECT customer_state, count(DISTINCT customer_unique_id) AS unique_customers
+        FROM fact WHERE customer_state IS NOT NULL GROUP BY customer_state""",
 }

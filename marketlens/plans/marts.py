@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlens.functions import labels as L
-from marketlens.functions.dates import mysql_week, year_week
+from marketlens.functions.dates import mysql_week, year_month, year_week
 from marketlens.functions.numeric import dec, decimals_to_double, decq, fdiv, rnd
+from marketlens.operators.distinct_bitmaps import count_values
 from marketlens.operators.grouping import distinct_per_group, n_orders
 from marketlens.plans.model import FLAGS, Warehouse
 
@@ -232,6 +233,31 @@ def monthly_summary(wh: Warehouse) -> DataFrame:
     )
 
 
+# ------------------------------------- distinct people from daily bitmaps (A1)
+def distinct_by_month(wh: Warehouse) -> DataFrame:
+    """Distinct customers and sellers a month: daily counts do not add up, daily bitmaps do."""
+    return _distinct_by(wh, year_month(F.col("purchase_date")).alias("purchase_year_month"))
+
+
+def distinct_by_week(wh: Warehouse) -> DataFrame:
+    """As ``distinct_by_month``, by the weeks of the weekly mart (a week that spans New Year splits)."""
+    day = F.col("purchase_date")
+    return _distinct_by(wh, F.year(day).alias("purchase_year"), mysql_week(day).cast("int").alias("purchase_week"))
+
+
+def _distinct_by(wh: Warehouse, *by) -> DataFrame:
+    people = count_values(wh.day_bitmaps("distinct_customers"), by, "unique_customers")
+    sellers = count_values(wh.day_bitmaps("distinct_sellers"), by, "unique_sellers")
+    keys = [c for c in people.columns if c != "unique_customers"]
+    return people.join(sellers, keys, "full").fillna(0, ["unique_customers", "unique_sellers"])
+
+
+def distinct_by_state(wh: Warehouse) -> DataFrame:
+    """Distinct customers per state, over all days."""
+    known = wh.day_bitmaps("distinct_customers").where(F.col("customer_state").isNotNull())
+    return count_values(known, ["customer_state"], "unique_customers")
+
+
 def _out(df: DataFrame) -> DataFrame:
     return decimals_to_double(df.drop("etl_date", *FLAGS))
 
@@ -252,4 +278,7 @@ QUERIES = {
     "m7_seller_summary": seller_summary,
     "m8_csv_category_summary": csv_category_summary,
     "m9_monthly_summary": monthly_summary,
+    "m_distinct_by_month": distinct_by_month,
+    "m_distinct_by_week": distinct_by_week,
+    "m_distinct_by_state": distinct_by_state,
 }

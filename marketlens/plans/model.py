@@ -189,8 +189,9 @@ class Warehouse:
         weekly = "dws_weekly_metrics"  # rolled up from the daily mart, so after it
         first = [n for n in self.MARTS if n != weekly]
         write_tables({f"base_{n}": wh.mart(n) for n in first}
-                     | {f"base_{n}": wh.month_moments(n) for n in self.MOMENTS}, root)
-        for n in (*first, *self.MOMENTS):
+                     | {f"base_{n}": wh.month_moments(n) for n in self.MOMENTS}
+                     | {f"base_{n}": wh.day_bitmaps(n) for n in self.DISTINCT}, root)
+        for n in (*first, *self.MOMENTS, *self.DISTINCT):
             wh.stored[n] = read_table(self.spark, root, f"base_{n}")
         write_table(wh.mart(weekly), root, f"base_{weekly}", [])
         wh.stored[weekly] = read_table(self.spark, root, f"base_{weekly}")
@@ -357,6 +358,23 @@ class Warehouse:
         from marketlens.operators.moments import moments
         return moments(self.report_frame, ["purchase_year_month"], self.MOMENTS[name])
 
+    #: Values whose distinct counts are kept as bitmaps per day: the fact's column, the source table that
+    #: lists its values, the column that orders their numbers, and the columns beside the day.
+    DISTINCT = {
+        "distinct_customers": ("customer_unique_id", "customers", "customer_state", ("customer_state",)),
+        "distinct_sellers": ("seller_id", "sellers", "seller_state", ()),
+    }
+
+    def day_bitmaps(self, name: str) -> DataFrame:
+        """Bitmaps per purchase day of the fact's customers (and their state) or sellers: as stored, or computed (A1)."""
+        if name in self.stored:
+            return self.stored[name]
+        from marketlens.operators.distinct_bitmaps import bitmaps, number_values
+        key, table, near, beside = self.DISTINCT[name]
+        values = self.t(table).groupBy(key).agg(F.max(near).alias(near))
+        rows = self.fact.select("purchase_date", *beside, key).distinct().join(number_values(values, key, [near]), key)
+        return bitmaps(rows, ["purchase_date", *beside])
+
     @cached_property
     def monthly_frame(self) -> DataFrame:
         from marketlens.plans import marts
