@@ -97,8 +97,3 @@ def n_orders(flag: str = "first_of_order") -> Column:
 def distinct_per_group(df: DataFrame, key: str, col: str, name: str) -> DataFrame:
     """(key, name): distinct non-NULL values of ``col`` per key, reduced to pairs before they are counted."""
     return df.where(F.col(col).isNotNull()).select(key, col).distinct().groupBy(key).agg(F.count(F.lit(1)).alias(name))
-
-
-def distinct_total(df: DataFrame, col: str) -> Column:
-    """Distinct non-NULL values of one column of the whole frame, as a scalar subquery over that column only."""
-    return df.agg(F.countDistinct(col)).scalar()

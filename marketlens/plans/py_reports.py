@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from marketlens.functions import labels as L
 from marketlens.functions.buckets import bucketize
 from marketlens.functions.numeric import fdiv, qround, rnd
-from marketlens.operators.grouping import distinct_total, n_orders, semi_top_n, with_empty_bins
+from marketlens.operators.grouping import n_orders, semi_top_n, with_empty_bins
 from marketlens.operators.moments import corr_from_moments, linreg_from_moments, merge_moments
 from marketlens.operators.ranking import exact_percentile, pareto
 from marketlens.operators.rfm import rfm, rfm_score
@@ -63,8 +63,8 @@ def r01_overview_kpis(wh: Warehouse) -> DataFrame:
     ts = F.col("order_purchase_timestamp")
     return d.agg(n_orders().alias("total_orders"), _psum("price").alias("total_gmv"),
                  _mean("delivery_time_days").alias("avg_delivery"), _late_pct().alias("delay_rate"),
-                 distinct_total(d, "customer_unique_id").alias("customers"),
-                 distinct_total(d, "seller_id").alias("sellers"),
+                 F.countDistinct("customer_unique_id").alias("customers"),
+                 F.countDistinct("seller_id").alias("sellers"),
                  F.date_format(F.min(ts), "yyyy-MM").alias("first_month"),
                  F.date_format(F.max(ts), "yyyy-MM").alias("last_month"))
 
@@ -83,9 +83,9 @@ def r02_data_summary(wh: Warehouse) -> DataFrame:
     d = wh.report_frame
     ts = F.col("order_purchase_timestamp")
     return d.agg(n_orders().alias("orders"), _psum("price").alias("revenue"),
-                 distinct_total(d, "category_name").alias("categories"),
-                 distinct_total(d, "seller_id").alias("sellers"),
-                 distinct_total(d, "customer_unique_id").alias("customers"),
+                 F.countDistinct("category_name").alias("categories"),
+                 F.countDistinct("seller_id").alias("sellers"),
+                 F.countDistinct("customer_unique_id").alias("customers"),
                  _mean("delivery_time_days").alias("avg_delivery_days"), _late_pct().alias("delay_rate_pct"),
                  F.to_date(F.min(ts)).alias("min_date"), F.to_date(F.max(ts)).alias("max_date"))
 
@@ -160,21 +160,19 @@ def r10_most_late_categories(wh: Warehouse) -> DataFrame:
 
 # ---------------------------------------------------------------- inventory
 def r11_inventory_kpis(wh: Warehouse) -> DataFrame:
-    d, cat = wh.report_frame, wh.category_frame
-    span = _span_days(d)
-    rev = F.col("total_revenue")
-    top3 = cat.orderBy(rev.desc(), F.col("category_name")).limit(3).agg(F.sum(rev)).scalar()
-    per_seller = (d.where(F.col("seller_id").isNotNull()).groupBy("seller_id")
-                  .agg(F.countDistinct("category_name").alias("k")).agg(F.avg("k")).scalar())
-    base = d.agg(fdiv(F.count(F.lit(1)), F.greatest(span, F.lit(1))).alias("daily_orders"),
-                 F.countDistinct("product_id").alias("products"))
-    return base.select(
-        cat.agg(F.count(F.lit(1))).scalar().alias("categories"),
-        rnd(top3 / cat.agg(F.sum(rev)).scalar() * F.lit(100.0), STAT_PLACES).alias("top3_share_pct"),
-        "daily_orders",
-        per_seller.alias("avg_categories_per_seller"),
-        cat.agg(F.avg("unique_sellers")).scalar().alias("avg_sellers_per_category"),
-        "products")
+    ts, rev = F.col("order_purchase_timestamp"), F.col("total_revenue")
+    place = F.row_number().over(Window.orderBy(rev.desc(), F.col("category_name")))  # one row per category
+    cat = wh.category_frame.withColumn("_place", place).agg(
+        F.struct(F.count(F.lit(1)).alias("n"), F.sum(rev).alias("total"), F.sum(F.when(F.col("_place") <= 3, rev)).alias("top3"),
+                 F.avg("unique_sellers").alias("sellers"))).scalar()
+    span = F.floor(F.timestamp_diff("SECOND", F.min(ts), F.max(ts)) / 86400)
+    return wh.report_frame.agg(
+        cat["n"].alias("categories"),
+        rnd(cat["top3"] / cat["total"] * F.lit(100.0), STAT_PLACES).alias("top3_share_pct"),
+        fdiv(F.count(F.lit(1)), F.greatest(span, F.lit(1))).alias("daily_orders"),
+        fdiv(F.countDistinct("seller_id", "category_name"), F.countDistinct("seller_id")).alias("avg_categories_per_seller"),
+        cat["sellers"].alias("avg_sellers_per_category"),
+        F.countDistinct("product_id").alias("products"))
 
 
 def r12_category_treemap(wh: Warehouse) -> DataFrame:
@@ -312,23 +310,19 @@ def r24_insights(wh: Warehouse) -> DataFrame:
     slope = _model(wh).select(rnd("slope", STAT_PLACES)).scalar()
     edges = L.R24_EDGES
     labels = [f"({edges[i]}, {edges[i + 1]}]" for i in range(len(edges) - 1)]
-    bins = (d.withColumn("_bin", bucketize("delivery_time_days", edges, labels)).where(F.col("_bin").isNotNull())
-            .groupBy("_bin").agg(_mean("review_score").alias("_s"))
-            .withColumn("_o", F.array_position(F.array(*[F.lit(x) for x in labels]), F.col("_bin"))))
-    best = bins.agg(F.max_by("_bin", F.struct(F.col("_s"), -F.col("_o"))).alias("best_bin"),
-                    F.max("_s").alias("best_bin_score"))
-    states = (d.where(F.col("customer_state").isNotNull()).groupBy("customer_state")
-              .agg(_mean("review_score").alias("_s")).where(F.col("_s").isNotNull()))
-    st = states.agg(
-        F.max_by("customer_state", F.struct("_s", "customer_state")).alias("best_state"),
-        F.max("_s").alias("best_state_score"),
-        F.min_by("customer_state", F.struct("_s", "customer_state")).alias("worst_state"),
-        F.min("_s").alias("worst_state_score"))
-    return best.select(slope.alias("score_change_per_day"), "best_bin", "best_bin_score",
-                       st.select("best_state").scalar().alias("best_state"),
-                       st.select("best_state_score").scalar().alias("best_state_score"),
-                       st.select("worst_state").scalar().alias("worst_state"),
-                       st.select("worst_state_score").scalar().alias("worst_state_score"))
+    bin_, state, mean = F.col("_bin"), F.col("customer_state"), F.col("_s")
+    both = d.select("customer_state", "review_score", bucketize("delivery_time_days", edges, labels).alias("_bin")).groupingSets(
+        [["_bin"], ["customer_state"]], "_bin", "customer_state").agg(
+            F.grouping("customer_state").alias("_of_bins"), _mean("review_score").alias("_s"))
+    place = F.array_position(F.array(*[F.lit(x) for x in labels]), bin_)
+    of_bins = F.col("_of_bins") == 1
+    a_bin, a_state = of_bins & bin_.isNotNull(), ~of_bins & state.isNotNull() & mean.isNotNull()
+    in_order = F.when(a_state, F.struct(mean, state))
+    return both.agg(
+        slope.alias("score_change_per_day"),
+        F.max_by(bin_, F.when(a_bin, F.struct(mean, -place))).alias("best_bin"), F.max(F.when(a_bin, mean)).alias("best_bin_score"),
+        F.max_by(state, in_order).alias("best_state"), F.max(F.when(a_state, mean)).alias("best_state_score"),
+        F.min_by(state, in_order).alias("worst_state"), F.min(F.when(a_state, mean)).alias("worst_state_score"))
 
 
 # -------------------------------------------------------------------- sales
@@ -392,12 +386,11 @@ def r28_geo_sales(wh: Warehouse) -> DataFrame:
 def r29_top5_share_of_all(wh: Warehouse) -> DataFrame:
     """Top-5 category share of *all* month revenue (N14: denominator = every category)."""
     d = wh.report_frame.where(F.col("purchase_year_month").isNotNull())
-    top = semi_top_n(d, wh.category_frame, "category_name",
-                     [F.col("total_revenue").desc(), F.col("category_name")], 5)
-    per = top.groupBy("purchase_year_month", "category_name").agg(_psum("price").alias("revenue"))
-    tot = d.groupBy("purchase_year_month").agg(_psum("price").alias("total_revenue"))
-    return (per.join(tot, "purchase_year_month")
-            .withColumn("share", fdiv(F.col("revenue"), F.col("total_revenue")) * F.lit(100.0)))
+    month = F.sum("_sum").over(Window.partitionBy("purchase_year_month"))  # over one row per category
+    per = (d.groupBy("purchase_year_month", "category_name").agg(_psum("price").alias("revenue"), F.sum("price").alias("_sum"))
+           .withColumn("total_revenue", F.coalesce(month, F.lit(0)).cast("double")).drop("_sum"))
+    top = semi_top_n(per, wh.category_frame, "category_name", [F.col("total_revenue").desc(), F.col("category_name")], 5)
+    return top.withColumn("share", fdiv(F.col("revenue"), F.col("total_revenue")) * F.lit(100.0))
 
 
 def r30_order_status_funnel(wh: Warehouse) -> DataFrame:
