@@ -30,6 +30,7 @@ STAGE_SHINGLE = 5
 
 @plain_names
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a learnt language stay; null and letterless texts (``und``) and rejected ones go."""
     from marketlens.llm.language_id import identify
     return identify(spark, docs).where("lang_pred <> 'und' and not rejected").select(*docs.columns)
 
@@ -57,6 +58,8 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 @plain_names
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which benchmark windows cover a twentieth or more of the words go; null and wordless
+    texts stay, as does every document where the benchmark is empty."""
     return op9.decontaminate(spark, docs, read(spark, sf_dir, "benchmark")).where("not contaminated").select(*docs.columns)
 
 
