@@ -172,12 +172,11 @@ class Warehouse:
         needs.  The written files cut lineage: a lost executor costs only the tasks of the report that was running.
         """
         from marketlens.sources.warehouse import read_table, write_table, write_tables
-        src = {n: df for n, df in self.src.items() if not n.startswith("_")}
-        if "_item_lines" in self.src:  # number the order lines once, derive items and payments from the written rows
-            from marketlens.sources.testdata import from_item_lines
-            write_table(self.src["_item_lines"], root, "src_item_lines", [])
-            src.update(from_item_lines(read_table(self.spark, root, "src_item_lines")))
-        names = list(src)
+        src = self.src
+        if "_item_lines" in src:  # number the order lines once, derive items and payments from the written rows
+            from marketlens.sources.testdata import with_stored_lines
+            src = with_stored_lines(src, root)
+        names = [n for n in src if not n.startswith("_")]
         write_tables({f"src_{n}": src[n] for n in names}, root)
         wh = Warehouse(self.spark, {n: read_table(self.spark, root, f"src_{n}") for n in names},
                        etl_date=self.etl_date)
@@ -241,7 +240,8 @@ class Warehouse:
         """
         o, oi = self.t("orders"), self.t("order_items").withColumn("has_item", F.lit(True))
         p = (self.t("products").join(self.t("product_category_translation"), "product_category_name", "left")
-             .withColumn("known_product_id", F.col("product_id")))
+             .withColumns({"known_product_id": F.col("product_id"),
+                           "category_name": F.coalesce("product_category_name_english", "product_category_name")}))
         s, c = self.t("sellers").withColumn("known_seller_id", F.col("seller_id")), self.t("customers")
         orders = o.join(c, "customer_id", "left")
         if with_payments:
@@ -252,8 +252,7 @@ class Warehouse:
         star = orders.join(items, "order_id", "left")
         if rows is not None:
             star = star.where(rows)
-        return flag_first_items(star.withColumn(
-            "category_name", F.coalesce("product_category_name_english", "product_category_name")))
+        return flag_first_items(star)
 
     # ------------------------------------------------------------- M10 the view
     @cached_property
@@ -408,6 +407,17 @@ class Warehouse:
         """``dwd_order_detail``: grain = order item, 30 columns (etl_date last) and the first-item flags."""
         return self._as_fact(self._star(with_payments=True, with_reviews=True, rows=self._fact_rows()))
 
+    #: The star's columns that the fact keeps or is derived from.
+    FACT_BASE = ("order_id", "order_item_id", "order_status", "order_purchase_timestamp", "order_delivered_customer_date",
+                 "order_delivered_carrier_date", "order_estimated_delivery_date", "customer_unique_id", "customer_state",
+                 "known_product_id", "category_name", "product_weight_g", "known_seller_id", "seller_state", "price",
+                 "freight_value", "payment_value", "payment_type", "review_score", *FLAGS)
+
+    def fact_base(self) -> DataFrame:
+        """The rows of the fact before its derived columns, with the purchase month: what a build moves and stages."""
+        star = self._star(with_payments=True, with_reviews=True, rows=self._fact_rows())
+        return star.select(*self.FACT_BASE, year_month(F.col("order_purchase_timestamp")).alias("purchase_year_month"))
+
     @staticmethod
     def _fact_rows() -> Column:
         """Rows of the star that the fact holds; whole orders but for those without items, so flags stay true."""

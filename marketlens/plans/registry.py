@@ -47,10 +47,10 @@ def built_root(spark: SparkSession, sf_dir: str) -> str:
     """The supplied data as a stored warehouse: a first load has every order 45 days
     later, the second replaces it, so nothing of the first may be seen."""
     from marketlens.plans.pipeline import build
-    from marketlens.sources.testdata import source_tables
+    from marketlens.sources.testdata import source_tables, with_stored_lines
 
     def make(root: str) -> None:
-        src = source_tables(spark, sf_dir)
+        src = with_stored_lines(source_tables(spark, sf_dir), f"{root}-input")
         when = "order_purchase_timestamp"
         build(spark, src | {"orders": src["orders"].withColumn(when, F.timestamp_add("DAY", F.lit(45), F.col(when)))}, root, etl_date="2024-01-01")
         build(spark, src, root, etl_date="2024-01-02")
@@ -65,13 +65,16 @@ def detail_only_warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
     """A whole load in which the freight of one purchase month is wrong, then the right sources and the detail layer alone."""
     from marketlens.functions.dates import year_month
     from marketlens.plans.pipeline import build
-    from marketlens.sources.testdata import source_tables
+    from marketlens.sources.testdata import source_tables, with_stored_lines
 
     def make(root: str) -> None:
         src = source_tables(spark, sf_dir)
-        wrong = src["orders"].where(year_month(F.col("order_purchase_timestamp")) == "1996-03").select("order_id", F.lit(1).alias("wrong"))
-        freight = F.when(F.col("wrong").isNull(), F.col("freight_value")).otherwise((F.col("freight_value") + 1).cast(src["order_items"].schema["freight_value"].dataType))
-        items = src["order_items"].join(wrong, "order_id", "left").withColumn("freight_value", freight).select(*src["order_items"].columns)
+        wrong = src["orders"].where(year_month(F.col("order_purchase_timestamp")) == "1996-03").select("order_id").distinct().withColumn("_wrong", F.lit(1))
+        # marked where the lines are clustered by order; payments are made from the right freight
+        src = with_stored_lines(src | {"_item_lines": src["_item_lines"].join(wrong, "order_id", "left")}, f"{root}-input")
+        marked, src["order_items"] = src["order_items"], src["order_items"].drop("_wrong")
+        freight = F.when(F.col("_wrong").isNull(), F.col("freight_value")).otherwise((F.col("freight_value") + 1).cast(marked.schema["freight_value"].dataType))
+        items = marked.withColumn("freight_value", freight).select(*src["order_items"].columns)
         build(spark, src | {"order_items": items}, root, etl_date="2024-01-01")
         build(spark, src, root, layer="ods", etl_date="2024-01-02")
         build(spark, src, root, layer="dwd", etl_date="2024-01-02")
@@ -85,10 +88,10 @@ def above_floor(spark: SparkSession, sf_dir: str) -> Warehouse:
 def csv_warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
     """The source tables as raw CSV files; each review has a comment with quotes, commas and line ends."""
     from marketlens.sources.csv import CSV_FILES, HEADER_FIXES, SCHEMAS
-    from marketlens.sources.testdata import source_tables
+    from marketlens.sources.testdata import source_tables, with_stored_lines
 
     def make(root: str) -> None:
-        src = source_tables(spark, sf_dir)
+        src = with_stored_lines(source_tables(spark, sf_dir), f"{root}-input")
         comment = F.concat(F.lit('said "fine",\nthen '), F.col("review_id"), F.lit('\n\n"end"'))
         src["order_reviews"] = src["order_reviews"].withColumn("review_comment_message", comment)
         for name, file in CSV_FILES.items():

@@ -53,6 +53,16 @@ def from_item_lines(lines: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def with_stored_lines(src: dict[str, DataFrame], root: str) -> dict[str, DataFrame]:
+    """The source tables with the order lines numbered and written once under ``root``; items and payments are
+    read from the written rows, so a caller that writes or loads both shuffles the lines once."""
+    from marketlens.sources.warehouse import read_table, write_table
+    lines = src["_item_lines"]
+    write_table(lines, root, "src_item_lines", [])
+    stored = read_table(lines.sparkSession, root, "src_item_lines")
+    return src | from_item_lines(stored) | {"_item_lines": stored}
+
+
 def source_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The eight source tables plus ``geo`` (state → state name, region)."""
     t = read_supplied(spark, sf_dir)
@@ -86,9 +96,10 @@ def source_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
     price = F.col("l_extendedprice").cast("decimal(12,2)")
     freight = (price * F.col("l_tax").cast("decimal(4,2)")).cast("decimal(12,2)")
-    items_full = lines.select(
+    numbered = lines.withColumn("order_item_id", F.row_number().over(item_order))  # derived columns after the shuffle
+    items_full = numbered.select(
         "order_id",
-        F.row_number().over(item_order).alias("order_item_id"),
+        "order_item_id",
         F.col("l_partkey").alias("product_id"),
         F.col("l_suppkey").alias("seller_id"),
         F.col("l_shipdate").alias("shipping_limit_date"),

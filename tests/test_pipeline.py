@@ -244,3 +244,22 @@ def test_two_builds_at_once_are_noticed(spark, tmpdir_path):
     assert Release.open(spark, tmpdir_path).unused_folders([("dim_x", one.id), ("dim_x", two.id)]) == [("dim_x", two.id)]
     with pytest.raises(LookupError):
         Release.open(spark, tmpdir_path, 7)
+
+
+# ------------------------------------------------------------- what a build moves
+
+
+def test_order_lines_are_stored_once_for_items_and_payments(spark, tmpdir_path):
+    from marketlens.sources.testdata import with_stored_lines
+    raw = source_tables(spark, SF001)
+    stored = with_stored_lines(raw, tmpdir_path)
+    for name in ("order_items", "order_payments"):
+        assert all("/src_item_lines/" in f for f in stored[name].inputFiles())
+        assert "Exchange" not in stored[name]._jdf.queryExecution().executedPlan().toString()
+        assert stored[name].columns == raw[name].columns and rows_of(stored[name]) == rows_of(raw[name])
+
+
+def test_lines_are_shuffled_as_supplied(spark):
+    plan = source_tables(spark, SF001)["_item_lines"]._jdf.queryExecution().executedPlan().toString()
+    above, below = plan.split("Exchange", 1)
+    assert "AS price" in above and "AS price" not in below and "AS freight_value" not in below
