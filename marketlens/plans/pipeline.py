@@ -18,7 +18,6 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.functions.dates import year_month
 from marketlens.plans import marts
 from marketlens.plans.model import Warehouse
 from marketlens.sources.releases import Load, Release
@@ -81,13 +80,7 @@ def build(spark: SparkSession, src: dict[str, DataFrame], root: str, layer: str
     if "dwd" in todo:
         sources, etl = ods_snapshot(spark, root, etl, load.state)
         wh = Warehouse(spark, sources, etl_date=etl)
-
-        def months(some: list[str]) -> DataFrame:
-            """The fact of some purchase months, from the orders of these months only."""
-            orders = sources["orders"].where(year_month(F.col("order_purchase_timestamp")).isin(some))
-            return Warehouse(spark, sources | {"orders": orders}, etl_date=etl).fact
-
-        load.replace_changed(FACT, wh.fact, PARTITIONS[FACT][0], etl, months, ignore=("etl_date",))
+        load.replace_changed(FACT, wh.fact_base(), PARTITIONS[FACT][0], etl, wh._as_fact, ignore=("etl_date",))
         wh.__dict__["fact"] = stored_fact(load.state)  # the dimensions' order counts read it back
         basis = fact_basis(load.state)
         for name, df in (("dim_customers", wh.dim_customers), ("dim_products", wh.dim_products),

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 _FOLDER = "releases"
+_STAGING = "staging"
 _ENTRY = ("name string, part string, load string, rows bigint, day string, basis string, digest string, column string, "
           "schema string, publisher string")
 
@@ -120,12 +121,17 @@ class Load:
         self.state = Release(spark, root, self.base.number + 1,
                              tuple(e for parts in self.base.by_name.values() for e in parts.values()))
 
-    def _write(self, name: str, df: DataFrame, column: str) -> int:
-        """Rows written."""
+    def _write(self, name: str, df: DataFrame, column: str, part: str = "") -> int:
+        """Rows written.  Rows of one known partition (``part``) go into its folder as they are; those of several
+        (already rebalanced by their partition) are sorted by it."""
         seen = Observation(f"rows of {name}")
         df = df.observe(seen, F.count(F.lit(1)).alias("rows"))
-        out = (df.hint("rebalance", column) if column else df).write.option("compression", "snappy")
-        (out.partitionBy(column) if column else out).parquet(f"{self.root}/{name}/load={self.id}")
+        path = f"{self.root}/{name}/load={self.id}"
+        if part:
+            out, path = df.drop(column).write, f"{path}/{column}={part}"
+        else:
+            out = df.write.partitionBy(column) if column else df.write
+        out.option("compression", "snappy").parquet(path)
         return seen.get["rows"]
 
     def _enter(self, name: str, df: DataFrame, column: str = "", part: str = "", **kw) -> None:
@@ -143,28 +149,34 @@ class Load:
 
     def replace_day(self, name: str, df: DataFrame, column: str, day: str, basis: str = "") -> DataFrame:
         """One load day of a table (``df`` holds that day only); returns that day."""
-        self._enter(name, df, column, day, rows=self._write(name, df, column), day=day, basis=basis)
+        self._enter(name, df, column, day, rows=self._write(name, df, column, day), day=day, basis=basis)
         return self.state.table(name, [day])
 
-    def replace_changed(self, name: str, whole: DataFrame, column: str, day: str, restricted, ignore=()) -> dict[str, list[str]]:
+    def replace_changed(self, name: str, base: DataFrame, column: str, day: str, derive, ignore=()) -> dict[str, list[str]]:
         """Of a table partitioned by ``column`` only the partitions whose rows differ from the last release.
 
-        ``whole`` is the table as it should be; its partitions are compared by row count and two sums of row
-        hashes (columns in ``ignore`` apart).  ``restricted(list of partitions)`` gives the rows of these
-        partitions, computed from as little as they need.  Returns the changed, vanished and kept partitions.
+        ``derive(base)`` is the table as it should be: ``base`` has its rows and the partition column, ``derive``
+        adds, row by row, the columns that follow from others, after the rows were moved to their partition.
+        Partitions are compared by row count and two sums of row hashes (columns in ``ignore`` apart).  ``base`` is
+        evaluated once: where there is a release to compare with, into a staging folder that no release names, and
+        the changed partitions are written from there.  Returns the changed, vanished and kept partitions.
         """
+        whole = derive(base)
         had = {p: e for p, e in self.state.parts(name).items() if e.rows}
         compare = [c for c in whole.columns if c not in ignore]
         if not had:  # everything is new: written first, then compared as written
-            self._write(name, whole, column)
+            self._write(name, derive(base.hint("rebalance", column)), column)
             written = self.spark.read.schema(whole.schema).parquet(f"{self.root}/{name}/load={self.id}")
             now = _digests(written, column, compare)
             changed = sorted(now)
         else:
-            now = _digests(whole, column, compare)
+            stage = f"{self.root}/{_STAGING}/{name}/load={self.id}"
+            base.write.option("compression", "snappy").parquet(stage)
+            staged = self.spark.read.schema(base.schema).parquet(stage)
+            now = _digests(derive(staged), column, compare)
             changed = sorted(p for p, (n, d) in now.items() if p not in had or (had[p].rows, had[p].digest) != (n, d) or had[p].schema != whole.schema.json())
             if changed:
-                self._write(name, restricted(changed), column)
+                self._write(name, derive(staged.where(F.col(column).isin(changed)).hint("rebalance", column)), column)
         vanished = sorted(set(had) - set(now))
         kept = {p: e for p, e in had.items() if p not in changed and p not in vanished}
         self.state.by_name[name] = {p: Entry(**{**e.__dict__, "day": day, "publisher": ""}) for p, e in kept.items()}

@@ -249,6 +249,31 @@ def test_two_builds_at_once_are_noticed(spark, tmpdir_path):
 # ------------------------------------------------------------- what a build moves
 
 
+def test_a_day_is_written_as_it_lies(spark, tmpdir_path):
+    day = spark.range(0, 80, 1, 4).withColumn("etl_date", F.lit(DAY).cast("date"))
+    load = Load(spark, tmpdir_path)
+    got = load.replace_day("ods_x", day, "etl_date", DAY)
+    assert len(got.inputFiles()) == 4  # no shuffle by the one day brought them together
+    assert got.columns == day.columns and rows_of(got) == rows_of(day)
+    assert load.state.rows("ods_x", [DAY]) == 80
+
+
+def test_a_build_joins_the_star_once(spark, tmpdir_path, monkeypatch):
+    src = mini_sources(spark)
+    build(spark, src, tmpdir_path, etl_date=DAY)
+    star, joined = Warehouse._star, []
+
+    def counted(self, *a, **kw):
+        joined.append(kw)
+        return star(self, *a, **kw)
+    monkeypatch.setattr(Warehouse, "_star", counted)
+    fewer = src | {"order_items": src["order_items"].where("order_id <> 'o1'")}
+    build(spark, fewer, tmpdir_path, etl_date="2024-01-02")
+    assert len(joined) == 1
+    stored, whole = Warehouse.from_warehouse(spark, tmpdir_path, date_floor=None), Warehouse(spark, fewer, etl_date="2024-01-02")
+    assert rows_of(stored.fact.select(*whole.fact.columns)) == rows_of(whole.fact) != []
+
+
 def test_order_lines_are_stored_once_for_items_and_payments(spark, tmpdir_path):
     from marketlens.sources.testdata import with_stored_lines
     raw = source_tables(spark, SF001)
