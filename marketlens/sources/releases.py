@@ -17,8 +17,11 @@ from __future__ import annotations
 
 import json
 import uuid
+from contextlib import contextmanager
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +32,28 @@ _STAGING = "staging"
 _ENTRY = ("name string, part string, load string, rows bigint, day string, basis string, digest string, column string, "
           "schema string, publisher string")
 
+#: Codec of the warehouse's files: a quarter to a third smaller than snappy on these tables.
+CODEC = "zstd"
+#: At most so many tasks (or two a core, if that is more) stage a table: so many small files has a partition.
+STAGE_TASKS = 32
+#: A staging task keeps a file of each partition open, up to so many; beyond it sorts the rest.
+OPEN_PARTS = 256
+#: A partition is merged into files of about so many rows; so many partitions are merged at the same time.
+ROWS_A_FILE, PART_WRITERS = 1_000_000, 8
+
+
+@contextmanager
+def _open_files(spark: SparkSession):
+    """Let a writing task hold partitions open instead of sorting its rows by them; a session's own setting stays."""
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(key)
+    if int(before) == 0:
+        spark.conf.set(key, OPEN_PARTS)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
 
 @dataclass(frozen=True)
 class Entry:
@@ -121,19 +146,25 @@ class Load:
         self.state = Release(spark, root, self.base.number + 1,
                              tuple(e for parts in self.base.by_name.values() for e in parts.values()))
 
-    def _write(self, name: str, df: DataFrame, column: str, part: str = "") -> int:
-        """Rows written.  Rows of one known partition (``part``) go into its folder as they are; those of several
-        (already rebalanced by their partition) are sorted by it."""
+    def _write(self, name: str, df: DataFrame, column: str = "", part: str = "") -> int:
+        """Rows written, of a table or of one known partition (``part``) into its folder, as they lie."""
         seen = Observation(f"rows of {name}")
         df = df.observe(seen, F.count(F.lit(1)).alias("rows"))
         path = f"{self.root}/{name}/load={self.id}"
         if part:
-            out, path = df.drop(column).write, f"{path}/{column}={part}"
-        else:
-            out = df.write.partitionBy(column) if column else df.write
-        out.option("compression", "snappy").parquet(path)
+            df, path = df.drop(column), f"{path}/{column}={part}"
+        df.write.option("compression", CODEC).parquet(path)
         return seen.get["rows"]
 
+    def _stage(self, name: str, df: DataFrame, column: str) -> str:
+        """Rows of all partitions, dealt to a folder of each by the tasks that made them, without shuffle or sort: many
+        small files in a folder that no release names."""
+        path = f"{self.root}/{_STAGING}/{name}/load={self.id}"
+        tasks = max(STAGE_TASKS, 2 * self.spark.sparkContext.defaultParallelism)
+        with _open_files(self.spark):
+            df.coalesce(tasks).write.partitionBy(column).option("compression", CODEC).parquet(path)
+        return path
+
     def _enter(self, name: str, df: DataFrame, column: str = "", part: str = "", **kw) -> None:
         entry = Entry(name, part, self.id, kw.pop("rows"), kw.pop("day"), kw.pop("basis", ""), kw.pop("digest", ""), column,
                       df.schema.json())
@@ -144,7 +175,7 @@ class Load:
 
     def replace(self, name: str, df: DataFrame, day: str, basis: str = "") -> DataFrame:
         """A table as a whole; returns what was written."""
-        self._enter(name, df, rows=self._write(name, df, ""), day=day, basis=basis)
+        self._enter(name, df, rows=self._write(name, df), day=day, basis=basis)
         return self.state.table(name)
 
     def replace_day(self, name: str, df: DataFrame, column: str, day: str, basis: str = "") -> DataFrame:
@@ -156,27 +187,23 @@ class Load:
         """Of a table partitioned by ``column`` only the partitions whose rows differ from the last release.
 
         ``derive(base)`` is the table as it should be: ``base`` has its rows and the partition column, ``derive``
-        adds, row by row, the columns that follow from others, after the rows were moved to their partition.
-        Partitions are compared by row count and two sums of row hashes (columns in ``ignore`` apart).  ``base`` is
-        evaluated once: where there is a release to compare with, into a staging folder that no release names, and
-        the changed partitions are written from there.  Returns the changed, vanished and kept partitions.
+        adds, row by row, the columns that follow from others.  Partitions are compared by row count and two sums of
+        row hashes (columns in ``ignore`` apart).  ``base`` is evaluated once, into a staging folder by partition; each
+        changed partition is written from its small files there, some partitions at a time, so no row is
+        shuffled to its partition.  Returns the changed, vanished and kept partitions.
         """
         whole = derive(base)
         had = {p: e for p, e in self.state.parts(name).items() if e.rows}
-        compare = [c for c in whole.columns if c not in ignore]
-        if not had:  # everything is new: written first, then compared as written
-            self._write(name, derive(base.hint("rebalance", column)), column)
-            written = self.spark.read.schema(whole.schema).parquet(f"{self.root}/{name}/load={self.id}")
-            now = _digests(written, column, compare)
-            changed = sorted(now)
-        else:
-            stage = f"{self.root}/{_STAGING}/{name}/load={self.id}"
-            base.write.option("compression", "snappy").parquet(stage)
-            staged = self.spark.read.schema(base.schema).parquet(stage)
-            now = _digests(derive(staged), column, compare)
-            changed = sorted(p for p, (n, d) in now.items() if p not in had or (had[p].rows, had[p].digest) != (n, d) or had[p].schema != whole.schema.json())
-            if changed:
-                self._write(name, derive(staged.where(F.col(column).isin(changed)).hint("rebalance", column)), column)
+        stage, schema = self._stage(name, base, column), whole.schema.json()
+        read = self.spark.read.schema(base.schema).option("basePath", stage)
+        now = _digests(derive(read.parquet(stage)), column, [c for c in whole.columns if c not in ignore])
+        changed = sorted(p for p, (n, d) in now.items() if p not in had or (had[p].rows, had[p].digest, had[p].schema) != (n, d, schema))
+
+        def merge(part: str) -> None:
+            rows = derive(read.parquet(f"{stage}/{column}={part}"))
+            self._write(name, rows.coalesce(-(-now[part][0] // ROWS_A_FILE)), column, part)
+        with ThreadPool(PART_WRITERS) as pool:
+            pool.map(inheritable_thread_target(self.spark)(merge), changed, chunksize=1)
         vanished = sorted(set(had) - set(now))
         kept = {p: e for p, e in had.items() if p not in changed and p not in vanished}
         self.state.by_name[name] = {p: Entry(**{**e.__dict__, "day": day, "publisher": ""}) for p, e in kept.items()}

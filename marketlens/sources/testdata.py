@@ -63,18 +63,23 @@ def with_stored_lines(src: dict[str, DataFrame], root: str) -> dict[str, DataFra
     return src | from_item_lines(stored) | {"_item_lines": stored}
 
 
-def source_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The eight source tables plus ``geo`` (state → state name, region)."""
-    t = read_supplied(spark, sf_dir)
-    li, o = t["lineitem"], t["orders"]
+def with_stored_input(src: dict[str, DataFrame], root: str) -> dict[str, DataFrame]:
+    """The source tables for a caller that loads them more than once: the order lines as in ``with_stored_lines``, and
+    the orders, with the last ship dates of the stored lines, written once too."""
+    from marketlens.sources.warehouse import read_table, write_table
+    src = with_stored_lines(src, root)
+    last_ship = src["_item_lines"].groupBy(F.col("order_id").alias("l_orderkey")).agg(F.max("shipping_limit_date").alias("_last_ship"))
+    write_table(orders_of(src["_supplied_orders"], last_ship), root, "src_orders", [])
+    return src | {"orders": read_table(src["orders"].sparkSession, root, "src_orders")}
 
-    # ---- orders: timestamps from the order date and the last ship date ----
-    last_ship = li.groupBy("l_orderkey").agg(F.max("l_shipdate").alias("_last_ship"))
+
+def orders_of(o: DataFrame, last_ship: DataFrame) -> DataFrame:
+    """The order table of the supplied orders and the last ship date of each (``l_orderkey``, ``_last_ship``)."""
     od = o.join(last_ship, o.o_orderkey == last_ship.l_orderkey, "left")
     offset = F.datediff(F.to_date("_last_ship"), F.to_date("o_orderdate"))
     deliv_days = F.pmod(offset, F.lit(DELIVERY_WRAP_DAYS)) + F.when(
         F.pmod(offset, F.lit(SLOW_EVERY)) == 0, SLOW_DAYS).otherwise(0)
-    orders = od.select(
+    return od.select(
         F.col("o_orderkey").alias("order_id"),
         F.col("o_custkey").alias("customer_id"),
         _status(F.col("o_orderstatus")).alias("order_status"),
@@ -87,6 +92,15 @@ def source_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         F.timestamp_add("DAY", F.lit(ESTIMATE_DAYS), F.col("o_orderdate")).alias("order_estimated_delivery_date"),
     )
 
+
+def source_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The eight source tables plus ``geo`` (state → state name, region)."""
+    t = read_supplied(spark, sf_dir)
+    li, o = t["lineitem"], t["orders"]
+
+    # ---- orders: timestamps from the order date and the last ship date ----
+    orders = orders_of(o, li.groupBy("l_orderkey").agg(F.max("l_shipdate").alias("_last_ship")))
+
     # ---- order items: one per lineitem; item number over all columns ----
     # Rename first so the window is partitioned by ``order_id``: the later
     # order-keyed joins then reuse this shuffle instead of repeating it.
@@ -181,4 +195,6 @@ def source_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         # shared parent of order_items and order_payments (not a source table):
         # a materializing caller writes it once and derives both from it
         "_item_lines": items_full,
+        # what the orders are derived from, beside the lines
+        "_supplied_orders": o,
     }

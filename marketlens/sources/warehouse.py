@@ -20,7 +20,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.sources.releases import Release
+from marketlens.sources.releases import CODEC, Release
 
 # Partition column per written table.
 PARTITIONS = {
@@ -36,7 +36,7 @@ STREAM_PREFIX = "ods_stream_"
 
 
 def write_table(df: DataFrame, root: str, name: str, partition_by=None) -> str:
-    """Write ``df`` as snappy Parquet at ``root/name``.
+    """Write ``df`` as Parquet at ``root/name``.
 
     The table is replaced whole.  Partitioned rows are rebalanced by their
     partition first, so a partition gets few files and a hot one is split among tasks.
@@ -45,7 +45,7 @@ def write_table(df: DataFrame, root: str, name: str, partition_by=None) -> str:
     cols = partition_by if partition_by is not None else PARTITIONS.get(name)
     if cols:
         df = df.hint("rebalance", *cols)
-    w = df.write.mode("overwrite").option("compression", "snappy").option("partitionOverwriteMode", "static")
+    w = df.write.mode("overwrite").option("compression", CODEC).option("partitionOverwriteMode", "static")
     if cols:
         w = w.partitionBy(*cols)
     w.parquet(path)

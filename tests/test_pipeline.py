@@ -288,3 +288,42 @@ def test_lines_are_shuffled_as_supplied(spark):
     plan = source_tables(spark, SF001)["_item_lines"]._jdf.queryExecution().executedPlan().toString()
     above, below = plan.split("Exchange", 1)
     assert "AS price" in above and "AS price" not in below and "AS freight_value" not in below
+
+
+def test_months_are_merged_from_staged_files_without_a_shuffle(spark, tmpdir_path):
+    from marketlens.sources.releases import CODEC
+    base = spark.range(0, 120, 1, 4).select("id", F.concat(F.lit("2024-0"), F.col("id") % 3 + 1).alias("m"))
+
+    def derive(df):
+        return df.select("m", (F.col("id") * 2).alias("twice"), "id")
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    before, load = spark.conf.get(key), Load(spark, tmpdir_path)
+    assert load.replace_changed("x", base, "m", DAY, derive) == {"changed": ["2024-01", "2024-02", "2024-03"], "vanished": [], "kept": []}
+    staged = spark.read.parquet(f"{tmpdir_path}/staging/x/load={load.id}").inputFiles()
+    assert len(staged) == 4 * 3  # each task wrote its rows of every month where they lay
+    got = load.publish().table("x")
+    assert len(got.inputFiles()) == 3 and all(f".{CODEC}." in f for f in got.inputFiles())
+    assert rows_of(got) == rows_of(derive(base)) and got.columns == ["m", "twice", "id"]
+    again = Load(spark, tmpdir_path)
+    moved = base.where("id <> 5").withColumn("id", F.when(F.col("m") == "2024-02", F.col("id") + 1).otherwise(F.col("id")))
+    assert again.replace_changed("x", moved, "m", DAY, derive) == {"changed": ["2024-02", "2024-03"], "vanished": [], "kept": ["2024-01"]}
+    assert rows_of(again.publish().table("x")) == rows_of(derive(moved)) and spark.conf.get(key) == before
+
+
+def test_a_month_of_many_rows_has_several_files(spark, tmpdir_path, monkeypatch):
+    from marketlens.sources import releases
+    monkeypatch.setattr(releases, "ROWS_A_FILE", 20)
+    base = spark.range(0, 60, 1, 6).select("id", F.lit("2024-01").alias("m"))
+    load = Load(spark, tmpdir_path)
+    load.replace_changed("x", base, "m", DAY, lambda df: df)
+    got = load.state.table("x")
+    assert 1 < len(got.inputFiles()) <= 3 and rows_of(got) == rows_of(base) and load.state.rows("x") == 60
+
+
+def test_orders_of_two_loads_are_stored_once(spark, tmpdir_path):
+    from marketlens.sources.testdata import with_stored_input
+    raw = source_tables(spark, SF001)
+    stored = with_stored_input(raw, tmpdir_path)["orders"]
+    assert all("/src_orders/" in f for f in stored.inputFiles())
+    assert "Exchange" not in stored._jdf.queryExecution().executedPlan().toString()
+    assert stored.columns == raw["orders"].columns and rows_of(stored) == rows_of(raw["orders"])
