@@ -20,6 +20,7 @@ tables that grow with the data).
 
 from __future__ import annotations
 
+import math
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -60,6 +61,8 @@ class Warehouse:
         self.stored: dict[str, DataFrame] = {}
         #: Row counts that a stored warehouse knows from its writing jobs.
         self.known_rows: dict[str, int] = {}
+        #: Number of buckets by order id that the orders, items and payments lie in, if they do.
+        self.order_buckets: int | None = None
 
     # ------------------------------------------------------------------ build
     @classmethod
@@ -207,7 +210,10 @@ class Warehouse:
 
     @cached_property
     def reviews_by_order(self) -> DataFrame:
-        return self.t("order_reviews").groupBy("order_id").agg(
+        reviews = self.t("order_reviews")
+        if self.order_buckets:  # once, to the buckets of the orders
+            reviews = reviews.repartition(self.order_buckets, "order_id")
+        return reviews.groupBy("order_id").agg(
             F.avg("review_score").alias("review_score"))
 
     # --------------------------------------------------------------- D3 products
@@ -237,23 +243,44 @@ class Warehouse:
         brings both together.  Left joins on unique dimension keys commute, so
         the result equals the source's join order, and the rows end up clustered
         by order for the first-item flags.  ``rows`` keeps some rows before they are flagged.
+
+        Where orders and items lie in buckets by order, they stay there and only keys travel to the dimensions
+        (``_looked_up``).
         """
         o, oi = self.t("orders"), self.t("order_items").withColumn("has_item", F.lit(True))
         p = (self.t("products").join(self.t("product_category_translation"), "product_category_name", "left")
              .withColumns({"known_product_id": F.col("product_id"),
                            "category_name": F.coalesce("product_category_name_english", "product_category_name")}))
         s, c = self.t("sellers").withColumn("known_seller_id", F.col("seller_id")), self.t("customers")
-        orders = o.join(c, "customer_id", "left")
+        orders = self._looked_up(o, c, "customer_id", "customers")
         if with_payments:
             orders = orders.join(self.payments_by_order, "order_id", "left")
         if with_reviews:
             orders = orders.join(self.reviews_by_order, "order_id", "left")
-        items = oi.join(p, "product_id", "left").join(s, "seller_id", "left")
+        items = self._looked_up(self._looked_up(oi, p, "product_id", "products"), s, "seller_id", "sellers")
         star = orders.join(items, "order_id", "left")
         if rows is not None:
             star = star.where(rows)
         return flag_first_items(star)
 
+    #: A dimension of at most so many rows, as counted by the job that wrote it, may go to rows in buckets as a broadcast.
+    BROADCAST_ROWS = {"sellers": 500_000}
+
+    def _looked_up(self, rows: DataFrame, dim: DataFrame, key: str, name: str) -> DataFrame:
+        """``rows ⟕ dim`` on ``key``.  Rows in buckets by order are not moved: their distinct pairs of order and key go to
+        the dimension, and come back to the order's bucket with its columns."""
+        if not self.order_buckets:
+            return rows.join(dim, key, "left")
+        if (self.known_rows.get(f"ods_{name}") or math.inf) <= self.BROADCAST_ROWS.get(name, 0):
+            return rows.join(F.broadcast(dim), key, "left")
+        found = rows.select("order_id", key).distinct().join(dim, key).repartition(self.order_buckets, "order_id")
+        known = f"known_{key}"  # a copy of the key: made again after the way back
+        found = found.withColumn(known, F.col(key)) if known in dim.columns else found
+        found = found.withColumnsRenamed({"order_id": "_order", key: "_key"})
+        # written as an equality, the key would be a second join key, and both sides were shuffled by the two
+        same = (F.col("order_id") == F.col("_order")) & F.col(key).between(F.col("_key"), F.col("_key"))
+        return rows.join(found, same, "left").drop("_order", "_key")
+
     # ------------------------------------------------------------- M10 the view
     @cached_property
     def view(self) -> DataFrame:

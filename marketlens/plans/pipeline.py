@@ -28,6 +28,8 @@ ODS_TABLES = ("customers", "sellers", "products", "product_category_translation"
               "order_payments", "order_reviews")
 #: Tables that a detail layer cannot do without; the others may be empty on a day.
 REQUIRED = ("customers", "sellers", "products", "orders", "order_items")
+#: Tables whose snapshots may lie in buckets by order id.
+BY_ORDER = ("orders", "order_items", "order_payments")
 
 
 def newest_day(spark: SparkSession, root: str, table: str, release: Release) -> str | None:
@@ -59,12 +61,14 @@ def ods_snapshot(spark: SparkSession, root: str, etl_date: str | None = None,
 
 
 def build(spark: SparkSession, src: dict[str, DataFrame], root: str, layer: str | None = None,
-          etl_date: str | None = None) -> DataFrame:
+          etl_date: str | None = None, order_buckets: int | None = None) -> DataFrame:
     """Build one layer or all (``layer=None``) under ``root`` and publish them as one release; returns the
     (layer, table, rows) audit of the run's layers for its load date, from the counts of the writing jobs.
 
     ``etl_date`` defaults to today for a load of sources; a single later layer
-    takes the newest snapshot (DWD) or the fact's own date (DWS)."""
+    takes the newest snapshot (DWD) or the fact's own date (DWS).  ``order_buckets``: the orders, items and payments of
+    ``src`` lie in so many buckets by order id (``testdata.with_stored_input``); their snapshots are kept so, and the
+    detail layer then joins them where they lie."""
     if layer is not None and layer not in LAYERS:
         raise ValueError(f"unknown layer {layer!r}; expected one of {LAYERS}")
     todo = LAYERS if layer is None else (layer,)
@@ -74,12 +78,15 @@ def build(spark: SparkSession, src: dict[str, DataFrame], root: str, layer: str
         etl = etl or datetime.date.today().isoformat()
         for t in ODS_TABLES:
             if t in src:
-                load.replace_day(f"ods_{t}", src[t].withColumn(ODS_PARTITION, F.lit(etl).cast("date")), ODS_PARTITION, etl)
+                kept = {"cluster": "order_id", "buckets": order_buckets} if order_buckets and t in BY_ORDER else {}
+                load.replace_day(f"ods_{t}", src[t].withColumn(ODS_PARTITION, F.lit(etl).cast("date")), ODS_PARTITION, etl, **kept)
                 audit.append(("ODS", f"ods_{t}", load.state.rows(f"ods_{t}", [etl])))
 
     if "dwd" in todo:
         sources, etl = ods_snapshot(spark, root, etl, load.state)
         wh = Warehouse(spark, sources, etl_date=etl)
+        wh.order_buckets = load.state.buckets([f"ods_{t}" for t in BY_ORDER], etl)
+        wh.known_rows = {f"ods_{t}": load.state.rows(f"ods_{t}", [etl]) for t in sources}
         load.replace_changed(FACT, wh.fact_base(), PARTITIONS[FACT][0], etl, wh._as_fact, ignore=("etl_date",))
         wh.__dict__["fact"] = stored_fact(load.state)  # the dimensions' order counts read it back
         basis = fact_basis(load.state)

@@ -47,13 +47,15 @@ def built_root(spark: SparkSession, sf_dir: str) -> str:
     """The supplied data as a stored warehouse: a first load has every order 45 days
     later, the second replaces it, so nothing of the first may be seen."""
     from marketlens.plans.pipeline import build
-    from marketlens.sources.testdata import source_tables, with_stored_input
+    from marketlens.sources.testdata import order_buckets, source_tables, with_stored_input
 
     def make(root: str) -> None:
-        src = with_stored_input(source_tables(spark, sf_dir), f"{root}-input")
+        n = order_buckets(spark, sf_dir)
+        src = with_stored_input(source_tables(spark, sf_dir, n), f"{root}-input", n)
         when = "order_purchase_timestamp"
-        build(spark, src | {"orders": src["orders"].withColumn(when, F.timestamp_add("DAY", F.lit(45), F.col(when)))}, root, etl_date="2024-01-01")
-        build(spark, src, root, etl_date="2024-01-02")
+        build(spark, src | {"orders": src["orders"].withColumn(when, F.timestamp_add("DAY", F.lit(45), F.col(when)))}, root, etl_date="2024-01-01",
+              order_buckets=n)
+        build(spark, src, root, etl_date="2024-01-02", order_buckets=n)
     return _once(spark, "two loads", sf_dir, make)
 
 
@@ -65,18 +67,19 @@ def detail_only_warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
     """A whole load in which the freight of one purchase month is wrong, then the right sources and the detail layer alone."""
     from marketlens.functions.dates import year_month
     from marketlens.plans.pipeline import build
-    from marketlens.sources.testdata import source_tables, with_stored_input
+    from marketlens.sources.testdata import order_buckets, source_tables, with_stored_input
 
     def make(root: str) -> None:
-        src = source_tables(spark, sf_dir)
+        n = order_buckets(spark, sf_dir)
+        src = source_tables(spark, sf_dir, n)
         wrong = src["orders"].where(year_month(F.col("order_purchase_timestamp")) == "1996-03").select("order_id").distinct().withColumn("_wrong", F.lit(1))
         # marked where the lines are clustered by order; payments are made from the right freight
-        src = with_stored_input(src | {"_item_lines": src["_item_lines"].join(wrong, "order_id", "left")}, f"{root}-input")
+        src = with_stored_input(src | {"_item_lines": src["_item_lines"].join(wrong, "order_id", "left")}, f"{root}-input", n)
         marked, src["order_items"] = src["order_items"], src["order_items"].drop("_wrong")
         freight = F.when(F.col("_wrong").isNull(), F.col("freight_value")).otherwise((F.col("freight_value") + 1).cast(marked.schema["freight_value"].dataType))
         items = marked.withColumn("freight_value", freight).select(*src["order_items"].columns)
-        build(spark, src | {"order_items": items}, root, etl_date="2024-01-01")
-        build(spark, src, root, layer="ods", etl_date="2024-01-02")
+        build(spark, src | {"order_items": items}, root, etl_date="2024-01-01", order_buckets=n)
+        build(spark, src, root, layer="ods", etl_date="2024-01-02", order_buckets=n)
         build(spark, src, root, layer="dwd", etl_date="2024-01-02")
     return Warehouse.from_warehouse(spark, _once(spark, "detail only", sf_dir, make), date_floor=None)
 

@@ -15,6 +15,7 @@ publish one release, readers raise instead of mixing them.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 from contextlib import contextmanager
@@ -30,7 +31,7 @@ from pyspark.sql.types import StructType
 _FOLDER = "releases"
 _STAGING = "staging"
 _ENTRY = ("name string, part string, load string, rows bigint, day string, basis string, digest string, column string, "
-          "schema string, publisher string")
+          "schema string, publisher string, cluster string, buckets int")
 
 #: Codec of the warehouse's files: a quarter to a third smaller than snappy on these tables.
 CODEC = "zstd"
@@ -43,7 +44,7 @@ ROWS_A_FILE, PART_WRITERS = 1_000_000, 8
 
 
 @contextmanager
-def _open_files(spark: SparkSession):
+def open_files(spark: SparkSession):
     """Let a writing task hold partitions open instead of sorting its rows by them; a session's own setting stays."""
     key = "spark.sql.maxConcurrentOutputFileWriters"
     before = spark.conf.get(key)
@@ -55,6 +56,26 @@ def _open_files(spark: SparkSession):
         spark.conf.set(key, before)
 
 
+def _bucketed(spark: SparkSession, path: str, schema: StructType, column: str, buckets: int) -> str:
+    """The session's name of a folder whose files lie in buckets; the folder is named once, so its name is the path's hash."""
+    name = f"marketlens_{hashlib.md5(path.encode()).hexdigest()}"
+    cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({cols}) USING parquet OPTIONS (compression '{CODEC}') "
+              f"CLUSTERED BY (`{column}`) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return name
+
+
+def write_bucketed(df: DataFrame, path: str, column: str, buckets: int) -> None:
+    """Rows into Parquet buckets by the hash of ``column``, the hash that shuffles use: rows that lie so already (read from as
+    many buckets, or partitioned by that column) are written as they lie, without shuffle or sort."""
+    with open_files(df.sparkSession):
+        df.write.insertInto(_bucketed(df.sparkSession, path, df.schema, column, buckets))
+
+
+def read_bucketed(spark: SparkSession, path: str, schema: StructType, column: str, buckets: int) -> DataFrame:
+    return spark.table(_bucketed(spark, path, schema, column, buckets))
+
+
 @dataclass(frozen=True)
 class Entry:
     """One partition of a table (``part`` is empty for a table without partitions)."""
@@ -69,6 +90,8 @@ class Entry:
     column: str     # partition column, or empty
     schema: str
     publisher: str = ""
+    cluster: str | None = None  # column by whose hash the rows lie in ``buckets`` buckets, if they do
+    buckets: int | None = None
 
 
 class Release:
@@ -118,8 +141,14 @@ class Release:
         """What a table's partitions hold, as one text (equal texts mean equal rows)."""
         return ";".join(f"{p}:{e.rows}:{e.digest}" for p, e in sorted(self.parts(name).items()))
 
+    def buckets(self, names, part: str) -> int | None:
+        """The number of buckets that this partition of all the tables has, if it is one number."""
+        found = {e.buckets if (e := self.parts(n).get(part)) else None for n in names}
+        return found.pop() if len(found) == 1 else None
+
     def table(self, name: str, parts=None) -> DataFrame | None:
-        """The table, or some of its partitions; None if the release has no such table."""
+        """The table, or some of its partitions; None if the release has no such table.  One partition in buckets is
+        read as such, so joins and groupings by its column need no shuffle."""
         entries = self.parts(name)
         if not entries:
             return None
@@ -128,6 +157,10 @@ class Release:
         if not chosen:
             return self.spark.createDataFrame([], schema)
         base = f"{self.root}/{name}"
+        if len(chosen) == 1 and (e := chosen[0]).buckets:
+            rows = StructType([f for f in schema if f.name != e.column])
+            df = read_bucketed(self.spark, f"{base}/load={e.load}/{e.column}={e.part}", rows, e.cluster, e.buckets)
+            return df.withColumn(e.column, F.lit(e.part).cast(schema[e.column].dataType)).select(*schema.fieldNames())
         paths = [f"{base}/load={e.load}" + (f"/{e.column}={e.part}" if e.column else "") for e in chosen]
         return self.spark.read.schema(schema).option("basePath", base).parquet(*paths).select(*schema.fieldNames())
 
@@ -146,14 +179,17 @@ class Load:
         self.state = Release(spark, root, self.base.number + 1,
                              tuple(e for parts in self.base.by_name.values() for e in parts.values()))
 
-    def _write(self, name: str, df: DataFrame, column: str = "", part: str = "") -> int:
-        """Rows written, of a table or of one known partition (``part``) into its folder, as they lie."""
+    def _write(self, name: str, df: DataFrame, column: str = "", part: str = "", cluster: str = "", buckets: int = 0) -> int:
+        """Rows written, of a table or of one known partition (``part``) into its folder, as they lie or into buckets."""
         seen = Observation(f"rows of {name}")
         df = df.observe(seen, F.count(F.lit(1)).alias("rows"))
         path = f"{self.root}/{name}/load={self.id}"
         if part:
             df, path = df.drop(column), f"{path}/{column}={part}"
-        df.write.option("compression", CODEC).parquet(path)
+        if buckets:
+            write_bucketed(df, path, cluster, buckets)
+        else:
+            df.write.option("compression", CODEC).parquet(path)
         return seen.get["rows"]
 
     def _stage(self, name: str, df: DataFrame, column: str) -> str:
@@ -161,13 +197,13 @@ class Load:
         small files in a folder that no release names."""
         path = f"{self.root}/{_STAGING}/{name}/load={self.id}"
         tasks = max(STAGE_TASKS, 2 * self.spark.sparkContext.defaultParallelism)
-        with _open_files(self.spark):
+        with open_files(self.spark):
             df.coalesce(tasks).write.partitionBy(column).option("compression", CODEC).parquet(path)
         return path
 
     def _enter(self, name: str, df: DataFrame, column: str = "", part: str = "", **kw) -> None:
         entry = Entry(name, part, self.id, kw.pop("rows"), kw.pop("day"), kw.pop("basis", ""), kw.pop("digest", ""), column,
-                      df.schema.json())
+                      df.schema.json(), cluster=kw.pop("cluster", None), buckets=kw.pop("buckets", None))
         parts = self.state.by_name.setdefault(name, {})
         if not column or "" in parts:
             parts.clear()
@@ -178,9 +214,10 @@ class Load:
         self._enter(name, df, rows=self._write(name, df), day=day, basis=basis)
         return self.state.table(name)
 
-    def replace_day(self, name: str, df: DataFrame, column: str, day: str, basis: str = "") -> DataFrame:
-        """One load day of a table (``df`` holds that day only); returns that day."""
-        self._enter(name, df, column, day, rows=self._write(name, df, column, day), day=day, basis=basis)
+    def replace_day(self, name: str, df: DataFrame, column: str, day: str, basis: str = "", cluster: str = "", buckets: int = 0) -> DataFrame:
+        """One load day of a table (``df`` holds that day only), in ``buckets`` buckets by ``cluster`` if given; returns that day."""
+        rows = self._write(name, df, column, day, cluster, buckets)
+        self._enter(name, df, column, day, rows=rows, day=day, basis=basis, cluster=cluster or None, buckets=buckets or None)
         return self.state.table(name, [day])
 
     def replace_changed(self, name: str, base: DataFrame, column: str, day: str, derive, ignore=()) -> dict[str, list[str]]:
@@ -214,7 +251,7 @@ class Load:
         return {"changed": changed, "vanished": vanished, "kept": sorted(kept)}
 
     def publish(self) -> Release:
-        rows = [(e.name, e.part, e.load, e.rows, e.day, e.basis, e.digest, e.column, e.schema, self.id)
+        rows = [(e.name, e.part, e.load, e.rows, e.day, e.basis, e.digest, e.column, e.schema, self.id, e.cluster, e.buckets)
                 for parts in self.state.by_name.values() for e in parts.values()]
         manifest = self.spark.createDataFrame(rows, _ENTRY).coalesce(1)
         manifest.write.json(f"{self.root}/{_FOLDER}/release={self.state.number}")  # raises if it is there

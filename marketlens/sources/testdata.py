@@ -27,6 +27,9 @@ ESTIMATE_DAYS = 30
 # Orders under the first total have no review, orders from the second on have two.
 REVIEWED_FROM, REVIEWED_TWICE_FROM = 50_000, 450_000
 
+#: So many order lines has a bucket of the stored input.
+LINES_A_BUCKET = 500_000
+
 
 def read_supplied(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
@@ -63,10 +66,26 @@ def with_stored_lines(src: dict[str, DataFrame], root: str) -> dict[str, DataFra
     return src | from_item_lines(stored) | {"_item_lines": stored}
 
 
-def with_stored_input(src: dict[str, DataFrame], root: str) -> dict[str, DataFrame]:
+def order_buckets(spark: SparkSession, sf_dir: str) -> int:
+    """How many buckets by order id the supplied order lines fill (their number stands in the files' footers)."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    return max(spark.sparkContext.defaultParallelism, -(-lines // LINES_A_BUCKET))
+
+
+def with_stored_input(src: dict[str, DataFrame], root: str, buckets: int | None = None) -> dict[str, DataFrame]:
     """The source tables for a caller that loads them more than once: the order lines as in ``with_stored_lines``, and
-    the orders, with the last ship dates of the stored lines, written once too."""
+    the orders, with the last ship dates of the stored lines, written once too; both in ``buckets`` buckets by order id,
+    if given: the lines are numbered by order and the orders joined with them, so they lie so already."""
+    from marketlens.sources.releases import read_bucketed, write_bucketed
     from marketlens.sources.warehouse import read_table, write_table
+    if buckets:
+        def stored(df: DataFrame, name: str) -> DataFrame:
+            write_bucketed(df, f"{root}/{name}", "order_id", buckets)
+            return read_bucketed(df.sparkSession, f"{root}/{name}", df.schema, "order_id", buckets)
+        lines = stored(src["_item_lines"], "src_item_lines")
+        last_ship = lines.groupBy("order_id").agg(F.max("shipping_limit_date").alias("_last_ship")).withColumnRenamed("order_id", "l_orderkey")
+        supplied = src["_supplied_orders"].repartition(buckets, "o_orderkey")
+        return src | from_item_lines(lines) | {"_item_lines": lines, "orders": stored(orders_of(supplied, last_ship), "src_orders")}
     src = with_stored_lines(src, root)
     last_ship = src["_item_lines"].groupBy(F.col("order_id").alias("l_orderkey")).agg(F.max("shipping_limit_date").alias("_last_ship"))
     write_table(orders_of(src["_supplied_orders"], last_ship), root, "src_orders", [])
@@ -93,8 +112,9 @@ def orders_of(o: DataFrame, last_ship: DataFrame) -> DataFrame:
     )
 
 
-def source_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The eight source tables plus ``geo`` (state → state name, region)."""
+def source_tables(spark: SparkSession, sf_dir: str, buckets: int | None = None) -> dict[str, DataFrame]:
+    """The eight source tables plus ``geo`` (state → state name, region); the shuffle that numbers the order lines has
+    ``buckets`` partitions, if given."""
     t = read_supplied(spark, sf_dir)
     li, o = t["lineitem"], t["orders"]
 
@@ -105,6 +125,8 @@ def source_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     # Rename first so the window is partitioned by ``order_id``: the later
     # order-keyed joins then reuse this shuffle instead of repeating it.
     lines = li.withColumnRenamed("l_orderkey", "order_id")
+    if buckets:
+        lines = lines.repartition(buckets, "order_id")
     item_order = Window.partitionBy("order_id").orderBy(
         "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
         "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
