@@ -67,9 +67,10 @@ def with_stored_lines(src: dict[str, DataFrame], root: str) -> dict[str, DataFra
 
 
 def order_buckets(spark: SparkSession, sf_dir: str) -> int:
-    """How many buckets by order id the supplied order lines fill (their number stands in the files' footers)."""
+    """How many buckets by order id the supplied order lines fill (their number stands in the files' footers).  Each bucket
+    is a task that keeps the months' files open, so there are not more than the rows need."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
-    return max(spark.sparkContext.defaultParallelism, -(-lines // LINES_A_BUCKET))
+    return max(1, -(-lines // LINES_A_BUCKET))
 
 
 def with_stored_input(src: dict[str, DataFrame], root: str, buckets: int | None = None) -> dict[str, DataFrame]:
