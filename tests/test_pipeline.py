@@ -362,3 +362,19 @@ def test_buckets_by_order_give_the_same_fact_of_odd_keys(spark, tmpdir_path, mon
     assert rows_of(stored.fact.select(*whole.fact.columns).drop(*flags)) == rows_of(whole.fact.drop(*flags)) != []
     assert rows_of(stored.dim_sellers) == rows_of(whole.dim_sellers) and rows_of(stored.dim_customers) == rows_of(whole.dim_customers)
     assert rows_of(Release.open(spark, tmpdir_path).table("ods_order_items").drop("etl_date")) == rows_of(odd["order_items"])
+
+
+@pytest.mark.parametrize("counted, buckets, broadcast", [(10, 4, True), (10**7, 4, False), (0, 4, False), (10**7, None, False)])
+def test_dimensions_go_to_the_driver_by_counted_rows_not_by_file_sizes(spark, tmpdir_path, counted, buckets, broadcast):
+    from marketlens.plans.pipeline import ods_snapshot
+    src = source_tables(spark, SF001)
+    build(spark, src, tmpdir_path, layer="ods", etl_date=DAY, order_buckets=buckets)
+    wh = Warehouse(spark, ods_snapshot(spark, tmpdir_path)[0], etl_date=DAY)
+    wh.order_buckets = buckets
+    wh.known_rows = {f"ods_{t}": counted for t in ("customers", "products", "orders")} | {"ods_sellers": 10}  # 0: streamed, not counted
+    for df, tables in ((wh.fact_base(), {"customer_id", "product_id"}), (wh.dim_customers, {"customer_id"})):
+        joins = [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Join [" in line]
+        sent = {key for line in joins for key in ("customer_id", "product_id") if "BroadcastHashJoin" in line and f"[{key}#" in line}
+        assert bool(sent & tables) == broadcast, joins
+    whole = Warehouse(spark, src, etl_date=DAY)
+    assert rows_of(wh.fact) == rows_of(whole.fact) != [] and rows_of(wh.dim_customers) == rows_of(whole.dim_customers)
