@@ -161,7 +161,7 @@ class Warehouse:
         """The fact with product sizes attached (J12), each column once."""
         sizes = self.dim_products.select("product_id", "product_length_cm", "product_height_cm",
                                          "product_width_cm")
-        return self.fact.join(sizes, "product_id", "left")
+        return self.fact.join(self._counted(sizes, "dim_products"), "product_id", "left")
 
     def t(self, name: str) -> DataFrame:
         return self.src[name]

@@ -378,3 +378,15 @@ def test_dimensions_go_to_the_driver_by_counted_rows_not_by_file_sizes(spark, tm
         assert bool(sent & tables) == broadcast, joins
     whole = Warehouse(spark, src, etl_date=DAY)
     assert rows_of(wh.fact) == rows_of(whole.fact) != [] and rows_of(wh.dim_customers) == rows_of(whole.dim_customers)
+
+
+def test_product_sizes_go_to_the_driver_by_counted_rows_not_by_file_sizes(spark, tmpdir_path):
+    src = source_tables(spark, SF001)
+    build(spark, src, tmpdir_path, layer="ods", etl_date=DAY)
+    build(spark, src, tmpdir_path, layer="dwd", etl_date=DAY)
+    few = Warehouse.from_warehouse(spark, tmpdir_path, date_floor=None).for_dashboard()
+    many = Warehouse.from_warehouse(spark, tmpdir_path, date_floor=None).for_dashboard()
+    many.known_rows["dim_products"] = 10**7
+    plans = [wh.report_frame._jdf.queryExecution().executedPlan().toString() for wh in (few, many)]
+    assert ["BroadcastHashJoin" in p for p in plans] == [True, False] and "ShuffledHashJoin" in plans[1]
+    assert rows_of(many.report_frame) == rows_of(few.report_frame) != []
