@@ -27,7 +27,9 @@ def moments(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:
     near each group's, so the correction to the group's own mean takes little away.
     """
     d = df.selectExpr(*by, *[f"CAST(`{c}` AS DOUBLE) AS `{c}`" for c in cols]).dropna(subset=list(cols))
-    mean = d.selectExpr("struct(" + ", ".join(f"avg(`{c}`) AS `{c}`" for c in cols) + ") AS m").scalar()
+    # by group first: both passes then read the same columns, and a shuffle below them is made once
+    totals = d.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in cols])
+    mean = totals.selectExpr("struct(" + ", ".join(f"sum(`{c}`) / sum(n) AS `{c}`" for c in cols) + ") AS m").scalar()
     sums = d.select(*by, *cols, *[(F.col(c) - mean[c]).alias(f"d_{c}") for c in cols]).groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
         *[F.expr(f"{f}(`{c}`)").alias(f"{name}_{c}") for c in cols for f, name in (("min", "lo"), ("max", "hi"))],

@@ -66,3 +66,10 @@ def test_dashboard_mode_takes_no_frame_of_the_csv_population(spark, tmpdir_path)
     wh.for_dashboard()
     assert "review_score" in wh.report_frame.columns and "product_category_name" not in wh.report_frame.columns
     assert not any("/base_moments_" in f for f in wh.month_moments("moments_matrix").inputFiles())
+
+
+def test_both_passes_read_one_shuffle(spark):
+    rows = spark.range(400).selectExpr("id % 3 AS g", "id % 40 AS k", "double(id) AS a", "double(id * id % 7) AS b")
+    got = moments(rows.repartition(4, "k"), ["g"], ["a", "b"])
+    got.collect()
+    assert "ReusedExchange" in got._jdf.queryExecution().executedPlan().toString()
